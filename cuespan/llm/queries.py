@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import quality_rules, winnow
 
 QUERIES = {
+    "op5_winnowing": winnow.op5_winnowing,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 
 SQL = {
+    "op5_winnowing": winnow.SQL,
     "op9_quality_rules": quality_rules.SQL,
 }
