@@ -59,3 +59,30 @@ def local_file(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def arrow_rows(spark: SparkSession, rows: int = 512) -> None:
+    """Bound what a Python worker holds at once: long texts make large batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], weight: str, rows: int = 100_000) -> DataFrame:
+    """left joined (left outer) to right, which has one row for each key; weight: its number of left rows.
+
+    right is stored and counted. Within the bound it is broadcast. Beyond it, the keys that hold a
+    thousandth of all rows or more (a thousand keys at most) are broadcast, and their rows leave the
+    shuffle join, each under a key of its own.
+    """
+    right = stored(right, "lookup")
+    if small(right, rows):
+        return left.join(F.broadcast(right), keys, "left").drop(weight)
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    heavy = right.where(F.col(weight) >= max(1000, total // 1000))
+    values = [c for c in right.columns if c not in keys and c != weight]
+    h = heavy.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], F.struct(*values).alias("_hv"))
+    l = right.select(*[F.col(k).alias(f"_l{i}") for i, k in enumerate(keys)], F.struct(*values).alias("_lv"))  # noqa: E741
+    cond = lambda p: [F.col(k) == F.col(f"_{p}{i}") for i, k in enumerate(keys)]
+    out = left.join(F.broadcast(h), cond("h"), "left").withColumn("_salt", F.when(F.col("_hv").isNotNull(), F.xxhash64(F.monotonically_increasing_id())))
+    l = l.withColumn("_none", F.lit(0).cast("bigint"))  # noqa: E741
+    out = out.join(l, [*cond("l"), F.coalesce("_salt", F.lit(0)) == F.col("_none")], "left")
+    return out.select(*left.columns, *[F.coalesce(F.col("_hv")[v], F.col("_lv")[v]).alias(v) for v in values])

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import pii, quality_rules, winnow
+from . import bpe, pii, quality_rules, winnow
 
 QUERIES = {
+    "op2_bpe": bpe.op2_bpe,
     "op4_pii": pii.op4_pii,
     "op5_winnowing": winnow.op5_winnowing,
     "op9_quality_rules": quality_rules.op9_quality_rules,
