@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, pii, quality_rules, winnow
+from . import bpe, pii, quality_rules, warc, winnow
 
 QUERIES = {
+    "op3_warc": warc.op3_warc,
     "op2_bpe": bpe.op2_bpe,
     "op4_pii": pii.op4_pii,
     "op5_winnowing": winnow.op5_winnowing,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_warc": warc.SQL,
     "op5_winnowing": winnow.SQL,
     "op9_quality_rules": quality_rules.SQL,
 }
