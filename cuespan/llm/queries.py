@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, pii, quality_rules, toxicity, warc, winnow
+from . import bpe, pii, quality_knn, quality_rules, toxicity, warc, winnow
 
 QUERIES = {
+    "op1_quality_knn": quality_knn.op1_quality_knn,
     "op8_toxicity": toxicity.op8_toxicity,
     "op3_warc": warc.op3_warc,
     "op2_bpe": bpe.op2_bpe,
