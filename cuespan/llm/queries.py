@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, pii, quality_knn, quality_rules, toxicity, warc, winnow
+from . import bpe, jaccard, pii, quality_knn, quality_rules, toxicity, warc, winnow
 
 QUERIES = {
+    "op10_jaccard": jaccard.op10_jaccard,
     "op1_quality_knn": quality_knn.op1_quality_knn,
     "op8_toxicity": toxicity.op8_toxicity,
     "op3_warc": warc.op3_warc,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op10_jaccard": jaccard.SQL,
     "op3_warc": warc.SQL,
     "op5_winnowing": winnow.SQL,
     "op9_quality_rules": quality_rules.SQL,
