@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, pii, quality_knn, quality_rules, toxicity, warc, winnow
+from . import bpe, jaccard, lpf_dedup, pii, quality_knn, quality_rules, toxicity, warc, winnow
 
 QUERIES = {
+    "op7_lpf_dedup": lpf_dedup.op7_lpf_dedup,
     "op10_jaccard": jaccard.op10_jaccard,
     "op1_quality_knn": quality_knn.op1_quality_knn,
     "op8_toxicity": toxicity.op8_toxicity,
