@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, lpf_dedup, pii, quality_knn, quality_rules, toxicity, warc, winnow
+from . import bpe, jaccard, licenses, lpf_dedup, pii, quality_knn, quality_rules, toxicity, warc, winnow
 
 QUERIES = {
+    "op6_licenses": licenses.op6_licenses,
     "op7_lpf_dedup": lpf_dedup.op7_lpf_dedup,
     "op10_jaccard": jaccard.op10_jaccard,
     "op1_quality_knn": quality_knn.op1_quality_knn,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op6_licenses": licenses.SQL,
     "op10_jaccard": jaccard.SQL,
     "op3_warc": warc.SQL,
     "op5_winnowing": winnow.SQL,
