@@ -160,10 +160,10 @@ def audio_mix_sum(spark, d):
 
 @query(f"""with {EV}, l as (select hour, event_id, value as c, 0.1 + event_id % 8 / 10.0 as a from ev where event_type = 'click'),
 x as (select *, coalesce(exp(sum(ln(1 - a)) over (partition by hour order by event_id desc rows between unbounded preceding and 1 preceding)), 1) as through from l)
-select hour, round(sum(c * a * through) / sum(a * through), 3) as c, round(sum(a * through), 6) as a from x group by hour""")
+select hour, round(sum(c * a * through) / sum(a * through), 3) as c, round(sum(a * through), 4) as a from x group by hour""")
 def over_composite(spark, d):
     e = events(spark, d).where("event_type = 'click'").select("hour", "event_id", F.col("value").alias("c"), (0.1 + F.col("event_id") % 8 / F.lit(10.0)).alias("a"))
-    return mix.over(e, ["hour"], ["event_id"], ["c"], "a").select("hour", F.round("c", 3).alias("c"), F.round("a", 6).alias("a"))
+    return mix.over(e, ["hour"], ["event_id"], ["c"], "a").select("hour", F.round("c", 3).alias("c"), F.round("a", 4).alias("a"))
 
 
 @query(f"with {EV}, a as (select hour, sum(value) as v from ev where event_type = 'click' group by hour), b as (select hour, sum(value) as v from ev where event_type = 'view' group by hour) select hour, round(coalesce(a.v, 0) * (1 - least(1, hour / 240.0)) + coalesce(b.v, 0) * least(1, hour / 240.0), 2) as v from a full join b using (hour)")
