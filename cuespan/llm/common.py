@@ -41,6 +41,15 @@ def space_words(c: Column) -> Column:
     return F.filter(F.split(F.coalesce(c, F.lit("")), SPACES), lambda x: x != "")
 
 
+def fenced(c: Column) -> Column:
+    """c behind a test that always holds and that the optimizer must take for a row of its own kind.
+
+    A filter over c then stays above its projection. Else the optimizer puts c's whole expression in
+    the filter's place, and a list that a lambda reads is made anew for each element.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 def small(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; reads no more than it must."""
     return df.limit(rows + 1).count() <= rows

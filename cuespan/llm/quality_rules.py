@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, space_words
+from .common import SPACES, fenced, space_words
 
 #: Frequent words of English, German, French and Spanish.
 STOP_WORDS = ["the", "of", "and", "to", "in", "is", "der", "die", "das", "und", "le", "la", "de", "et", "el", "que", "les", "en"]
@@ -59,7 +59,7 @@ def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     twice = F.filter("s", lambda x, k: (x.h == F.get("s", k - 1).h) | (x.h == F.get("s", k + 1).h))
     df = df.select(*keep, "n_dup_lines", F.sort_array(F.transform(twice, lambda x: x.i)).alias("p"))
     covered = F.aggregate(F.transform("p", lambda x, k: F.least(F.lit(3), F.coalesce(F.get("p", k + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
-    return df.select(*keep, "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    return df.select(*keep, "n_dup_lines", fenced(F.coalesce(covered, F.lit(0)).cast("long")).alias("n_repeat_words"))
 
 
 def _breaks(metric: str, low, high) -> Column:
