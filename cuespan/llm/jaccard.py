@@ -2,9 +2,9 @@
 
 1. Each text becomes the set of its five-word shingles (64-bit hashes), written with its size, a digest
    of the whole set and a bitmap of its tokens. Equal sets are one node, named by their least id.
-2. Shingles are put in one order, rare before frequent ones, then by hash. Sets that reach 0.75 share a
-   shingle among their first n - ceil(0.75 n) + 1 (prefix rule), so nothing outside shared prefixes can
-   link. A quick round first compares each node with one likely partner, which joins most copies.
+2. Shingles are put in one order, rare before frequent ones, then by hash. Sets that reach 0.75 share at
+   least k + 1 shingles among their first n - ceil(0.75 n) + 1 + k (prefix rule; k is n / 20 here), so
+   no pair that shares fewer can link. A quick round first compares each node with one likely partner, which joins most copies.
 3. Prefixes travel as packed arrays, dealt by shingle. Only shingles that nodes of different components
    share go on. Shingles of more than a 200th of all documents come last in the order and send one
    entry for each component and batch, so no hot shingle gathers its documents in a task.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, bounded_broadcast, lookup, stored, table
 from .components import components
 
-WORDS, BITS, LEAF, FAN, BLOCK, QUICK, RARE = 5, 1024, 8, 8, 4096, 8, 200
+WORDS, BITS, LEAF, FAN, BLOCK, SMALL, GATHER, QUICK, RARE = 5, 1024, 8, 8, 4096, 24, 100_000, 8, 200
 #: Odd multipliers of the shingle hash.
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 TOP = np.uint64(1 << 63)
@@ -71,9 +71,15 @@ class Shingler:
         return np.unique(h)
 
 
+def shared_least(n):
+    """How many shingles of their prefixes two sets that link share at least, by the smaller set's size."""
+    return 1 + n // 20
+
+
 def prefix(n: int) -> int:
-    """How many first shingles of a set of n can hold the first one shared with a set that links."""
-    return n - (3 * n + 3) // 4 + 1
+    """How many first shingles of a set of n count: a linking set keeps 0.75 n of them at least, so prefixes
+    that are longer by k share 1 + k."""
+    return min(n, n - (3 * n + 3) // 4 + shared_least(n))
 
 
 def ordered(h: np.ndarray, heavy: np.ndarray) -> np.ndarray:
@@ -294,30 +300,84 @@ def heavy_members(d: DataFrame, heavy: np.ndarray, keys: np.ndarray) -> DataFram
     return d.select("id", "comp", "t").mapInArrow(run, "key bigint, id bigint, comp bigint")
 
 
+def _group_pairs(n: np.ndarray, bits: np.ndarray, comp: np.ndarray, cut: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of different components that the bounds leave, in groups that start at cut; a group with
+    rows of both kinds of `one` is a pair of blocks, and only pairs across them count."""
+    size = np.diff(np.r_[cut, len(n)])
+    slack = n - np.bitwise_count(bits).sum(1)
+    level = (n, n, bits, slack)
+    left, right = [], []
+    for m in np.unique(size[size <= SMALL]).tolist():  # a tree of one node: its sets face each other
+        x, y = np.triu_indices(m, 1)
+        at = cut[size == m][:, None]
+        a, b = (at + x).ravel(), (at + y).ravel()
+        ok = comp[a] != comp[b]
+        a, b = a[ok], b[ok]
+        ok = _possible(level, a, level, b)
+        left.append(a[ok])
+        right.append(b[ok])
+    for at, m in zip(cut[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+        own = slice(at, at + m)
+        if comp[own].min() == comp[own].max():
+            continue
+        first = one[own]
+        x = Tree(n[own][first], bits[own][first])
+        y = x if first.all() else Tree(n[own][~first], bits[own][~first])
+        a, b = traverse(x, y)
+        a, b = at + np.flatnonzero(first)[a], at + np.flatnonzero(first if y is x else ~first)[b]
+        ok = comp[a] != comp[b]
+        left.append(a[ok])
+        right.append(b[ok])
+    none = np.empty(0, int)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
 def tree_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that trees over the members (key, id, comp, n, bits) of each key leave."""
-    import pandas as pd
+    """Pairs (a, b) of different components that trees over the members (key, id, comp, n, bits) of each key
+    leave, and that share as many prefix shingles as sets that link must."""
+    import pyarrow as pa
 
-    many = members.groupBy("key").agg(F.count("*").alias("c")).withColumn("blocks", F.expr(f"cast(ceil(c / {BLOCK}) as int)"))
-    m = lookup(members, many.select("key", "blocks", "c"), ["key"], "c").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    many = members.groupBy("key").agg(F.count("*").alias("c")).withColumn("blocks", F.expr(f"cast(ceil(c / {BLOCK}) as int)")).where("blocks > 1")
+    m = lookup(members, many.select("key", "blocks", "c"), ["key"], "c").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    m = m.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     m = m.select("key", "id", "comp", "n", "bits", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    m = m.select("key", "id", "comp", "n", "bits", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(p["i"].iloc[0]), int(p["j"].iloc[0])
-        ids, comp, n = (p[c].to_numpy() for c in ("id", "comp", "n"))
-        bits = np.frombuffer(b"".join(p["bits"]), np.uint64).reshape(len(p), -1)
-        one = p["own"].to_numpy() == i
-        x = Tree(n[one], bits[one])
-        y = x if i == j else Tree(n[~one], bits[~one]) if (~one).any() else None
-        if y is None or comp.min() == comp.max():
-            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-        a, b = traverse(x, y)
-        a, b = np.flatnonzero(one)[a], np.flatnonzero(one if i == j else ~one)[b]
-        a, b = a[comp[a] != comp[b]], b[comp[a] != comp[b]]
-        return pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])}).drop_duplicates()
+    m = m.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "n", "bits")
+    m = m.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
+
+    def pairs(rows):
+        t = pa.Table.from_batches(rows)
+        col = {c: t.column(c).to_numpy() for c in ("key", "i", "j", "own", "id", "comp", "n")}
+        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(t.num_rows, -1)
+        new = np.zeros(t.num_rows, bool)
+        for c in ("key", "i", "j"):
+            new |= np.r_[True, col[c][1:] != col[c][:-1]]
+        a, b = _group_pairs(col["n"], bits, col["comp"], np.flatnonzero(new), col["own"] == col["i"])
+        ids, n = col["id"], col["n"]
+        p = np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), shared_least(np.minimum(n[a], n[b]))], 1)
+        p, c = np.unique(p, axis=0, return_counts=True)
+        return pa.RecordBatch.from_pydict({"a": pa.array(p[:, 0]), "b": pa.array(p[:, 1]), "need": pa.array(p[:, 2]), "c": pa.array(c)})
 
-    return m.groupBy("key", "i", "j").applyInPandas(run, "a bigint, b bigint").distinct()
+    def run(batches):
+        held, last, size = [], None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = b.column("key").to_numpy()
+            if size >= GATHER and key[0] != last:
+                yield pairs(held)
+                held, size = [], 0
+            held.append(b)
+            last, size = key[-1], size + b.num_rows
+            if size >= GATHER and key[0] != last:  # up to the last whole key
+                at = int(np.flatnonzero(key != last)[-1]) + 1
+                held[-1] = b.slice(0, at)
+                yield pairs(held)
+                held, size = [b.slice(at)], b.num_rows - at
+        if held:
+            yield pairs(held)
+
+    p = m.mapInArrow(run, "a bigint, b bigint, need bigint, c bigint")
+    return p.groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("need").alias("need")).where("c >= need").select("a", "b")
 
 
 def classes(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
@@ -355,8 +415,9 @@ def classes(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
 
 def keep_one(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     """docs with one document of each component: the one with the least id. Rows with a null id stay."""
-    drop = stored(classes(docs, doc_id, text).where("component <> id").select(F.col("id").alias("_drop_id")).distinct(), "drop")
-    return docs.join(bounded_broadcast(drop, 500_000), docs[f"`{doc_id}`"] == F.col("_drop_id"), "left_anti")
+    drop = stored(classes(docs, doc_id, text).where("component <> id").select("id").distinct(), "drop")
+    d = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{doc_id}`"].cast("bigint").alias("id"))
+    return d.join(bounded_broadcast(drop, 500_000), "id", "left_anti").select("row.*")
 
 
 def op10_jaccard(spark, sf_dir: str) -> DataFrame:
