@@ -22,6 +22,7 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,10 +154,7 @@ def encode(docs: DataFrame, path: str, doc_id="doc_id", text="text", with_ids=Fa
 
 def decode(encoded: DataFrame, path: str, ids="ids") -> DataFrame:
     """encoded with a column `decoded`: the text that the vocabulary's decoder gives for the ids."""
-    from pyspark.sql.types import StringType
-    import pandas as pd
-
-    @F.pandas_udf(StringType())
+    @F.pandas_udf("string")
     def text(col: pd.Series) -> pd.Series:
         c = codec(path)
         return pd.Series([None if x is None else c.whole.decode([int(i) for i in x], skip_special_tokens=False) for x in col])
