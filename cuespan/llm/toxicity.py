@@ -41,18 +41,20 @@ def _features(token: str) -> tuple[int, int, int, int, int, bool]:
 
 def _chains(texts: list[str]):
     """Features of all tokens of the texts, the document of each, and the chains' starts and lengths."""
-    rows, doc, ends = [], [], []
-    for i, t in enumerate(texts):
+    parts, ends, size = [], [], 0
+    for t in texts:
+        rows = []
         for line in t.split("\n"):
-            f = [_features(x) for x in line.split()]
-            if f:
-                rows += f
-                doc.append((i, len(f)))
-                ends.append(len(rows))
-    if not rows:
+            own = [_features(x) for x in line.split()]
+            if own:
+                rows += own
+                ends.append(size + len(rows))
+        parts.append(np.array(rows, dtype=np.int32).reshape(-1, 6))
+        size += len(rows)
+    if not size:
         return None
-    a = np.array(rows, dtype=np.int32)
-    owner = np.repeat([d for d, _ in doc], [n for _, n in doc])
+    a = np.concatenate(parts)
+    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     stop = a[:, 5].astype(bool)
     stop[np.array(ends) - 1] = True
     start = np.flatnonzero(np.r_[True, stop[:-1]])
