@@ -55,9 +55,13 @@ def small(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast df if its counted rows stay within the bound; else leave the join to a shuffle."""
-    return F.broadcast(df) if small(df, rows) else df
+def bounded_broadcast(df: DataFrame, rows: int, blob: str | None = None, size: int = 32 << 20) -> DataFrame:
+    """Broadcast df if its counted rows, and the bytes of its column blob, stay within the bounds; else
+    leave the join to a shuffle."""
+    if blob is None:
+        return F.broadcast(df) if small(df, rows) else df
+    n, held = df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(blob)), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= size else df
 
 
 def local_file(name: str) -> str:

@@ -38,6 +38,9 @@ SIDE = SPAN - GRAM
 ENTRY = np.dtype([("h", "<u8"), ("c", "<u8"), ("id", "<i8"), ("at", "<i4"), ("to", "<i4")])
 #: Places of a document; kind 0: a copied range, 1: an anchor to compare, 2: a heavy anchor.
 PLACE = np.dtype([("id", "<i8"), ("at", "<i4"), ("to", "<i4"), ("kind", "<i4"), ("h", "<u8")])
+#: What documents get to know: ranges to cut, or anchors to compare.
+RANGE = np.dtype([("at", "<i4"), ("to", "<i4")])
+ASKED = np.dtype([("h", "<u8"), ("at", "<i4"), ("to", "<i4"), ("kind", "<i1")])
 #: A context that is compared: its anchor's hash, document, first byte and size.
 CONTEXT = np.dtype([("h", "<u8"), ("id", "<i8"), ("at", "<i4"), ("size", "<i4")])
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 32 << 20
@@ -218,9 +221,13 @@ def by_document(places: DataFrame, buckets: int, kinds: tuple[int, ...]) -> Data
         p = merged(p) if kinds == (0,) else np.unique(p)
         cut = np.flatnonzero(np.r_[True, p["id"][1:] != p["id"][:-1]]) if len(p) else np.empty(0, int)
         end = np.r_[cut[1:], len(p)]
+        kind = RANGE if kinds == (0,) else ASKED
+        short = np.empty(len(p), kind)
+        for f in kind.names:
+            short[f] = p[f]
         for k in range(0, len(cut), 2000):
             c, z = cut[k : k + 2000], end[k : k + 2000]
-            yield pa.RecordBatch.from_pydict({"id": np.ascontiguousarray(p["id"][c]), "places": pa.array([p[x:y].tobytes() for x, y in zip(c, z, strict=True)], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"id": np.ascontiguousarray(p["id"][c]), "places": pa.array([short[x:y].tobytes() for x, y in zip(c, z, strict=True)], pa.binary())})
 
     return places.repartition(buckets, "bucket").mapInArrow(gather, "id bigint, places binary")
 
@@ -235,7 +242,7 @@ def compared(d: DataFrame, buckets: int) -> DataFrame:
         for b in batches:
             meta, bits, strings = [], [], []
             for i, t, blob in zip(*[b.column(c).to_pylist() for c in ("id", "t", "places")], strict=True):
-                raw, p = (t or "").encode(), np.frombuffer(blob, PLACE)
+                raw, p = (t or "").encode(), np.frombuffer(blob, ASKED)
                 p = p[p["to"] <= len(raw)]
                 calm, hot = p[p["kind"] == 1], p[p["kind"] == 2]
                 m = np.empty(len(calm), CONTEXT)
@@ -291,7 +298,7 @@ def compared(d: DataFrame, buckets: int) -> DataFrame:
 
 
 def removed(docs: DataFrame, doc_id="doc_id", text="text", heavy: int = HEAVY) -> DataFrame:
-    """Rows (id, places) of documents that lose bytes; places: merged ranges of bytes, as PLACE."""
+    """Rows (id, places) of documents that lose bytes; places: merged ranges of bytes, as RANGE."""
     spark = docs.sparkSession
     arrow_rows(spark, 1024)
     d = docs.select(F.coalesce(docs[f"`{doc_id}`"].cast("bigint"), F.lit(NO_ID)).alias("id"), docs[f"`{text}`"].alias("t"))
@@ -299,7 +306,7 @@ def removed(docs: DataFrame, doc_id="doc_id", text="text", heavy: int = HEAVY) -
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES + 1)
     found = stored(marks(d, buckets, heavy), "marks")
     asked = stored(by_document(found, buckets, (1, 2)), "asked")
-    near = compared(d.join(bounded_broadcast(asked, 200_000), "id"), buckets)
+    near = compared(d.join(bounded_broadcast(asked, 200_000, "places"), "id"), buckets)
     both = found.unionByName(near)
     return stored(by_document(both, buckets, (0,)), "removed")
 
@@ -310,14 +317,14 @@ def cleaned(docs: DataFrame, doc_id="doc_id", text="text", heavy: int = HEAVY) -
 
     cut = removed(docs, doc_id, text, heavy)
     d = docs.select(docs[f"`{doc_id}`"].cast("bigint").alias("doc_id"), docs[f"`{text}`"].alias("t"))
-    d = d.join(bounded_broadcast(cut, 400_000), F.coalesce("doc_id", F.lit(NO_ID)) == F.col("id"), "left").select("doc_id", "t", "places")
+    d = d.join(bounded_broadcast(cut, 400_000, "places"), F.coalesce("doc_id", F.lit(NO_ID)) == F.col("id"), "left").select("doc_id", "t", "places")
 
     def run(batches):
         for b in batches:
             rows = []
             for i, t, blob in zip(*[b.column(c).to_pylist() for c in ("doc_id", "t", "places")], strict=True):
                 raw = (t or "").encode()
-                p = np.frombuffer(blob, PLACE) if blob else np.empty(0, PLACE)
+                p = np.frombuffer(blob, RANGE) if blob else np.empty(0, RANGE)
                 p = p[p["at"] < len(raw)]
                 at, to = p["at"].tolist(), np.minimum(p["to"], len(raw)).tolist()
                 kept = b"".join([raw[x:y] for x, y in zip([0, *to], [*at, len(raw)], strict=True)])
