@@ -163,7 +163,9 @@ def traverse(x: Tree, y: Tree) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sets(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
-    """(id, n, digest, bits, first): size, digest and bitmap of each row's set, and its QUICK least hashes."""
+    """(id, n, digest, bits, first): size, digest and bitmap of each row's set, and its QUICK least hashes.
+
+    One row of each batch also has the shingles that are common in the batch, and how many rows have them."""
     import pyarrow as pa
 
     arrow_rows(docs.sparkSession)
@@ -178,13 +180,18 @@ def sets(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
             for k, s in enumerate(own):
                 bits[k, (s % np.uint64(BITS)).astype(np.int64)] = True
             packed = np.packbits(bits, axis=1)
+            v, c = np.unique(np.concatenate([*own, np.empty(0, np.uint64)]), return_counts=True)
+            many = c > max(1, len(own) // (4 * RARE))
+            none = [None] * (len(own) - 1)
+            of_batch = lambda x: pa.array([x, *none] if own else [], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([
                 b.column("id"), pa.array([len(s) for s in own], pa.int64()), pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in own], pa.string()),
                 pa.array([r.tobytes() for r in packed], pa.binary()), pa.array([s[:QUICK].view(np.int64) for s in own], pa.list_(pa.int64())),
-            ], ["id", "n", "digest", "bits", "first"])
+                of_batch(v[many].view(np.int64)), of_batch(c[many].astype(np.int64)),
+            ], ["id", "n", "digest", "bits", "first", "common", "rows"])
 
     d = docs.select(docs[f"`{doc_id}`"].cast("bigint").alias("id"), docs[f"`{text}`"].alias("t"))
-    return d.mapInArrow(run, "id bigint, n bigint, digest string, bits binary, first array<bigint>")
+    return d.mapInArrow(run, "id bigint, n bigint, digest string, bits binary, first array<bigint>, common array<bigint>, rows array<bigint>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
@@ -224,19 +231,12 @@ def quick_pairs(nodes: DataFrame) -> DataFrame:
     return k.groupBy("id").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", F.col("id").alias("b"))
 
 
-def heavy_shingles(docs: DataFrame, total: int) -> np.ndarray:
-    """Shingles of more than a RARE-th of all rows (RARE times a mean set at most), from counts over all rows."""
-    import pyarrow as pa
-
-    def run(batches):
-        shingles = Shingler()
-        for b in batches:
-            h = np.concatenate([shingles(t) for t in b.column("t").to_pylist()] or [np.empty(0, np.uint64)])
-            v, c = np.unique(h, return_counts=True)
-            own = c > max(1, b.num_rows // (4 * RARE))
-            yield pa.RecordBatch.from_pydict({"key": v[own].view(np.int64), "c": c[own]})
+def heavy_shingles(of_sets: DataFrame, total: int) -> np.ndarray:
+    """Shingles of more than a RARE-th of all rows (RARE times a mean set at most), by the batches' counts.
 
-    c = docs.mapInArrow(run, "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") > max(500, total // RARE))
+    They decide the order of shingles alone, for which an estimate does: any order is right."""
+    c = of_sets.where("common is not null").select(F.explode(F.arrays_zip("common", "rows")).alias("x"))
+    c = c.groupBy(F.col("x.common").alias("key")).agg(F.sum("x.rows").alias("c")).where(F.col("c") > max(500, total // RARE))
     return np.sort(np.array([r[0] for r in c.select("key").collect()], np.int64).view(np.uint64))
 
 
@@ -396,7 +396,7 @@ def classes(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
 
     d = docs.select(docs[f"`{doc_id}`"].cast("bigint").alias("id"), docs[f"`{text}`"].alias("t"))
     d = d.join(bounded_broadcast(nodes.select("id"), 1_000_000), "id", "left_semi").join(bounded_broadcast(comp, 400_000), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), "t")
-    heavy = heavy_shingles(d.select("t"), total)
+    heavy = heavy_shingles(all_sets, total)
     groups = stored(shared_prefixes(d, heavy, buckets), "groups")
     keys = groups.where("id < 0").select("key").distinct()
     hot = np.array([r[0] for r in keys.collect()], np.int64).view(np.uint64)  # some of the heavy ones
