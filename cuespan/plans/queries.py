@@ -158,19 +158,19 @@ def audio_mix_sum(spark, d):
     return mix.additive(intervals.stab_join(s, i, "m", keys=["user_id"]), ["user_id", "m"], "v").select("user_id", "m", F.round("v", 2).alias("v"))
 
 
-@query(f"""with {EV}, l as (select hour, event_id, value as c, 0.1 + event_id % 8 / 10.0 as a from ev where event_type = 'click'),
+@query(f"""with {EV}, l as (select hour, event_id, value as c, (1 + event_id % 8) / 11.0 as a from ev where event_type = 'click'),
 x as (select *, coalesce(exp(sum(ln(1 - a)) over (partition by hour order by event_id desc rows between unbounded preceding and 1 preceding)), 1) as through from l)
 select hour, round(sum(c * a * through) / sum(a * through), 3) as c, round(sum(a * through), 4) as a from x group by hour""")
 def over_composite(spark, d):
-    e = events(spark, d).where("event_type = 'click'").select("hour", "event_id", F.col("value").alias("c"), (0.1 + F.col("event_id") % 8 / F.lit(10.0)).alias("a"))
+    e = events(spark, d).where("event_type = 'click'").select("hour", "event_id", F.col("value").alias("c"), ((1 + F.col("event_id") % 8) / F.lit(11.0)).alias("a"))
     return mix.over(e, ["hour"], ["event_id"], ["c"], "a").select("hour", F.round("c", 3).alias("c"), F.round("a", 4).alias("a"))
 
 
-@query(f"with {EV}, a as (select hour, sum(value) as v from ev where event_type = 'click' group by hour), b as (select hour, sum(value) as v from ev where event_type = 'view' group by hour) select hour, round(coalesce(a.v, 0) * (1 - least(1, hour / 240.0)) + coalesce(b.v, 0) * least(1, hour / 240.0), 2) as v from a full join b using (hour)")
+@query(f"with {EV}, a as (select hour, sum(value) as v from ev where event_type = 'click' group by hour), b as (select hour, sum(value) as v from ev where event_type = 'view' group by hour) select hour, round(coalesce(a.v, 0) * (1 - least(1, hour / 240.0)) + coalesce(b.v, 0) * least(1, hour / 240.0), 7) as v from a full join b using (hour)")
 def crossfade_outer(spark, d):
     e = events(spark, d)
     one = lambda k: e.where(F.col("event_type") == k).groupBy("hour").agg(F.sum("value").alias("v"))
-    return mix.crossfade(one("click"), one("view"), ["hour"], "v", ff.crossfade_weight(F.col("hour"), 240)).select("hour", F.round("v", 2).alias("v"))
+    return mix.crossfade(one("click"), one("view"), ["hour"], "v", ff.crossfade_weight(F.col("hour"), 240)).select("hour", F.round("v", 7).alias("v"))
 
 
 @query(f"with {EV} select user_id, hour, arg_max(value, event_id) as value from ev group by user_id, hour")
@@ -267,10 +267,10 @@ def pulldown_map(spark, d):
 _TAPS = sig.triangle_taps(0.5)
 
 
-@query(f"with {EV}, h as (select event_type, hour, sum(value) as v from ev group by all), t(k, w) as (values {', '.join(f'({k}, {w!r})' for k, w in _TAPS)}) select event_type, (hour - k) // 2 as hour, round(sum(v * w), 2) as v from h, t where (hour - k) % 2 = 0 and hour - k >= 0 group by event_type, (hour - k) // 2")
+@query(f"with {EV}, h as (select event_type, hour, sum(value) as v from ev group by all), t(k, w) as (values {', '.join(f'({k}, {w!r})' for k, w in _TAPS)}) select event_type, (hour - k) // 2 as hour, round(sum(v * w), 4) as v from h, t where (hour - k) % 2 = 0 and hour - k >= 0 group by event_type, (hour - k) // 2")
 def resample_triangle(spark, d):
     h = events(spark, d).groupBy("event_type", "hour").agg(F.sum("value").alias("v"))
-    return resample.subsample(h, ["event_type"], "hour", "v", _TAPS, 2).where("hour >= 0").select("event_type", "hour", F.round("v", 2).alias("v"))
+    return resample.subsample(h, ["event_type"], "hour", "v", _TAPS, 2).where("hour >= 0").select("event_type", "hour", F.round("v", 4).alias("v"))
 
 
 @query("select p_partkey, round(p_size / 32767.0, 9) as s16, round(p_size / 127.0 - 1, 9) as u8, round((p_size - 16) / 219.0, 9) as luma, round((p_size - 128) / 224.0, 9) as chroma from part")
