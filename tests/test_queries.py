@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from cuespan.plans import queries
@@ -12,7 +13,12 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 def rows(df):
     df = df[sorted(df.columns)]
-    text = lambda v: "" if v is None or v != v else f"{v:.9g}" if isinstance(v, float) else f"{int(v):.9g}" if hasattr(v, "real") and not isinstance(v, bool) else str(v)
+
+    def text(v):
+        if pd.isna(v):
+            return ""
+        return str(v) if isinstance(v, (bool, str)) or not hasattr(v, "real") else f"{v:.9g}"
+
     return sorted(tuple(map(text, r)) for r in df.astype(object).itertuples(index=False))
 
 
