@@ -3,11 +3,12 @@
 1. Each text becomes the set of its five-word shingles (64-bit hashes), written with its size, a digest
    of the whole set and a bitmap of its tokens. Equal sets are one node, named by their least id.
 2. Shingles are put in one order, rare before frequent ones, then by hash. Sets that reach 0.75 share at
-   least k + 1 shingles among their first n - ceil(0.75 n) + 1 + k (prefix rule; k is n / 20 here), so
+   least k + 1 shingles among their first n - ceil(0.75 n) + 1 + k (prefix rule; k is n / 10 here), so
    no pair that shares fewer can link. A quick round first compares each node with one likely partner, which joins most copies.
 3. Prefixes travel as packed arrays, dealt by shingle. Only shingles that nodes of different components
    share go on. Shingles of more than a 200th of all documents come last in the order and send one
-   entry for each component and batch, so no hot shingle gathers its documents in a task.
+   entry for each component and batch, so no hot shingle gathers its documents in a task. Documents that
+   have too few shared shingles left for any partner go before pairs are looked at.
 4. Nodes that share such a shingle form a signature tree: sorted by size and bitmap, each level keeps the
    OR of the bitmaps below, the range of sizes and the largest number of tokens that share a bit. A dual
    traversal drops pairs of tree nodes whose size ranges or largest possible overlap rule 0.75 out.
@@ -73,7 +74,7 @@ class Shingler:
 
 def shared_least(n):
     """How many shingles of their prefixes two sets that link share at least, by the smaller set's size."""
-    return 1 + n // 20
+    return 1 + n // 10
 
 
 def prefix(n: int) -> int:
@@ -380,6 +381,21 @@ def tree_pairs(members: DataFrame) -> DataFrame:
     return p.groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("need").alias("need")).where("c >= need").select("a", "b")
 
 
+def may_link(members: DataFrame, rounds: int = 2) -> DataFrame:
+    """The members (key, id, comp, n) that can be in a pair that links.
+
+    A partner has 0.75 of a document's size at least, so the document needs as many shared shingles as that
+    size asks for. Those with fewer go, then shingles that are left with one component; what goes can't
+    link, so this may be done again. The work follows the members, not their pairs."""
+    need = 1 + F.floor(F.ceil(F.col("n") * 3 / 4) / 10)
+    for _ in range(rounds):
+        keep = stored(members.groupBy("id").agg(F.count("*").alias("c"), F.max("n").alias("n")).where(F.col("c") >= need).select("id"), "keep")
+        members = members.join(bounded_broadcast(keep, 400_000), "id", "left_semi")
+        mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("key", "c", F.lit(True).alias("mixed"))
+        members = stored(lookup(members, mixed, ["key"], "c").where("mixed").drop("mixed"), "members")
+    return members
+
+
 def classes(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     """(id, n, component) for each row of docs."""
     spark = docs.sparkSession
@@ -403,7 +419,8 @@ def classes(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     members = groups.where("id >= 0")
     if len(hot):
         members = members.unionByName(heavy_members(d, heavy, hot))
-    members = members.join(nodes.select("id", "n", "bits").dropDuplicates(["id"]), "id")
+    members = may_link(members.join(nodes.groupBy("id").agg(F.min("n").alias("n")), "id"))
+    members = members.drop("n").join(nodes.select("id", "n", "bits"), "id")
     two = verified(tree_pairs(stored(members, "members")), docs, doc_id, text)
     comp = components(first.unionByName(two))
 
