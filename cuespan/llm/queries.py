@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_pii": pii.SQL,
     "op6_licenses": licenses.SQL,
     "op10_jaccard": jaccard.SQL,
     "op3_warc": warc.SQL,

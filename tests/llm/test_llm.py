@@ -219,6 +219,8 @@ def test_pii_disclosure(spark):
     rows += [(100 + k, f"the project is by today here at words and {k} bob{k}@x.org") for k in range(60)] + [(300, "the zephyrine again"), (301, None)]
     got = by_id(pii.report(spark.createDataFrame(rows, "doc_id long, text string")))
     assert got[0].spans == "term:42:51,term:55:58,email:62:78" and got[100].spans.startswith("email") and got[300].spans == ""
+    want = oracle([(i, t, "", "", 0) for i, t in rows], pii.SQL).fetchall()
+    assert sorted(tuple(r) for r in got.values()) == sorted(want)
     clean = by_id(pii.sanitise(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n_chars long")))
     assert clean[0].text == "filler number0 words here and the project <TERM> is  by <EMAIL> today at 0" and clean[0].n_chars == len(clean[0].text)
     assert clean[300].text == "the zephyrine again" and clean[301].text is None
