@@ -419,7 +419,7 @@ def classes(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     members = groups.where("id >= 0")
     if len(hot):
         members = members.unionByName(heavy_members(d, heavy, hot))
-    members = may_link(members.join(nodes.groupBy("id").agg(F.min("n").alias("n")), "id"))
+    members = may_link(stored(members.join(nodes.groupBy("id").agg(F.min("n").alias("n")), "id"), "shared"))
     members = members.drop("n").join(nodes.select("id", "n", "bits"), "id")
     two = verified(tree_pairs(stored(members, "members")), docs, doc_id, text)
     comp = components(first.unionByName(two))
