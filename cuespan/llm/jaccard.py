@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, bounded_broadcast, lookup, stored, table
 from .components import components
 
-WORDS, BITS, LEAF, FAN, BLOCK, SMALL, GATHER, QUICK, RARE = 5, 1024, 8, 8, 4096, 24, 100_000, 8, 200
+WORDS, BITS, LEAF, FAN, BLOCK, SMALL, GATHER, QUICK, RARE, PART = 5, 1024, 8, 8, 4096, 24, 100_000, 8, 200, 400_000
 #: Odd multipliers of the shingle hash.
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 TOP = np.uint64(1 << 63)
@@ -334,16 +334,23 @@ def _group_pairs(n: np.ndarray, bits: np.ndarray, comp: np.ndarray, cut: np.ndar
 
 
 def tree_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that trees over the members (key, id, comp, n, bits) of each key
-    leave, and that share as many prefix shingles as sets that link must."""
+    """Pairs (a, b) of different components that trees over the members (key, lead, id, comp, n, bits) of each
+    key leave, and that share as many prefix shingles as sets that link must.
+
+    Keys are dealt by their lead, the least id under them: the shingles of a passage have the same members,
+    so a pair that shares a passage is counted in one place and leaves it as one row. A lead with many rows
+    is cut by blocks of ids (all keys of a pair stay together) and, beyond PART rows, by keys."""
     import pyarrow as pa
 
-    many = members.groupBy("key").agg(F.count("*").alias("c")).withColumn("blocks", F.expr(f"cast(ceil(c / {BLOCK}) as int)")).where("blocks > 1")
-    m = lookup(members, many.select("key", "blocks", "c"), ["key"], "c").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    by_lead = members.groupBy("lead", "key").agg(F.count("*").alias("c")).groupBy("lead").agg(F.max("c").alias("most"), F.sum("c").alias("c"))
+    by_lead = by_lead.withColumn("blocks", F.expr(f"cast(ceil(most / {BLOCK}) as int)")).withColumn("parts", F.expr(f"cast(ceil(2 * c / blocks / {PART}) as int)"))
+    m = lookup(members, by_lead.where("blocks > 1 or parts > 1").select("lead", "blocks", "parts", "c"), ["lead"], "c")
+    m = m.withColumns({"blocks": F.coalesce("blocks", F.lit(1)), "part": F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1)))})
     m = m.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    m = m.select("key", "id", "comp", "n", "bits", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    m = m.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "n", "bits")
-    m = m.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
+    m = m.select("lead", "part", "key", "id", "comp", "n", "bits", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    m = m.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    m = m.select(F.xxhash64("lead", "part", "i", "j").alias("place"), "key", "i", "j", "own", "id", "comp", "n", "bits")
+    m = m.repartition("place").sortWithinPartitions("place", "key", "i", "j", "own")
 
     def pairs(rows):
         t = pa.Table.from_batches(rows)
@@ -363,14 +370,14 @@ def tree_pairs(members: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            key = b.column("key").to_numpy()
-            if size >= GATHER and key[0] != last:
+            place = b.column("place").to_numpy()
+            if size >= GATHER and place[0] != last:
                 yield pairs(held)
                 held, size = [], 0
             held.append(b)
-            last, size = key[-1], size + b.num_rows
-            if size >= GATHER and key[0] != last:  # up to the last whole key
-                at = int(np.flatnonzero(key != last)[-1]) + 1
+            last, size = place[-1], size + b.num_rows
+            if size >= GATHER and place[0] != last:  # up to the last whole place
+                at = int(np.flatnonzero(place != last)[-1]) + 1
                 held[-1] = b.slice(0, at)
                 yield pairs(held)
                 held, size = [b.slice(at)], b.num_rows - at
@@ -382,7 +389,7 @@ def tree_pairs(members: DataFrame) -> DataFrame:
 
 
 def may_link(members: DataFrame, rounds: int = 2) -> DataFrame:
-    """The members (key, id, comp, n) that can be in a pair that links.
+    """The members (key, id, comp, n) that can be in a pair that links, each with its key's least id as lead.
 
     A partner has 0.75 of a document's size at least, so the document needs as many shared shingles as that
     size asks for. Those with fewer go, then shingles that are left with one component; what goes can't
@@ -391,8 +398,8 @@ def may_link(members: DataFrame, rounds: int = 2) -> DataFrame:
     for _ in range(rounds):
         keep = stored(members.groupBy("id").agg(F.count("*").alias("c"), F.max("n").alias("n")).where(F.col("c") >= need).select("id"), "keep")
         members = members.join(bounded_broadcast(keep, 400_000), "id", "left_semi")
-        mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("key", "c", F.lit(True).alias("mixed"))
-        members = stored(lookup(members, mixed, ["key"], "c").where("mixed").drop("mixed"), "members")
+        mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("lead"), F.count("*").alias("c")).where("lo <> hi").select("key", "lead", "c")
+        members = stored(lookup(members.drop("lead"), mixed, ["key"], "c").where("lead is not null"), "members")
     return members
 
 
