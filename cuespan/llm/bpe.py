@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, local_file, table
 
-LEAF, WINDOW, PIECE, TABLE = 256, 16, 200, 400_000
+LEAF, WINDOW, PIECE, TABLE = 256, 16, 200, 100_000
 
 
 class Codec:
@@ -146,6 +146,7 @@ def encode(docs: DataFrame, path: str, doc_id="doc_id", text="text", with_ids=Fa
                 cols.append(pa.array([np.fromstring(e[0], dtype=np.int32, sep=" ") if e[0] else np.empty(0, np.int32) for e in done], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names)
+        c.known.clear()  # the worker lives on, for other stages
 
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids

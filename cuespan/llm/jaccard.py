@@ -48,7 +48,7 @@ class Shingler:
     def _words(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
         known = self.known
-        if len(known) > 1_000_000:
+        if len(known) > 200_000:
             known.clear()
         for w in set(words).difference(known):
             known[w] = self._hash(w)
@@ -271,6 +271,7 @@ def shared_prefixes(d: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
         if not blobs:
             return
         e = np.concatenate([np.frombuffer(x, kind) for x in blobs])
+        del blobs
         e = e[np.argsort(e["k"], kind="stable")]
         cut = np.flatnonzero(np.r_[True, e["k"][1:] != e["k"][:-1]])
         mixed = np.minimum.reduceat(e["comp"], cut) != np.maximum.reduceat(e["comp"], cut)
