@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, bounded_broadcast, lookup, stored, table
 from .components import components
 
-WORDS, BITS, LEAF, FAN, BLOCK, SMALL, GATHER, QUICK, RARE, PART = 5, 1024, 8, 8, 4096, 24, 100_000, 8, 200, 400_000
+WORDS, BITS, LEAF, FAN, BLOCK, SMALL, GATHER, QUICK, RARE, PART, KNOWN = 5, 1024, 8, 8, 4096, 24, 100_000, 8, 200, 400_000, 50_000
 #: Odd multipliers of the shingle hash.
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 TOP = np.uint64(1 << 63)
@@ -48,11 +48,14 @@ class Shingler:
     def _words(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
         known = self.known
-        if len(known) > 200_000:
-            known.clear()
-        for w in set(words).difference(known):
+        new = set(words).difference(known)
+        for w in new:
             known[w] = self._hash(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        out = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        if len(known) > KNOWN:  # full: the frequent words came early and stay
+            for w in new:
+                del known[w]
+        return out
 
     def __call__(self, text: str | None) -> np.ndarray:
         w = self._words(text)
