@@ -29,7 +29,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with personal data masked and terms that disclose it generalised or removed."""
-    return pii.sanitise(docs)
+    return pii.sanitise(docs, terms=pii.whole_terms)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

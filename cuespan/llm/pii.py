@@ -4,8 +4,14 @@ Base spans are e-mail addresses, IPv4 addresses, card and phone numbers. Around
 window of CONTEXT characters are counted with the entity (kind and canonical value) over the whole
 corpus. A term t discloses entity e by PMI(e; t) = log2(n(e,t) N / (n(e) n(t))) held against the
 entity's information IC(e) = log2(N / n(e)): at REMOVE of IC or more the term is removed, at
-GENERALISE or more it is generalised. All n count documents; a pair counts only where at least
-SUPPORT different texts hold it, so copies of one text prove nothing.
+GENERALISE or more it is generalised. All n count documents. In report(), which its SQL fixes, a pair
+counts only where at least SUPPORT different texts hold it.
+
+The pipeline's rule (whole_terms) has no such cut: every word of a document that holds an entity is judged,
+also for an entity of one text. There PMI(e; t) = log2(p(e|t) / p(e)) with the smoothed p(e|t) =
+(n(e,t) + SMOOTH p(e)) / (n(t) + SMOOTH), so few documents prove less than many, and a told term goes
+wherever it stands in the entity's documents. As n(e,t) is n(e) at most, a term of too many documents for
+an entity can't reach GENERALISE; such pairs are never made.
 
 Places are code points. A pattern's matches and the pieces between them give the places: match k
 starts after pieces 0..k and matches 0..k-1, a running sum over the few rows of a document that has
@@ -21,10 +27,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, stored, table
+from .common import bounded_broadcast, lookup, stored, table
 
 NO_ID = -(1 << 63)
 CONTEXT, SUPPORT, REMOVE, GENERALISE = 60, 3, 0.95, 0.85
+#: Documents without the entity that each term is taken to stand in besides the counted ones.
+SMOOTH = 0.5
 
 #: kind, pattern, a cheap test that any text with a match passes.
 KINDS = [
@@ -103,10 +111,57 @@ def term_spans(docs: DataFrame, base: DataFrame, doc_id="doc_id", text="text") -
     return c.join(told, ["ent", "term"]).groupBy("id", "th", "s", "e").agg(F.max("action").alias("action"))
 
 
-def all_spans(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
+def _blanked(docs: DataFrame, base: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, th, t, c) of each different text with base spans: t has blanks in their place; c: its rows."""
+    w = Window.partitionBy("id", "th").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    b = base.select("id", "th", "s", "e", F.coalesce(F.max("e").over(w), F.lit(0)).alias("to")).where("e > to")
+    cuts = b.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct(F.greatest("s", "to").cast("int").alias("s"), F.col("e").cast("int").alias("e"), F.col("to").cast("int").alias("to")))).alias("cuts"))
+    d = docs.select(*_key(docs, doc_id, text), docs[f"`{text}`"].alias("t")).join(bounded_broadcast(cuts, 100_000), ["id", "th"])
+    t = F.col("t")
+    pieces = F.transform("cuts", lambda x: F.concat(F.substring(t, x.to + 1, x.s - x.to), F.repeat(F.lit(" "), x.e - x.s)))
+    blank = F.concat(F.concat_ws("", pieces), F.substring(t, F.element_at("cuts", -1).e + 1, F.length(t)))
+    return d.select("id", "th", blank.alias("t")).groupBy("id", "th").agg(F.first("t").alias("t"), F.count("*").alias("c"))
+
+
+def whole_terms(docs: DataFrame, base: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
+    """Rows (id, th, s, e, action) of all places of terms that disclose an entity of their document."""
+    canon = F.when(F.col("kind") == 0, F.lower("val")).when(F.col("kind") == 1, F.col("val")).otherwise(F.regexp_replace("val", "[^0-9]", ""))
+    words = lambda t: F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(WORD), 0), F.lower))
+    held = stored(_blanked(docs, base, doc_id, text), "held")
+    ents = base.select("id", "th", F.concat_ws(":", "kind", canon).alias("ent")).distinct().join(held.select("id", "th", "c"), ["id", "th"])
+    ents = stored(ents, "ents")
+    n_e = ents.groupBy("ent").agg(F.sum("c").alias("n_e"), F.count("*").alias("rows"))
+    ents = stored(lookup(ents, n_e, ["ent"], "rows"), "ents_n")
+    total = F.lit(float(max(docs.count(), 1)))
+    most = ents.agg(F.max("n_e")).first()[0] or 0
+    pmi = lambda n_et: F.log2((n_et + SMOOTH * F.col("n_e") / total) / (F.col("n_t") + SMOOTH) * total / F.col("n_e"))
+    ic = F.log2(total / F.col("n_e"))
+    discloses = lambda n_et: (ic > 0) & (pmi(n_et) >= GENERALISE * ic)
+    own = held.select("id", "th", F.explode(words(F.col("t"))).alias("term"))
+    n_w = own.groupBy("term").agg(F.count("*").alias("rows"))
+    n_t = docs.select(F.explode(words(docs[f"`{text}`"])).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    # no entity has a term of more documents than this: p(e|t) >= p(e) ** (1 - GENERALISE), and n(e,t) <= n(e)
+    n_t = n_t.where(F.col("n_t") <= (most + 1) * F.pow(total, F.lit(1 - GENERALISE))).join(n_w, "term")
+    own = lookup(own, n_t, ["term"], "rows").where("n_t is not null").groupBy("id", "th").agg(F.collect_list(F.struct("term", "n_t")).alias("terms"))
+    pairs = ents.join(own, ["id", "th"]).select("id", "th", "c", "ent", "n_e", F.explode("terms").alias("x")).select("id", "th", "c", "ent", "n_e", "x.*").where(discloses(F.col("n_e")))
+    pairs = stored(pairs, "pairs")
+    n_et = F.sum("c")
+    told = pairs.groupBy("ent", "term", "n_e", "n_t").agg(n_et.alias("n_et"), F.count("*").alias("rows")).where(discloses(F.col("n_et")))
+    told = told.select("ent", "term", "rows", F.when(pmi(F.col("n_et")) >= REMOVE * ic, "remove").otherwise("generalise").alias("action"))
+    of_text = lookup(pairs.select("id", "th", "ent", "term"), told, ["ent", "term"], "rows").where("action is not null").groupBy("id", "th", "term").agg(F.max("action").alias("action"))
+    of_text = stored(of_text, "told")
+    texts = held.join(bounded_broadcast(of_text.select("id", "th").distinct(), 200_000), ["id", "th"], "left_semi")
+    found = texts.select("id", "th", F.regexp_extract_all("t", F.lit(WORD), 0).alias("w"), F.split("t", WORD, -1).alias("g"))
+    found = found.select("id", "th", F.explode(F.transform("w", lambda x, k: F.struct(k.alias("k"), F.lower(x).alias("term"), F.length(x).alias("n"), F.length(F.get("g", k)).alias("gap")))).alias("x")).select("id", "th", "x.*")
+    e = F.sum(F.col("gap") + F.col("n")).over(Window.partitionBy("id", "th").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    found = found.select("id", "th", "term", (e - F.col("n")).alias("s"), e.alias("e"))
+    return found.join(of_text, ["id", "th", "term"]).select("id", "th", "s", "e", "action")
+
+
+def all_spans(docs: DataFrame, doc_id="doc_id", text="text", terms=term_spans) -> DataFrame:
     """One row for each different (id, th) with spans: spans, sorted by start and kind, of (s, kind, e, action)."""
     base = stored(base_spans(docs, doc_id, text), "base")
-    terms = term_spans(docs, base, doc_id, text)
+    terms = terms(docs, base, doc_id, text)
     rows = base.select("id", "th", "s", "kind", "e", F.lit("mask").alias("action")).unionByName(terms.select("id", "th", "s", F.lit(len(KINDS)).alias("kind"), "e", "action"))
     return stored(rows.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("s", "kind", "e", "action"))).alias("spans")), "spans")
 
@@ -123,9 +178,9 @@ def report(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     return d.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(doc_id), *[count(i).alias(f"n_{k}") for i, (k, _, _) in enumerate(KINDS)], F.sha2(said(base), 256).alias("base_sha256"), said(own).alias("spans"))
 
 
-def sanitise(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
+def sanitise(docs: DataFrame, doc_id="doc_id", text="text", terms=term_spans) -> DataFrame:
     """docs with masked base spans, and disclosing terms removed or generalised; n_chars follows if there is one."""
-    sp = all_spans(docs, doc_id, text)
+    sp = all_spans(docs, doc_id, text, terms)
     # of overlapping spans the first stays
     free = F.aggregate("spans", F.array().cast("array<struct<s:bigint,kind:int,e:bigint,action:string>>"), lambda a, x: F.when(F.coalesce(F.try_element_at(a, F.lit(-1)).e, F.lit(0)) <= x.s, F.concat(a, F.array(x))).otherwise(a))
     sp = sp.select("id", "th", free.alias("spans"))

@@ -226,6 +226,20 @@ def test_pii_disclosure(spark):
     assert clean[300].text == "the zephyrine again" and clean[301].text is None
 
 
+def test_pii_terms_of_entities_in_one_text(spark):
+    """Each place of a rare word in an entity's only document is told, however far from the entity."""
+    rows = [(k, f"the project is by today here at words and {k}", 0) for k in range(200)]
+    rows += [(500, "Zephyrine is here " + "the project is by today " * 20 + "éann@x.org and 10.0.0.1 zephyrine.", 0), (501, "the zephyr words", 0), (502, None, 0)]
+    df = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string, n_chars long")
+    clean = by_id(pii.sanitise(df, terms=pii.whole_terms))
+    assert clean[500].text == "<TERM> is here " + "the project is by today " * 20 + "é<EMAIL> and <IP> <TERM>." and clean[500].n_chars == len(clean[500].text)
+    assert all(clean[i].text == t for i, t, _ in rows if i != 500)
+    assert pii.sanitise(df.limit(0), terms=pii.whole_terms).count() == 0
+    sf = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    terms = pii.whole_terms(sf, common.stored(pii.base_spans(sf), "base"))
+    assert terms.select("id").distinct().count() > 100
+
+
 # BPE --------------------------------------------------------------------------------------------
 
 
