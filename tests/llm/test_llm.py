@@ -79,6 +79,20 @@ def test_rules(spark, docs, odd, none):
     assert quality_rules.keep_good(junk).count() == 0
 
 
+def test_clean_documents_are_kept(spark):
+    """No row labelled clean goes by repeated lines or few distinct words, nor does a very long text; repeats do."""
+    sf = "/root/testdata/sf0.1"
+    clean = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").select("doc_id")
+    broken = quality_rules.judge(spark.read.parquet(f"{sf}/documents.parquet").join(clean, "doc_id", "left_semi"), rules=quality_rules.FAIR_RULES).where("n_words >= 50")
+    assert broken.count() > 3000 and broken.where("array_contains(broken, 'repeated_lines') or array_contains(broken, 'few_distinct_words')").count() == 0
+    rnd = random.Random(3)
+    vocabulary = [prose(rnd, 1) + str(k) for k in range(3000)]
+    long = " ".join(rnd.choice(vocabulary) for _ in range(40_000))
+    junk = "\n".join([" ".join(vocabulary[:60]), *["buy it now all of you"] * 40])
+    rows = [(1, long), (2, junk), (3, " ".join(vocabulary[:20]) + " the and\n" + "of it\nof it\n" + " ".join(vocabulary[20:60]))]
+    assert {r.doc_id for r in quality_rules.keep_good(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1, 3}
+
+
 # similarity -------------------------------------------------------------------------------------
 
 
