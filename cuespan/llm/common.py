@@ -64,6 +64,21 @@ def bounded_broadcast(df: DataFrame, rows: int, blob: str | None = None, size: i
     return F.broadcast(df) if n <= rows and held <= size else df
 
 
+def text_hash(c: Column) -> Column:
+    return F.xxhash64(F.coalesce(c, F.lit("")))
+
+
+def text_keys(d: DataFrame) -> DataFrame | None:
+    """(id, th, key, c) of the different (id, text hash) of d (id, t), if some id has different texts; c: rows.
+
+    Keys order as (id, th) do: they are numbered along a sort, partition by partition. Null ids have none."""
+    d = d.where("id is not null").select("id", text_hash(F.col("t")).alias("th"))
+    if d.groupBy("id").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo <> hi").isEmpty():
+        return None
+    pairs = d.groupBy("id", "th").agg(F.count("*").alias("c")).orderBy("id", "th")
+    return stored(pairs.select("id", "th", F.monotonically_increasing_id().alias("key"), "c"), "keys")
+
+
 def local_file(name: str) -> str:
     """Where a file of the public tokenizers is; the folder is a parameter of the environment."""
     base = os.environ.get("TOKENIZER_DIR")

@@ -17,7 +17,7 @@
    contraction. Pairs inside a known component are never made, so a group of copies costs its size.
 
 Defined cases: null and empty texts have no shingle and no link; texts of fewer than five words are one
-shingle; rows with one id and several texts are one node; a null id gets its count and a null component;
+shingle; texts under one id are nodes of their own; a null id gets its count and a null component;
 an empty table gives no rows.
 """
 
@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bounded_broadcast, lookup, stored, table
+from .common import arrow_rows, bounded_broadcast, lookup, stored, table, text_hash, text_keys
 from .components import components
 
 WORDS, BITS, LEAF, FAN, BLOCK, SMALL, GATHER, QUICK, RARE, PART, KNOWN = 5, 1024, 8, 8, 4096, 24, 100_000, 8, 200, 400_000, 50_000
@@ -408,7 +408,27 @@ def may_link(members: DataFrame, rounds: int = 2) -> DataFrame:
 
 
 def classes(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
-    """(id, n, component) for each row of docs."""
+    """(id, n, component) for each row of docs; different texts under one id are linked each by its own."""
+    d = docs.select(docs[f"`{doc_id}`"].cast("bigint").alias("id"), docs[f"`{text}`"].alias("t"))
+    keys = text_keys(d)
+    if keys is None:
+        return _classes(docs, doc_id, text)
+    out = stored(_classes(_by_key(d, keys), "key", "t"), "by_key")
+    own = keys.select(F.col("key").alias("id"), F.col("id").alias("own"), "c")
+    out = lookup(out, own, ["id"], "c")
+    met = out.groupBy("component").agg(F.count("*").alias("c")).where("component is not null")
+    met = met.join(own.select(F.col("id").alias("component"), F.col("own").alias("least")), "component")
+    out = lookup(out, met, ["component"], "c")
+    return out.select(F.col("own").alias("id"), "n", F.col("least").alias("component"))
+
+
+def _by_key(d: DataFrame, keys: DataFrame) -> DataFrame:
+    """d (id, t, ...) stored with the key of each row's id and text."""
+    return stored(lookup(d.withColumn("th", text_hash(F.col("t"))), keys, ["id", "th"], "c").drop("th"), "keyed")
+
+
+def _classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """classes() where each id has one text."""
     spark = docs.sparkSession
     all_sets = stored(sets(docs, doc_id, text), "sets")
     known = all_sets.where("n > 0 and id is not null")
@@ -442,9 +462,17 @@ def classes(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
 
 
 def keep_one(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
-    """docs with one document of each component: the one with the least id. Rows with a null id stay."""
-    drop = stored(classes(docs, doc_id, text).where("component <> id").select("id").distinct(), "drop")
+    """docs with one document of each component: the one with the least id, of different texts under it
+    the one with the least hash. Rows with a null id stay."""
     d = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{doc_id}`"].cast("bigint").alias("id"))
+    keys = text_keys(docs.select(docs[f"`{doc_id}`"].cast("bigint").alias("id"), docs[f"`{text}`"].alias("t")))
+    if keys is not None:
+        d = _by_key(d.withColumn("t", F.col("row")[text]), keys)
+        links = _classes(d, "key", "t")
+        d = d.select("row", F.col("key").alias("id"))
+    else:
+        links = _classes(docs, doc_id, text)
+    drop = stored(links.where("component <> id").select("id").distinct(), "drop")
     return d.join(bounded_broadcast(drop, 500_000), "id", "left_anti").select("row.*")
 
 

@@ -18,8 +18,8 @@ document); the first copy stays. No match crosses documents.
 
 Documents meet their places by id: a broadcast while the counted rows stay under a bound, else a shuffle
 join. Defined cases: null is as empty; texts under SPAN bytes keep all; rows with the same id and text get
-the same result, as one document; of different texts under one id, each loses the places found in any;
-a null id counts as the smallest; an empty table gives no rows.
+the same result, as one document; different texts under one id are documents of their own, in order of
+their hashes; a null id counts as the smallest; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bounded_broadcast, stored, table
+from .common import arrow_rows, bounded_broadcast, lookup, stored, table, text_hash, text_keys
 
 SPAN, GRAM, HEAVY, NO_ID = 100, 32, 20_000, -(1 << 63)
 SIDE = SPAN - GRAM
@@ -315,9 +315,13 @@ def cleaned(docs: DataFrame, doc_id="doc_id", text="text", heavy: int = HEAVY) -
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row; kept: the bytes that stay."""
     import pyarrow as pa
 
-    cut = removed(docs, doc_id, text, heavy)
-    d = docs.select(docs[f"`{doc_id}`"].cast("bigint").alias("doc_id"), docs[f"`{text}`"].alias("t"))
-    d = d.join(bounded_broadcast(cut, 400_000, "places"), F.coalesce("doc_id", F.lit(NO_ID)) == F.col("id"), "left").select("doc_id", "t", "places")
+    d = docs.select(docs[f"`{doc_id}`"].cast("bigint").alias("doc_id"), docs[f"`{text}`"].alias("t")).withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
+    keys = text_keys(d)
+    if keys is not None:
+        d = lookup(d.withColumn("th", text_hash(F.col("t"))), keys, ["id", "th"], "c")
+        d = stored(d.select("doc_id", "t", F.col("key").alias("id")), "keyed")
+    cut = removed(d, "id", "t", heavy)
+    d = d.join(bounded_broadcast(cut, 400_000, "places"), "id", "left").select("doc_id", "t", "places")
 
     def run(batches):
         for b in batches:

@@ -183,6 +183,20 @@ def test_lpf(odd, none, heavy):
     assert lpf_dedup.cleaned(none).count() == 0
 
 
+def test_texts_under_one_id_are_their_own_documents(spark):
+    rnd = random.Random(8)
+    a, b, c, e = (prose(rnd, 80) for _ in range(4))
+    rows = [(1, a), (7, a + " tail words"), (7, b), (9, c), (9, c), (None, a[:150] + e), (None, b[:40] + e[::-1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in jaccard.keep_one(df).collect()) == sorted((i or 0, t) for i, t in rows if t != a + " tail words")
+    got = {(r.id, r.n): r.component for r in jaccard.classes(df).collect()}
+    assert sorted(v for (i, _), v in got.items() if i == 7) == [1, 7] and all(v is None for (i, _), v in got.items() if i is None)
+    out = [(r.doc_id, bytes(r.kept).decode()) for r in lpf_dedup.cleaned(df).collect()]
+    # the null ids come first and lose nothing; the copies of their 150 bytes go
+    assert {t for i, t in out if i is None} == {t for i, t in rows if i is None}
+    assert (7, b) in out and out.count((9, c)) == 2 and (7, " tail words") in [(i, t[-11:]) for i, t in out] and (1, a[150:]) in out
+
+
 # benchmark --------------------------------------------------------------------------------------
 
 
