@@ -5,34 +5,42 @@ document); the first copy stays. No match crosses documents.
 
 1. Anchors. Each window of SPAN - GRAM + 1 neighbouring GRAM-byte hashes keeps its least one, so any two
    equal SPAN-byte strings hold an equal anchor at the same place. About one byte in 35 is an anchor.
-   With its hash goes a hash of its context, all bytes that a SPAN-byte string over the anchor can reach.
+   With its hash goes a hash of its context, all bytes that a SPAN-byte string over the anchor can reach;
+   together they are 128 bits, by which equal contexts are told.
 2. Anchors are dealt by hash as packed arrays. Of equal contexts all but the first are copies outright;
-   that is also done within each batch before the shuffle, so a string that is copied often sends one
-   entry for each batch. Anchors with several different contexts need their bytes compared.
-3. Those contexts are dealt by anchor. Each task builds the suffix array of its contexts by prefix
-   doubling: SPAN-byte prefixes in order, ties by place. The longest previous factor at a place reaches
-   SPAN exactly if the place before it in suffix order (the previous smaller one among ties) starts with
-   the same SPAN bytes; those places are the later copies. Anchors with more than HEAVY contexts are not
-   brought together: their strings are dealt one by one under 128-bit hashes, again first within batches.
+   that is also done within each map task's runs before the shuffle, so a string that is copied often
+   sends one entry for each run. Anchors with several different contexts need their bytes compared.
+3. Those contexts are dealt by anchor. Each task builds the suffix array of its contexts by prefix doubling
+   and the array of longest common prefixes. From the previous and the next smaller place in suffix order
+   follows the longest previous factor at each place; factors of SPAN bytes or more are later copies.
 4. Copied places are merged for each document and cut out.
 
-Documents meet their places by id: a broadcast while the counted rows stay under a bound, else a shuffle
-join. Defined cases: null is as empty; texts under SPAN bytes keep all; rows with the same id and text get
-the same result, as one document; different texts under one id are documents of their own, in order of
-their hashes; a null id counts as the smallest; an empty table gives no rows.
+Hot anchors (of boilerplate in a large share of all documents) are never brought together, not even to be
+counted: an estimate from one document in SAMPLE names them, and each is dealt by its contexts' hashes. It
+decides only where entries meet. The SPAN-byte strings over hot anchors are compared by 128-bit hashes, first
+within runs, and dealt by those, as a suffix array would need all of an anchor's contexts in one task.
+
+Every join of documents with their places is a shuffle join by id, at any size. A task of the first meeting
+holds a bounded number of entries: beyond HELD bytes they go to a file of the task and are read back by
+ranges of hashes. Defined cases: null is as empty; texts under SPAN bytes keep all; rows with the same id
+and text get the same result, as one document; different texts under one id are documents of their own, in
+order of their hashes; a null id counts as the smallest; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import tempfile
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bounded_broadcast, lookup, stored, table, text_hash, text_keys
+from .common import lookup, stored, table, text_hash, text_keys
 
-SPAN, GRAM, HEAVY, NO_ID = 100, 32, 20_000, -(1 << 63)
+SPAN, GRAM, NO_ID = 100, 32, -(1 << 63)
+#: Hot anchors: one document in SAMPLE is looked at; HOT different contexts there, and a 100,000th of all, make an anchor hot.
+SAMPLE, HOT, HOT_SHARE = 64, 64, 100_000
 SIDE = SPAN - GRAM
 #: Entries that travel: two hashes, document, and the place.
 ENTRY = np.dtype([("h", "<u8"), ("c", "<u8"), ("id", "<i8"), ("at", "<i4"), ("to", "<i4")])
@@ -43,7 +51,9 @@ RANGE = np.dtype([("at", "<i4"), ("to", "<i4")])
 ASKED = np.dtype([("h", "<u8"), ("at", "<i4"), ("to", "<i4"), ("kind", "<i1")])
 #: A context that is compared: its anchor's hash, document, first byte and size.
 CONTEXT = np.dtype([("h", "<u8"), ("id", "<i8"), ("at", "<i4"), ("size", "<i4")])
-BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 32 << 20
+BLOCK_BYTES, BUCKET_BYTES, MOST_BUCKETS = 4 << 20, 32 << 20, 1 << 15
+#: Entries that a map task gathers before it sends them, bytes that a meeting holds in memory, entries that it sorts at once.
+RUN, HELD, SORTED = 1 << 19, 256 << 20, 1 << 21
 _TABLE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LEVEL = np.random.default_rng(12).integers(1, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -140,73 +150,192 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(7)) % np.uint64(buckets)).astype(np.int64)
 
 
-def later_copies(contexts: list[bytes], ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Ranges of later copies among all SPAN-byte strings of the contexts, by their suffix array."""
+def _smaller(place: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For each suffix, in suffix order, the common prefix with the nearest suffix before it of a smaller place;
+    0 where that is under SPAN. lcp: common prefix with the suffix before.
+
+    Each points at the one before; who points at no smaller place takes over where that one points, and the
+    least common prefix on the way. All do so at once, so ways shorten by half."""
+    to, least = np.arange(-1, len(place) - 1), np.where(lcp >= SPAN, lcp, 0)
+    while True:
+        bad = np.flatnonzero(least > 0)
+        bad = bad[place[to[bad]] >= place[bad]]
+        if not len(bad):
+            return least
+        over = to[bad]
+        to[bad], least[bad] = to[over], np.minimum(least[bad], least[over])
+
+
+def previous_factors(contexts: list[bytes], ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, place, longest previous factor) of all places in the contexts where SPAN bytes follow; a factor under
+    SPAN is 0, and factors end with their context."""
     size = np.array([len(c) for c in contexts])
-    pad = np.zeros(128, np.uint8)
-    data = np.r_[np.frombuffer(b"".join(contexts), np.uint8), pad]
-    n = len(data) - 128
-    word = np.zeros(n + 64, np.uint64)
-    for k in range(8):  # eight bytes from each place as one number
-        word = (word << np.uint64(8)) | data[k : k + n + 64]
-    rank = np.unique(word, return_inverse=True)[1].astype(np.uint64)
-    for step in (8, 16, 32):  # ranks of 16, 32, 64 bytes
-        pair = (rank[:-step] << np.uint64(32)) | rank[step:]
-        rank = np.r_[np.unique(pair, return_inverse=True)[1].astype(np.uint64), np.zeros(step, np.uint64)]
-    offset = np.repeat(np.cumsum(size) - size, np.maximum(size - SPAN + 1, 0))
+    end = np.cumsum(size + 1) - 1  # each context ends with a sign below all bytes
+    data = np.frombuffer(b"\0".join([*contexts, b""]), np.uint8).astype(np.uint64) + np.uint64(1)
+    data[end] = 0
+    data = np.r_[data, np.zeros(256, np.uint64)]
+    n = len(data) - 64
+    word = np.zeros(n, np.uint64)
+    for k in range(7):  # seven signs of nine bits from each place as one number
+        word = (word << np.uint64(9)) | data[k : k + n]
+    rank = {7: np.unique(word, return_inverse=True)[1].astype(np.uint64)}
+    for step in (7, 14, 28):  # ranks of 14, 28, 56 signs
+        pair = (rank[step][:-step] << np.uint64(32)) | rank[step][step:]
+        rank[2 * step] = np.r_[np.unique(pair, return_inverse=True)[1].astype(np.uint64), np.zeros(step, np.uint64)]
     count = np.maximum(size - SPAN + 1, 0)
     inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    at = offset + inner  # where a whole SPAN-byte string starts
-    key = (rank[at] << np.uint64(32)) | rank[at + SPAN - 64]
+    at = np.repeat(end - size, count) + inner  # where a whole SPAN-byte string starts
+    left = np.repeat(size, count) - inner
     own, place = np.repeat(ids, count), np.repeat(starts, count) + inner
-    order = np.lexsort((place, own, key))  # suffix order, ties by place
-    key, own, place = key[order], own[order], place[order]
-    first = np.r_[True, key[1:] != key[:-1]] if len(key) else np.empty(0, bool)
-    lead = np.flatnonzero(first)[np.cumsum(first) - 1] if len(key) else np.empty(0, int)
-    later = (own != own[lead]) | (place != place[lead])
-    return merged(_places(own[later], place[later], place[later] + SPAN, 0))
+    order = np.lexsort((rank[56][at + 112], (rank[56][at] << np.uint64(32)) | rank[56][at + 56]))  # by whole contexts
+    at, left, own, place = at[order], left[order], own[order], place[order]
+    new = np.lexsort((place, own))
+    of = np.empty(len(at), np.int64)  # the place among all of the block, equal for the same place
+    of[new] = np.cumsum(np.r_[False, (own[new][1:] != own[new][:-1]) | (place[new][1:] != place[new][:-1])]) if len(at) else 0
+    a, b = at[:-1], at[1:]
+    lcp = np.zeros(len(a), np.int64)
+    for step in (56, 56, 28, 14, 7):
+        lcp += step * (rank[step][a + lcp] == rank[step][b + lcp])
+    same = np.ones(len(a), bool)
+    for _ in range(6):
+        same &= data[a + lcp] == data[b + lcp]
+        lcp += same
+    lcp = np.minimum(lcp, np.minimum(left[:-1], left[1:]))
+    before = _smaller(of, np.r_[0, lcp][: len(at)])
+    after = _smaller(of[::-1], np.r_[0, lcp[::-1]][: len(at)])[::-1]
+    return own, place, np.maximum(before, after)
+
+
+def later_copies(contexts: list[bytes], ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Ranges of the contexts' later copies, by their longest previous factors."""
+    own, place, factor = previous_factors(contexts, ids, starts)
+    own, place, factor = own[factor > 0], place[factor > 0], factor[factor > 0]
+    return merged(_places(own, place, place + factor, 0))
+
+
+class Held:
+    """Packed entries, each blob sorted by hash; beyond a bound they lie in a file of the task."""
+
+    def __init__(self, kind: np.dtype):
+        self.kind, self.blobs, self.size, self.file, self.cuts = kind, [], 0, None, []
+
+    def add(self, blob: bytes | None) -> None:
+        if not blob:
+            return
+        self.blobs.append(blob)
+        self.size += len(blob)
+        if self.size > HELD:
+            self._spill()
+
+    def _spill(self) -> None:
+        if self.file is None:
+            self.file = tempfile.TemporaryFile()
+        for b in self.blobs:
+            self.cuts.append((self.file.tell() // self.kind.itemsize, len(b) // self.kind.itemsize))
+            self.file.write(b)
+        self.blobs, self.size = [], 0
+
+    def ranges(self):
+        """Arrays of all entries in ranges of hashes, each about SORTED entries long; no hash is in two."""
+        parts = [np.frombuffer(b, self.kind) for b in self.blobs]
+        if self.file is not None:
+            self.file.flush()
+            whole = np.memmap(self.file, self.kind, mode="r")
+            parts += [whole[a : a + n] for a, n in self.cuts]
+        total = sum(map(len, parts))
+        k = -(-total // SORTED)
+        edges = [0, *[(1 << 64) // k * i for i in range(1, k)]]
+        for lo, hi in zip(edges, [*edges[1:], None], strict=True) if total else []:
+            own = [p[np.searchsorted(p["h"], np.uint64(lo)) : np.searchsorted(p["h"], np.uint64(hi)) if hi is not None else len(p)] for p in parts]
+            yield np.concatenate(own)
+
+
+def _entries(raw: bytes, i: int) -> np.ndarray:
+    """The anchors of one text of SPAN bytes or more, with their contexts' hashes."""
+    from xxhash import xxh3_64_intdigest
+
+    at, h = anchors(np.frombuffer(raw, np.uint8))
+    e = np.empty(len(at), ENTRY)
+    lo, hi = np.maximum(at - SIDE, 0), np.minimum(at + SPAN, len(raw))
+    e["h"], e["id"], e["at"], e["to"] = h, i, lo, hi
+    e["c"] = [xxh3_64_intdigest(raw[x:y], z) for x, y, z in zip(lo.tolist(), hi.tolist(), (at - lo).tolist(), strict=True)]
+    return e
+
+
+def _runs(batches, of_row):
+    """Structured arrays of RUN entries or somewhat more, of the rows (id, t, ...) of record batches."""
+    parts, size = [], 0
+    for b in batches:
+        for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            e = of_row(*row)
+            if e is not None and len(e):
+                parts.append(e)
+                size += len(e)
+            if size >= RUN:
+                yield np.concatenate(parts)
+                parts, size = [], 0
+    if parts:
+        yield np.concatenate(parts)
+
+
+def _anchored(i: int, t: str | None) -> np.ndarray | None:
+    raw = (t or "").encode()
+    return _entries(raw, i) if len(raw) >= SPAN else None
+
+
+def hot_anchors(d: DataFrame, least: int = HOT) -> np.ndarray:
+    """Hashes of anchors with many different contexts, by an estimate; HOT_SHARE at most."""
+    import pyarrow as pa
+
+    def count(batches):
+        for e in _runs(batches, _anchored):
+            e, first = _firsts(e)
+            h, n = np.unique(e["h"][first], return_counts=True)
+            yield pa.RecordBatch.from_pydict({"h": h.view(np.int64)[n > 1], "n": n[n > 1], "all": np.where(np.arange((n > 1).sum()) == 0, n.sum(), 0)})
+
+    of = d.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).mapInArrow(count, "h bigint, n bigint, all bigint")
+    of = stored(of.groupBy("h").agg(F.sum("n").alias("n"), F.sum("all").alias("all")), "anchors")
+    total = of.agg(F.sum("all")).first()[0] or 0
+    hot = of.where(F.col("n") >= max(least, total // HOT_SHARE)).select("h").collect()
+    return np.sort(np.array([r[0] for r in hot], np.int64).view(np.uint64))
+
+
+def _among(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    if not len(hot):
+        return np.zeros(len(h), bool)
+    return hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
 
 
-def marks(d: DataFrame, buckets: int, limit: int = HEAVY) -> DataFrame:
+def marks(d: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     """Rows (bucket, places): the anchors' copies and those to compare, packed by the documents' home bucket."""
+    sent = d.sparkSession.sparkContext.broadcast(hot)
 
     def find(batches):
-        from xxhash import xxh3_64_intdigest
-
-        for b in batches:
-            parts = []
-            for i, t in zip(b.column("id").to_pylist(), b.column("t").to_pylist(), strict=True):
-                raw = (t or "").encode()
-                if len(raw) < SPAN:
-                    continue
-                at, h = anchors(np.frombuffer(raw, np.uint8))
-                e = np.empty(len(at), ENTRY)
-                lo, hi = np.maximum(at - SIDE, 0), np.minimum(at + SPAN, len(raw))
-                e["h"], e["id"], e["at"], e["to"] = h, i, lo, hi
-                e["c"] = [xxh3_64_intdigest(raw[x:y], z) for x, y, z in zip(lo.tolist(), hi.tolist(), (at - lo).tolist(), strict=True)]
-                parts.append(e)
-            e, first = _firsts(np.concatenate(parts) if parts else np.empty(0, ENTRY))
+        for e in _runs(batches, _anchored):
+            e, first = _firsts(e)
             copies = merged(_copies(e, first))
-            yield _packed({"entries": (e[first], _bucket(e["h"][first], buckets)), "places": (copies, _home(copies["id"], buckets))})
+            e = e[first]
+            to = _bucket(np.where(_among(e["h"], sent.value), e["c"], e["h"]), buckets)
+            yield _packed({"entries": (e, to), "places": (copies, _home(copies["id"], buckets))})
 
     def meet(batches):
-        entries, done = [], []
+        held, done = Held(ENTRY), []
         for b in batches:
-            entries += b.column("entries").to_pylist()
+            for blob in b.column("entries").to_pylist():
+                held.add(blob)
             done += b.column("places").to_pylist()
-        e, first = _firsts(_joined(entries, ENTRY))
-        copies = _copies(e, first)
-        e = e[first]
-        if len(e):
-            group = np.r_[True, e["h"][1:] != e["h"][:-1]]
-            cut = np.flatnonzero(group)
-            many = np.repeat(np.diff(np.r_[cut, len(e)]), np.diff(np.r_[cut, len(e)]))
-            e, many = e[many > 1], many[many > 1]
-        else:
-            many = np.empty(0, int)
-        ask = _places(e["id"], e["at"], e["to"], np.where(many > limit, 2, 1), e["h"])
-        p = np.concatenate([copies, _joined(done, PLACE), ask])
+        p = merged(_joined(done, PLACE))
         yield _packed({"places": (p, _home(p["id"], buckets))})
+        for e in held.ranges():
+            e, first = _firsts(e)
+            copies = merged(_copies(e, first))
+            e = e[first]
+            cut = np.flatnonzero(np.r_[True, e["h"][1:] != e["h"][:-1]])
+            many = np.diff(np.r_[cut, len(e)])
+            hot = _among(e["h"], sent.value)
+            ask = (np.repeat(many, many) > 1) | hot
+            p = np.concatenate([copies, _places(e["id"][ask], e["at"][ask], e["to"][ask], np.where(hot[ask], 2, 1), e["h"][ask])])
+            yield _packed({"places": (p, _home(p["id"], buckets))})
 
     return d.mapInArrow(find, "bucket int, entries binary, places binary").repartition(buckets, "bucket").mapInArrow(meet, "bucket int, entries binary, places binary").select("bucket", "places")
 
@@ -297,21 +426,20 @@ def compared(d: DataFrame, buckets: int) -> DataFrame:
     return d.select("id", "t", "places").mapInArrow(cut, four).repartition(buckets, "bucket").mapInArrow(meet, "bucket int, entries binary, places binary").select("bucket", "places")
 
 
-def removed(docs: DataFrame, doc_id="doc_id", text="text", heavy: int = HEAVY) -> DataFrame:
+def removed(docs: DataFrame, doc_id="doc_id", text="text", hot: int = HOT) -> DataFrame:
     """Rows (id, places) of documents that lose bytes; places: merged ranges of bytes, as RANGE."""
     spark = docs.sparkSession
-    arrow_rows(spark, 1024)
     d = docs.select(F.coalesce(docs[f"`{doc_id}`"].cast("bigint"), F.lit(NO_ID)).alias("id"), docs[f"`{text}`"].alias("t"))
     size = d.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES + 1)
-    found = stored(marks(d, buckets, heavy), "marks")
-    asked = stored(by_document(found, buckets, (1, 2)), "asked")
-    near = compared(d.join(bounded_broadcast(asked, 200_000, "places"), "id"), buckets)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // BUCKET_BYTES + 1, MOST_BUCKETS))
+    found = stored(marks(d, buckets, hot_anchors(d, hot)), "marks")
+    asked = by_document(found, buckets, (1, 2))
+    near = compared(d.where(F.octet_length("t") >= SPAN).join(asked.hint("merge"), "id"), buckets)
     both = found.unionByName(near)
     return stored(by_document(both, buckets, (0,)), "removed")
 
 
-def cleaned(docs: DataFrame, doc_id="doc_id", text="text", heavy: int = HEAVY) -> DataFrame:
+def cleaned(docs: DataFrame, doc_id="doc_id", text="text", hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row; kept: the bytes that stay."""
     import pyarrow as pa
 
@@ -320,8 +448,8 @@ def cleaned(docs: DataFrame, doc_id="doc_id", text="text", heavy: int = HEAVY) -
     if keys is not None:
         d = lookup(d.withColumn("th", text_hash(F.col("t"))), keys, ["id", "th"], "c")
         d = stored(d.select("doc_id", "t", F.col("key").alias("id")), "keyed")
-    cut = removed(d, "id", "t", heavy)
-    d = d.join(bounded_broadcast(cut, 400_000, "places"), "id", "left").select("doc_id", "t", "places")
+    cut = removed(d, "id", "t", hot)
+    d = d.join(cut.hint("merge"), "id", "left").select("doc_id", "t", "places")
 
     def run(batches):
         for b in batches:

@@ -176,13 +176,41 @@ def brute_kept(rows):
     return out
 
 
-@pytest.mark.parametrize("heavy", [lpf_dedup.HEAVY, 2])
-def test_lpf(odd, none, heavy):
-    got = {r.doc_id: tuple(r)[1:5] for r in lpf_dedup.cleaned(odd, heavy=heavy).collect()}
+@pytest.mark.parametrize("hot", [lpf_dedup.HOT, 2])
+def test_lpf(odd, none, hot, monkeypatch):
+    """Also with most anchors hot, and with entries that go to files and come back in many ranges."""
+    if hot == 2:
+        for name, v in (("SAMPLE", 1), ("HELD", 1000), ("SORTED", 100), ("RUN", 200)):
+            monkeypatch.setattr(lpf_dedup, name, v)
+    d = odd.select(F.col("doc_id").alias("id"), F.col("text").alias("t"))
+    assert (len(lpf_dedup.hot_anchors(d, hot)) > 20) == (hot == 2)
+    got = {r.doc_id: tuple(r)[1:5] for r in lpf_dedup.cleaned(odd, hot=hot).collect()}
     assert got == brute_kept(corpus())
     assert lpf_dedup.cleaned(none).count() == 0
 
 
+def test_previous_factors_are_the_longest():
+    """Against all pairs of places, over few letters, so that factors end anywhere."""
+    rnd = random.Random(6)
+    base = [bytes(rnd.choice(b"ab") for _ in range(168)) for _ in range(6)]
+    contexts, ids, starts = [], [], []
+    for k in range(40):
+        b = bytearray(rnd.choice(base))
+        for _ in range(rnd.randrange(3)):
+            b[rnd.randrange(168)] ^= 1
+        a = rnd.randrange(40)
+        contexts.append(bytes(b[a : a + rnd.randint(90, 168)]))
+        ids.append(rnd.randrange(12))
+        starts.append(1000 * k)
+    own, place, factor = lpf_dedup.previous_factors(contexts, np.array(ids), np.array(starts))
+    strings = {(i, s + p): c[p:] for c, i, s in zip(contexts, ids, starts, strict=True) for p in range(len(c) - 99)}
+    assert {(int(i), int(p)) for i, p in zip(own, place, strict=True)} == set(strings)
+    common = lambda x, y: next((k for k, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+    for i, p, f in zip(own.tolist(), place.tolist(), factor.tolist(), strict=True):
+        most = max((common(strings[i, p], y) for k, y in strings.items() if k < (i, p)), default=0)
+        assert f == (most if most >= 100 else 0)
+
+
 def test_texts_under_one_id_are_their_own_documents(spark):
     rnd = random.Random(8)
     a, b, c, e = (prose(rnd, 80) for _ in range(4))
