@@ -51,7 +51,7 @@ RANGE = np.dtype([("at", "<i4"), ("to", "<i4")])
 ASKED = np.dtype([("h", "<u8"), ("at", "<i4"), ("to", "<i4"), ("kind", "<i1")])
 #: A context that is compared: its anchor's hash, document, first byte and size.
 CONTEXT = np.dtype([("h", "<u8"), ("id", "<i8"), ("at", "<i4"), ("size", "<i4")])
-BLOCK_BYTES, BUCKET_BYTES, MOST_BUCKETS = 4 << 20, 32 << 20, 1 << 15
+BLOCK_BYTES, BUCKET_BYTES, MOST_BUCKETS = 1 << 20, 32 << 20, 1 << 15
 #: Entries that a map task gathers before it sends them, bytes that a meeting holds in memory, entries that it sorts at once.
 RUN, HELD, SORTED = 1 << 19, 256 << 20, 1 << 21
 _TABLE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -178,16 +178,18 @@ def previous_factors(contexts: list[bytes], ids: np.ndarray, starts: np.ndarray)
     word = np.zeros(n, np.uint64)
     for k in range(7):  # seven signs of nine bits from each place as one number
         word = (word << np.uint64(9)) | data[k : k + n]
-    rank = {7: np.unique(word, return_inverse=True)[1].astype(np.uint64)}
+    ranks = lambda x: np.unique(x, return_inverse=True)[1].astype(np.uint32)
+    pairs = lambda x, y: (x.astype(np.uint64) << np.uint64(32)) | y
+    rank = {7: ranks(word)}
+    del word
     for step in (7, 14, 28):  # ranks of 14, 28, 56 signs
-        pair = (rank[step][:-step] << np.uint64(32)) | rank[step][step:]
-        rank[2 * step] = np.r_[np.unique(pair, return_inverse=True)[1].astype(np.uint64), np.zeros(step, np.uint64)]
+        rank[2 * step] = np.r_[ranks(pairs(rank[step][:-step], rank[step][step:])), np.zeros(step, np.uint32)]
     count = np.maximum(size - SPAN + 1, 0)
     inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     at = np.repeat(end - size, count) + inner  # where a whole SPAN-byte string starts
     left = np.repeat(size, count) - inner
     own, place = np.repeat(ids, count), np.repeat(starts, count) + inner
-    order = np.lexsort((rank[56][at + 112], (rank[56][at] << np.uint64(32)) | rank[56][at + 56]))  # by whole contexts
+    order = np.lexsort((rank[56][at + 112], pairs(rank[56][at], rank[56][at + 56])))  # by whole contexts
     at, left, own, place = at[order], left[order], own[order], place[order]
     new = np.lexsort((place, own))
     of = np.empty(len(at), np.int64)  # the place among all of the block, equal for the same place
