@@ -11,6 +11,30 @@ from pyspark.sql import functions as F
 KR, KG, KB = 0.2126, 0.7152, 0.0722
 
 
+#: White points and primaries (R, G, B) in xy-space, by their common names.
+ILLUMINANTS = {"D50": (0.34567, 0.35850), "D65": (0.31271, 0.32902)}
+PRIMARIES = {
+    "AdobeRGB": ((0.64, 0.33), (0.21, 0.71), (0.15, 0.06)),
+    "AppleRGB": ((0.625, 0.34), (0.28, 0.595), (0.15, 0.07)),
+    "sRGB": ((0.64, 0.33), (0.3, 0.6), (0.15, 0.06)),
+    "Rec709": ((0.64, 0.33), (0.3, 0.6), (0.15, 0.06)),
+}
+
+
+def _xy(p: tuple[float, float]) -> Column:
+    return F.struct(F.lit(p[0]).alias("x"), F.lit(p[1]).alias("y"))
+
+
+def illuminant(name: Column) -> Column:
+    """The white point of that name, as (x, y); null if unknown."""
+    return F.try_element_at(F.create_map(*[c for n, p in ILLUMINANTS.items() for c in (F.lit(n), _xy(p))]), name)
+
+
+def primaries(name: Column) -> Column:
+    """The primaries of that name, an array of three (x, y); null if unknown."""
+    return F.try_element_at(F.create_map(*[c for n, p in PRIMARIES.items() for c in (F.lit(n), F.array(*map(_xy, p)))]), name)
+
+
 def pcm(v: Column, kind: str) -> Column:
     """Stored samples as floats."""
     if kind == "u8":
@@ -74,12 +98,17 @@ def argb32(r: Column, g: Column, b: Column, a: Column) -> Column:
 
 
 def triangle_taps(sub: float, offset: float = 0.0) -> list[tuple[int, float]]:
-    """(place, weight) of a triangle filter of half-width 1 / min(sub, 1) about offset; weights sum to 1."""
-    width = 1.0 / min(sub, 1.0)
-    lo, hi = math.ceil(offset - width), math.floor(offset + width)
-    w = [(k, max(0.0, 1 - abs(k - offset) / width)) for k in range(lo, hi + 1)]
-    total = sum(v for _, v in w)
-    return [(k, v / total) for k, v in w if v > 0]
+    """(place, weight) of a triangle filter about offset for a rate that is sub times as high.
+
+    Towards a lower rate its half-width is 1 / sub and its weights sum to 1; towards a higher one it is sub
+    and the weight at offset is 1, as sub - 1 new samples lie between two old ones."""
+    if sub <= 0:
+        raise ValueError("sub must be positive")
+    width = 1.0 / sub if sub < 1 else float(sub)
+    w = [(k, 1 - abs(k - offset) / width) for k in range(math.ceil(offset - width), math.floor(offset + width) + 1)]
+    w = [(k, v) for k, v in w if v > 0]
+    total = sum(v for _, v in w) if sub < 1 else 1.0
+    return [(k, v / total) for k, v in w]
 
 
 def lanczos_taps(sub: float, lobes: int = 3, offset: float = 0.0) -> list[tuple[int, float]]:
@@ -88,4 +117,4 @@ def lanczos_taps(sub: float, lobes: int = 3, offset: float = 0.0) -> list[tuple[
     sinc = lambda x: 1.0 if x == 0 else math.sin(math.pi * x) / (math.pi * x)
     w = [(k, sinc((k - offset) * lobes / width) * sinc((k - offset) / width)) for k in range(math.ceil(offset - width), math.floor(offset + width) + 1)]
     total = sum(v for _, v in w)
-    return [(k, v / total) for k, v in w if v]
+    return [(k, v / total) for k, v in w if abs(v) > 1e-12]

@@ -22,13 +22,15 @@ def floor_div(a: Column, b: int) -> Column:
 
 
 def frame_time(frame: Column, n: int, d: int = 1) -> Column:
-    """The first nanosecond after the start of a frame."""
-    return _div(frame.cast("long") * (NS * d), n) + 1
+    """The first nanosecond after the start of a frame. Whole seconds and the rest are scaled apart, within 64 bits."""
+    a = frame.cast("long") * d
+    return _div(a, n) * NS + _div(a % n * NS, n) + 1
 
 
 def time_frame(ns: Column, n: int, d: int = 1) -> Column:
     """The frame on screen at a nanosecond."""
-    return _div(ns.cast("long") * n, NS * d)
+    ns, unit = ns.cast("long"), NS * d
+    return _div(ns, unit) * n + _div(ns % unit * n, unit)
 
 
 def rescale_half_up(ts: Column, n: int, d: int) -> Column:
@@ -55,6 +57,30 @@ def frames_text(frame: Column) -> Column:
     return frame.cast("long").cast("string")
 
 
+def frames_parse(text: Column) -> Column:
+    """The frame of a plain number's text."""
+    return F.trim(text).cast("long")
+
+
+def _gcd(a: Column, b: Column) -> Column:
+    """Euclid's rule; 64-bit numbers need 92 steps at most."""
+    step = lambda s, _: F.when(s.b == 0, s).otherwise(F.struct(s.b.alias("a"), (s.a % F.when(s.b == 0, 1).otherwise(s.b)).alias("b")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), F.struct(F.abs(a).alias("a"), F.abs(b).alias("b")), step).a
+
+
+def rational(n: Column, d: Column) -> Column:
+    """n / d in lowest terms as a struct (n, d) with d > 0; null where d is 0."""
+    n, d = n.cast("long"), d.cast("long")
+    g = _gcd(n, d) * F.signum(d).cast("long")
+    return F.when(d != 0, F.struct(_div(n, g).alias("n"), _div(d, g).alias("d")))
+
+
+def rational_parse(text: Column) -> Column:
+    """A whole number's text or one of n/d as a rational in lowest terms."""
+    part = F.split(text, "/")
+    return rational(F.get(part, 0).cast("long"), F.coalesce(F.get(part, 1).cast("long"), F.lit(1).cast("long")))
+
+
 def timecode_text(frame: Column, fps: int, sep: str = ":") -> Column:
     """[-]hh:mm:ss:ff"""
     a = F.abs(frame)

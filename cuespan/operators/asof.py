@@ -11,15 +11,17 @@ HOLD, LINEAR = 0, 1
 def bracket(frames: DataFrame, keyframes: DataFrame, at: str, frame: str, value: str, kind: str, keys: list[str]) -> DataFrame:
     """frames with the keyframe at or before them (left_*) and the one after (right_*), null where there is none.
 
-    Both sides meet in one sort by key and place; there is no pair of rows to compare. Rows of frames may repeat.
+    Both sides meet sorted by key and place; there is no pair of rows to compare. Rows of frames may repeat.
+    A key's rows are one task's work, so a table without keys is read in one.
     """
     row = F.struct(*[F.col(c) for c in frames.columns])
     f = frames.select(*keys, F.col(at).cast("double").alias("_at"), F.lit(1).alias("_side"), row.alias("_row"), F.lit(None).cast("struct<f:double,v:double,k:int>").alias("_key"))
     k = keyframes.select(*keys, F.col(frame).cast("double").alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(f.schema["_row"].dataType).alias("_row"), F.struct(F.col(frame).cast("double").alias("f"), F.col(value).cast("double").alias("v"), F.col(kind).cast("int").alias("k")).alias("_key"))
-    w = Window.partitionBy(*keys).orderBy("_at", "_side")
     both = k.unionByName(f)
-    both = both.withColumn("_left", F.last("_key", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("_right", F.first("_key", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    # the last keyframe so far, in rising and in falling order: each is one pass, which keeps one value
+    rising, falling = (Window.partitionBy(*keys).orderBy(*o).rowsBetween(Window.unboundedPreceding, 0) for o in (("_at", "_side"), (F.desc("_at"), F.desc("_side"))))
+    both = both.withColumn("_left", F.last("_key", ignorenulls=True).over(rising))
+    both = both.withColumn("_right", F.last("_key", ignorenulls=True).over(falling))
     out = both.where("_side = 1")
     return out.select("_row.*", *[F.col(f"_{s}.{c}").alias(f"{s}_{n}") for s in ("left", "right") for c, n in (("f", "frame"), ("v", "value"), ("k", "kind"))])
 

@@ -64,11 +64,43 @@ def move_in_place(items: DataFrame, where: Column, by: Column, seq: str = "seq",
     return df.withColumn(transition, F.col(transition) - F.col("_by") + F.col("_prev")).drop("_by", "_prev")
 
 
-def forward(items: DataFrame, where: Column, part: list[str], z: str = "z") -> DataFrame:
-    """The item trades places with the one in front of it (the lower z)."""
-    w = Window.partitionBy(*part).orderBy(z)
-    df = items.withColumns({"_own": where, "_lag": F.lag(z).over(w), "_lead": F.lead(z).over(w), "_next": F.coalesce(F.lead(where).over(w), F.lit(False))})
-    return df.withColumn(z, F.when(F.col("_own") & F.col("_lag").isNotNull(), F.col("_lag")).when(F.col("_next"), F.col("_lead")).otherwise(F.col(z))).drop("_own", "_lag", "_lead", "_next")
+def restack(items: DataFrame, moved: Column, part: list[str], back: bool = False, z: str = "z") -> DataFrame:
+    """The marked item of each part goes in front of the nearest one before it that overlaps it (the greatest
+    lower z), or with back behind the nearest one behind; those between move up by one.
+
+    Items are boxes (x, length, y, height) with dense z in their part. Where nothing overlaps, nothing changes.
+    A part's one moved item meets the part's others in an equi-join."""
+    box = ["x", "length", "y", "height", z]
+    own = items.where(moved).select(*part, *[F.col(c).alias(f"_{c}") for c in box])
+    j = items.join(own, part)
+    over = (F.col("x") < F.col("_x") + F.col("_length")) & (F.col("_x") < F.col("x") + F.col("length")) & (F.col("y") < F.col("_y") + F.col("_height")) & (F.col("_y") < F.col("y") + F.col("height"))
+    beyond = F.col(z) > F.col(f"_{z}") if back else F.col(z) < F.col(f"_{z}")
+    to = j.where(over & beyond).groupBy(*part).agg(F.first(f"_{z}").alias("_from"), (F.min(z) if back else F.max(z)).alias("_to"))
+    d = items.join(to, part, "left")
+    step = F.when(F.col(z) == F.col("_from"), F.col("_to")).when(F.col(z).between(F.least("_from", "_to"), F.greatest("_from", "_to")), F.col(z) + (-1 if back else 1)).otherwise(F.col(z))
+    return d.withColumn(z, step).select(*items.columns)
+
+
+def shift_marks(marks: DataFrame, splices: DataFrame, keys: list[str]) -> DataFrame:
+    """marks (keys, index, left_gravity) after splices (keys, step, start, stop, new_length) in order of step.
+
+    A mark before a splice stays; one in it, ends counted, goes to its start or to the end of what is new;
+    one behind it moves with what follows. A list's splices are gathered for it."""
+    own = splices.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("step", "start", "stop", "new_length"))).alias("_s"))
+    inside = lambda i, e: F.when(F.col("left_gravity"), e.start).otherwise(e.start + e.new_length)
+    move = lambda i, e: F.when(i < e.start, i).when(i <= e.stop, inside(i, e)).otherwise(i + e.new_length - (e.stop - e.start))
+    out = marks.join(own, keys, "left").withColumn("index", F.coalesce(F.aggregate("_s", F.col("index").cast("long"), lambda i, e: move(i, e).cast("long")), F.col("index").cast("long")))
+    return out.drop("_s")
+
+
+def splice(items: DataFrame, start: int, stop: int, rows: DataFrame, seq: str = "seq", idx: str = "idx") -> DataFrame:
+    """Rows take the place of the items [start, stop) of their sequence; indexes are dense again. Other sequences stay."""
+    there = rows.select(seq).distinct().withColumn("_cut", F.lit(True))
+    w = Window.partitionBy(seq).orderBy(idx)
+    new = rows.withColumn("_r", F.row_number().over(w) - 1).withColumns({"_o": F.struct(F.lit(start).cast("long").alias("i"), F.lit(0).alias("k"), F.col("_r").cast("long").alias("r"))}).drop("_r")
+    old = items.join(there, seq, "left").where(F.col("_cut").isNull() | (F.col(idx) < start) | (F.col(idx) >= stop)).drop("_cut")
+    old = old.withColumn("_o", F.struct(F.col(idx).cast("long").alias("i"), F.lit(1).alias("k"), F.lit(0).cast("long").alias("r"))).select(*new.columns)
+    return new.unionByName(old).withColumn(idx, F.row_number().over(Window.partitionBy(seq).orderBy("_o")).cast("long") - 1).drop("_o")
 
 
 def free_slots(items: DataFrame, seq: str, idx: str, x: str, length: str, need: int) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.timecode import NS, frame_time, time_frame
+
 
 def both_ways(edges: DataFrame, source: str, target: str, two_way: str) -> DataFrame:
     """Directed edges (source, target): a two-way one gives both."""
@@ -13,24 +18,32 @@ def both_ways(edges: DataFrame, source: str, target: str, two_way: str) -> DataF
     return one.unionByName(back).distinct()
 
 
-def _fresh(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, where a checkpoint folder is set."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+def fresh(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder and read from there, so that a loop's plans don't grow.
+
+    The folder is that of the session. Only a local session without one gets a folder of its own."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        own = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not own and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
 
 
-def reach(start: DataFrame, edges: DataFrame, limit: int = 100) -> DataFrame:
+def reach(start: DataFrame, edges: DataFrame) -> DataFrame:
     """(origin, node, depth): all that start (origin) reaches over edges (source, target), itself at depth 0.
 
-    A breadth-first round joins the newest nodes alone and drops those known, so cycles end.
+    A breadth-first round joins the newest nodes alone and drops those known, so cycles end. There are as
+    many rounds as the longest shortest way has edges.
     """
-    seen = start.select("origin", F.col("origin").alias("node"), F.lit(0).alias("depth")).distinct()
-    front = seen
-    for depth in range(1, limit + 1):
+    seen = front = fresh(start.select("origin", F.col("origin").alias("node"), F.lit(0).alias("depth")).distinct())
+    depth = 0
+    while not front.isEmpty():
+        depth += 1
         nxt = front.join(edges, front["node"] == edges["source"]).select("origin", F.col("target").alias("node")).distinct()
-        nxt = _fresh(nxt.join(seen.select("origin", "node"), ["origin", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if nxt.isEmpty():
-            break
-        seen, front = _fresh(seen.unionByName(nxt)), nxt
+        front = fresh(nxt.join(seen.select("origin", "node"), ["origin", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        seen = seen.unionByName(front) if depth % 8 else fresh(seen.unionByName(front))
     return seen
 
 
@@ -44,20 +57,48 @@ def overlap_stack(start: DataFrame, overlaps: DataFrame, z: DataFrame) -> DataFr
     return up.unionByName(down).where("depth > 0").select("origin", "node").distinct()
 
 
-def anchored_x(target_x: Column, offset_ns: Column, tn: Column, td: Column, n: Column, d: Column) -> Column:
-    """Where an anchored item belongs on its own time line: its target's place and an offset in time,
-    rounded to the nearest frame of its own rate n / d."""
-    ns = target_x * td * F.lit(1e9) / tn + offset_ns
-    return F.floor(ns * n / (d * F.lit(1e9)) + 0.5).cast("long")
-
-
-def order_by_depth(start: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes with the length of the longest way from a start, which orders every anchor after its target."""
-    seen = start.select(F.col("origin").alias("node"), F.lit(0).alias("depth")).distinct()
-    front = seen
-    for depth in range(1, 100):
-        front = _fresh(front.join(edges, front["node"] == edges["source"]).select(F.col("target").alias("node"), F.lit(depth).alias("depth")).distinct())
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return seen.groupBy("node").agg(F.max("depth").alias("depth"))
+def anchored_x(target_x: Column, offset_ns: Column, tn: int, td: int, n: int, d: int) -> Column:
+    """Where an anchored item belongs on its own time line of n / d frames a second: its target's place at
+    tn / td and an offset in nanoseconds, rounded to the nearest frame; whole numbers throughout."""
+    half = F.lit(NS * d // (2 * n) + 1)
+    return time_frame(frame_time(target_x, tn, td) + offset_ns + half, n, d)
+
+
+def anchored_y(target_y: Column, offset: Column) -> Column:
+    """Where an anchored item belongs from top to bottom."""
+    return target_y + offset
+
+
+def _least_of_parts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, least): the least `rank` of all nodes (id, rank) that edges (source, target) tie a node to, either way."""
+    both = edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
+    now = fresh(nodes.select("id", F.col("rank").alias("least")))
+    while True:
+        near = both.join(now.withColumnRenamed("id", "target"), "target").groupBy(F.col("source").alias("id")).agg(F.min("least").alias("near"))
+        nxt = fresh(now.join(near, "id", "left").select("id", F.least("least", F.coalesce("near", "least")).alias("least"), (F.col("near") < F.col("least")).alias("_new")))
+        if nxt.where("_new").isEmpty():
+            return nxt.select("id", "least")
+        now = nxt.select("id", "least")
+
+
+def anchor_order(items: DataFrame, anchors: DataFrame) -> DataFrame:
+    """items (id, rate, ...) with `depth`: every item comes after the targets of its anchors (source, target).
+
+    Each round places the items whose targets are all placed. Where none is left but circles, each circle
+    is broken at its item of the lowest rate, of equal ones at the least id, and the rounds go on."""
+    left = fresh(items.select("id", F.struct("rate", "id").alias("rank")))
+    tied = anchors.select("source", "target").where("source <> target").distinct()
+    tied = fresh(tied.join(left.select(F.col("id").alias("target")), "target", "left_semi").join(left.select(F.col("id").alias("source")), "source", "left_semi"))
+    placed, depth = None, 0
+    while not left.isEmpty():
+        free = left.join(tied.select(F.col("source").alias("id")), "id", "left_anti").select("id")
+        if free.isEmpty():
+            free = _least_of_parts(left, tied).groupBy("least").agg(F.first("least.id").alias("id")).select("id")
+        free = fresh(free.withColumn("depth", F.lit(depth)))
+        placed = free if placed is None else placed.unionByName(free)
+        left = fresh(left.join(free, "id", "left_anti"))
+        # anchors of placed items are met, and those to them as well
+        tied = tied.join(free.select(F.col("id").alias("target")), "target", "left_anti")
+        tied = fresh(tied.join(free.select(F.col("id").alias("source")), "source", "left_anti"))
+        depth += 1
+    return items.withColumn("depth", F.lit(0)).limit(0) if placed is None else items.join(placed, "id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -16,9 +16,17 @@ def demux(packets: DataFrame, stream: int, n: int, d: int) -> DataFrame:
 
 def seek(packets: DataFrame, frame: int, keys: list[str] = ()) -> DataFrame:
     """Packets from the last keyframe at or before a frame."""
-    start = packets.where(F.col("keyframe") & (F.col("pts") <= frame)).groupBy(*keys).agg(F.max_by("seq", "pts").alias("_s"))
-    out = packets.join(F.broadcast(start), list(keys)) if keys else packets.crossJoin(start)  # one row
-    return out.where("seq >= _s").drop("_s")
+    key = packets.where(F.col("keyframe") & (F.col("pts") <= frame))
+    if not keys:
+        first = key.agg(F.max(F.struct("pts", "seq"))["seq"]).first()[0]  # one number
+        return packets.where(F.lit(False) if first is None else F.col("seq") >= first)
+    return packets.join(key.groupBy(*keys).agg(F.max(F.struct("pts", "seq"))["seq"].alias("_s")), list(keys)).where("seq >= _s").drop("_s")
+
+
+def known_starts(packets: DataFrame, table: DataFrame, keys: list[str], stamp: str, sample: str = "sample") -> DataFrame:
+    """packets with the sample that the table (keys, stamp, sample) has for exactly their time stamp; their own elsewhere."""
+    t = table.groupBy(*keys, stamp).agg(F.min(sample).alias("_known"))
+    return packets.join(t, [*keys, stamp], "left").withColumn(sample, F.coalesce("_known", sample)).drop("_known")
 
 
 def sample_positions(packets: DataFrame, keys: list[str], pts: str, n: str) -> DataFrame:
@@ -27,16 +35,25 @@ def sample_positions(packets: DataFrame, keys: list[str], pts: str, n: str) -> D
     return packets.withColumn("sample", F.coalesce(F.sum(n).over(w), F.lit(0)))
 
 
-def blocks(df: DataFrame, keys: list[str], sample: str, value: str, size: int = 1024) -> DataFrame:
-    """Samples in fixed blocks, in order; a block holds at most `size` samples."""
-    b = df.withColumn("block", F.floor(F.col(sample) / size))
-    row = F.struct(F.col(sample).alias("s"), F.coalesce(F.col(value), F.lit(0.0)).alias("v"))
-    return b.groupBy(*keys, "block").agg(F.transform(F.sort_array(F.collect_list(row)), lambda x: x.v).alias("samples"))
+def blocks(df: DataFrame, keys: list[str], sample: str, value: str, lo: Column, hi: Column, size: int = 1024) -> DataFrame:
+    """(keys, block, first, samples): samples lo to hi in blocks of `size` from lo on, the last one shorter.
+
+    lo and hi are columns of df, equal in all rows of a key. Absent samples are 0, of equal ones the values are
+    added up before blocks are gathered, so a block's list has `size` values however many rows there are."""
+    d = df.select(*keys, lo.cast("long").alias("lo"), hi.cast("long").alias("hi"), F.col(sample).cast("long").alias("_s"), F.col(value).alias("_v"))
+    one = d.where("_s between lo and hi").groupBy(*keys, "lo", "_s").agg(F.coalesce(F.sum("_v"), F.lit(0.0)).alias("_v"))
+    own = one.groupBy(*keys, F.call_function("div", F.col("_s") - F.col("lo"), F.lit(size)).alias("block")).agg(F.map_from_entries(F.collect_list(F.struct("_s", "_v"))).alias("_m"))
+    ranges = d.groupBy(*keys).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <= hi")
+    spine = ranges.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col("hi") - F.col("lo"), F.lit(size)))))
+    spine = spine.withColumns({"first": F.col("lo") + F.col("block") * size, "_last": F.least("hi", F.col("lo") + (F.col("block") + 1) * size - 1)})
+    out = spine.join(own, [*keys, "block"], "left")
+    at = lambda s: F.coalesce(F.try_element_at("_m", s), F.lit(0.0))
+    return out.select(*keys, "block", "first", F.transform(F.sequence("first", "_last"), at).alias("samples"))
 
 
 def clusters(df: DataFrame, key: str, order: list[str], time: str, size: str, ticks: int = 32767, max_bytes: int = 5 << 20) -> DataFrame:
-    """With `cluster`: a new one where a packet is over `ticks` from the cluster's start, or its bytes would
-    pass max_bytes. The start decides, so each key's packets are folded in order; the fold streams over
+    """With `cluster`: a new one where a packet is over `ticks` from the cluster's start, or the packets before it
+    passed max_bytes. The start decides, so each key's packets are folded in order; the fold streams over
     sorted partitions and holds a few numbers, whatever a key's share of all rows."""
     import pandas as pd
 
@@ -50,10 +67,16 @@ def clusters(df: DataFrame, key: str, order: list[str], time: str, size: str, ti
             for who, t, n in zip(p[key], p[time], p[size], strict=True):
                 if who != now:
                     now, start, held, k = who, t, 0, 0
-                elif abs(t - start) > ticks or held + n > max_bytes:
+                elif abs(t - start) > ticks or held > max_bytes:
                     start, held, k = t, 0, k + 1
                 held += n
                 out.append(k)
             yield pd.concat([p[cols].reset_index(drop=True), pd.Series(out, name="cluster", dtype="int64")], axis=1)
 
     return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
+def cues(clustered: DataFrame, key: str, time: str, keyframe: Column) -> DataFrame:
+    """Of clusters() the packets that a player can start from, with the start of their cluster."""
+    start = clustered.groupBy(key, "cluster").agg(F.min(time).alias("cluster_start"))
+    return clustered.where(keyframe).join(start, [key, "cluster"])

@@ -48,9 +48,9 @@ def total_length(df: DataFrame, seq: list[str], idx: str, length: str, transitio
 
 def neighbours(df: DataFrame, seq: list[str], idx: str, value: str, skip: Column) -> DataFrame:
     """With the value of the nearest item before and after that isn't skipped."""
-    w = _w(seq, idx)
     v = F.when(~skip, F.col(value))
-    return df.withColumns({"previous": F.last(v, True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "next": F.first(v, True).over(w.rowsBetween(1, Window.unboundedFollowing))})
+    rising, falling = (Window.partitionBy(*seq).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc(idx), F.desc(idx)))
+    return df.withColumns({"previous": F.last(v, True).over(rising), "next": F.last(v, True).over(falling)})
 
 
 def islands(df: DataFrame, seq: list[str], idx: str) -> DataFrame:
@@ -80,13 +80,31 @@ def rerank(df: DataFrame, part: list[str], order: list, to: str = "z") -> DataFr
     return df.withColumn(to, F.row_number().over(Window.partitionBy(*part).orderBy(*order)).cast("long") - 1)
 
 
-def merge(streams: list[DataFrame], time: str) -> DataFrame:
-    """Packets of all streams with their stream number, to be ordered by time and stream."""
+def merge(streams: list[DataFrame], time: str, tie: list[str] = (), keys: list[str] = ()) -> DataFrame:
+    """Packets of all streams with their stream number, in order of time, stream and then tie: one global
+    sort, or with keys the place `pos` from 1 within each."""
     out = None
     for k, s in enumerate(streams):
         s = s.withColumn("stream", F.lit(k))
         out = s if out is None else out.unionByName(s)
-    return out.orderBy(time, "stream")
+    order = [time, "stream", *tie]
+    return out.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")) if keys else out.orderBy(*order)
+
+
+def positions(items: DataFrame, part: list[str], right: bool = False, id: str = "item_id") -> DataFrame:
+    """With `pos` from 0: items of each part by (x, z, id), or by their right edge and z, the last ones first."""
+    order = [F.desc(F.col("x") + F.col("length")), F.desc("z"), F.desc(id)] if right else [F.asc("x"), F.asc("z"), F.asc(id)]
+    return items.withColumn("pos", F.row_number().over(Window.partitionBy(*part).orderBy(*order)).cast("long") - 1)
+
+
+def paint_order(items: DataFrame, part: list[str], id: str = "item_id") -> DataFrame:
+    """With `paint` from 0: the lowest item first, of one height the hindmost, which has the greatest z."""
+    return items.withColumn("paint", F.row_number().over(Window.partitionBy(*part).orderBy(F.desc("y"), F.desc("z"), F.asc(id))).cast("long") - 1)
+
+
+def at(df: DataFrame, pos: str, lo: int, hi: int | None = None) -> DataFrame:
+    """The row at a position, or with hi the slice [lo, hi)."""
+    return df.where(F.col(pos) == lo) if hi is None else df.where((F.col(pos) >= lo) & (F.col(pos) < hi))
 
 
 def find(df: DataFrame, key: str, lo=None, hi=None) -> DataFrame:

@@ -1 +1,3 @@
-"""plans"""
+"""Queries of the operators; importing them registers them."""
+
+from . import queries, more  # noqa: F401, I001

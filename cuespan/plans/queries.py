@@ -106,13 +106,13 @@ def lerp_values(spark, d):
     return e.select("event_id", F.round(ff.linear(m, 0.25, 3.0), 6).alias("lin"), F.round(ff.lerp(m, [1.0], [-1.0], 1440)[0], 6).alias("l0"), F.round(ff.lerp(m, [1.0], [-1.0], 1440, clamp=True)[0], 6).alias("held"))
 
 
-@query(f"""with {EV}, k as (select user_id, minute as frame, max(value) as v, cast(max(event_id) % 2 as int) as kind from ev where event_id % 10 = 0 group by user_id, minute),
+@query(f"""with {EV}, k as (select user_id, minute as frame, max(value) as v, cast(max(event_id) % 2 as int) as kind from ev where event_type = 'signup' group by user_id, minute),
 n as (select *, lead(frame) over (partition by user_id order by frame) as nf, lead(v) over (partition by user_id order by frame) as nv, first_value(v) over (partition by user_id order by frame) as fv from k),
 j as (select e.event_id, e.user_id, e.minute, n.frame, n.v, n.kind, n.nf, n.nv from ev e asof left join n on e.user_id = n.user_id and e.minute >= n.frame)
 select event_id, round(case when j.frame is null then coalesce((select min_by(k.v, k.frame) from k where k.user_id = j.user_id), 0) when nf is null or kind = 0 then v else v + (nv - v) * ((minute - j.frame) / (nf - j.frame)) end, 6) as v from j""")
 def keyframe_interp_hold_linear(spark, d):
     e = events(spark, d)
-    k = e.where("event_id % 10 = 0").groupBy("user_id", F.col("minute").alias("frame")).agg(F.max("value").alias("value"), (F.max("event_id") % 2).cast("int").alias("kind"))
+    k = e.where("event_type = 'signup'").groupBy("user_id", F.col("minute").alias("frame")).agg(F.max("value").alias("value"), (F.max("event_id") % 2).cast("int").alias("kind"))
     out = asof.interpolate(e.select("event_id", "user_id", "minute"), k, "minute", keys=["user_id"])
     return out.select("event_id", F.round("interpolated", 6).alias("v"))
 
@@ -225,14 +225,15 @@ def overlap_movers(spark, d):
 def mux_merge_order(spark, d):
     e = events(spark, d).select(F.col("user_id").alias("k"), F.col("event_id").alias("id"), "minute")
     o = t(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 43_200).cast("long").alias("minute"))
-    m = e.withColumn("stream", F.lit(0)).unionByName(o.withColumn("stream", F.lit(1)))
-    return m.withColumn("pos", F.row_number().over(Window.partitionBy("k").orderBy("minute", "stream", "id")).cast("long")).select("k", "stream", "id", "minute", "pos")
+    return seqs.merge([e, o], "minute", ["id"], ["k"]).select("k", "stream", "id", "minute", "pos")
 
 
-@query(f"with {EV} select user_id, cast(floor(minute / 1024.0) as bigint) as block, count(*) as n, round(sum(value), 2) as v from ev group by all")
+@query(f"with {EV}, r as (select user_id, min(minute) as lo, max(minute) as hi from ev group by user_id), b as (select *, unnest(range(0, (hi - lo) // 1024 + 1)) as block from r), g as (select user_id, (minute - lo) // 1024 as block, sum(value) as v from ev join r using (user_id) group by all) select user_id, block, lo + block * 1024 as first, least(1024, hi - lo - block * 1024 + 1) as n, round(coalesce(v, 0), 2) as v from b left join g using (user_id, block)")
 def cluster_blocks_1024(spark, d):
-    b = packets.blocks(events(spark, d), ["user_id"], "minute", "value")
-    return b.select("user_id", "block", F.size("samples").cast("long").alias("n"), F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 2).alias("v"))
+    e = events(spark, d)
+    r = e.groupBy("user_id").agg(F.min("minute").alias("lo"), F.max("minute").alias("hi"))
+    b = packets.blocks(e.join(r, "user_id"), ["user_id"], "minute", "value", F.col("lo"), F.col("hi"))
+    return b.select("user_id", "block", "first", F.size("samples").cast("long").alias("n"), F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 2).alias("v"))
 
 
 @query(f"""with recursive {EV}, n as (select event_id, user_id, minute, row_number() over (partition by user_id order by minute, event_id) as r from ev),
@@ -314,16 +315,17 @@ def overlap_stack_closure(spark, d):
     return graph.overlap_stack(b.select(F.col("id").alias("origin")), o, b.select("id", "z"))
 
 
-@query("with recursive e as (select c_custkey as source, c_custkey + 1 + c_custkey % 13 as target from customer where c_custkey % 4 <> 0 union select c_custkey + 1 + c_custkey % 13, c_custkey from customer where c_custkey % 8 = 3), r as (select s_suppkey as origin, s_suppkey as node from supplier union select r.origin, e.target from r join e on e.source = r.node) select origin, node from r")
+@query("with recursive e as (select c_custkey as source, c_custkey // 3 as target from customer union select c_custkey // 3, c_custkey from customer where c_acctbal < 0), r as (select s_suppkey as origin, s_suppkey as node from supplier union select r.origin, e.target from r join e on e.source = r.node) select origin, node from r")
 def anchor_reach(spark, d):
-    c = t(spark, d, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("source"), (F.col("c_custkey") + 1 + F.col("c_custkey") % 13).alias("target"), (F.col("c_custkey") % 8 == 3).alias("two_way"))
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("source"), tc._div(F.col("c_custkey"), 3).alias("target"), (F.col("c_acctbal") < 0).alias("two_way"))
     start = t(spark, d, "supplier").select(F.col("s_suppkey").alias("origin"))
     return graph.reach(start, graph.both_ways(c, "source", "target", "two_way")).select("origin", "node")
 
 
-@query("select o_orderkey, cast(floor((o_orderkey * 1001 * 1e9 / 30000 + o_custkey * 1000) * 48000 / 1e9 + 0.5) as bigint) as x from orders")
+@query("select o_orderkey, cast((cast(o_orderkey as hugeint) * 1001 * 1000000000 // 30000 + 1 + o_custkey * 1000 + 1000000000 // 96000 + 1) * 48000 // 1000000000 as bigint) as x, o_totalprice + 2.5 as y from orders")
 def anchor_solve(spark, d):
-    return t(spark, d, "orders").select("o_orderkey", graph.anchored_x(F.col("o_orderkey"), F.col("o_custkey") * 1000, F.lit(30_000), F.lit(1_001), F.lit(48_000), F.lit(1)).alias("x"))
+    x = graph.anchored_x(F.col("o_orderkey"), F.col("o_custkey") * 1000, 30_000, 1_001, 48_000, 1)
+    return t(spark, d, "orders").select("o_orderkey", x.alias("x"), graph.anchored_y(F.col("o_totalprice"), F.lit(2.5)).alias("y"))
 
 
 @query("select s_nationkey, s_suppkey, s_acctbal from (select *, row_number() over (partition by s_nationkey order by floor(s_acctbal / 1000) desc, s_name desc) as r from supplier) where r = 1")
@@ -332,10 +334,10 @@ def priority_codec_choice(spark, d):
     return catalog.choose(s, ["s_nationkey"], "priority", "s_name").select("s_nationkey", "s_suppkey", "s_acctbal")
 
 
-@query("select o_orderkey, case when c.c_custkey is null then 'missing' when c.c_acctbal < 0 then 'offline' end as alert from orders left join (select * from customer where c_custkey % 5 <> 0) c on c.c_custkey = o_custkey")
+@query("select o_orderkey, case when c.c_custkey is null then 'missing' when c.c_acctbal < 0 then 'offline' end as alert from orders left join (select * from customer where c_mktsegment <> 'BUILDING') c on c.c_custkey = o_custkey")
 def asset_resolution_alerts(spark, d):
     o = t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("path"))
-    c = t(spark, d, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("path"), "c_acctbal")
+    c = t(spark, d, "customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("path"), "c_acctbal")
     return catalog.resolve(o, c, "path", F.col("c_acctbal") < 0).select("o_orderkey", "alert")
 
 

@@ -22,8 +22,8 @@ def solid(frames: DataFrame, colour: Column, lo: tuple[int, int], hi: tuple[int,
 
 
 def still(frames: DataFrame, picture: DataFrame, lo: tuple[int, int], hi: tuple[int, int]) -> DataFrame:
-    """The same picture (y, x, r, g, b, a) for every frame asked for. The picture is one frame, so it is
-    gathered to one row and exploded for each frame."""
+    """The same picture (y, x, r, g, b, a) for every frame asked for: frames ask for the window's pixels, and
+    meet the picture by pixel."""
     own = picture.where(F.col("x").between(lo[0], hi[0]) & F.col("y").between(lo[1], hi[1]))
-    one = own.agg(F.collect_list(F.struct("y", "x", "r", "g", "b", "a")).alias("p"))
-    return frames.select("frame").join(F.broadcast(one), F.lit(True)).select("frame", F.inline("p"))
+    p = frames.select("frame").withColumn("y", F.explode(F.sequence(F.lit(lo[1]), F.lit(hi[1])))).withColumn("x", F.explode(F.sequence(F.lit(lo[0]), F.lit(hi[0]))))
+    return p.join(own, ["y", "x"]).select("frame", "y", "x", "r", "g", "b", "a")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from cuespan.functions import frame as ff
 from cuespan.functions import signal as sig
 from cuespan.functions import timecode as tc
-from cuespan.operators import asof, catalog, edits, graph, intervals, mix, packets, ranges, resample
+from cuespan.functions import ebml
+from cuespan.operators import asof, catalog, chroma, edits, graph, intervals, mix, nesting, packets, placement, ranges, resample
 from cuespan.operators import sequences as seqs
 from cuespan.sources import generators, projects
 from cuespan.streaming import clocks
@@ -146,8 +147,106 @@ def test_graph(spark):
     e = spark.createDataFrame([(1, 2, True), (2, 3, False), (3, 1, False), (4, 5, True)], "source long, target long, two boolean")
     r = graph.reach(spark.createDataFrame([(1,), (5,)], "origin long"), graph.both_ways(e, "source", "target", "two"))
     assert {(x.origin, x.node) for x in r.collect()} == {(1, 1), (1, 2), (1, 3), (5, 5), (5, 4)}
-    d = graph.order_by_depth(spark.createDataFrame([(1,)], "origin long"), spark.createDataFrame([(1, 2), (2, 3), (1, 3)], "source long, target long"))
-    assert dict(values(d, "node")) == {1: 0, 2: 1, 3: 2}
+
+
+def test_long_chains_and_circles(spark):
+    one = spark.createDataFrame([(0,)], "origin long")
+    chain = spark.range(130).select(F.col("id").alias("source"), (F.col("id") + 1).alias("target"))
+    r = graph.reach(one, chain.unionByName(spark.createDataFrame([(130, 0)], "source long, target long")))
+    assert r.count() == 131 and r.agg(F.max("depth")).first()[0] == 130
+    # 1 <- 2 <- 3, a circle of 5, 6 and 7 with 8 behind it, and two items tied both ways
+    items = spark.createDataFrame([(i, r) for i, r in [(1, 5), (2, 5), (3, 5), (5, 9), (6, 2), (7, 3), (8, 9), (10, 4), (11, 4)]], "id long, rate long")
+    ties = spark.createDataFrame([(2, 1), (3, 2), (5, 6), (6, 7), (7, 5), (8, 5), (10, 11), (11, 10), (3, 99)], "source long, target long")
+    d = dict(values(graph.anchor_order(items, ties).select("id", "depth"), "id"))
+    assert d[1] < d[2] < d[3] and d[6] < d[5] < d[7] and d[5] < d[8] and d[10] < d[11] and len(d) == 9
+
+
+def test_one_key_of_many_rows(spark):
+    """Each neighbour is found in one pass, however many rows a key has."""
+    n = 100_000
+    k = spark.range(0, n, 10).select(F.lit(1).alias("k"), F.col("id").cast("double").alias("frame"), F.col("id").cast("double").alias("value"), F.lit(1).alias("kind"))
+    f = spark.range(n).select(F.lit(1).alias("k"), F.col("id").alias("at"))
+    assert asof.interpolate(f, k, "at", keys=["k"]).where("at < 99990 and abs(interpolated - at) > 1e-6").count() == 0
+    s = spark.range(n).select(F.lit(1).alias("k"), F.col("id").alias("idx"), F.col("id").alias("v"))
+    assert seqs.neighbours(s, ["k"], "idx", "v", F.col("v") % 2 == 1).where("v % 2 = 0 and next <> v + 2").count() == 0
+
+
+def test_placement(spark):
+    """Room in sequences; times of neighbours stay."""
+    seq = spark.createDataFrame([(0, 0, 10, 0), (0, 1, 10, -5), (0, 2, 10, 4)], "seq long, idx long, length long, transition_length long")
+    new = spark.createDataFrame([(0, 0, 8, 0)], seq.schema)
+    at = lambda x: spark.createDataFrame([(0, x)], "seq long, x long")
+    starts = lambda d: {(r.length, r.start) for r in seqs.overlap_starts(d, ["seq"], "idx", "length", "transition_length").collect()}
+    old = starts(seq)
+    assert old == {(10, 0), (10, 15), (10, 21)}
+    done, shift = placement.place(seq, new, at(8), strict=False)
+    assert starts(done) == old | {(8, 8)} and shift.count() == 0
+    done, shift = placement.place(seq, new, at(30))
+    assert starts(done) == old | {(8, 30)}
+    done, shift = placement.place(seq, new, at(-20))
+    assert shift.first().shift == -20 and starts(done) == {(8, 0)} | {(n, x + 20) for n, x in old}
+    assert placement.place(seq, new, at(20), strict=False)[0].count() == 3
+    with pytest.raises(Exception, match="no room"):
+        placement.place(seq, new, at(20))[0].collect()
+    two = spark.createDataFrame([(0, 0, 3, 0), (0, 1, 2, -1)], seq.schema)
+    assert starts(placement.place_sequence(seq, two, at(40))) == old | {(3, 40), (2, 44)}
+    assert starts(placement.place_sequence(seq, two, at(-9))) - {(10, 9), (10, 24), (10, 30)} == {(3, 0), (2, 4)}
+    moved, _ = placement.move_all(seq, F.col("idx") > 0, F.lit(-4))
+    assert starts(moved) == {(10, 0), (10, 11), (10, 17)}
+    with pytest.raises(Exception, match="no room"):
+        placement.move_all(seq, F.col("idx") == 2, F.lit(-9))[0].collect()
+    kept, _ = placement.move_all(seq, F.col("idx") == 2, F.lit(-9), strict=False)
+    assert starts(kept) == old
+    clip = spark.createDataFrame([(0, 5, 0, 0.0, 4.0)], "x long, length long, offset long, y double, height double")
+    assert placement.adjust_clip(clip, F.lit(True), F.lit(2), "start").first()[:3] == (2, 3, 2)
+    for what in ("start", "top"):
+        with pytest.raises(Exception, match="no room"):
+            placement.adjust_clip(clip, F.lit(True), F.lit(5), what).collect()
+    o = seq.withColumn("offset", F.lit(0))
+    later, shift = placement.adjust_start(o, F.col("idx") == 0, F.lit(3))
+    assert shift.first().shift == 3 and later.orderBy("idx").first().length == 7
+    assert starts(placement.adjust_start(o, F.col("idx") == 1, F.lit(2))[0]) == {(10, 0), (8, 17), (10, 21)}
+    with pytest.raises(Exception, match="no room"):
+        placement.adjust_start(o, F.col("idx") == 1, F.lit(7))[0].collect()
+    assert starts(placement.adjust_length(seq, F.col("idx") == 0, F.lit(2))) == {(12, 0), (10, 15), (10, 21)}
+    with pytest.raises(Exception, match="no room"):
+        placement.adjust_length(seq, F.col("idx") == 1, F.lit(7)).collect()
+
+
+def test_chroma_planes_keep_grey(spark):
+    """A grey picture goes through planes and back."""
+    p = spark.range(128).select(F.lit(0).alias("frame"), (F.floor(F.col("id") / 32) - 1).cast("int").alias("y"), (F.col("id") % 32).cast("int").alias("x"), *[F.lit(0.5).alias(c) for c in "rgb"])
+    luma, c = chroma.subsample_411(p)
+    assert c.count() == 32 and c.where("cb not between 127 and 128").count() == 0
+    back = chroma.reconstruct_411(luma, c, 32)
+    assert back.count() == 128 and back.where("abs(g - 0.5) > 0.01").count() == 0 and back.agg(F.min("y")).first()[0] == -1
+    _, c = chroma.subsample_420_interlaced(p.withColumn("y", F.col("y") + 1), 32, 4)
+    assert c.count() == 32 and c.where("abs(cb - 128) > 1e-6").count() == 0
+
+
+def test_a_space_in_itself(spark):
+    rows = [("a", "b", 0, 5, 0, 0), ("b", "a", 0, 5, 0, 0)]
+    with pytest.raises(Exception, match="in itself"):
+        nesting.flatten(spark.createDataFrame(rows, "space string, source string, x long, length long, offset long, z long"), "a")
+
+
+def test_numbers_in_bytes(spark):
+    n = [0, 1, 126, 127, 16_382, 16_383, 200, 256, -1, -128, -255, 2**40]
+    df = spark.createDataFrame([(v,) for v in n], "v long")
+    got = {r.v: bytes(r.i) for r in df.select("v", ebml.encode_int(F.col("v")).alias("i")).collect()}
+    for v in n:
+        raw = v.to_bytes(v.bit_length() // 8 + 1, "big", signed=True)
+        assert got[v] == (raw[1:] if v > 0 and raw[0] == 0 else raw)
+    size = {r.v: bytes(r.s).hex() for r in df.where("v >= 0").select("v", ebml.encode_size(F.col("v")).alias("s")).collect()}
+    assert (size[0], size[126], size[127], size[16_382], size[16_383]) == ("80", "fe", "407f", "7ffe", "203fff")
+    assert len(ebml.make_void(100)) == 100 and ebml.make_void(0) == b""
+
+
+def test_large_times(spark):
+    """Frames and nanoseconds beyond what a product of all numbers would hold."""
+    f = 10**9 + 7
+    r = spark.range(1).select(tc.frame_time(F.lit(f), 30_000, 1_001).alias("t"), tc.time_frame(tc.frame_time(F.lit(f), 30_000, 1_001), 30_000, 1_001).alias("f")).first()
+    assert r.t == f * 1_001 * 10**9 // 30_000 + 1 and r.f == f
 
 
 def test_edits(spark):
@@ -162,8 +261,10 @@ def test_edits(spark):
     assert values(back.select(*t0.columns), "idx") == rows
     moved = start(edits.move_in_place(t0, F.col("idx") == 2, F.lit(4)))
     assert moved[12] == start(t0)[12] + 4 and all(moved[k] == v for k, v in start(t0).items() if k != 12)
-    z = spark.createDataFrame([(1, 0), (2, 1), (3, 2)], "id long, z long")
-    assert dict(values(edits.forward(z, F.col("id") == 3, []), "id")) == {1: 0, 2: 2, 3: 1}
+    z = spark.createDataFrame([(i, 0, x, 10, 0.0, 1.0, i) for i, x in enumerate([0, 100, 5, 200, 8])], "id long, k long, x long, length long, y double, height double, z long")
+    stack = lambda i, back=False: {r.id: r.z for r in edits.restack(z, F.col("id") == i, ["k"], back).collect()}
+    assert stack(4) == {0: 0, 1: 1, 4: 2, 2: 3, 3: 4} and stack(2) == {2: 0, 0: 1, 1: 2, 3: 3, 4: 4} and stack(1) == {i: i for i in range(5)}
+    assert stack(0, True) == {1: 0, 0: 2, 2: 1, 3: 3, 4: 4} and stack(2, True) == {0: 0, 1: 1, 3: 2, 4: 3, 2: 4}
     new = spark.createDataFrame([(0, 1, 99, 0, 0)], t0.schema)
     assert [r.length for r in edits.insert(t0, new).orderBy("idx").collect()] == [10, 99, 11, 12, 13, 14]
 
@@ -172,7 +273,7 @@ def test_catalog_and_packets(spark):
     p = spark.createDataFrame([(0, 0, None, 0, True), (0, 1, 10, 5, False), (0, 2, 20, 9, True), (1, 3, 1, 1, True)], "stream_id int, seq long, pts long, dts long, keyframe boolean")
     d = packets.demux(p, 0, 2, 1)
     assert values(d.select("seq", "pts"), "seq") == [(0, 0), (1, 5), (2, 10)]
-    assert [r.seq for r in packets.seek(d, 12).collect()] == [2]
+    assert [r.seq for r in packets.seek(d, 12).collect()] == [2] and packets.seek(d, -1).count() == 0
     s = spark.createDataFrame([("a", 0, 5, 9), ("a", 1, None, None)], "asset_path string, stream_no int, range_min int, range_max int")
     assert values(catalog.drop_clip(s, 100, 50).select("stream_no", "x", "length", "anchor_to"), "stream_no") == [(0, 105, 5, None), (1, 100, 50, 0)]
 
@@ -190,9 +291,10 @@ def test_sources(spark):
 
 
 def test_stream_of_clock_commands(spark, tmp_path):
-    rows = [("c", 0, "play", 0, 1, 1), ("c", 10, "stop", 0, 0, 1), ("c", 20, "play", 0, -1, 2), ("c", 30, "seek", 200, 0, 1), ("c", 40, "stop", 0, 0, 1)]
+    rows = [("d", 0, "play", 0, 1, 3), ("d", 2**60 + 1, "stop", 0, 0, 1), ("c", 0, "play", 0, 1, 1), ("c", 10, "stop", 0, 0, 1), ("c", 20, "play", 0, -1, 2), ("c", 30, "seek", 200, 0, 1), ("c", 40, "stop", 0, 0, 1)]
     schema = "clock_id string, at_ns bigint, command string, seek_ns bigint, n bigint, d bigint"
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
     q = clocks.clock(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("clock").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
-    assert [r.time_ns for r in spark.table("clock").orderBy("at_ns").collect()] == [0, 10, 10, 200, 195]
+    assert [r.time_ns for r in spark.table("clock").where("clock_id = 'c'").orderBy("at_ns").collect()] == [0, 10, 10, 200, 195]
+    assert [r.time_ns for r in spark.table("clock").where("clock_id = 'd'").orderBy("at_ns").collect()] == [0, (2**60 + 1) // 3]
