@@ -1,17 +1,21 @@
 """BPE encoding and decoding by tree concatenation.
 
-A text is cut at spaces, tabs and line ends, where this vocabulary's rule always parts words, so that
-each piece's tokens are a function of the piece alone; a bounded table keeps those of frequent pieces.
-A word that no rule parts and that is longer than LEAF bytes is encoded as a tree: its leaves are
-encoded as a batch, in parallel, and neighbours are joined level by level. At a join, a window around
-the cut is encoded anew and grows until it shares a token with the left side and one with the right.
-A sequence of tokens is the encoding of its text exactly if every neighbouring pair is the encoding of
-its own text; each pair of the joined sequence stands in one of the three agreed encodings, so the
-join is exact. A window that has grown over both sides is the encoding itself.
-
-The table of documents is dealt as it is scanned and nothing is shuffled; a task holds a few hundred
-texts at once. Defined cases: null is as empty (no tokens); repeated rows give the same row each; an
-empty table gives an empty result.
+A text is halved, at any place, until its leaves have LEAF characters at most. The leaves of all texts that a
+task holds are encoded as one batch; then neighbours are joined level by level up to the whole text. At a
+join a window around the cut is encoded anew: it opens and closes at white space, where this vocabulary's rule
+always parts words, so that tokens on its two sides don't depend on each other. Both sides agree if the left
+one ends, and the right one begins, with the encoding of its own part of the window; else the window grows, at
+last over both sides, where it is the encoding itself. The windows' tokens then replace those parts'.
+
+A run without white space that is longer than RUN is a tree of its own: its words' leaves are joined where a
+window's encoding shares a token with the left side and one with the right. A sequence of tokens is the
+encoding of its text exactly if every neighbouring pair is the encoding of its own text; each pair of the
+joined sequence stands in one of the three agreed encodings, so the join is exact.
+
+Decoding goes from ids to the vocabulary's strings. The table of documents is dealt as it is scanned and
+nothing is shuffled; a task holds a few megabytes of texts at once. Defined cases: null is as empty (no
+tokens); repeated rows give the same row each; columns of any names may stand beside; an empty table gives an
+empty result; special tokens in a text are read as those tokens.
 """
 
 from __future__ import annotations
@@ -26,13 +30,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, local_file, table
+from .common import local_file, parts, table
 
-LEAF, WINDOW, PIECE, TABLE = 256, 16, 200, 100_000
+#: Characters of a leaf, of an unsplit run that is a tree of its own, and of that tree's leaves and first windows.
+LEAF, RUN, WORD_LEAF, WINDOW = 2048, 256, 256, 16
+SPACES = " \n\t\r"
 
 
 class Codec:
-    """Pieces to (ids, tokens, count), both joined by one space."""
+    """Texts to ids and back; `joins` counts the joins of halves."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -43,12 +49,77 @@ class Codec:
         spec = json.load(open(path))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.plain = spec.get("decoder") is None  # then a text is its tokens, joined by one space
+        names = {**{i: s for s, i in self.whole.get_vocab(with_added_tokens=True).items()}}
+        self.strings = [names.get(i, "") for i in range(max(names) + 1)]
+        self.numbers = [str(i) for i in range(len(self.strings))]
         spec |= {"normalizer": None, "pre_tokenizer": None, "added_tokens": [], "post_processor": None}
         self.word = Tokenizer.from_str(json.dumps(spec))  # the merges alone, on the byte alphabet
         self.end = spec["model"].get("end_of_word_suffix") or ""
-        self.known: dict[str, tuple[str, str, int]] = {}
+        self.long = re.compile(f"[^{SPACES}]{{{RUN + 1},}}")
+        self.joins = 0
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def decode(self, ids: list[int]) -> str:
+        return " ".join(map(self.strings.__getitem__, ids)) if self.plain else self.whole.decode(ids, skip_special_tokens=False)
+
+    def encode(self, texts: list[str], leaf: int = LEAF) -> list[list[int]]:
+        """The ids of each text."""
+        jobs, leaves = [], []
+        for k, t in enumerate(texts):
+            at = 0
+            for m in self.long.finditer(t) if len(t) > RUN else ():
+                jobs += [(k, t[at : m.start()]), (k, m[0])]
+                at = m.end()
+            jobs.append((k, t[at:]))
+        spans = []
+        for k, t in jobs:  # halves, down to leaves
+            own = [(0, len(t))]
+            while own[0][1] - own[0][0] > leaf and len(t) > leaf and not self._run(t):
+                own = [h for a, b in own for h in ((a, (a + b) // 2), ((a + b) // 2, b))]
+            spans.append(own)
+            leaves += [t[a:b] for a, b in own] if not self._run(t) else []
+        done = iter(self.ids(leaves))
+        out: list[list[int]] = [[] for _ in texts]
+        for (k, t), own in zip(jobs, spans, strict=True):
+            if self._run(t):
+                out[k] += self.run(t)
+                continue
+            level = [(a, b, next(done)) for a, b in own]
+            while len(level) > 1:
+                level = [self.join(t, *level[i], *level[i + 1][1:]) for i in range(0, len(level), 2)]
+            out[k] += level[0][2]
+        return out
+
+    def _run(self, t: str) -> bool:
+        return len(t) > RUN and not any(c in t for c in SPACES)
+
+    def join(self, t: str, a: int, cut: int, left: list[int], b: int, right: list[int]) -> tuple[int, int, list[int]]:
+        """The encoding of t[a:b] from those of t[a:cut] and t[cut:b]."""
+        self.joins += 1
+        lo = hi = cut
+        while True:
+            lo = max([a, *(t.rfind(c, a, max(a, lo)) for c in SPACES)])
+            hi = min([b, *(x for c in SPACES if (x := t.find(c, min(b, hi + (hi > cut)), b)) >= 0)])
+            head, window, tail = self.ids([t[lo:cut], t[lo:hi], t[cut:hi]])
+            if left[len(left) - len(head) :] == head and right[: len(tail)] == tail:
+                return a, b, left[: len(left) - len(head)] + window + right[len(tail) :]
+
+    def run(self, text: str) -> list[int]:
+        """The ids of a text without white space."""
+        out = []
+        for part in self.cut.split(text) if self.cut else [text]:
+            if part in self.special:
+                out.append(self.special[part])
+            elif part:
+                own = self.whole.normalizer.normalize_str(part) if self.whole.normalizer else part
+                for word, _ in self.whole.pre_tokenizer.pre_tokenize_str(own):
+                    out += [i for i, _ in self.tree(word)]
+        return out
 
-    def tree(self, word: str, leaf: int = LEAF) -> list[tuple[int, str]]:
+    def tree(self, word: str, leaf: int = WORD_LEAF) -> list[tuple[int, str]]:
         """The tokens (id, string) of one word in the byte alphabet."""
         if len(word) <= leaf:
             return self._batch([word])[0]
@@ -56,6 +127,7 @@ class Codec:
         spans = [(a, min(a + leaf, len(word))) for a in cuts]
         level = list(zip(spans, self._batch([word[a:b] for a, b in spans]), strict=True))
         while len(level) > 1:
+            self.joins += len(level) // 2
             pairs = [self._join(word, *level[i], *level[i + 1]) for i in range(0, len(level) - 1, 2)]
             level = pairs + level[len(pairs) * 2 :]
         return level[0][1]
@@ -92,37 +164,6 @@ class Codec:
                 return (a, b), left[: first[1] + 1] + mid[first[0] + 1 : last[0] + 1] + right[last[1] + 1 :]
             size *= 2
 
-    def piece(self, piece: str) -> tuple[str, str, int]:
-        if len(piece) <= PIECE:
-            e = self.whole.encode(piece, add_special_tokens=False)
-            return " ".join(map(str, e.ids)), " ".join(e.tokens), len(e.ids)
-        tokens: list[tuple[int, str]] = []
-        for part in self.cut.split(piece) if self.cut else [piece]:
-            if part in self.special:
-                tokens.append((self.special[part], part))
-            elif part:
-                text = self.whole.normalizer.normalize_str(part) if self.whole.normalizer else part
-                for word, _ in self.whole.pre_tokenizer.pre_tokenize_str(text):
-                    tokens += self.tree(word)
-        return " ".join(str(i) for i, _ in tokens), " ".join(s for _, s in tokens), len(tokens)
-
-    def encode(self, text: str) -> tuple[str, str, int]:
-        known, out = self.known, []
-        for ch in "\n\t\r":
-            if ch in text:
-                text = text.replace(ch, " ")
-        for p in text.split(" "):
-            e = known.get(p)
-            if e is None:
-                e = self.piece(p)
-                if len(p) <= PIECE:
-                    if len(known) >= TABLE:
-                        known.clear()
-                    known[p] = e
-            if e[2]:
-                out.append(e)
-        return " ".join([e[0] for e in out]), " ".join([e[1] for e in out]), sum([e[2] for e in out])
-
 
 @lru_cache(2)
 def codec(path: str) -> Codec:
@@ -133,20 +174,18 @@ def encode(docs: DataFrame, path: str, doc_id="doc_id", text="text", with_ids=Fa
     """doc_id, n_tokens, digests of the ids and of the decoded text, and with with_ids the ids themselves."""
     import pyarrow as pa
 
-    arrow_rows(docs.sparkSession)
-
     def run(batches):
         c = codec(path)
-        for b in batches:
-            done = [c.encode(t or "") for t in b.column("t").to_pylist()]
-            cols = [b.column("doc_id"), pa.array([e[2] for e in done], pa.int64())]
-            cols += [pa.array([hashlib.sha256(e[k].encode()).hexdigest() for e in done], pa.string()) for k in (0, 1)]
+        for b in parts(batches):
+            done = c.encode([t or "" for t in b.column("t").to_pylist()])
+            sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+            cols = [b.column("doc_id"), pa.array([len(e) for e in done], pa.int64())]
+            cols += [pa.array([sha(" ".join(map(c.numbers.__getitem__, e))) for e in done], pa.string()), pa.array([sha(c.decode(e)) for e in done], pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                cols.append(pa.array([np.fromstring(e[0], dtype=np.int32, sep=" ") if e[0] else np.empty(0, np.int32) for e in done], pa.list_(pa.int32())))
+                cols.append(pa.array([np.array(e, np.int32) for e in done], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names)
-        c.known.clear()  # the worker lives on, for other stages
 
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
@@ -158,7 +197,7 @@ def decode(encoded: DataFrame, path: str, ids="ids") -> DataFrame:
     @F.pandas_udf("string")
     def text(col: pd.Series) -> pd.Series:
         c = codec(path)
-        return pd.Series([None if x is None else c.whole.decode([int(i) for i in x], skip_special_tokens=False) for x in col])
+        return pd.Series([None if x is None else c.decode([int(i) for i in x]) for x in col])
 
     return encoded.withColumn("decoded", text(F.col(ids)))
 

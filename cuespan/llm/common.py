@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a local one only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/cuespan-shared"
+    """A new folder under spark.checkpoint.dir. Where that is unset, a local session has a folder of its own;
+    a cluster's executors could not see that, so there it is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}/cuespan-shared"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -50,20 +57,41 @@ def fenced(c: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, c)
 
 
-def small(df: DataFrame, rows: int) -> bool:
-    """Whether df has at most so many rows; reads no more than it must."""
-    return df.limit(rows + 1).count() <= rows
+#: What a broadcast holds at most, by the bytes of its columns' values.
+BROADCAST = 32 << 20
 
 
-def bounded_broadcast(df: DataFrame, rows: int, blob: str | None = None, size: int = 32 << 20) -> DataFrame:
-    """Broadcast df if its counted rows, and the bytes of its column blob, stay within the bounds; else
-    leave the join to a shuffle."""
-    if blob is None:
-        return F.broadcast(df) if small(df, rows) else df
-    n, held = df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(blob)), F.lit(0))).first()
+def _bytes(df: DataFrame):
+    """The bytes of a row: fixed kinds count 8, strings and arrays what they hold."""
+    kinds = dict(df.dtypes)
+    size = lambda c, k: F.octet_length(c) if k in ("string", "binary") else F.size(c) * 8 if k in ("array<bigint>", "array<int>", "array<double>") else F.octet_length(F.to_json(F.struct(c))) if k.startswith(("array<", "map<", "struct<")) else F.lit(8)
+    return sum((F.coalesce(size(F.col(f"`{c}`"), k), F.lit(0)) for c, k in kinds.items()), F.lit(16))
+
+
+def bounded_broadcast(df: DataFrame, rows: int, size: int = BROADCAST) -> DataFrame:
+    """Broadcast df if its counted rows and bytes stay within the bounds; else leave the join to a shuffle.
+
+    df is read for it, so it is stored or cheap."""
+    n, held = df.agg(F.count("*"), F.coalesce(F.sum(_bytes(df)), F.lit(0))).first()
     return F.broadcast(df) if n <= rows and held <= size else df
 
 
+#: What stands for a null id among whole numbers and among texts.
+NO_ID, NO_NAME = -(1 << 63), "\0"
+
+
+def id_key(df: DataFrame, name: str) -> Column:
+    """The column as a key without nulls: whole numbers as bigint, others as text."""
+    c = df[f"`{name}`"]
+    whole = df.schema[name].dataType.typeName() in ("byte", "short", "integer", "long")
+    return F.coalesce(c.cast("bigint"), F.lit(NO_ID)) if whole else F.coalesce(c.cast("string"), F.lit(NO_NAME))
+
+
+def key_id(key: Column) -> Column:
+    """The id that a key of id_key() stands for."""
+    return F.when(~key.cast("string").isin(str(NO_ID), NO_NAME), key)
+
+
 def text_hash(c: Column) -> Column:
     return F.xxhash64(F.coalesce(c, F.lit("")))
 
@@ -89,9 +117,22 @@ def local_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def arrow_rows(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what a Python worker holds at once: long texts make large batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def parts(batches, rows: int = 512, size: int = 4 << 20, text: str = "t"):
+    """Slices of record batches with at most so many rows, and texts of so many bytes together or one text.
+
+    Spark bounds the batches themselves by bytes; this bounds what a task turns into Python objects at once."""
+    import pyarrow.compute as pc
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            most = (ends[at - 1] if at else 0) + size
+            to = max(at + 1, min(at + rows, int(np.searchsorted(ends, most, side="right"))))
+            yield b.slice(at, to - at)
+            at = to
 
 
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], weight: str, rows: int = 100_000) -> DataFrame:
@@ -102,7 +143,8 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], weight: str, rows
     shuffle join, each under a key of its own.
     """
     right = stored(right, "lookup")
-    if small(right, rows):
+    n, held = right.agg(F.count("*"), F.coalesce(F.sum(_bytes(right)), F.lit(0))).first()
+    if n <= rows and held <= BROADCAST:
         return left.join(F.broadcast(right), keys, "left").drop(weight)
     total = right.agg(F.sum(weight)).first()[0] or 0
     heavy = right.where(F.col(weight) >= max(1000, total // 1000))

@@ -1,20 +1,27 @@
 """Documents whose sets of word shingles have a Jaccard similarity of 0.75 or more, by signature trees.
 
 1. Each text becomes the set of its five-word shingles (64-bit hashes), written with its size, a digest
-   of the whole set and a bitmap of its tokens. Equal sets are one node, named by their least id.
-2. Shingles are put in one order, rare before frequent ones, then by hash. Sets that reach 0.75 share at
-   least k + 1 shingles among their first n - ceil(0.75 n) + 1 + k (prefix rule; k is n / 10 here), so
-   no pair that shares fewer can link. A quick round first compares each node with one likely partner, which joins most copies.
-3. Prefixes travel as packed arrays, dealt by shingle. Only shingles that nodes of different components
-   share go on. Shingles of more than a 200th of all documents come last in the order and send one
-   entry for each component and batch, so no hot shingle gathers its documents in a task. Documents that
-   have too few shared shingles left for any partner go before pairs are looked at.
-4. Nodes that share such a shingle form a signature tree: sorted by size and bitmap, each level keeps the
-   OR of the bitmaps below, the range of sizes and the largest number of tokens that share a bit. A dual
-   traversal drops pairs of tree nodes whose size ranges or largest possible overlap rule 0.75 out.
-   Large groups are cut into blocks, and the trees of every two blocks are traversed in a task of their own.
-5. Surviving pairs are compared exactly, set against set, streamed by partner; components follow by
-   contraction. Pairs inside a known component are never made, so a group of copies costs its size.
+   of the whole set and a bitmap of its tokens. Equal sets (128-bit digests) are one node, named by their
+   least id.
+2. Signature trees hold sets: sorted by size and bitmap, each level keeps the OR of the bitmaps below, the
+   range of sizes and the largest number of tokens that share a bit. A dual traversal drops pairs of tree
+   nodes whose size ranges or largest possible overlap rule 0.75 out, from the roots down to pairs of sets.
+   All trees of a task are levels of one forest, so one traversal works on all of them at once.
+3. First round: the nodes that share a least shingle with a common hub stand in one tree, which is traversed
+   against the hub's. Pairs that are left are compared exactly. So a group of copies costs its size, not its
+   square, and links most copies to one hub.
+4. Second round, for links between what the first left apart. Shingles are put in one order, rare before
+   frequent ones, then by hash. Sets that reach 0.75 share at least k + 1 shingles among their first
+   n - ceil(0.75 n) + 1 + k (prefix rule; k is n / 10 here). Prefixes travel as packed arrays, dealt by
+   shingle; only shingles that nodes of different components share go on. Frequent shingles come last in the
+   order and send one entry for each component and run, so no hot shingle gathers its documents in a task.
+   Documents that have too few shared shingles left for any partner go.
+5. Nodes that share such a shingle form a tree, which is traversed against itself; a large group is cut into
+   blocks, and the trees of every two blocks are traversed in a place of their own. A pair goes on if enough
+   of its shingles bring it. Pairs inside a known component are never made.
+6. Surviving pairs are compared exactly, set against set, streamed by partner; components follow by contraction.
+
+Shingles are compared by 64-bit hashes of hashes of words: exact but for collisions of those.
 
 Defined cases: null and empty texts have no shingle and no link; texts of fewer than five words are one
 shingle; texts under one id are nodes of their own; a null id gets its count and a null component;
@@ -27,10 +34,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bounded_broadcast, lookup, stored, table, text_hash, text_keys
+from .common import bounded_broadcast, lookup, parts, stored, table, text_hash, text_keys
 from .components import components
 
-WORDS, BITS, LEAF, FAN, BLOCK, SMALL, GATHER, QUICK, RARE, PART, KNOWN = 5, 1024, 8, 8, 4096, 24, 100_000, 8, 200, 400_000, 50_000
+WORDS, BITS, FAN, BLOCK, GATHER, QUICK, RARE, PART, KNOWN = 5, 1024, 8, 1024, 50_000, 8, 200, 4096, 50_000
+#: A shingle of more than HEAVY documents is frequent, at any size.
+HEAVY = 500
+#: Entries of prefixes that a map task gathers before it sends them; buckets that they are dealt to at most.
+RUN, MOST_BUCKETS = 1 << 18, 1 << 15
 #: Odd multipliers of the shingle hash.
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 TOP = np.uint64(1 << 63)
@@ -102,23 +113,25 @@ def links(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= 75 * (len(a) + len(b) - both)
 
 
-class Tree:
-    """Levels of nodes over sets given by size and bitmap; the first level's nodes hold LEAF sets each."""
+class Forest:
+    """Signature trees as levels of one array each; level 0 has the sets, the last one the roots.
 
-    def __init__(self, n: np.ndarray, bits: np.ndarray):
-        self.order = np.lexsort((bits[:, 0], n))
-        n, bits = n[self.order], bits[self.order]
-        slack = n - np.bitwise_count(bits).sum(1)
-        self.levels = [(n, n, bits, slack)]
-        fan = LEAF
-        while len(self.levels[-1][0]) > 1:
+    tree: the number of each set's tree. Every node holds FAN nodes of the level below at most, and all trees
+    are as high as the highest."""
+
+    def __init__(self, tree: np.ndarray, n: np.ndarray, bits: np.ndarray):
+        self.order = np.lexsort((bits[:, 0], n, tree))
+        tree, n, bits = tree[self.order], n[self.order], bits[self.order]
+        self.levels, self.first = [(n, n, bits, n - np.bitwise_count(bits).sum(1))], []
+        self.trees = np.unique(tree)
+        while len(tree) > len(self.trees):
             lo, hi, b, s = self.levels[-1]
-            at = np.arange(0, len(lo), fan)
+            start = np.flatnonzero(np.r_[True, tree[1:] != tree[:-1]])
+            inner = np.arange(len(tree)) - np.repeat(start, np.diff(np.r_[start, len(tree)]))
+            at = np.flatnonzero(inner % FAN == 0)
+            self.first.append(np.r_[at, len(tree)])
             self.levels.append((np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.bitwise_or.reduceat(b, at, axis=0), np.maximum.reduceat(s, at)))
-            fan = FAN
-
-    def fan(self, level: int) -> int:
-        return LEAF if level == 1 else FAN
+            tree = tree[at]
 
 
 def _possible(x, i, y, j) -> np.ndarray:
@@ -134,36 +147,37 @@ def _possible(x, i, y, j) -> np.ndarray:
     return size
 
 
-def traverse(x: Tree, y: Tree) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places, in x's and y's own input, that the bounds leave; within one tree each pair once."""
-    lx, ly = len(x.levels) - 1, len(y.levels) - 1
-    i, j = (g.ravel() for g in np.meshgrid(np.arange(len(x.levels[lx][0])), np.arange(len(y.levels[ly][0])), indexing="ij"))
-    while True:
-        if x is y:
-            i, j = i[i <= j], j[i <= j]
-        ok = _possible(x.levels[lx], i, y.levels[ly], j)
-        i, j = i[ok], j[ok]
-        if lx == 0 and ly == 0:
-            break
-
-        def down(tree, level, a, other):
-            f, n = tree.fan(level), len(tree.levels[level - 1][0])
-            a2, o2 = (a[:, None] * f + np.arange(f)).ravel(), np.repeat(other, f)
-            return a2[a2 < n], o2[a2 < n]
-
-        if lx >= ly and lx > 0:
-            same = lx == ly
-            i, j = down(x, lx, i, j)
-            lx -= 1
-            if same and x is y or ly > lx:
-                j, i = down(y, ly, j, i)
-                ly -= 1
-        else:
-            j, i = down(y, ly, j, i)
-            ly -= 1
-    if x is y:
-        i, j = i[i < j], j[i < j]
-    return x.order[i], y.order[j]
+def _down(forest: Forest, level: int, a: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes below nodes a of a level, each with its node's partner."""
+    first = forest.first[level - 1]
+    start, many = first[a], first[a + 1] - first[a]
+    off = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    return np.repeat(start, many) + off, np.repeat(other, many, axis=0)
+
+
+def traverse(forest: Forest, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places, in the forest's own input, of sets of the trees x[k] and y[k] that the bounds leave;
+    where both are one tree each pair comes once."""
+    root = lambda t: np.minimum(np.searchsorted(forest.trees, t), max(0, len(forest.trees) - 1))
+    there = np.isin(x, forest.trees) & np.isin(y, forest.trees)
+    x, y = root(x[there]), root(y[there])
+    found = [np.empty(0, int)] * 2
+    for k in range(0, len(x), 4096):  # trees at once
+        i, j = x[k : k + 4096], y[k : k + 4096]
+        for level in range(len(forest.levels) - 1, -1, -1):
+            ok = _possible(forest.levels[level], i, forest.levels[level], j)
+            i, j = i[ok], j[ok]
+            if level:
+                one = i == j
+                i, j = _down(forest, level, i, np.stack([j, one], 1))
+                (i, same), j = (i, j[:, 1]), j[:, 0]
+                j, both = _down(forest, level, j, np.stack([i, same], 1))
+                i, same = both[:, 0], both[:, 1]
+                ok = (same == 0) | (i <= j)
+                i, j = i[ok], j[ok]
+        ok = i != j
+        found = [np.r_[found[0], forest.order[i[ok]]], np.r_[found[1], forest.order[j[ok]]]]
+    return found[0], found[1]
 
 
 def sets(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
@@ -172,13 +186,11 @@ def sets(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     One row of each batch also has the shingles that are common in the batch, and how many rows have them."""
     import pyarrow as pa
 
-    arrow_rows(docs.sparkSession)
-
     def run(batches):
         import xxhash
 
         shingles = Shingler()
-        for b in batches:
+        for b in parts(batches):
             own = [shingles(t) for t in b.column("t").to_pylist()]
             bits = np.zeros((len(own), BITS), bool)
             for k, s in enumerate(own):
@@ -213,7 +225,7 @@ def verified(pairs: DataFrame, docs: DataFrame, doc_id="doc_id", text="text") ->
     def run(batches):
         shingles = Shingler()
         now, held = None, []
-        for batch in batches:
+        for batch in parts(batches):
             out = []
             for a, b, part, t in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "part", "t")], strict=True):
                 if (a, part) != now:
@@ -227,20 +239,78 @@ def verified(pairs: DataFrame, docs: DataFrame, doc_id="doc_id", text="text") ->
     return rows.select("a", "b", "part", "t").mapInArrow(run, "a bigint, b bigint")
 
 
-def quick_pairs(nodes: DataFrame) -> DataFrame:
-    """Each node with the partner that most of its QUICK least shingles lead to: the least node under them."""
+def first_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the first round: each node b with a hub a, where a's and b's trees leave the pair.
+
+    A node's hub is the least node under the most of its QUICK least shingles. A hub's nodes are dealt in
+    blocks, each with the hub, so that no hub gathers all of them."""
+    import pyarrow as pa
+
     k = nodes.select("id", F.explode("first").alias("key"))
     lead = k.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1")
     k = lookup(k, lead, ["key"], "c").where("a <> id").groupBy("id", "a").agg(F.count("*").alias("n"))
-    return k.groupBy("id").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", F.col("id").alias("b"))
+    hubs = stored(k.groupBy("id").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")), "hubs")
+    many = hubs.groupBy("a").agg(F.count("*").alias("c")).withColumn("blocks", F.expr(f"cast(ceil(c / {BLOCK}) as int)"))
+    own = many.select("a", F.col("a").alias("id"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    rows = lookup(hubs, many.select("a", "blocks", "c"), ["a"], "c").select("a", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    rows = rows.unionByName(own).join(nodes.select("id", "n", "bits"), "id")
+    rows = rows.repartition("a", "block").sortWithinPartitions("a", "block")
+
+    def run(batches):
+        for t in _whole(batches, ("a", "block")):
+            a, ids, n, new = t["a"], t["id"], t["n"], t["new"]
+            # two trees for each hub and block: the hub's own and that of its nodes
+            group = np.cumsum(new) - 1
+            forest = Forest(2 * group + (a != ids), n, t["bits"])
+            x = 2 * np.arange(int(group[-1]) + 1)
+            i, j = traverse(forest, x, x + 1)
+            yield pa.RecordBatch.from_pydict({"a": ids[i], "b": ids[j]})
+
+    return rows.select("a", "block", "id", "n", "bits").mapInArrow(run, "a bigint, b bigint")
 
 
-def heavy_shingles(of_sets: DataFrame, total: int) -> np.ndarray:
-    """Shingles of more than a RARE-th of all rows (RARE times a mean set at most), by the batches' counts.
+def _whole(batches, keys: tuple[str, ...]):
+    """Columns of sorted rows as arrays, GATHER rows or more at once, so that equal keys come together; `new` tells
+    where the keys change."""
+    import pyarrow as pa
+
+    def columns(rows):
+        t = pa.Table.from_batches(rows)
+        out = {c: t.column(c).to_numpy() for c in t.column_names if c != "bits"}
+        out["bits"] = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(t.num_rows, -1)
+        new = np.zeros(t.num_rows, bool)
+        for c in keys:
+            new |= np.r_[True, out[c][1:] != out[c][:-1]]
+        return out | {"new": new}
+
+    held, size, last = [], 0, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(c).to_numpy() for c in keys]
+        new = np.zeros(b.num_rows, bool)
+        for c in cols:
+            new |= np.r_[True, c[1:] != c[:-1]]
+        new[0] = last is not None and last != tuple(c[0] for c in cols)
+        last = tuple(c[-1] for c in cols)
+        cut = np.flatnonzero(new)
+        if size >= GATHER and len(cut) and held:
+            yield columns([*held, b.slice(0, int(cut[0]))] if cut[0] else held)
+            held, size, b = [], 0, b.slice(int(cut[0]))
+        if b.num_rows:
+            held.append(b)
+            size += b.num_rows
+    if held:
+        yield columns(held)
+
+
+def heavy_shingles(of_sets: DataFrame, rows: int) -> np.ndarray:
+    """Shingles of more than HEAVY rows, and of a 100,000th of all, by the batches' counts; rows: of all sets.
 
     They decide the order of shingles alone, for which an estimate does: any order is right."""
     c = of_sets.where("common is not null").select(F.explode(F.arrays_zip("common", "rows")).alias("x"))
-    c = c.groupBy(F.col("x.common").alias("key")).agg(F.sum("x.rows").alias("c")).where(F.col("c") > max(500, total // RARE))
+    c = c.groupBy(F.col("x.common").alias("key")).agg(F.sum("x.rows").alias("c")).where(F.col("c") > max(HEAVY, rows // 100_000))
+    # as a shingle of this list has a 4 RARE-th of a batch's rows somewhere, a batch names some thousands at most
     return np.sort(np.array([r[0] for r in c.select("key").collect()], np.int64).view(np.uint64))
 
 
@@ -254,15 +324,24 @@ def shared_prefixes(d: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
 
     def pack(batches):
         shingles = Shingler()
-        for b in batches:
-            parts = []
-            for i, c, t in zip(*[b.column(x).to_pylist() for x in ("id", "comp", "t")], strict=True):
-                h = ordered(shingles(t), sent.value)
-                h = h[: prefix(len(h))] if len(h) else h
-                e = np.empty(len(h), kind)
-                e["k"], e["id"], e["comp"] = h, np.where(h >= TOP, -1, i), c
-                parts.append(e)
-            e = np.unique(np.concatenate(parts)) if parts else np.empty(0, kind)
+
+        def runs():
+            own, size = [], 0
+            for b in parts(batches):
+                for i, c, t in zip(*[b.column(x).to_pylist() for x in ("id", "comp", "t")], strict=True):
+                    h = ordered(shingles(t), sent.value)
+                    h = h[: prefix(len(h))] if len(h) else h
+                    e = np.empty(len(h), kind)
+                    e["k"], e["id"], e["comp"] = h, np.where(h >= TOP, -1, i), c
+                    own.append(e)
+                    size += len(e)
+                if size >= RUN:
+                    yield np.unique(np.concatenate(own))
+                    own, size = [], 0
+            if own:
+                yield np.unique(np.concatenate(own))
+
+        for e in runs():
             to = (e["k"] % shift).astype(np.int64)
             at = np.argsort(to, kind="stable")
             e, to = e[at], to[at]
@@ -295,7 +374,7 @@ def heavy_members(d: DataFrame, heavy: np.ndarray, keys: np.ndarray) -> DataFram
     def run(batches):
         shingles = Shingler()
         heavy, keys = sent.value
-        for b in batches:
+        for b in parts(batches):
             out = []
             for i, c, t in zip(*[b.column(x).to_pylist() for x in ("id", "comp", "t")], strict=True):
                 h = ordered(shingles(t), heavy)
@@ -305,45 +384,13 @@ def heavy_members(d: DataFrame, heavy: np.ndarray, keys: np.ndarray) -> DataFram
     return d.select("id", "comp", "t").mapInArrow(run, "key bigint, id bigint, comp bigint")
 
 
-def _group_pairs(n: np.ndarray, bits: np.ndarray, comp: np.ndarray, cut: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of different components that the bounds leave, in groups that start at cut; a group with
-    rows of both kinds of `one` is a pair of blocks, and only pairs across them count."""
-    size = np.diff(np.r_[cut, len(n)])
-    slack = n - np.bitwise_count(bits).sum(1)
-    level = (n, n, bits, slack)
-    left, right = [], []
-    for m in np.unique(size[size <= SMALL]).tolist():  # a tree of one node: its sets face each other
-        x, y = np.triu_indices(m, 1)
-        at = cut[size == m][:, None]
-        a, b = (at + x).ravel(), (at + y).ravel()
-        ok = comp[a] != comp[b]
-        a, b = a[ok], b[ok]
-        ok = _possible(level, a, level, b)
-        left.append(a[ok])
-        right.append(b[ok])
-    for at, m in zip(cut[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-        own = slice(at, at + m)
-        if comp[own].min() == comp[own].max():
-            continue
-        first = one[own]
-        x = Tree(n[own][first], bits[own][first])
-        y = x if first.all() else Tree(n[own][~first], bits[own][~first])
-        a, b = traverse(x, y)
-        a, b = at + np.flatnonzero(first)[a], at + np.flatnonzero(first if y is x else ~first)[b]
-        ok = comp[a] != comp[b]
-        left.append(a[ok])
-        right.append(b[ok])
-    none = np.empty(0, int)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
-
-
 def tree_pairs(members: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that trees over the members (key, lead, id, comp, n, bits) of each
     key leave, and that share as many prefix shingles as sets that link must.
 
     Keys are dealt by their lead, the least id under them: the shingles of a passage have the same members,
-    so a pair that shares a passage is counted in one place and leaves it as one row. A lead with many rows
-    is cut by blocks of ids (all keys of a pair stay together) and, beyond PART rows, by keys."""
+    so a pair that shares a passage is mostly counted in one place. A lead with many rows is cut by blocks of
+    ids (all keys of a pair stay together) and, beyond PART rows, by keys, so that no place has many more."""
     import pyarrow as pa
 
     by_lead = members.groupBy("lead", "key").agg(F.count("*").alias("c")).groupBy("lead").agg(F.max("c").alias("most"), F.sum("c").alias("c"))
@@ -356,37 +403,21 @@ def tree_pairs(members: DataFrame) -> DataFrame:
     m = m.select(F.xxhash64("lead", "part", "i", "j").alias("place"), "key", "i", "j", "own", "id", "comp", "n", "bits")
     m = m.repartition("place").sortWithinPartitions("place", "key", "i", "j", "own")
 
-    def pairs(rows):
-        t = pa.Table.from_batches(rows)
-        col = {c: t.column(c).to_numpy() for c in ("key", "i", "j", "own", "id", "comp", "n")}
-        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(t.num_rows, -1)
-        new = np.zeros(t.num_rows, bool)
-        for c in ("key", "i", "j"):
-            new |= np.r_[True, col[c][1:] != col[c][:-1]]
-        a, b = _group_pairs(col["n"], bits, col["comp"], np.flatnonzero(new), col["own"] == col["i"])
-        ids, n = col["id"], col["n"]
-        p = np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), shared_least(np.minimum(n[a], n[b]))], 1)
-        p, c = np.unique(p, axis=0, return_counts=True)
-        return pa.RecordBatch.from_pydict({"a": pa.array(p[:, 0]), "b": pa.array(p[:, 1]), "need": pa.array(p[:, 2]), "c": pa.array(c)})
-
     def run(batches):
-        held, last, size = [], None, 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            place = b.column("place").to_numpy()
-            if size >= GATHER and place[0] != last:
-                yield pairs(held)
-                held, size = [], 0
-            held.append(b)
-            last, size = place[-1], size + b.num_rows
-            if size >= GATHER and place[0] != last:  # up to the last whole place
-                at = int(np.flatnonzero(place != last)[-1]) + 1
-                held[-1] = b.slice(0, at)
-                yield pairs(held)
-                held, size = [b.slice(at)], b.num_rows - at
-        if held:
-            yield pairs(held)
+        for t in _whole(batches, ("place", "key", "i", "j")):
+            ids, n, comp = t["id"], t["n"], t["comp"]
+            # a tree for each group, or one for each of a group's two blocks, which meet each other
+            second = np.r_[False, t["own"][1:] != t["own"][:-1]] & ~t["new"]
+            tree = np.cumsum(t["new"] | second) - 1
+            x = tree[np.flatnonzero(t["new"])]
+            y = np.r_[x[1:], int(tree[-1]) + 1] - 1
+            alone = (t["i"] != t["j"])[t["new"]] & (x == y)  # of two blocks only one has members
+            a, b = traverse(Forest(tree, n, t["bits"]), x[~alone], y[~alone])
+            ok = comp[a] != comp[b]
+            a, b = a[ok], b[ok]
+            p = np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), shared_least(np.minimum(n[a], n[b]))], 1)
+            p, c = np.unique(p, axis=0, return_counts=True)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(p[:, 0]), "b": pa.array(p[:, 1]), "need": pa.array(p[:, 2]), "c": pa.array(c)})
 
     p = m.mapInArrow(run, "a bigint, b bigint, need bigint, c bigint")
     return p.groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("need").alias("need")).where("c >= need").select("a", "b")
@@ -434,16 +465,14 @@ def _classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     known = all_sets.where("n > 0 and id is not null")
     same = known.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("c"))
     nodes = stored(known.join(same.select(F.col("node").alias("id"), "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]), "nodes")
-    one = verified(quick_pairs(nodes), docs, doc_id, text)
-    first = stored(one, "first_links")
+    first = stored(verified(first_pairs(nodes), docs, doc_id, text), "first_links")
     comp = components(first)
-    total = max(1, nodes.count())
     tokens = nodes.agg(F.sum("n")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // 8_000_000 + 1)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(tokens // 8_000_000 + 1, MOST_BUCKETS))
 
     d = docs.select(docs[f"`{doc_id}`"].cast("bigint").alias("id"), docs[f"`{text}`"].alias("t"))
     d = d.join(bounded_broadcast(nodes.select("id"), 1_000_000), "id", "left_semi").join(bounded_broadcast(comp, 400_000), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), "t")
-    heavy = heavy_shingles(all_sets, total)
+    heavy = heavy_shingles(all_sets, all_sets.count())
     groups = stored(shared_prefixes(d, heavy, buckets), "groups")
     keys = groups.where("id < 0").select("key").distinct()
     hot = np.array([r[0] for r in keys.collect()], np.int64).view(np.uint64)  # some of the heavy ones

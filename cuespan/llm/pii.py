@@ -1,25 +1,25 @@
 """Personal data: pattern spans, and terms that give a protected entity away.
 
-Base spans are e-mail addresses, IPv4 addresses, card and phone numbers. Around each one, words in a
-window of CONTEXT characters are counted with the entity (kind and canonical value) over the whole
-corpus. A term t discloses entity e by PMI(e; t) = log2(n(e,t) N / (n(e) n(t))) held against the
-entity's information IC(e) = log2(N / n(e)): at REMOVE of IC or more the term is removed, at
-GENERALISE or more it is generalised. All n count documents. In report(), which its SQL fixes, a pair
-counts only where at least SUPPORT different texts hold it.
-
-The pipeline's rule (whole_terms) has no such cut: every word of a document that holds an entity is judged,
-also for an entity of one text. There PMI(e; t) = log2(p(e|t) / p(e)) with the smoothed p(e|t) =
-(n(e,t) + SMOOTH p(e)) / (n(t) + SMOOTH), so few documents prove less than many, and a told term goes
-wherever it stands in the entity's documents. As n(e,t) is n(e) at most, a term of too many documents for
-an entity can't reach GENERALISE; such pairs are never made.
+Base spans are e-mail addresses, IPv4 addresses, card and phone numbers. Every word of a document that holds an
+entity (kind and canonical value) is judged by how strongly it reveals it, over the whole corpus:
+PMI(e; t) = log2(p(e|t) / p(e)) with the smoothed p(e|t) = (n(e,t) + SMOOTH p(e)) / (n(t) + SMOOTH), held against
+the entity's information IC(e) = log2(N / n(e)). At REMOVE of IC or more the term is removed, at GENERALISE or more
+it is generalised, wherever it stands in the entity's documents. All n count documents; smoothing lets few
+documents prove less than many. As n(e,t) is n(e) at most, a term of too many documents for an entity can't
+reach GENERALISE; such pairs are never made.
+
+A term is generalised to the longest of its beginnings (LADDER letters and a star) that no longer discloses: the
+class of all words with that beginning takes the term's place, with its words' document counts added up and n(e)
+for n(e,t). If no beginning is general enough the term becomes a bare mark.
 
 Places are code points. A pattern's matches and the pieces between them give the places: match k
 starts after pieces 0..k and matches 0..k-1, a running sum over the few rows of a document that has
 matches. Patterns are possessive and start only where a match could first start, so that each text
 is read in linear time and long runs use no stack.
 
-Defined cases: null and empty texts have no spans; repeated rows get the same result each; a null
-doc_id is a key like others; empty tables work.
+Defined cases: null and empty texts have no spans; repeated rows get the same result each and count as
+documents each; a null doc_id is a key like others, ids may be numbers or texts; equal spans of two kinds are
+both reported; columns of any names may stand beside; empty tables work.
 """
 
 from __future__ import annotations
@@ -27,10 +27,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, lookup, stored, table
+from .common import bounded_broadcast, id_key, key_id, lookup, stored, table
 
-NO_ID = -(1 << 63)
-CONTEXT, SUPPORT, REMOVE, GENERALISE = 60, 3, 0.95, 0.85
+REMOVE, GENERALISE = 0.95, 0.85
+#: Lengths of the beginnings that a term may be generalised to.
+LADDER = (6, 4, 3, 2, 1)
 #: Documents without the entity that each term is taken to stand in besides the counted ones.
 SMOOTH = 0.5
 
@@ -43,11 +44,12 @@ KINDS = [
 ]
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 WORD = r"\p{L}[\p{L}\p{N}]{2,}"
-HIT = "struct<kind:int,k:int,val:string,gap:int,before:string,after:string>"
+HIT = "struct<kind:int,k:int,val:string,gap:int>"
+SPAN = "struct<s:bigint,kind:int,e:bigint,action:string,general:string>"
 
 
 def _key(docs: DataFrame, doc_id: str, text: str) -> list[Column]:
-    return [F.coalesce(docs[f"`{doc_id}`"], F.lit(NO_ID)).alias("id"), F.xxhash64(docs[f"`{text}`"]).alias("th")]
+    return [id_key(docs, doc_id).alias("id"), F.xxhash64(docs[f"`{text}`"]).alias("th")]
 
 
 def _valid(kind: Column, val: Column) -> Column:
@@ -60,7 +62,7 @@ def _valid(kind: Column, val: Column) -> Column:
 
 
 def base_spans(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
-    """One row for each base span of each different (id, th): kind, s, e, val and the text before and after."""
+    """One row for each base span of each different (id, th): kind, s, e and val."""
     d = docs.select(*_key(docs, doc_id, text), F.coalesce(docs[f"`{text}`"], F.lit("")).alias("t"))
     cols = []
     for i, (_, pattern, test) in enumerate(KINDS):
@@ -68,47 +70,14 @@ def base_spans(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     d = d.select("id", "th", *cols).where(" or ".join(f"size(m{i}) > 0" for i in range(len(KINDS))))
 
     def rows(i: int) -> Column:
-        at = lambda v, k: F.struct(F.lit(i).alias("kind"), k.alias("k"), v.alias("val"), F.length(F.get(f"p{i}", k)).alias("gap"), F.right(F.get(f"p{i}", k), F.lit(CONTEXT)).alias("before"), F.left(F.get(f"p{i}", k + 1), F.lit(CONTEXT)).alias("after"))
+        at = lambda v, k: F.struct(F.lit(i).alias("kind"), k.alias("k"), v.alias("val"), F.length(F.get(f"p{i}", k)).alias("gap"))
         return F.coalesce(F.transform(f"m{i}", at), F.array().cast(f"array<{HIT}>"))
 
     h = d.select("id", "th", F.explode(F.concat(*[rows(i) for i in range(len(KINDS))])).alias("h")).select("id", "th", "h.*").dropDuplicates(["id", "th", "kind", "k"])
     w = Window.partitionBy("id", "th", "kind").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     e = F.sum(F.col("gap") + F.length("val")).over(w)
     h = h.select("*", e.alias("e")).select("*", (F.col("e") - F.length("val")).alias("s"))
-    return h.where(_valid(F.col("kind"), F.col("val"))).select("id", "th", "kind", "s", "e", "val", "before", "after")
-
-
-def _context(side: str, start: Column, first: Column) -> Column:
-    """The whole words of a context and their places; first: whether the context's cut edge is its start."""
-    words, gaps = F.regexp_extract_all(side, F.lit(WORD), 0), F.split(side, WORD, -1)
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
-    at = lambda v, i: F.struct(v.alias("v"), (total(F.slice(gaps, 1, i + 1)) + total(F.slice(words, 1, i))).alias("o"))
-    cut = F.length(side) == CONTEXT
-    inside = lambda x: ~(cut & F.when(first, x.o == 0).otherwise(x.o + F.length(x.v) == CONTEXT))
-    return F.transform(F.filter(F.transform(words, at), inside), lambda x: F.struct(F.lower(x.v).alias("term"), (start + x.o).alias("s"), (start + x.o + F.length(x.v)).alias("e")))
-
-
-def term_spans(docs: DataFrame, base: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
-    """Rows (id, th, s, e, action) of terms that disclose an entity beside them."""
-    canon = F.when(F.col("kind") == 0, F.lower("val")).when(F.col("kind") == 1, F.col("val")).otherwise(F.regexp_replace("val", "[^0-9]", ""))
-    c = base.select("id", "th", F.concat_ws(":", "kind", canon).alias("ent"), F.explode(F.concat(_context("before", F.col("s") - F.length("before"), F.lit(True)), _context("after", F.col("e"), F.lit(False)))).alias("c"))
-    c = c.select("id", "th", "ent", "c.*")
-    # first by entity, term and text, which Spark sums before the shuffle however many rows an entity has
-    by_text = c.select("ent", "term", "id", "th").distinct().groupBy("ent", "term", "th").agg(F.count("*").alias("n"))
-    pairs = by_text.groupBy("ent", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT)
-    n_e = base.select("id", "th", F.concat_ws(":", "kind", canon).alias("ent")).distinct().groupBy("ent").agg(F.count("*").alias("n_e"))
-    # documents that hold the term beside any entity: no more than all that hold it, so this bounds the PMI from above
-    n_w = c.select("term", "id", "th").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    total = F.lit(max(docs.count(), 1))
-    pmi, ic = F.log2(F.col("n_et") * total / (F.col("n_e") * F.col("n_t"))), F.log2(total / F.col("n_e"))
-    discloses = (ic > 0) & (pmi >= GENERALISE * ic)
-    pairs = stored(pairs.join(n_e, "ent").join(n_w, "term").where(discloses).drop("n_t"), "pairs")
-    word_list = F.array_distinct(F.transform(F.regexp_extract_all(docs[f"`{text}`"], F.lit(WORD), 0), F.lower))
-    n_t = docs.select(F.explode(word_list).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))  # of every word
-    scored = n_t.join(bounded_broadcast(pairs, 200_000), "term").where(discloses).withColumns({"pmi": pmi, "ic": ic})
-    told = scored.select("ent", "term", F.when(F.col("pmi") >= REMOVE * F.col("ic"), "remove").otherwise("generalise").alias("action"))
-    told = bounded_broadcast(stored(told, "told"), 200_000)
-    return c.join(told, ["ent", "term"]).groupBy("id", "th", "s", "e").agg(F.max("action").alias("action"))
+    return h.where(_valid(F.col("kind"), F.col("val"))).select("id", "th", "kind", "s", "e", "val")
 
 
 def _blanked(docs: DataFrame, base: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -123,8 +92,8 @@ def _blanked(docs: DataFrame, base: DataFrame, doc_id: str, text: str) -> DataFr
     return d.select("id", "th", blank.alias("t")).groupBy("id", "th").agg(F.first("t").alias("t"), F.count("*").alias("c"))
 
 
-def whole_terms(docs: DataFrame, base: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
-    """Rows (id, th, s, e, action) of all places of terms that disclose an entity of their document."""
+def term_spans(docs: DataFrame, base: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
+    """Rows (id, th, s, e, action, general) of all places of terms that disclose an entity of their document."""
     canon = F.when(F.col("kind") == 0, F.lower("val")).when(F.col("kind") == 1, F.col("val")).otherwise(F.regexp_replace("val", "[^0-9]", ""))
     words = lambda t: F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(WORD), 0), F.lower))
     held = stored(_blanked(docs, base, doc_id, text), "held")
@@ -139,31 +108,48 @@ def whole_terms(docs: DataFrame, base: DataFrame, doc_id="doc_id", text="text")
     discloses = lambda n_et: (ic > 0) & (pmi(n_et) >= GENERALISE * ic)
     own = held.select("id", "th", F.explode(words(F.col("t"))).alias("term"))
     n_w = own.groupBy("term").agg(F.count("*").alias("rows"))
-    n_t = docs.select(F.explode(words(docs[f"`{text}`"])).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    known = stored(docs.select(F.explode(words(docs[f"`{text}`"])).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")), "terms")
     # no entity has a term of more documents than this: p(e|t) >= p(e) ** (1 - GENERALISE), and n(e,t) <= n(e)
-    n_t = n_t.where(F.col("n_t") <= (most + 1) * F.pow(total, F.lit(1 - GENERALISE))).join(n_w, "term")
+    n_t = known.where(F.col("n_t") <= (most + 1) * F.pow(total, F.lit(1 - GENERALISE))).join(n_w, "term")
     own = lookup(own, n_t, ["term"], "rows").where("n_t is not null").groupBy("id", "th").agg(F.collect_list(F.struct("term", "n_t")).alias("terms"))
     pairs = ents.join(own, ["id", "th"]).select("id", "th", "c", "ent", "n_e", F.explode("terms").alias("x")).select("id", "th", "c", "ent", "n_e", "x.*").where(discloses(F.col("n_e")))
     pairs = stored(pairs, "pairs")
     n_et = F.sum("c")
     told = pairs.groupBy("ent", "term", "n_e", "n_t").agg(n_et.alias("n_et"), F.count("*").alias("rows")).where(discloses(F.col("n_et")))
-    told = told.select("ent", "term", "rows", F.when(pmi(F.col("n_et")) >= REMOVE * ic, "remove").otherwise("generalise").alias("action"))
-    of_text = lookup(pairs.select("id", "th", "ent", "term"), told, ["ent", "term"], "rows").where("action is not null").groupBy("id", "th", "term").agg(F.max("action").alias("action"))
+    told = told.select("ent", "term", "n_e", "rows", F.when(pmi(F.col("n_et")) >= REMOVE * ic, "remove").otherwise("generalise").alias("action"))
+    told = stored(told, "disclosing")
+    told = told.join(_generalised(told, known, discloses), ["term", "n_e"], "left").select("ent", "term", "rows", "action", "general")
+    of_text = lookup(pairs.select("id", "th", "ent", "term"), told, ["ent", "term"], "rows").where("action is not null")
+    # of several entities the strictest decides: removal, else the shortest beginning, that of the fewest letters
+    of_text = of_text.groupBy("id", "th", "term").agg(F.max("action").alias("action"), F.min(F.coalesce("general", F.lit(""))).alias("general"))
     of_text = stored(of_text, "told")
     texts = held.join(bounded_broadcast(of_text.select("id", "th").distinct(), 200_000), ["id", "th"], "left_semi")
     found = texts.select("id", "th", F.regexp_extract_all("t", F.lit(WORD), 0).alias("w"), F.split("t", WORD, -1).alias("g"))
     found = found.select("id", "th", F.explode(F.transform("w", lambda x, k: F.struct(k.alias("k"), F.lower(x).alias("term"), F.length(x).alias("n"), F.length(F.get("g", k)).alias("gap")))).alias("x")).select("id", "th", "x.*")
     e = F.sum(F.col("gap") + F.col("n")).over(Window.partitionBy("id", "th").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
     found = found.select("id", "th", "term", (e - F.col("n")).alias("s"), e.alias("e"))
-    return found.join(of_text, ["id", "th", "term"]).select("id", "th", "s", "e", "action")
+    return found.join(of_text, ["id", "th", "term"]).select("id", "th", "s", "e", "action", "general")
 
 
-def all_spans(docs: DataFrame, doc_id="doc_id", text="text", terms=term_spans) -> DataFrame:
-    """One row for each different (id, th) with spans: spans, sorted by start and kind, of (s, kind, e, action)."""
+def _generalised(told: DataFrame, known: DataFrame, discloses) -> DataFrame:
+    """(term, n_e, general) of terms to generalise: their longest beginning that discloses no entity of n_e documents.
+
+    The words' counts are added up by beginning, within map tasks first; only beginnings of told terms stay."""
+    stems = lambda t: F.filter(F.array(*[F.when(F.length(t) > n, F.left(t, F.lit(n))) for n in LADDER]), lambda x: x.isNotNull())
+    asked = told.where("action = 'generalise'").select("term", "n_e").distinct()
+    asked = stored(asked.select("term", "n_e", F.explode(stems(F.col("term"))).alias("stem")), "asked")
+    classes = known.select(F.explode(stems(F.col("term"))).alias("stem"), "n_t")
+    classes = classes.join(bounded_broadcast(asked.select("stem").distinct(), 200_000), "stem", "left_semi").groupBy("stem").agg(F.sum("n_t").alias("n_t"))
+    fit = asked.join(classes, "stem").where(~discloses(F.col("n_e")))
+    return fit.groupBy("term", "n_e").agg(F.max_by("stem", F.length("stem")).alias("general"))
+
+
+def all_spans(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
+    """One row for each different (id, th) with spans: spans, sorted by start and kind, of (s, kind, e, action, general)."""
     base = stored(base_spans(docs, doc_id, text), "base")
-    terms = terms(docs, base, doc_id, text)
-    rows = base.select("id", "th", "s", "kind", "e", F.lit("mask").alias("action")).unionByName(terms.select("id", "th", "s", F.lit(len(KINDS)).alias("kind"), "e", "action"))
-    return stored(rows.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("s", "kind", "e", "action"))).alias("spans")), "spans")
+    terms = term_spans(docs, base, doc_id, text)
+    rows = base.select("id", "th", "s", "kind", "e", F.lit("mask").alias("action"), F.lit("").alias("general")).unionByName(terms.select("id", "th", "s", F.lit(len(KINDS)).alias("kind"), "e", "action", "general"))
+    return stored(rows.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("s", "kind", "e", "action", "general"))).alias("spans")), "spans")
 
 
 def report(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
@@ -172,24 +158,24 @@ def report(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     d = docs.select(*_key(docs, doc_id, text)).join(bounded_broadcast(sp, 100_000), ["id", "th"], "left")
     names = F.array(*[F.lit(k) for k, _, _ in KINDS], F.lit("term"))
     said = lambda a: F.concat_ws(",", F.transform(a, lambda x: F.concat_ws(":", F.get(names, x.kind), x.s, x.e)))
-    own = F.coalesce("spans", F.array().cast("array<struct<s:bigint,kind:int,e:bigint,action:string>>"))
+    own = F.coalesce("spans", F.array().cast(f"array<{SPAN}>"))
     base = F.filter(own, lambda x: x.kind < len(KINDS))
     count = lambda i: F.size(F.filter(own, lambda x: x.kind == i)).cast("long")
-    return d.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(doc_id), *[count(i).alias(f"n_{k}") for i, (k, _, _) in enumerate(KINDS)], F.sha2(said(base), 256).alias("base_sha256"), said(own).alias("spans"))
+    return d.select(key_id(F.col("id")).alias(doc_id), *[count(i).alias(f"n_{k}") for i, (k, _, _) in enumerate(KINDS)], F.sha2(said(base), 256).alias("base_sha256"), said(own).alias("spans"))
 
 
-def sanitise(docs: DataFrame, doc_id="doc_id", text="text", terms=term_spans) -> DataFrame:
+def sanitise(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     """docs with masked base spans, and disclosing terms removed or generalised; n_chars follows if there is one."""
-    sp = all_spans(docs, doc_id, text, terms)
+    sp = all_spans(docs, doc_id, text)
     # of overlapping spans the first stays
-    free = F.aggregate("spans", F.array().cast("array<struct<s:bigint,kind:int,e:bigint,action:string>>"), lambda a, x: F.when(F.coalesce(F.try_element_at(a, F.lit(-1)).e, F.lit(0)) <= x.s, F.concat(a, F.array(x))).otherwise(a))
+    free = F.aggregate("spans", F.array().cast(f"array<{SPAN}>"), lambda a, x: F.when(F.coalesce(F.try_element_at(a, F.lit(-1)).e, F.lit(0)) <= x.s, F.concat(a, F.array(x))).otherwise(a))
     sp = sp.select("id", "th", free.alias("spans"))
     d = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *_key(docs, doc_id, text))
     d = d.join(bounded_broadcast(sp, 100_000), ["id", "th"], "left").select("row", "spans")
     t = F.col("row")[text]
     mask = F.array(*[F.lit(f"<{k.upper()}>") for k, _, _ in KINDS], F.lit("<TERM>"))
     start = lambda i: F.coalesce(F.get("spans", i - 1).e, F.lit(0)).cast("int")
-    piece = lambda x, i: F.concat(F.substring(t, start(i) + 1, x.s.cast("int") - start(i)), F.when(x.action == "remove", "").otherwise(F.get(mask, x.kind)))
+    piece = lambda x, i: F.concat(F.substring(t, start(i) + 1, x.s.cast("int") - start(i)), F.when(x.action == "remove", "").when(x.general != "", F.concat(x.general, F.lit("*"))).otherwise(F.get(mask, x.kind)))
     tail = F.substring(t, F.try_element_at("spans", F.lit(-1)).e.cast("int") + 1, F.length(t))
     clean = F.when(F.size("spans") > 0, F.concat(F.concat_ws("", F.transform("spans", piece)), tail)).otherwise(t)
     d = d.select("row", clean.alias("clean"))
@@ -201,30 +187,28 @@ def op4_pii(spark, sf_dir: str) -> DataFrame:
 
 
 _PLAIN = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", r"[0-9](?:[\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
-_HITS = " union all ".join(f"select doc_id, text as body, {k} as kind, regexp_extract_all(t, '{p}') as m, regexp_split_to_array(t, '{p}') as p from d" for k, p in enumerate(_PLAIN))
-
-
-def _context_sql(side: str, start: str, cut: str) -> str:
-    return rf"""select doc_id, body, ent, lower(w[i]) as term, {start} + o as s, {start} + o + length(w[i]) as e from (
-select *, cast(list_sum(list_transform(g[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1 : i - 1], lambda x: length(x))), 0) as bigint) as o from (
-select *, unnest(range(1, len(w) + 1)) as i from (select *, regexp_extract_all({side}, '\p{{L}}[\p{{L}}\p{{N}}]{{2,}}') as w, regexp_split_to_array({side}, '\p{{L}}[\p{{L}}\p{{N}}]{{2,}}') as g from base))) where not (length({side}) = {CONTEXT} and {cut})"""
-
+_HITS = " union all ".join(f"select doc_id, {k} as kind, regexp_extract_all(t, '{p}') as m, regexp_split_to_array(t, '{p}') as p from d" for k, p in enumerate(_PLAIN))
+_PMI = f"log2((n_et + {SMOOTH} * n_e / total) / (n_t + {SMOOTH}) * total / n_e)"
 
 #: The report of documents with unique ids, as DuckDB SQL.
-SQL = rf"""with d as (select doc_id, text, coalesce(text, '') as t from documents),
+SQL = rf"""with d as (select doc_id, text, coalesce(text, '') as t from documents), total as (select cast(count(*) as double) as total from documents),
 a as ({_HITS}),
-h as (select doc_id, body, kind, k, m[k] as val, length(p[k]) as gap, right(p[k], {CONTEXT}) as before, left(p[k + 1], {CONTEXT}) as after from (select *, unnest(range(1, len(m) + 1)) as k from a where len(m) > 0)),
+h as (select doc_id, kind, k, m[k] as val, length(p[k]) as gap from (select *, unnest(range(1, len(m) + 1)) as k from a where len(m) > 0)),
 placed as (select *, cast(sum(gap + length(val)) over (partition by doc_id, kind order by k) as bigint) as e, regexp_replace(val, '[^0-9]', '', 'g') as num from h),
-base as (select doc_id, body, kind, e - length(val) as s, e, before, after, kind || ':' || case kind when 0 then lower(val) when 1 then val else num end as ent from placed where case kind when 0 then true
+base as (select doc_id, kind, e - length(val) as s, e, kind || ':' || case kind when 0 then lower(val) when 1 then val else num end as ent from placed where case kind when 0 then true
  when 1 then list_bool_and(list_transform(string_split(val, '.'), lambda x: coalesce(length(ltrim(x, '0')) <= 3 and cast('0' || left(ltrim(x, '0'), 3) as int) <= 255, false)))
  when 2 then length(num) between 12 and 19 and list_sum(list_transform(range(length(num)), lambda i: case when i % 2 = 0 then cast(substr(num, length(num) - i, 1) as int) else cast(substr(num, length(num) - i, 1) as int) * 2 - case when cast(substr(num, length(num) - i, 1) as int) > 4 then 9 else 0 end end)) % 10 = 0
  else length(num) between 9 and 15 end),
-c as ({_context_sql("before", "s - length(before)", "o = 0")} union all {_context_sql("after", "e", f"o + length(w[i]) = {CONTEXT}")}),
+cut as (select doc_id, s, e, coalesce(max(e) over (partition by doc_id order by s, e rows between unbounded preceding and 1 preceding), 0) as upto from base),
+bl as (select doc_id, string_agg(substr(t, upto + 1, greatest(s, upto) - upto) || repeat(' ', e - greatest(s, upto)), '' order by s, e) || substr(any_value(t), max(e) + 1) as t from cut join d using (doc_id) where e > upto group by doc_id),
+w as (select doc_id, k, lower(w[k]) as term, length(w[k]) as n, length(g[k]) as gap from (select *, unnest(range(1, len(w) + 1)) as k from (select doc_id, regexp_extract_all(t, '\p{{L}}[\p{{L}}\p{{N}}]{{2,}}') as w, regexp_split_to_array(t, '\p{{L}}[\p{{L}}\p{{N}}]{{2,}}') as g from bl))),
+wp as (select doc_id, term, cast(sum(gap + n) over (partition by doc_id order by k) as bigint) as e, n from w),
 n_e as (select ent, count(distinct doc_id) as n_e from base group by ent),
-et as (select ent, term, count(distinct doc_id) as n_et, count(distinct body) as texts from c group by ent, term having count(distinct body) >= {SUPPORT}),
 n_t as (select term, count(distinct doc_id) as n_t from (select doc_id, lower(unnest(regexp_extract_all(text, '\p{{L}}[\p{{L}}\p{{N}}]{{2,}}'))) as term from documents) group by term),
-told as (select ent, term from et join n_e using (ent) join n_t using (term), (select count(*) as total from documents) where n_e < total and log2(n_et * total / (n_e * n_t)) >= {GENERALISE} * log2(total / n_e)),
-spans as (select doc_id, s, kind, e from base union all select distinct doc_id, s, {len(KINDS)}, e from c join told using (ent, term)),
+et as (select ent, term, count(*) as n_et from (select distinct doc_id, ent from base) join (select distinct doc_id, term from wp) using (doc_id) group by ent, term),
+told as (select ent, term from et join n_e using (ent) join n_t using (term), total where log2(total / n_e) > 0 and {_PMI} >= {GENERALISE} * log2(total / n_e)),
+of_doc as (select distinct doc_id, term from (select distinct doc_id, ent from base) join told using (ent)),
+spans as (select doc_id, s, kind, e from base union all select doc_id, e - n, {len(KINDS)}, e from wp join of_doc using (doc_id, term)),
 said as (select doc_id, string_agg(['email', 'ip', 'card', 'phone', 'term'][kind + 1] || ':' || s || ':' || e, ',' order by s, kind, e) as spans,
  string_agg(['email', 'ip', 'card', 'phone'][kind + 1] || ':' || s || ':' || e, ',' order by s, kind, e) filter (kind < {len(KINDS)}) as own,
  {", ".join(f"count(*) filter (kind = {k}) as n_{n}" for k, (n, _, _) in enumerate(KINDS))} from spans group by doc_id)

@@ -12,7 +12,9 @@ by hash order outside the held-out fold); so is what is sent to the tasks: a DIM
 and one vector for each sample row. The weights by rarity are part of this fit. Every document is
 scored whole in one pass over the scan, without a shuffle. Defined cases: null and empty texts have
 the length bin as their only term and are voted on like others; where only one label can be learned
-it is everyone's score, where none can, 0; repeated rows score alike.
+it is everyone's score, where none can, 0; repeated rows score alike; ids with both labels teach nothing, of
+different texts under a labelled id the least one in order does; of equally similar neighbours at the edge
+any may vote, in the same way each time; columns of any names may stand beside; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, table
+from .common import parts, table
 from .toxicity import STRIP, apart, sample
 
 SAMPLE, SAMPLE_CHARS, WORDS, SHAPES, RATIOS, RANK, NEAR = (2_000, 1_500), 20_000, 3072, 768, 256, 64, 25
@@ -105,14 +107,13 @@ def score(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text") -> D
     import pyarrow as pa
 
     spark = docs.sparkSession
-    arrow_rows(spark, 256)
     texts, y = sample(docs, labels, "quality", 4, 2, SAMPLE, SAMPLE_CHARS, doc_id, text)
     only = float(y[0]) if len(y) else 0.0
     model = spark.sparkContext.broadcast(fit(texts, y) if 0 < y.sum() < len(y) else None)
 
     def run(batches):
         m = model.value
-        for b in batches:
+        for b in parts(batches, 256):
             own = [t or "" for t in b.column("t").to_pylist()]
             s = np.full(len(own), only) if m is None or not own else vote(own, m)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.clip(s, 0, 1).astype(float), pa.float64())], ["doc_id", "score"])

@@ -1,17 +1,18 @@
 """Toxic spans by a linear-chain conditional random field.
 
-Chains are sentences (cut after CHAIN tokens at the latest), so a document of any length is many short
-chains and none of it is left out. Tokens are labelled from document labels: a word is offensive if it
+Chains are sentences, of any length, so a document of any length is many chains and none of it is left out. Tokens are labelled from document labels: a word is offensive if it
 stands in toxic training documents far more often than in others. Two labels, so each feature has one
-weight (toxic over clean): the word, its ending and its shape, and the words beside it. Forward and
+weight (toxic over clean): the word, its first letters, its ending and its shape, and the words beside it. Forward and
 backward messages are ratios, carried for all chains of a batch at once. The expected number of toxic
-tokens and the largest marginal give a document's score by a logistic function; tokens with a marginal
-of 0.5 or more give the offending offsets.
+tokens, that number for each token and the largest marginal give a document's score by a logistic function;
+tokens with a marginal of 0.5 or more give the offending offsets.
 
 Learning takes a bounded sample, SAMPLE documents of label 0 and 1 at most, of at most SAMPLE_CHARS
 characters; scoring takes every document whole. The weights are a fixed-size array that goes to the
 tasks. Defined cases: null and empty texts have no token and score by the logistic function's
-constant; without both labels in the training rows every score is 0; repeated rows score alike.
+constant; without both labels in the training rows every score is 0; repeated rows score alike; ids with
+both labels teach nothing, of different texts under a labelled id the least one in order does; ties of the
+sample's hash order go by id; columns of any names may stand beside; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,19 +25,22 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, table
+from .common import parts, table
 
-SAMPLE, SAMPLE_CHARS, CHAIN, DIMS, SURE = (3_000, 1_200), 20_000, 64, 1 << 16, 20.0
+SAMPLE, SAMPLE_CHARS, DIMS, SURE = (3_000, 1_200), 20_000, 1 << 16, 20.0
+#: Lengths of the first letters that count as a word's stem; how many features tell of the token itself.
+STEMS, OWN = (5, 7), 5
 STRIP = ".,;:!?\"'()[]{}<>*#$%&|-_`~"
 
 
 @lru_cache(500_000)
-def _features(token: str) -> tuple[int, int, int, int, int, bool]:
-    """Hashed features of a token: word, ending, shape; word as its neighbours see it (before, after); sentence end."""
+def _features(token: str) -> tuple[int, int, int, int, int, int, int, bool]:
+    """Hashed features of a token: OWN of its word, ending, shape and first letters; the word as its neighbours see
+    it (before, after); sentence end."""
     w = token.lower().strip(STRIP)
     h = lambda p, s: zlib.crc32(f"{p}{s}".encode()) & (DIMS - 1)
     shape = re.sub(r"(.)\1+", r"\1", re.sub(r"[^\W\d_]", lambda m: "A" if m[0].isupper() else "a", token))[:8]
-    return h("w", w), h("e", w[-3:]), h("s", shape), h("p", w), h("n", w), token[-1] in ".!?"
+    return h("w", w), h("e", w[-3:]), h("s", shape), *(h(n, w[:n]) for n in STEMS), h("p", w), h("n", w), token[-1] in ".!?"
 
 
 def _chains(texts: list[str]):
@@ -49,31 +53,26 @@ def _chains(texts: list[str]):
             if own:
                 rows += own
                 ends.append(size + len(rows))
-        parts.append(np.array(rows, dtype=np.int32).reshape(-1, 6))
+        parts.append(np.array(rows, dtype=np.int32).reshape(-1, OWN + 3))
         size += len(rows)
     if not size:
         return None
     a = np.concatenate(parts)
     owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    stop = a[:, 5].astype(bool)
+    stop = a[:, OWN + 2].astype(bool)
     stop[np.array(ends) - 1] = True
     start = np.flatnonzero(np.r_[True, stop[:-1]])
     length = np.diff(np.r_[start, len(a)])
-    if length.max() > CHAIN:  # cut long chains into even pieces of CHAIN
-        k = -(-length // CHAIN)
-        off = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-        start = np.repeat(start, k) + off * CHAIN
-        length = np.diff(np.r_[start, len(a)])
     first = np.zeros(len(a), bool)
     first[start] = True
     return a, owner, start, length, first
 
 
 def _emit(a: np.ndarray, first: np.ndarray, w: np.ndarray) -> np.ndarray:
-    e = w[a[:, 0]] + w[a[:, 1]] + w[a[:, 2]]
+    e = w[a[:, :OWN]].sum(1)
     last = np.r_[first[1:], True]
-    e[1:] += np.where(first[1:], 0, w[a[:-1, 3]])
-    e[:-1] += np.where(last[:-1], 0, w[a[1:, 4]])
+    e[1:] += np.where(first[1:], 0, w[a[:-1, OWN]])
+    e[:-1] += np.where(last[:-1], 0, w[a[1:, OWN + 1]])
     return np.clip(e, -30, 30)
 
 
@@ -126,12 +125,17 @@ def apart(texts: list[str]) -> list[int]:
     return out
 
 
+def _stems(word: str) -> list[str]:
+    """The word, and its first letters where it has more (with a mark that no word has)."""
+    return [word, *(f"{word[:n]} " for n in STEMS if len(word) > n)]
+
+
 def lexicon(texts: list[str], labels: np.ndarray) -> set[str]:
-    """Words that are far more frequent in toxic documents than chance would have it."""
+    """Words and stems that are far more frequent in toxic documents than chance would have it."""
     n1, n0 = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
     c: dict[str, list[int]] = {}
     for t, y in zip(texts, labels, strict=True):
-        for w in {x.lower().strip(STRIP) for x in t.split()}:
+        for w in {s for x in {x.lower().strip(STRIP) for x in t.split()} for s in _stems(x)}:
             c.setdefault(w, [0, 0])[int(y)] += 1
     share = n1 / (n1 + n0)
 
@@ -148,7 +152,8 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 60) -> dict:
     texts, labels = [texts[i] for i in own], labels[own]
     words = lexicon(texts, labels)
     a, owner, start, length, first = _chains(texts)
-    tags = np.array([x.lower().strip(STRIP) in words for t in texts for line in t.split("\n") for x in line.split()], float)
+    told = lru_cache(None)(lambda x: not words.isdisjoint(_stems(x.lower().strip(STRIP))))
+    tags = np.array([told(x) for t in texts for line in t.split("\n") for x in line.split()], float)
     tags *= labels[owner]
     w, trans = np.zeros(DIMS), np.zeros((2, 2))
     m, v = np.zeros(DIMS + 4), np.zeros(DIMS + 4)
@@ -156,8 +161,8 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 60) -> dict:
     for step in range(1, rounds + 1):
         p, joint, i = pair_marginals(_emit(a, first, w), start, length, trans)
         d = (tags - p) / len(texts)
-        g = sum(np.bincount(a[:, k], d, DIMS) for k in range(3))
-        g += np.bincount(a[:-1, 3], np.where(first[1:], 0, d[1:]), DIMS) + np.bincount(a[1:, 4], np.where(last[:-1], 0, d[:-1]), DIMS)
+        g = sum(np.bincount(a[:, k], d, DIMS) for k in range(OWN))
+        g += np.bincount(a[:-1, OWN], np.where(first[1:], 0, d[1:]), DIMS) + np.bincount(a[1:, OWN + 1], np.where(last[:-1], 0, d[:-1]), DIMS)
         seen = np.zeros((2, 2))
         np.add.at(seen, (tags[i - 1].astype(int), tags[i].astype(int)), 1)
         gt = (seen - joint.sum(0)) / len(texts)
@@ -167,35 +172,37 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 60) -> dict:
         w, trans = w + move[:DIMS], trans + move[DIMS:].reshape(2, 2)
     model = {"w": w.astype(np.float32), "trans": trans}
     x = np.c_[np.ones(len(texts)), _document(texts, model)[0]]
-    b = np.zeros(3)
+    b = np.zeros(x.shape[1])
     for _ in range(200):  # Newton steps of a lightly held logistic regression
         q = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        h = (x * (q * (1 - q))[:, None]).T @ x + 0.05 * np.eye(3)
+        h = (x * (q * (1 - q))[:, None]).T @ x + 0.05 * np.eye(len(b))
         b = b + np.linalg.solve(h, x.T @ (labels - q) - 0.05 * b)
     return model | {"b": b}
 
 
 def _document(texts: list[str], model: dict):
-    """For each text log(1 + expected toxic tokens) and the largest marginal; and all tokens' marginals."""
-    x = np.zeros((len(texts), 2))
+    """For each text log(1 + expected toxic tokens), those for each token, and the largest marginal; and all tokens' marginals."""
+    x = np.zeros((len(texts), 3))
     c = _chains(texts)
     if c is None:
         return x, None, None
     a, owner, start, length, first = c
     p = marginals(_emit(a, first, model["w"]).astype(float), start, length, model["trans"])
-    x[:, 0] = np.log1p(np.bincount(owner, np.where(p >= 0.2, p, 0), len(texts)))  # without the many small ones of long texts
-    np.maximum.at(x[:, 1], owner, p)
+    expected = np.bincount(owner, p, len(texts))
+    x[:, 0] = np.log1p(expected)
+    x[:, 1] = 10 * np.sqrt(expected / np.maximum(np.bincount(owner, minlength=len(texts)), 1))
+    np.maximum.at(x[:, 2], owner, p)
     return x, p, owner
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, out: int, per_label: tuple[int, int], chars: int, doc_id="doc_id", text="text"):
     """At most per_label texts of each label outside the held-out fold, and their labels; by hash order."""
-    use = labels.where(F.col(label).isin(0, 1) & (F.crc32(F.col(doc_id).cast("string").cast("binary")) % fold != out)).select(F.col(doc_id).alias("id"), F.col(label).alias("y"))
+    use = labels.where(F.col(label).isin(0, 1) & (F.crc32(F.col(doc_id).cast("string").cast("binary")) % fold != out)).groupBy(F.col(doc_id).alias("id")).agg(F.min(label).alias("y"), F.max(label).alias("_y")).where("y = _y")
     short = docs.where(F.length(docs[f"`{text}`"]) <= chars).select(docs[f"`{doc_id}`"].alias("id"))
     texts, ys = [], []
     for y in (0, 1):
         ids = use.where(F.col("y") == y).join(short, "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(per_label[y])
-        got = docs.select(docs[f"`{doc_id}`"].alias("id"), docs[f"`{text}`"].alias("t")).join(F.broadcast(ids), "id").orderBy("id").select("t").toPandas()
+        got = docs.select(docs[f"`{doc_id}`"].alias("id"), docs[f"`{text}`"].alias("t")).join(F.broadcast(ids), "id").groupBy("id").agg(F.min("t").alias("t")).orderBy("id").select("t").toPandas()
         texts += [t or "" for t in got["t"]]
         ys += [y] * len(got)
     return texts, np.array(ys, float)
@@ -206,13 +213,12 @@ def score(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text") -> D
     import pyarrow as pa
 
     spark = docs.sparkSession
-    arrow_rows(spark)
     texts, y = sample(docs, labels, "toxic", 3, 1, SAMPLE, SAMPLE_CHARS, doc_id, text)
     model = spark.sparkContext.broadcast(fit(texts, y) if 0 < y.sum() < len(y) else None)
 
     def run(batches):
         m = model.value
-        for batch in batches:
+        for batch in parts(batches):
             own = [t or "" for t in batch.column("t").to_pylist()]
             spans = [""] * len(own)
             if m is None:

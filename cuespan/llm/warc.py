@@ -3,18 +3,24 @@
 Writing: one record for each page, its HTTP block in chunked transfer framing. A block over SEGMENT
 bytes is cut: the first part stays in the record (segment 1), the rest go to continuation records that
 name the origin; the last one states the total length. Pages with equal payloads of DEDUP bytes or
-more become revisits of the one with the largest id. Files are written by Spark's own text writer,
-whose line separator is the blank line that ends a WARC record, with a bounded number of records each.
-
-Reading: each file is parsed by its records' Content-Length. Whole records are decoded where they are;
-only segments move: grouped by origin identifier, ordered by segment number, checked for gaps and
-against the total length, then decoded. A page's segments are its own bytes, so no group outgrows its
-page. The table from payload digest to response is broadcast while small; beyond that a shuffle join
-in which frequent payloads are dealt apart.
+more become revisits of the one with the largest id. Record ids follow from page id, digest and segment,
+so that a task that runs again writes the same. Files are written by Spark's own text writer, whose line
+separator is the blank line that ends a WARC record, with FILE_RECORDS records each; as none is much longer
+than SEGMENT, that bounds a file's bytes. The writer closes one gzip member for each file.
+
+Reading: files may have any number of gzip members, such as one for each record, or none. They are read once, as
+a stream of records by Content-Length; a task holds a record at a time besides the packed file. Whole records
+are decoded where they are; only segments move: equal ones are counted, then grouped by origin identifier,
+ordered by segment number, checked for gaps and against the total length, and decoded. A page's segments are
+its own bytes, so no group outgrows its page. Records of other kinds (requests, metadata) are passed over;
+without a payload digest there is nothing to check, and a revisit's page is known from its private header or
+else is null. The table from payload digest to response is broadcast while small; beyond that a shuffle
+join in which frequent payloads are dealt apart.
 
 Defined cases: null html is an empty payload; short payloads are never revisits; rows repeated with
 the largest id are all responses; a null page_id takes part and is never the largest unless alone;
-a record with missing segments or a wrong length raises an error; an empty table gives no rows.
+columns of any names may stand beside; a record with missing segments or a wrong length raises an error;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,11 +34,12 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, lookup, shared_dir, table
+from .common import lookup, parts, shared_dir, stored, table
 
 DEDUP, SEGMENT, CHUNK, FILE_RECORDS = 1000, 65_536, 8_192, 2_000
 BLANK = b"\r\n\r\n"
-ROW = "page_id bigint, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint"
+ROW = "page_id bigint, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, target_uri string"
+SEGMENTS = "origin string, k int, total bigint, head string, block binary"
 
 
 def _cuts(block: bytes, size: int) -> list[bytes]:
@@ -66,65 +73,112 @@ def dechunked(body: bytes) -> bytes:
         at = end + 4 + n
 
 
+def record_id(page_id, digest: str, segment: int = 1) -> str:
+    """The same for the same page, payload and segment."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}/{segment}')}>"
+
+
 def records(page_id, url: str | None, html: str | None, refers_to, length: int, digest: str, segment: int = SEGMENT) -> list[bytes]:
     """The records of one page, each without the blank line that ends it."""
-    me = f"<urn:uuid:{uuid.uuid4()}>"
+    me = record_id(page_id, digest)
     b32 = base64.b32encode(bytes.fromhex(digest)).decode()
-    head = [f"WARC-Target-URI: {re.sub('[\\r\\n ]', '', url or '')}", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{b32}", f"X-Page-Id: {'' if page_id is None else page_id}"]
+    head = [f"WARC-Target-URI: {re.sub('[\r\n ]', '', url or '')}", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{b32}", f"X-Page-Id: {'' if page_id is None else page_id}"]
     http = [b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=utf-8"]
     if refers_to is not None:
-        parts = [b"\r\n".join([*http, b"Content-Length: %d" % length]) + BLANK]
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
+        own = [b"\r\n".join([*http, b"Content-Length: %d" % length]) + BLANK]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page: {refers_to}"]
     else:
-        parts = _cuts(b"\r\n".join([*http, b"Transfer-Encoding: chunked"]) + BLANK + chunked((html or "").encode()), segment)
-    total, out = sum(map(len, parts)), []
-    for k, part in enumerate(parts, 1):
+        own = _cuts(b"\r\n".join([*http, b"Transfer-Encoding: chunked"]) + BLANK + chunked((html or "").encode()), segment)
+    total, out = sum(map(len, own)), []
+    for k, part in enumerate(own, 1):
         kind = "continuation" if k > 1 else "revisit" if refers_to is not None else "response"
-        own = [f"WARC-Type: {kind}", f"WARC-Record-ID: {me if k == 1 else f'<urn:uuid:{uuid.uuid4()}>'}", *head]
-        if len(parts) > 1:
-            own.append(f"WARC-Segment-Number: {k}")
-            own += [f"WARC-Segment-Origin-ID: {me}"] if k > 1 else []
-            own += [f"WARC-Segment-Total-Length: {total}"] if k == len(parts) else []
-        out.append("\r\n".join(["WARC/1.1", *own, f"Content-Length: {len(part)}"]).encode() + BLANK + part)
+        lines = [f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, digest, k)}", *head]
+        lines += ["Content-Type: application/http; msgtype=response"] if k == 1 else []
+        if len(own) > 1:
+            lines.append(f"WARC-Segment-Number: {k}")
+            lines += [f"WARC-Segment-Origin-ID: {me}"] if k > 1 else []
+            lines += [f"WARC-Segment-Total-Length: {total}"] if k == len(own) else []
+        out.append("\r\n".join(["WARC/1.1", *lines, f"Content-Length: {len(part)}"]).encode() + BLANK + part)
     return out
 
 
-def parse(data: bytes):
-    """(headers, block) of each record."""
+def inflated(data: bytes, size: int = 1 << 20):
+    """The content of a packed file piece by piece, member after member; of a plain file its pieces."""
+    if data[:2] != b"\x1f\x8b":
+        yield from (data[k : k + size] for k in range(0, len(data), size))
+        return
     at = 0
-    while at < len(data):
-        end = data.index(BLANK, at)
-        first, *lines = data[at:end].decode().split("\r\n")
+    while at < len(data) and data[at : at + 2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        feed = b""
+        while not member.eof:
+            if not feed:
+                feed = data[at : at + size]
+                at += len(feed)
+                if not feed:
+                    raise ValueError("cut member")
+            yield member.decompress(feed, size)
+            feed = member.unconsumed_tail
+        at -= len(member.unused_data)
+
+
+def parse(pieces):
+    """(headers, block) of each record of a stream of bytes; blank lines between records may be more or fewer."""
+    pieces = iter(pieces)
+    buf = bytearray()
+
+    def fill() -> bool:
+        more = next(pieces, None)
+        buf.extend(more or b"")
+        return more is not None
+
+    while True:
+        while not buf.strip(b"\r\n"):
+            buf.clear()
+            if not fill():
+                return
+        skip = len(buf) - len(buf.lstrip(b"\r\n"))
+        del buf[:skip]
+        seen = 0
+        while (end := buf.find(BLANK, seen)) < 0:
+            seen = max(0, len(buf) - 3)
+            if not fill():
+                raise ValueError("cut record")
+        first, *lines = buf[:end].decode("utf-8", "replace").split("\r\n")
         if not first.startswith("WARC/"):
             raise ValueError("no record here")
         h = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
         n = int(h["content-length"])
-        block = data[end + 4 : end + 4 + n]
-        if len(block) != n:
-            raise ValueError("cut record")
-        yield h, block
-        at = end + 4 + n + len(BLANK)
+        while len(buf) < end + 4 + n:
+            if not fill():
+                raise ValueError("cut record")
+        yield h, bytes(buf[end + 4 : end + 4 + n])
+        del buf[: end + 4 + n]
 
 
-def _decoded(h: dict, block: bytes) -> tuple:
-    """A row of ROW for a whole record."""
+def _decoded(h: dict, block: bytes) -> tuple | None:
+    """A row of ROW for a whole record; None for kinds that hold no payload of a page."""
+    if h.get("warc-type") not in ("response", "revisit"):
+        return None
     head, _, body = block.partition(BLANK)
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:])}
-    digest = base64.b32decode(h["warc-payload-digest"].removeprefix("sha1:")).hex()
-    page = int(h["x-page-id"]) if h["x-page-id"] else None
+    said = h.get("warc-payload-digest", "")
+    digest = base64.b32decode(said.removeprefix("sha1:")).hex() if said.startswith("sha1:") and len(said) == 37 else None
+    number = lambda x: int(x) if x else None
+    page, uri = number(h.get("x-page-id")), h.get("warc-target-uri")
     if h["warc-type"] == "revisit":
-        return page, "revisit", int(fields[b"content-length"]), digest, int(h["x-refers-to-page"])
+        return page, "revisit", number(fields.get(b"content-length")), digest, number(h.get("x-refers-to-page")), uri
     payload = dechunked(body) if fields.get(b"transfer-encoding", b"").lower() == b"chunked" else body
-    if hashlib.sha1(payload).hexdigest() != digest:
+    own = hashlib.sha1(payload).hexdigest()
+    if digest not in (None, own):
         raise ValueError("payload differs from its digest")
-    return page, "response", len(payload), digest, None
+    return page, "response", len(payload), own, None, uri
 
 
 def write(pages: DataFrame, path: str, segment: int = SEGMENT, page_id="page_id", url="url", html="html") -> None:
     """Write pages as WARC files under path."""
     import pyarrow as pa
 
-    arrow_rows(pages.sparkSession)
     p = pages.select(pages[f"`{page_id}`"].cast("bigint").alias("page_id"), pages[f"`{url}`"].cast("string").alias("url"), pages[f"`{html}`"].alias("html"))
     body = F.coalesce("html", F.lit(""))
     p = p.select("*", F.octet_length(body).cast("bigint").alias("n"), F.sha1(body.cast("binary")).alias("d"))
@@ -133,10 +187,9 @@ def write(pages: DataFrame, path: str, segment: int = SEGMENT, page_id="page_id"
     p = p.withColumn("last", F.when(~F.col("last").eqNullSafe(F.col("page_id")), F.col("last")))
 
     def run(batches):
-        for b in batches:
-            for i in range(0, b.num_rows, 64):
-                rows = b.slice(i, 64).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([x.decode() for r in rows for x in records(r["page_id"], r["url"], r["html"], r["last"], r["n"], r["d"], segment)], pa.string())], ["value"])
+        for b in parts(batches, 64, text="html"):
+            rows = b.to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([x.decode() for r in rows for x in records(r["page_id"], r["url"], r["html"], r["last"], r["n"], r["d"], segment)], pa.string())], ["value"])
 
     out = p.select("page_id", "url", "html", "last", "n", "d").mapInArrow(run, "value string")
     out.write.option("lineSep", BLANK.decode()).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
@@ -146,41 +199,50 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """The pages of the WARC files under path, as ROW."""
     import pyarrow as pa
 
-    names = [x.split()[0] for x in ROW.split(", ")]
-    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-    columns = lambda rows: [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
-    files = spark.read.format("binaryFile").load(path).select("content")
-    arrow_rows(spark, 1)  # a file at a time
-
-    def whole(batches):
+    names = [x.split()[0] for x in f"{ROW}, {SEGMENTS}".split(", ")]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.binary()]
+    columns = lambda rows, n: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types[:n])], names[:n])
+    none = (None,) * 6
+
+    def rows_of(data: bytes):
+        for h, block in parse(inflated(data)):
+            if "warc-segment-number" in h:
+                head = "\r\n".join(f"{k}: {v}" for k, v in h.items())
+                total = int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None
+                yield *none, h.get("warc-segment-origin-id", h["warc-record-id"]), int(h["warc-segment-number"]), total, head, block
+            elif row := _decoded(h, block):
+                yield *row, None, None, None, None, None
+
+    def scan(batches):
         for b in batches:
-            for data in b.column("content").to_pylist():
-                rows = [_decoded(h, block) for h, block in parse(zlib.decompress(data, 31)) if "warc-segment-number" not in h]
-                yield pa.RecordBatch.from_arrays(columns(rows), names)
-
-    def segments(batches):
-        for b in batches:
-            for data in b.column("content").to_pylist():
-                for h, block in parse(zlib.decompress(data, 31)):
-                    if "warc-segment-number" in h:
-                        origin = h.get("warc-segment-origin-id", h["warc-record-id"])
-                        head = "\r\n".join(f"{k}: {v}" for k, v in h.items())
-                        yield pa.RecordBatch.from_pydict({"origin": [origin], "k": pa.array([int(h["warc-segment-number"])], pa.int32()), "total": pa.array([int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None], pa.int64()), "head": [head], "block": pa.array([block], pa.binary())})
+            for k in range(b.num_rows):
+                held, size = [], 0
+                for row in rows_of(b.column("content")[k].as_py()):
+                    held.append(row)
+                    size += len(row[-1] or b"") + 200
+                    if size > 1 << 20:
+                        yield columns(held, len(types))
+                        held, size = [], 0
+                yield columns(held, len(types))
 
     def joined(batches):
         for b in batches:
             rows = []
             for r in b.to_pylist():
-                parts = r["parts"]
-                block = b"".join(x["block"] for x in parts)
-                if [x["k"] for x in parts] != [*range(1, len(parts) + 1)] or parts[-1]["total"] != len(block):
+                own = r["segments"]
+                block = b"".join(x["block"] for x in own)
+                if [x["k"] for x in own] != [*range(1, len(own) + 1)] or own[-1]["total"] != len(block) or len({x["c"] for x in own}) > 1:
                     raise ValueError(f"segments missing of {r['origin']}")
-                rows.append(_decoded(dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in parts[0]["head"].split("\r\n")), block))
-            yield pa.RecordBatch.from_arrays(columns(rows), names)
-
-    parts = files.mapInArrow(segments, "origin string, k int, total bigint, head string, block binary")
-    parts = parts.groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("k", "total", "head", "block"))).alias("parts"))
-    return files.mapInArrow(whole, ROW).unionByName(parts.mapInArrow(joined, ROW))
+                row = _decoded(dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in own[0]["head"].split("\r\n")), block)
+                rows += [(*row, own[0]["c"])] if row else []
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([*types[:6], pa.int64()])], [*names[:6], "c"])
+
+    found = stored(spark.read.format("binaryFile").load(path).select("content").mapInArrow(scan, f"{ROW}, {SEGMENTS}"), "records")
+    # rows that repeat have the same records: one of each goes on, with their number
+    own = found.where("origin is not null").groupBy("origin", "k", "total").agg(F.first("head").alias("head"), F.first("block").alias("block"), F.count("*").alias("c"))
+    own = own.groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("k", "total", "head", "block", "c"))).alias("segments"))
+    again = own.mapInArrow(joined, f"{ROW}, c bigint").select(*names[:6], F.explode(F.sequence(F.lit(1).cast("bigint"), "c")).alias("_")).drop("_")
+    return found.where("origin is null").select(*names[:6]).unionByName(again)
 
 
 def op3_warc(spark, sf_dir: str) -> DataFrame:

@@ -7,12 +7,15 @@ length that occurs, documents also give all their n-grams of that length. Joined
 seeds, and every window around a seed is compared word by word, so hash collisions add nothing.
 
 Plan: documents -> distinct fingerprints -> hash join with the items' (broadcast only while their
-counted rows stay under BROADCAST_ROWS; beyond that a shuffle join, split where skewed) -> a short
+counted rows and bytes stay under bounds; beyond that a shuffle join, split where skewed) -> a short
 list of seeds for each candidate document -> candidate documents are read again and extended.
-Only candidates' texts move. All expressions are built in.
+A seed carries the words of its item that a window over it can reach, of the document as well.
+Beyond the broadcast's bound, the seeds of a fingerprint with many items are dealt in DEAL parts, each
+of which meets all of the documents' places. Only candidates' texts move. All expressions are built in.
 
 Defined cases: null and empty texts have no words; items without words have no window; repeated
-rows get the same result each; a null doc_id is a key like others; empty tables work.
+rows get the same result each; a null doc_id is a key like others, ids may be numbers or texts; columns of
+any names may stand beside; empty tables work.
 """
 
 from __future__ import annotations
@@ -20,11 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import asc_lower, bounded_broadcast, stored, table
+from .common import asc_lower, bounded_broadcast, id_key, key_id, stored, table
 
-WINDOW, GRAM, BROADCAST_ROWS = 10, 5, 1_000_000
+WINDOW, GRAM, BROADCAST_ROWS, DEAL = 10, 5, 1_000_000, 16
 SPAN = WINDOW - GRAM + 1
-NO_ID = -(1 << 63)
 
 
 def words(c: Column) -> Column:
@@ -48,7 +50,7 @@ def _least(g: str) -> Column:
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.coalesce(docs[f"`{doc_id}`"], F.lit(NO_ID)).alias("id"), F.xxhash64(docs[f"`{text}`"]).alias("th"), docs[f"`{text}`"].alias("t"))
+    return docs.select(id_key(docs, doc_id).alias("id"), F.xxhash64(docs[f"`{text}`"]).alias("th"), docs[f"`{text}`"].alias("t"))
 
 
 def hits(docs: DataFrame, items: DataFrame, doc_id="doc_id", text="text", item_id="item_id", item_text="text") -> DataFrame:
@@ -60,8 +62,9 @@ def hits(docs: DataFrame, items: DataFrame, doc_id="doc_id", text="text", item_i
     seeds = seeds.select("item", "iw", "len", "f", F.posexplode("g").alias("q", "fp")).where(F.array_contains("f", F.col("fp"))).drop("f")
     for k in short:
         seeds = seeds.unionByName(it.where(F.size("iw") == k).select("item", "iw", F.lit(k).alias("len"), F.posexplode(_grams("iw", k)).alias("q", "fp")))
-    # the words around a seed that any window over it can reach
-    seeds = seeds.select("item", "len", "q", "fp", "iw")
+    # the words around a seed that any window over it can reach, and where they begin in the item
+    ilo = F.greatest(F.lit(0), F.col("q") - (WINDOW - GRAM))
+    seeds = stored(seeds.select("item", "len", "fp", F.size("iw").alias("n"), "q", ilo.alias("ilo"), F.slice("iw", ilo + 1, F.lit(2 * WINDOW)).alias("iw")), "seeds")
     prints = bounded_broadcast(seeds.select("fp").distinct(), BROADCAST_ROWS)
 
     def printed(df: DataFrame, keep: list[str]) -> DataFrame:
@@ -83,11 +86,16 @@ def hits(docs: DataFrame, items: DataFrame, doc_id="doc_id", text="text", item_i
     # of the document, only the words that a window over the seed can reach go on
     lo = F.greatest(F.lit(0), F.col("s.p") - (WINDOW - GRAM))
     c = c.select("id", "th", F.col("s.fp").alias("fp"), F.col("s.p").alias("p"), lo.alias("lo"), F.slice("w", lo + 1, F.lit(2 * WINDOW)).alias("near"))
-    hit = c.join(bounded_broadcast(seeds, BROADCAST_ROWS // 10), "fp")
+    near = bounded_broadcast(seeds, BROADCAST_ROWS // 10)
+    if near is seeds:  # dealt: a fingerprint of many items and many documents is the work of DEAL tasks
+        c = c.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))))
+        hit = c.join(seeds.withColumn("part", F.pmod(F.xxhash64("item", "q"), F.lit(DEAL)).cast("int")), ["fp", "part"])
+    else:
+        hit = c.join(near, "fp")
     offs = F.sequence(F.lit(0), F.when(F.col("len") < WINDOW, 0).otherwise(WINDOW - GRAM))
-    hit = hit.select("id", "th", "item", "len", "iw", "near", "lo", "p", "q", F.explode(offs).alias("o"))
-    hit = hit.select("*", (F.col("p") - F.col("o")).alias("s"), (F.col("q") - F.col("o")).alias("is")).where("s >= 0 and `is` >= 0 and `is` + len <= size(iw)")
-    hit = hit.where(F.slice("near", F.col("s") - F.col("lo") + 1, F.col("len")) == F.slice("iw", F.col("is") + 1, F.col("len")))
+    hit = hit.select("id", "th", "item", "len", "n", "iw", "ilo", "near", "lo", "p", "q", F.explode(offs).alias("o"))
+    hit = hit.select("*", (F.col("p") - F.col("o")).alias("s"), (F.col("q") - F.col("o")).alias("is")).where("s >= 0 and `is` >= 0 and `is` + len <= n")
+    hit = hit.where(F.slice("near", F.col("s") - F.col("lo") + 1, F.col("len")) == F.slice("iw", F.col("is") - F.col("ilo") + 1, F.col("len")))
     return hit.select("id", "th", "item", "s", (F.col("s") + F.col("len")).alias("e")).distinct()
 
 
@@ -101,7 +109,7 @@ def report(docs: DataFrame, items: DataFrame, doc_id="doc_id", text="text", item
     k = k.join(bounded_broadcast(stored(by, "hits"), 100_000), ["id", "th"], "left")
     items_ = F.coalesce(F.sort_array("items"), F.array().cast("array<string>"))
     return k.select(
-        F.when(F.col("id") != NO_ID, F.col("id")).alias(doc_id),
+        key_id(F.col("id")).alias(doc_id),
         "n_words",
         F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.size(items_).cast("long").alias("n_items"),
@@ -113,7 +121,7 @@ def report(docs: DataFrame, items: DataFrame, doc_id="doc_id", text="text", item
 def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id="doc_id", text="text", item_id="item_id", item_text="text") -> DataFrame:
     """The rows of docs that hold no benchmark window, with all their columns."""
     bad = stored(hits(docs, items, doc_id, text, item_id, item_text).select("id", "th").distinct(), "contaminated")
-    d = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.coalesce(docs[f"`{doc_id}`"], F.lit(NO_ID)).alias("id"), F.xxhash64(docs[f"`{text}`"]).alias("th"))
+    d = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), id_key(docs, doc_id).alias("id"), F.xxhash64(docs[f"`{text}`"]).alias("th"))
     return d.join(bounded_broadcast(bad, 500_000), ["id", "th"], "left_anti").select("row.*")
 
 
