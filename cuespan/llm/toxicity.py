@@ -28,12 +28,13 @@ from pyspark.sql import functions as F
 from .common import parts, table
 
 SAMPLE, SAMPLE_CHARS, DIMS, SURE = (3_000, 1_200), 20_000, 1 << 16, 20.0
+#: Different tokens whose features a worker keeps.
+KNOWN = 200_000
 #: Lengths of the first letters that count as a word's stem; how many features tell of the token itself.
 STEMS, OWN = (5, 7), 5
 STRIP = ".,;:!?\"'()[]{}<>*#$%&|-_`~"
 
 
-@lru_cache(500_000)
 def _features(token: str) -> tuple[int, int, int, int, int, int, int, bool]:
     """Hashed features of a token: OWN of its word, ending, shape and first letters; the word as its neighbours see
     it (before, after); sentence end."""
@@ -43,22 +44,43 @@ def _features(token: str) -> tuple[int, int, int, int, int, int, int, bool]:
     return h("w", w), h("e", w[-3:]), h("s", shape), *(h(n, w[:n]) for n in STEMS), h("p", w), h("n", w), token[-1] in ".!?"
 
 
+class _Known:
+    """A bounded table of tokens' features."""
+
+    def __init__(self):
+        self.places: dict[str, int] = {}
+        self.rows = np.empty((0, OWN + 3), np.int32)
+
+    def __call__(self, tokens: list[str]) -> np.ndarray:
+        new = list(set(tokens).difference(self.places))
+        if len(self.places) + len(new) > KNOWN and self.places:
+            self.places.clear()
+            self.rows = self.rows[:0]
+            new = list(set(tokens))
+        if new:
+            self.places.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
+            self.rows = np.concatenate([self.rows, np.array([_features(t) for t in new], np.int32)])
+        return self.rows[np.fromiter(map(self.places.__getitem__, tokens), np.int64, len(tokens))]
+
+
+_known = _Known()
+
+
 def _chains(texts: list[str]):
     """Features of all tokens of the texts, the document of each, and the chains' starts and lengths."""
-    parts, ends, size = [], [], 0
+    tokens, ends, sizes = [], [], []
     for t in texts:
-        rows = []
+        before = len(tokens)
         for line in t.split("\n"):
-            own = [_features(x) for x in line.split()]
+            own = line.split()
             if own:
-                rows += own
-                ends.append(size + len(rows))
-        parts.append(np.array(rows, dtype=np.int32).reshape(-1, OWN + 3))
-        size += len(rows)
-    if not size:
+                tokens += own
+                ends.append(len(tokens))
+        sizes.append(len(tokens) - before)
+    if not tokens:
         return None
-    a = np.concatenate(parts)
-    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    a = _known(tokens)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
     stop = a[:, OWN + 2].astype(bool)
     stop[np.array(ends) - 1] = True
     start = np.flatnonzero(np.r_[True, stop[:-1]])
