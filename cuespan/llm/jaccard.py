@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import bounded_broadcast, lookup, parts, stored, table, text_hash, text_keys
 from .components import components
 
-WORDS, BITS, FAN, BLOCK, GATHER, QUICK, RARE, PART, KNOWN = 5, 1024, 8, 1024, 50_000, 8, 200, 4096, 50_000
+WORDS, BITS, FAN, BLOCK, GATHER, QUICK, RARE, PART, KNOWN = 5, 1024, 8, 1024, 50_000, 8, 200, 8192, 50_000
 #: A shingle of more than HEAVY documents is frequent, at any size.
 HEAVY = 500
 #: Entries of prefixes that a map task gathers before it sends them; buckets that they are dealt to at most.
@@ -325,6 +325,13 @@ def shared_prefixes(d: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
     def pack(batches):
         shingles = Shingler()
 
+        def single(e):
+            """Of the frequent shingles' entries, which have no id, one for each component."""
+            h = e[e["id"] < 0]
+            h = h[np.lexsort((h["comp"], h["k"]))]
+            first = np.r_[True, (h["k"][1:] != h["k"][:-1]) | (h["comp"][1:] != h["comp"][:-1])][: len(h)]
+            return np.concatenate([e[e["id"] >= 0], h[first]])
+
         def runs():
             own, size = [], 0
             for b in parts(batches):
@@ -336,13 +343,13 @@ def shared_prefixes(d: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
                     own.append(e)
                     size += len(e)
                 if size >= RUN:
-                    yield np.unique(np.concatenate(own))
+                    yield single(np.concatenate(own))
                     own, size = [], 0
             if own:
-                yield np.unique(np.concatenate(own))
+                yield single(np.concatenate(own))
 
         for e in runs():
-            to = (e["k"] % shift).astype(np.int64)
+            to = (e["k"] % shift).astype(np.uint16)
             at = np.argsort(to, kind="stable")
             e, to = e[at], to[at]
             cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(e) else []
