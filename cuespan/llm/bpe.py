@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import local_file, parts, table
+from .common import freed, local_file, parts, table
 
 #: Characters of a leaf, of an unsplit run that is a tree of its own, and of that tree's leaves and first windows.
 LEAF, RUN, WORD_LEAF, WINDOW = 2048, 256, 256, 16
@@ -176,7 +176,7 @@ def encode(docs: DataFrame, path: str, doc_id="doc_id", text="text", with_ids=Fa
 
     def run(batches):
         c = codec(path)
-        for b in parts(batches):
+        for b in parts(batches, size=1 << 20):
             done = c.encode([t or "" for t in b.column("t").to_pylist()])
             sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
             cols = [b.column("doc_id"), pa.array([len(e) for e in done], pa.int64())]
@@ -186,10 +186,11 @@ def encode(docs: DataFrame, path: str, doc_id="doc_id", text="text", with_ids=Fa
                 cols.append(pa.array([np.array(e, np.int32) for e in done], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names)
+        codec.cache_clear()  # the worker lives on, for other stages
 
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(docs[f"`{doc_id}`"].alias("doc_id"), docs[f"`{text}`"].alias("t")).mapInArrow(run, schema)
+    return docs.select(docs[f"`{doc_id}`"].alias("doc_id"), docs[f"`{text}`"].alias("t")).mapInArrow(freed(run), schema)
 
 
 def decode(encoded: DataFrame, path: str, ids="ids") -> DataFrame:

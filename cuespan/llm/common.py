@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import re
 import tempfile
@@ -117,6 +120,24 @@ def local_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def freed(f):
+    """f, a function of record batches, after which the Python worker gives memory back that it no longer uses:
+    workers live on beside those of later stages."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        try:
+            yield from f(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def parts(batches, rows: int = 512, size: int = 4 << 20, text: str = "t"):
     """Slices of record batches with at most so many rows, and texts of so many bytes together or one text.
 

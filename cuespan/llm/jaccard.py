@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, lookup, parts, stored, table, text_hash, text_keys
+from .common import bounded_broadcast, freed, lookup, parts, stored, table, text_hash, text_keys
 from .components import components
 
 WORDS, BITS, FAN, BLOCK, GATHER, QUICK, RARE, PART, KNOWN = 5, 1024, 8, 1024, 50_000, 8, 200, 8192, 50_000
@@ -207,7 +207,7 @@ def sets(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
             ], ["id", "n", "digest", "bits", "first", "common", "rows"])
 
     d = docs.select(docs[f"`{doc_id}`"].cast("bigint").alias("id"), docs[f"`{text}`"].alias("t"))
-    return d.mapInArrow(run, "id bigint, n bigint, digest string, bits binary, first array<bigint>, common array<bigint>, rows array<bigint>")
+    return d.mapInArrow(freed(run), "id bigint, n bigint, digest string, bits binary, first array<bigint>, common array<bigint>, rows array<bigint>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
@@ -236,7 +236,7 @@ def verified(pairs: DataFrame, docs: DataFrame, doc_id="doc_id", text="text") ->
                     out.append((a, b))
             yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    return rows.select("a", "b", "part", "t").mapInArrow(run, "a bigint, b bigint")
+    return rows.select("a", "b", "part", "t").mapInArrow(freed(run), "a bigint, b bigint")
 
 
 def first_pairs(nodes: DataFrame) -> DataFrame:
@@ -266,7 +266,7 @@ def first_pairs(nodes: DataFrame) -> DataFrame:
             i, j = traverse(forest, x, x + 1)
             yield pa.RecordBatch.from_pydict({"a": ids[i], "b": ids[j]})
 
-    return rows.select("a", "block", "id", "n", "bits").mapInArrow(run, "a bigint, b bigint")
+    return rows.select("a", "block", "id", "n", "bits").mapInArrow(freed(run), "a bigint, b bigint")
 
 
 def _whole(batches, keys: tuple[str, ...]):
@@ -369,7 +369,7 @@ def shared_prefixes(d: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
             p = e[k : k + 50_000]
             yield pa.RecordBatch.from_pydict({"key": p["k"].view(np.int64), "id": np.ascontiguousarray(p["id"]), "comp": np.ascontiguousarray(p["comp"])})
 
-    return d.select("id", "comp", "t").mapInArrow(pack, "bucket int, blob binary").repartition(buckets, "bucket").select("blob").mapInArrow(meet, "key bigint, id bigint, comp bigint")
+    return d.select("id", "comp", "t").mapInArrow(freed(pack), "bucket int, blob binary").repartition(buckets, "bucket").select("blob").mapInArrow(freed(meet), "key bigint, id bigint, comp bigint")
 
 
 def heavy_members(d: DataFrame, heavy: np.ndarray, keys: np.ndarray) -> DataFrame:
@@ -388,7 +388,7 @@ def heavy_members(d: DataFrame, heavy: np.ndarray, keys: np.ndarray) -> DataFram
                 out += [(int(k), i, c) for k in np.intersect1d(h[: prefix(len(h))], keys).view(np.int64)] if len(h) else []
             yield pa.RecordBatch.from_pydict({n: pa.array([x[k] for x in out], pa.int64()) for k, n in enumerate(("key", "id", "comp"))})
 
-    return d.select("id", "comp", "t").mapInArrow(run, "key bigint, id bigint, comp bigint")
+    return d.select("id", "comp", "t").mapInArrow(freed(run), "key bigint, id bigint, comp bigint")
 
 
 def tree_pairs(members: DataFrame) -> DataFrame:
@@ -426,7 +426,7 @@ def tree_pairs(members: DataFrame) -> DataFrame:
             p, c = np.unique(p, axis=0, return_counts=True)
             yield pa.RecordBatch.from_pydict({"a": pa.array(p[:, 0]), "b": pa.array(p[:, 1]), "need": pa.array(p[:, 2]), "c": pa.array(c)})
 
-    p = m.mapInArrow(run, "a bigint, b bigint, need bigint, c bigint")
+    p = m.mapInArrow(freed(run), "a bigint, b bigint, need bigint, c bigint")
     return p.groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("need").alias("need")).where("c >= need").select("a", "b")
 
 

@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, stored, table, text_hash, text_keys
+from .common import freed, lookup, stored, table, text_hash, text_keys
 
 SPAN, GRAM, NO_ID = 100, 32, -(1 << 63)
 #: Hot anchors: one document in SAMPLE is looked at; HOT different contexts there, and a 100,000th of all, make an anchor hot.
@@ -295,7 +295,7 @@ def hot_anchors(d: DataFrame, least: int = HOT) -> np.ndarray:
             h, n = np.unique(e["h"][first], return_counts=True)
             yield pa.RecordBatch.from_pydict({"h": h.view(np.int64)[n > 1], "n": n[n > 1], "all": np.where(np.arange((n > 1).sum()) == 0, n.sum(), 0)})
 
-    of = d.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).mapInArrow(count, "h bigint, n bigint, all bigint")
+    of = d.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).mapInArrow(freed(count), "h bigint, n bigint, all bigint")
     of = stored(of.groupBy("h").agg(F.sum("n").alias("n"), F.sum("all").alias("all")), "anchors")
     total = of.agg(F.sum("all")).first()[0] or 0
     hot = of.where(F.col("n") >= max(least, total // HOT_SHARE)).select("h").collect()
@@ -339,7 +339,7 @@ def marks(d: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
             p = np.concatenate([copies, _places(e["id"][ask], e["at"][ask], e["to"][ask], np.where(hot[ask], 2, 1), e["h"][ask])])
             yield _packed({"places": (p, _home(p["id"], buckets))})
 
-    return d.mapInArrow(find, "bucket int, entries binary, places binary").repartition(buckets, "bucket").mapInArrow(meet, "bucket int, entries binary, places binary").select("bucket", "places")
+    return d.mapInArrow(freed(find), "bucket int, entries binary, places binary").repartition(buckets, "bucket").mapInArrow(freed(meet), "bucket int, entries binary, places binary").select("bucket", "places")
 
 
 def by_document(places: DataFrame, buckets: int, kinds: tuple[int, ...]) -> DataFrame:
@@ -360,7 +360,7 @@ def by_document(places: DataFrame, buckets: int, kinds: tuple[int, ...]) -> Data
             c, z = cut[k : k + 2000], end[k : k + 2000]
             yield pa.RecordBatch.from_pydict({"id": np.ascontiguousarray(p["id"][c]), "places": pa.array([short[x:y].tobytes() for x, y in zip(c, z, strict=True)], pa.binary())})
 
-    return places.repartition(buckets, "bucket").mapInArrow(gather, "id bigint, places binary")
+    return places.repartition(buckets, "bucket").mapInArrow(freed(gather), "id bigint, places binary")
 
 
 def compared(d: DataFrame, buckets: int) -> DataFrame:
@@ -425,7 +425,7 @@ def compared(d: DataFrame, buckets: int) -> DataFrame:
         yield _packed({"places": (p, _home(p["id"], buckets))})
 
     four = "bucket int, entries binary, places binary, meta binary, data binary"
-    return d.select("id", "t", "places").mapInArrow(cut, four).repartition(buckets, "bucket").mapInArrow(meet, "bucket int, entries binary, places binary").select("bucket", "places")
+    return d.select("id", "t", "places").mapInArrow(freed(cut), four).repartition(buckets, "bucket").mapInArrow(freed(meet), "bucket int, entries binary, places binary").select("bucket", "places")
 
 
 def removed(docs: DataFrame, doc_id="doc_id", text="text", hot: int = HOT) -> DataFrame:
@@ -467,7 +467,7 @@ def cleaned(docs: DataFrame, doc_id="doc_id", text="text", hot: int = HOT) -> Da
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
-    return d.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    return d.mapInArrow(freed(run), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
 
 
 def op7_lpf_dedup(spark, sf_dir: str) -> DataFrame:
