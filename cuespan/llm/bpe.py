@@ -23,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -53,12 +53,18 @@ class Codec:
         names = {**{i: s for s, i in self.whole.get_vocab(with_added_tokens=True).items()}}
         self.strings = [names.get(i, "") for i in range(max(names) + 1)]
         self.numbers = [str(i) for i in range(len(self.strings))]
-        spec |= {"normalizer": None, "pre_tokenizer": None, "added_tokens": [], "post_processor": None}
-        self.word = Tokenizer.from_str(json.dumps(spec))  # the merges alone, on the byte alphabet
+        self.spec = spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": [], "post_processor": None}
         self.end = spec["model"].get("end_of_word_suffix") or ""
         self.long = re.compile(f"[^{SPACES}]{{{RUN + 1},}}")
         self.joins = 0
 
+    @cached_property
+    def word(self):
+        """The merges alone, on the byte alphabet; only long runs need it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(json.dumps(self.spec))
+
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -176,7 +182,7 @@ def encode(docs: DataFrame, path: str, doc_id="doc_id", text="text", with_ids=Fa
 
     def run(batches):
         c = codec(path)
-        for b in parts(batches, size=1 << 20):
+        for b in parts(batches, 64, 128 << 10):
             done = c.encode([t or "" for t in b.column("t").to_pylist()])
             sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
             cols = [b.column("doc_id"), pa.array([len(e) for e in done], pa.int64())]
