@@ -12,6 +12,11 @@ from cuespan.llm import bpe, jaccard, pii, quality_rules, winnow
 from cuespan.llm.common import local_file, shared_dir
 
 
+def small_batches(spark: SparkSession) -> None:
+    """This application's sessions send Python workers a few megabytes at once; one value for all stages."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that no quality rule rejects."""
     return quality_rules.keep_good(docs)
@@ -19,6 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the least id."""
+    small_batches(spark)
     return jaccard.keep_one(docs)
 
 
@@ -34,6 +40,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, the digests of ids and decoded text, and the ids."""
+    small_batches(spark)
     return bpe.encode(docs, local_file("word_bpe_49k.json"), with_ids=True)
 
 
@@ -49,5 +56,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: The PII and encoding stages are beyond SQL; tests compare them with brute-force versions.
+#: The PII and encoding stages are beyond SQL; the tests of both operators compare them with brute-force versions.
 ORACLE_SQL = None
