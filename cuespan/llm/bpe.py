@@ -22,13 +22,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from functools import cached_property, lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import freed, local_file, parts, table
 
@@ -173,6 +173,7 @@ class Codec:
 
 @lru_cache(2)
 def codec(path: str) -> Codec:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would each keep memory of their own
     return Codec(path)
 
 
@@ -201,12 +202,15 @@ def encode(docs: DataFrame, path: str, doc_id="doc_id", text="text", with_ids=Fa
 
 def decode(encoded: DataFrame, path: str, ids="ids") -> DataFrame:
     """encoded with a column `decoded`: the text that the vocabulary's decoder gives for the ids."""
-    @F.pandas_udf("string")
-    def text(col: pd.Series) -> pd.Series:
+    import pyarrow as pa
+
+    def run(batches):
         c = codec(path)
-        return pd.Series([None if x is None else c.decode([int(i) for i in x]) for x in col])
+        for b in batches:
+            texts = [None if x is None else c.decode(x) for x in b.column(ids).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "decoded"])
 
-    return encoded.withColumn("decoded", text(F.col(ids)))
+    return encoded.mapInArrow(freed(run), T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def op2_bpe(spark, sf_dir: str) -> DataFrame:
