@@ -499,7 +499,8 @@ def _classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def keep_one(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     """docs with one document of each component: the one with the least id, of different texts under it
-    the one with the least hash. Rows with a null id stay."""
+    the one with the least hash. Rows with a null id stay; rows that share id and text are one document, so that
+    they stay or go together."""
     d = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{doc_id}`"].cast("bigint").alias("id"))
     keys = text_keys(docs.select(docs[f"`{doc_id}`"].cast("bigint").alias("id"), docs[f"`{text}`"].alias("t")))
     if keys is not None:
