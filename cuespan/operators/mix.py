@@ -14,16 +14,24 @@ def additive(df: DataFrame, index: list[str], value: str) -> DataFrame:
 def over(df: DataFrame, index: list[str], order: list[str], colours: list[str], alpha: str) -> DataFrame:
     """Layers laid over each other from the lowest to the highest order; alpha isn't premultiplied.
 
-    A layer's weight is its alpha times what all above let through. An index holds as many rows as it has
-    layers. Where the result's alpha is 0 everything is.
+    A layer's weight is its alpha times what all above let through. Laying over is associative: ranges of the
+    order are laid over by themselves, then the ranges of each index over each other, so that an index with a
+    large share of all layers is the work of many tasks. Where the result's alpha is 0 everything is.
     """
-    layer = F.struct(*order, *colours, alpha)
-    rows = df.groupBy(*index).agg(F.sort_array(F.collect_list(layer), asc=False).alias("_l"))
-    zero = F.struct(F.lit(1.0).alias("through"), *[F.lit(0.0).alias(c) for c in colours])
-    step = lambda s, x: F.struct((s.through * (1 - x[alpha])).alias("through"), *[(s[c] + x[c] * x[alpha] * s.through).alias(c) for c in colours])
-    rows = rows.select(*index, F.aggregate("_l", zero, step).alias("_s"))
-    a = 1 - F.col("_s.through")
-    return rows.select(*index, *[F.when(a == 0, 0.0).otherwise(F.col(f"_s.{c}") / a).alias(c) for c in colours], a.alias(alpha))
+    by = [*order, *colours, alpha]
+
+    def above(through: Column, keys: list[str], by: list[str]) -> Column:
+        w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in by]).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.product(through).over(w), F.lit(1.0))
+
+    run = [*index, "_run"]
+    rows = df.select(*index, *by).repartitionByRange(*index, *by).withColumn("_run", F.spark_partition_id())
+    rows = rows.withColumn("_above", above(1 - F.col(alpha), run, by))
+    weight = F.col(alpha) * F.col("_above")
+    rows = rows.groupBy(*run).agg(F.product(1 - F.col(alpha)).alias("_through"), *[F.sum(F.col(c) * weight).alias(c) for c in colours])
+    rows = rows.withColumn("_above", above(F.col("_through"), index, ["_run"]))
+    rows = rows.groupBy(*index).agg((1 - F.product("_through")).alias("_a"), *[F.sum(F.col(c) * F.col("_above")).alias(c) for c in colours])
+    return rows.select(*index, *[F.when(F.col("_a") == 0, 0.0).otherwise(F.col(c) / F.col("_a")).alias(c) for c in colours], F.col("_a").alias(alpha))
 
 
 def crossfade(a: DataFrame, b: DataFrame, index: list[str], value: str, weight: Column) -> DataFrame:

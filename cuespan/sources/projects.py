@@ -7,20 +7,21 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CLIP = "item_id bigint, type string, source_id string, x bigint, y double, length bigint, height double, offset bigint, z int"
-ANCHOR = "source bigint, target bigint, offset_ns bigint, visible boolean, two_way boolean"
+PROJECT = """items array<struct<id: bigint, type: string, source: string, x: bigint, y: double, length: bigint, height: double, offset: bigint,
+anchors: array<struct<target: bigint, offset_ns: bigint, visible: boolean, two_way: boolean>>>>"""
 
 
-def load_project(spark: SparkSession, project: dict) -> dict[str, DataFrame]:
-    """A parsed project (spaces of items with anchors by item id) as clip and anchor tables.
+def load_project(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """A project file (JSON, items with anchors by item id) as clip and anchor tables.
 
-    An item's place in its list is its z; a lower one is in front."""
-    clips, anchors = [], []
-    for z, i in enumerate(project.get("items", [])):
-        clips.append((i["id"], i.get("type", "video"), i.get("source"), int(i.get("x", 0)), float(i.get("y", 0)), int(i.get("length", 1)), float(i.get("height", 1)), int(i.get("offset", 0)), z))
-        for a in i.get("anchors", []):
-            anchors.append((i["id"], a["target"], int(a.get("offset_ns", 0)), bool(a.get("visible", False)), bool(a.get("two_way", False))))
-    return {"clip": spark.createDataFrame(clips, CLIP), "anchor": spark.createDataFrame(anchors, ANCHOR)}
+    An item's place in its list is its z; a lower one is in front. Values that aren't given have their defaults."""
+    items = spark.read.schema(PROJECT).json(path, multiLine=True).select(F.posexplode("items").alias("z", "i"))
+    given = lambda c, v: F.coalesce(c, F.lit(v))
+    own = lambda c, v: given(F.col(f"i.{c}"), v).alias(c)
+    clip = items.select(F.col("i.id").alias("item_id"), own("type", "video"), F.col("i.source").alias("source_id"), own("x", 0), own("y", 0.0), own("length", 1), own("height", 1.0), own("offset", 0), "z")
+    a = items.select(F.col("i.id").alias("source"), F.explode("i.anchors").alias("a"))
+    flags = [given(F.col(f"a.{c}"), False).alias(c) for c in ("visible", "two_way")]
+    return {"clip": clip, "anchor": a.select("source", "a.target", given(F.col("a.offset_ns"), 0).alias("offset_ns"), *flags)}
 
 
 def dump_project(tables: dict[str, DataFrame]) -> DataFrame:

@@ -1,5 +1,6 @@
 """Fixtures with known values, and properties against plain loops."""
 
+import json
 import math
 import random
 
@@ -90,7 +91,8 @@ def test_sequences(spark):
 
 def test_over_is_the_pairwise_rule(spark):
     rnd = random.Random(4)
-    rows = [(f, z, rnd.random(), rnd.choice([0.0, 1.0, rnd.random()])) for f in range(30) for z in range(rnd.randint(1, 5))]
+    rows = [(f, z, rnd.random(), rnd.choice([0.0, 1.0, rnd.random()])) for f in range(29) for z in range(rnd.randint(1, 5))]
+    rows += [(29, z, rnd.random(), rnd.random() / 500) for z in range(2000)]  # an index with most of the rows
     got = {r.f: (r.c, r.a) for r in mix.over(spark.createDataFrame(rows, "f int, z int, c double, a double"), ["f"], ["z"], ["c"], "a").collect()}
     for f in range(30):
         c = a = 0.0
@@ -278,14 +280,17 @@ def test_catalog_and_packets(spark):
     assert values(catalog.drop_clip(s, 100, 50).select("stream_no", "x", "length", "anchor_to"), "stream_no") == [(0, 105, 5, None), (1, 100, 50, 0)]
 
 
-def test_sources(spark):
+def test_sources(spark, tmp_path):
     f = spark.createDataFrame([(0,), (1,)], "frame long")
     c = ff.lerp(F.col("frame"), [0.5, 0.25, 2, 1], [-0.5, -0.25, -2, 0], 2)
     s = generators.solid(f, c, (0, 0), (1, 1))
     assert s.count() == 8 and s.where("frame = 1 and (r <> 0 or a <> 0.5)").count() == 0
     still = generators.still(f, s.where("frame = 0").drop("frame"), (0, 0), (0, 1))
     assert still.count() == 4 and generators.empty(spark).count() == 0
-    p = projects.load_project(spark, {"items": [{"id": 1, "source": "a", "length": 5, "anchors": [{"target": 2, "two_way": True}]}, {"id": 2, "x": 3}]})
+    (tmp_path / "project.json").write_text(json.dumps({"items": [{"id": 1, "source": "a", "length": 5, "anchors": [{"target": 2, "two_way": True}]}, {"id": 2, "x": 3}]}, indent=1))
+    p = projects.load_project(spark, f"file://{tmp_path}/project.json")
+    assert values(p["clip"], "item_id") == [(1, "video", "a", 0, 0.0, 5, 1.0, 0, 0), (2, "video", None, 3, 0.0, 1, 1.0, 0, 1)]
+    assert values(p["anchor"], "source") == [(1, 2, 0, False, True)]
     assert p["clip"].count() == 2 and p["anchor"].count() == 1 and "anchors" in projects.dump_project(p).orderBy("item_id").first().json
     assert projects.pull(s) > 0
 
