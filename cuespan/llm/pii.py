@@ -139,8 +139,10 @@ def _generalised(told: DataFrame, known: DataFrame, discloses) -> DataFrame:
     asked = told.where("action = 'generalise'").select("term", "n_e").distinct()
     asked = stored(asked.select("term", "n_e", F.explode(stems(F.col("term"))).alias("stem")), "asked")
     classes = known.select(F.explode(stems(F.col("term"))).alias("stem"), "n_t")
-    classes = classes.join(bounded_broadcast(asked.select("stem").distinct(), 200_000), "stem", "left_semi").groupBy("stem").agg(F.sum("n_t").alias("n_t"))
-    fit = asked.join(classes, "stem").where(~discloses(F.col("n_e")))
+    # terms that share a beginning may be many: lookup deals the rows of such beginnings apart
+    n_s = stored(asked.groupBy("stem").agg(F.count("*").alias("rows")), "beginnings")
+    n_t = classes.join(bounded_broadcast(n_s, 200_000), "stem").groupBy("stem", "rows").agg(F.sum("n_t").alias("n_t"))
+    fit = lookup(asked, n_t, ["stem"], "rows").where(~discloses(F.col("n_e")))
     return fit.groupBy("term", "n_e").agg(F.max_by("stem", F.length("stem")).alias("general"))
 
 
