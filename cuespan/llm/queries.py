@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, licenses, lpf_dedup, pii, quality_knn, quality_rules, toxicity, warc, winnow
+from . import bpe, jaccard, licenses, lpf_dedup, packing, pii, quality_knn, quality_rules, toxicity, warc, winnow
 
 QUERIES = {
     "op6_licenses": licenses.op6_licenses,
@@ -15,6 +15,7 @@ QUERIES = {
     "op4_pii": pii.op4_pii,
     "op5_winnowing": winnow.op5_winnowing,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op11_packing": packing.op11_packing,
 }
 
 SQL = {
