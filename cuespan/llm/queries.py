@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, licenses, lpf_dedup, packing, phrases, pii, quality_knn, quality_rules, toxicity, warc, winnow
+from . import bpe, importance, jaccard, licenses, lpf_dedup, packing, phrases, pii, quality_knn, quality_rules, toxicity, warc, winnow
 
 QUERIES = {
     "op6_licenses": licenses.op6_licenses,
@@ -17,9 +17,11 @@ QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op11_packing": packing.op11_packing,
     "op12_collocations": phrases.op12_collocations,
+    "op13_importance": importance.op13_importance,
 }
 
 SQL = {
+    "op13_importance": importance.SQL,
     "op12_collocations": phrases.SQL,
     "op4_pii": pii.SQL,
     "op6_licenses": licenses.SQL,
