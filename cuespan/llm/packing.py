@@ -39,7 +39,7 @@ from .common import local_file, parts, table
 CONTEXT, END, GROUP = 2048, 1, 256
 LINEAR, QUADRATIC = 1.0, 1 / 2048
 #: Words that a worker's table holds, the longest one that it keeps, and characters that are split at once.
-WORDS, LONGEST, BLOCK = 1_500_000, 64, 1 << 18
+WORDS, LONGEST, BLOCK = 2_000_000, 64, 1 << 18
 #: White space to Python's split() but not to the vocabulary's rule.
 ODD = re.compile("[\x1c-\x1f]")
 SPLIT = re.compile("[ \t\n\r]+")
@@ -75,26 +75,27 @@ class Words:
                 plain[w] = m.groups()
             else:
                 others.append(w)
-        cores = [*{c for c, _ in plain.values()}]
+        cores = [*{c for c, _ in plain.values() if c not in self.table}]
         marks = [*{m for _, m in plain.values()}]
-        new = {c: _raw(e.ids) for c, e in zip(cores, self.letters.encode_batch_fast(cores, add_special_tokens=False), strict=True)}
+        self.table.update((c, _raw(e.ids)) for c, e in zip(cores, self.letters.encode_batch_fast(cores, add_special_tokens=False), strict=True))
         ends = {m: _raw(i) for m, i in zip(marks, self.codec.ids(marks), strict=True)}
-        self.table.update((w, new[c] + ends[m]) for w, (c, m) in plain.items())
+        known = self.table
+        known.update([(w, known[c] + ends[m]) for w, (c, m) in plain.items()])
         self.table.update((w, _raw(i)) for w, i in zip(others, self.codec.ids(others), strict=True))
 
     def _blocks(self, texts: list[str]) -> list[bytes]:
         lists = [SPLIT.split(t) if ODD.search(t) else t.split() for t in texts]
-        new = {w for x in lists for w in x if w not in self.table}
-        long = {w for w in new if len(w) > LONGEST}
-        if len(self.table) + len(new) > WORDS:
-            self.table.clear()
-            new = set().union(*lists)
-        self._learn(new - long)
-        known = self.table.__getitem__
-        if long:  # these are never kept
-            own = {w: _raw(i) for w, i in zip(long, self.codec.encode([*long]), strict=True)}
-            return [b"".join([own.get(w) or known(w) for w in x]) for x in lists]
-        return [b"".join(map(known, x)) for x in lists]
+        got = [[*map(self.table.get, x)] for x in lists]
+        if new := {w for x, g in zip(lists, got, strict=True) if None in g for w, v in zip(x, g, strict=True) if v is None}:
+            own = {}
+            if long := {w for w in new if len(w) > LONGEST}:  # these are never kept
+                own = {w: _raw(i) for w, i in zip(long, self.codec.encode([*long]), strict=True)}
+            if len(self.table) + 2 * len(new) > WORDS:
+                self.table.clear()
+            self._learn(new - long)
+            own |= {w: self.table[w] for w in new - long}
+            got = [[own[w] if v is None else v for w, v in zip(x, g, strict=True)] for x, g in zip(lists, got, strict=True)]
+        return [b"".join(g) for g in got]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         out = []
