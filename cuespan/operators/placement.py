@@ -56,47 +56,89 @@ def where_fits(items: DataFrame, sizes: DataFrame, at: DataFrame, seq: str = "se
     return at.join(p.groupBy(seq).agg(F.min(idx).alias("at_idx")), seq, "left")
 
 
-def place(items: DataFrame, movers: DataFrame, at: DataFrame, seq: str = "seq", idx: str = "idx", strict: bool = True) -> tuple[DataFrame, DataFrame]:
-    """items with each sequence's mover put in at x of at (seq, x), and rows (seq, shift) by which sequences move.
-
-    Neighbours keep their times; a mover put in first moves the start of its sequence instead. Where there is
-    no room it is an error, or without strict that sequence stays as it is."""
-    sizes = mover_sizes(movers, [seq], idx)
-    found = where_fits(items, sizes, at, seq, idx).join(sizes.select(seq, "size"), seq).join(movers.groupBy(seq).agg(F.count("*").alias("_n")), seq)
-    found = found.withColumn("at_idx", guarded(F.col("at_idx").isNotNull(), F.col("at_idx"))) if strict else found.where("at_idx is not null")
+def place_all(items: DataFrame, movers: DataFrame, at: DataFrame, seq: str = "seq", idx: str = "idx", mover: str = "mover", strict: bool = True, kind: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """items with many movers put in, and rows (seq, shift) by which sequences move.
+
+    movers has the columns of items and `mover`; at (seq, mover, x) says where each begins, counted from the start that its
+    sequence has now. The result is that of putting them in one by one in the order of x. Neighbours keep their times; a mover
+    put in first moves the start of its sequence instead. Two movers can't begin at one place of a sequence,
+    and with `kind` (a column of both) a mover must be of the kind of its sequence's first item. Where one has no room, it is an
+    error, or without strict all of that sequence stays as it is.
+
+    Items never move in time, so an item's transition is where the one before it ends less its own start. Items and movers
+    are sorted together; each mover then looks at the element before it and at the item after it, whatever the
+    number of movers: two sorts within a sequence, the second for movers that begin where an item does.
+    """
     w = Window.partitionBy(seq).orderBy(idx)
-    d = overlap_starts(items, [seq], idx, "length", "transition_length").withColumn("_end", F.lead(idx).over(w).isNull())
-    d = d.join(found.select(seq, "x", "at_idx", "size", "_n"), seq, "left")
-    # what stands at the index: its place and transition, or the sequence's end
-    here = d.where(F.col(idx) == F.col("at_idx")).select(seq, F.col("start").alias("_old"), F.col("transition_length").alias("_t"))
-    tail = d.where(F.col("_end") & (F.col(idx) + 1 == F.col("at_idx"))).select(seq, (F.col("start") + F.col("length")).alias("_old"), F.lit(0).alias("_t"))
-    spot = here.unionByName(tail).join(found.select(seq, "x", "at_idx"), seq)
-    first = F.when(F.col("at_idx") == 0, 0).otherwise(F.col("_old") - F.col("x") + F.col("_t")).cast("long")
-    new = movers.withColumn("_r", F.row_number().over(w) - 1).join(spot, seq)
-    new = new.withColumns({"transition_length": F.when(F.col("_r") == 0, first).otherwise(F.col("transition_length")).cast("long"), idx: (F.col("at_idx") + F.col("_r")).cast("long")})
-    kept = d.withColumns({
-        "transition_length": F.when(F.col(idx) == F.col("at_idx"), F.col("size") - (F.col("start") - F.col("x"))).otherwise(F.col("transition_length")).cast("long"),
-        idx: F.when(F.col(idx) >= F.col("at_idx"), F.col(idx) + F.col("_n")).otherwise(F.col(idx)).cast("long"),
-    })
-    shift = spot.where("at_idx = 0").select(seq, (F.col("x") - F.col("_old")).cast("long").alias("shift"))
-    return kept.select(*items.columns).unionByName(new.select(*items.columns)), shift
-
-
-def place_sequence(items: DataFrame, other: DataFrame, at: DataFrame, seq: str = "seq", idx: str = "idx", strict: bool = True) -> DataFrame:
-    """items with the whole sequence `other` (its rows' seq say where it goes) put in from x on: its runs of
-    overlapping items one after the other, each at its own distance. The table that comes out has one round
-    of windows for each run of the longest `other`."""
-    runs = overlap_groups(other, [seq], idx, "transition_length")
-    runs = overlap_starts(runs, [seq], idx, "length", "transition_length")
-    most = runs.agg(F.max("group_no")).first()[0] or 0
-    # a run that goes in first moves the start, so later places count from the new one
-    moved = at.select(seq, F.lit(0).cast("long").alias("_by"))
-    for k in range(1, most + 1):
-        own = runs.where(F.col("group_no") == k)
-        x = own.groupBy(seq).agg(F.min("start").alias("_s")).join(at, seq).join(moved, seq).select(seq, (F.col("x") + F.col("_s") - F.col("_by")).alias("x"))
-        items, shift = place(items, own.select(*other.columns), x, seq, idx, strict)
-        moved = moved.join(shift, seq, "left").select(seq, (F.col("_by") + F.coalesce("shift", F.lit(0))).alias("_by"))
-    return items
+    own = overlap_starts(items, [seq], idx, "length", "transition_length")
+    own = own.withColumn("_next", F.coalesce(F.lead("transition_length").over(w), F.lit(0)))
+    null = lambda t: F.lit(None).cast(t)
+    olds = own.select(
+        F.col(seq).alias("_s"), null(movers.schema[mover].dataType).alias("_m"), F.col("start").alias("_x"), (F.col("start") + F.col("length")).cast("long").alias("_end"),
+        F.col("start").alias("_last"), null("long").alias("_own"), F.lit(1).cast("long").alias("_n"), null("long").alias("_in"), null("long").alias("_out"),
+        F.struct(F.col("start").alias("x"), F.col("length").cast("long").alias("length"), F.col("_next").cast("long").alias("t")).alias("_q"),
+        F.col(kind or seq).alias("_kind"), F.struct(*items.columns).alias("_item"),
+    )
+    last = movers.groupBy(seq, mover).agg(
+        F.count("*").alias("_n"), F.max_by("length", idx).cast("long").alias("_ll"), F.max_by("transition_length", idx).cast("long").alias("_lt"), F.min_by(kind or seq, idx).alias("_kind")
+    )
+    news = mover_sizes(movers, [seq, mover], idx).join(last, [seq, mover]).join(at.select(seq, mover, F.col("x").cast("long").alias("_x")), [seq, mover])
+    end = F.col("_x") + F.col("size")
+    news = news.select(
+        F.col(seq).alias("_s"), F.col(mover).alias("_m"), "_x", end.alias("_end"), (end - F.col("_ll")).alias("_last"), F.when(F.col("_n") > 1, F.col("_lt")).alias("_own"), "_n",
+        F.col("fade_in").alias("_in"), F.col("fade_out").alias("_out"), null(olds.schema["_q"].dataType).alias("_q"), "_kind", null(olds.schema["_item"].dataType).alias("_item"),
+    )
+    new = F.col("_item").isNull()
+    d = olds.unionByName(news).withColumn("_place", F.when(new, 0).otherwise(1))
+
+    def looked(d: DataFrame) -> DataFrame:
+        """With `_fits`: whether a mover has room between the element before it and the next item."""
+        up = Window.partitionBy("_s").orderBy("_x", "_place", idx_of)
+        down = Window.partitionBy("_s").orderBy(F.desc("_x"), F.desc("_place"), F.desc(idx_of)).rowsBetween(Window.unboundedPreceding, -1)
+        p = F.lag(F.struct("_x", "_end", "_last", "_own")).over(up)
+        d = d.withColumns({"_p": p, "_pp": F.lag("_end", 2).over(up), "_after": F.last("_q", True).over(down)})
+        lap = F.greatest(F.lit(0), F.coalesce(F.col("_p._own"), F.col("_pp") - F.col("_p._x"), F.lit(0)))
+        left = F.col("_p").isNull() | ((F.col("_x") >= F.col("_p._last") + lap) & (F.col("_x") >= F.col("_p._end") - F.col("_in")))
+        free = F.col("_p").isNull() | F.col("_after").isNull() | (F.col("_p._end") <= F.col("_after.x"))
+        right = F.col("_after").isNull() | (F.col("_end") <= F.col("_after.x") + F.least("_out", F.col("_after.length") - F.col("_after.t")))
+        return d.withColumn("_fits", left & free & right)
+
+    idx_of = F.col(f"_item.{idx}")
+    # a mover that has no room before an item of the same start is tried behind it
+    late = looked(d).withColumn("_place", F.when(new & ~F.col("_fits") & (F.col("_after.x") == F.col("_x")), 2).otherwise(F.col("_place")))
+    d = looked(late.drop("_p", "_pp", "_after", "_fits"))
+    up = Window.partitionBy("_s").orderBy("_x", "_place", idx_of)
+    same = F.count(F.when(new, 1)).over(Window.partitionBy("_s", "_x"))
+    ok = F.col("_fits") & (F.col("_same") <= 1) & (F.col("_kind").eqNullSafe(F.col("_first")) if kind else F.lit(True))
+    whole = Window.partitionBy("_s")
+    d = d.withColumns({"_same": same, "_first": F.min_by(F.when(~new, F.col("_kind")), F.when(~new, F.struct("_x", idx_of))).over(whole)})
+    d = d.withColumn("_ok", F.min(F.when(new, ok).otherwise(True).cast("int")).over(whole) == 1)
+    before = F.coalesce(F.sum("_n").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    d = d.withColumns({"_idx": before.cast("long"), "_t": F.when(F.col("_p").isNull(), F.when(new, 0)).otherwise(F.col("_p._end") - F.col("_x")).cast("long")})
+    d = d.withColumn("_ok", guarded(F.col("_ok"), F.col("_ok"))) if strict else d
+    cast = lambda c, v: v.cast(items.schema[c].dataType)
+    old = d.where(~new).select("_item", "_ok", "_idx", "_t")
+    fresh = {idx: F.when(F.col("_ok"), F.col("_idx")).otherwise(F.col(f"_item.{idx}")), "transition_length": F.when(F.col("_ok"), F.coalesce("_t", "_item.transition_length")).otherwise(F.col("_item.transition_length"))}
+    old = old.select(*[cast(c, fresh[c]).alias(c) if c in fresh else F.col(f"_item.{c}") for c in items.columns])
+    spot = d.where(new & F.col("_ok")).select(F.col("_s").alias(seq), F.col("_m").alias(mover), "_idx", "_t", "_x")
+    added = movers.withColumn("_r", F.row_number().over(Window.partitionBy(seq, mover).orderBy(idx)) - 1).join(spot, [seq, mover])
+    added = added.withColumns({"transition_length": cast("transition_length", F.when(F.col("_r") == 0, F.col("_t")).otherwise(F.col("transition_length"))), idx: cast(idx, F.col("_idx") + F.col("_r"))})
+    shift = spot.where("_idx = 0").select(seq, F.col("_x").alias("shift"))
+    return old.unionByName(added.select(*items.columns)), shift
+
+
+def place(items: DataFrame, movers: DataFrame, at: DataFrame, seq: str = "seq", idx: str = "idx", strict: bool = True, kind: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """place_all() for one mover a sequence; at (seq, x)."""
+    one = F.lit(0)
+    return place_all(items, movers.withColumn("_mover", one), at.withColumn("_mover", one), seq, idx, "_mover", strict, kind)
+
+
+def place_sequence(items: DataFrame, other: DataFrame, at: DataFrame, seq: str = "seq", idx: str = "idx", strict: bool = True, kind: str | None = None) -> DataFrame:
+    """items with the whole sequence `other` (its rows' seq say where it goes) put in from x of at (seq, x) on: each of its runs
+    of overlapping items at its own distance, all in one pass."""
+    runs = overlap_groups(overlap_starts(other, [seq], idx, "length", "transition_length"), [seq], idx, "transition_length")
+    spots = runs.groupBy(seq, "group_no").agg(F.min("start").alias("_start")).join(at.select(seq, "x"), seq).select(seq, "group_no", (F.col("x") + F.col("_start")).alias("x"))
+    return place_all(items, runs, spots, seq, idx, "group_no", strict, kind)[0]
 
 
 def rooms(items: DataFrame, moved: Column, by: Column, seq: str = "seq", idx: str = "idx") -> DataFrame:
