@@ -73,8 +73,10 @@ def place_all(items: DataFrame, movers: DataFrame, at: DataFrame, seq: str = "se
     own = overlap_starts(items, [seq], idx, "length", "transition_length")
     own = own.withColumn("_next", F.coalesce(F.lead("transition_length").over(w), F.lit(0)))
     null = lambda t: F.lit(None).cast(t)
+    # an item may begin before the one ahead of it does, if that one is shorter than their transition; the order is by index still
+    own = own.withColumn("_key", F.max("start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     olds = own.select(
-        F.col(seq).alias("_s"), null(movers.schema[mover].dataType).alias("_m"), F.col("start").alias("_x"), (F.col("start") + F.col("length")).cast("long").alias("_end"),
+        "_key", F.col(seq).alias("_s"), null(movers.schema[mover].dataType).alias("_m"), F.col("start").alias("_x"), (F.col("start") + F.col("length")).cast("long").alias("_end"),
         F.col("start").alias("_last"), null("long").alias("_own"), F.lit(1).cast("long").alias("_n"), null("long").alias("_in"), null("long").alias("_out"),
         F.struct(F.col("start").alias("x"), F.col("length").cast("long").alias("length"), F.col("_next").cast("long").alias("t")).alias("_q"),
         F.col(kind or seq).alias("_kind"), F.struct(*items.columns).alias("_item"),
@@ -85,7 +87,7 @@ def place_all(items: DataFrame, movers: DataFrame, at: DataFrame, seq: str = "se
     news = mover_sizes(movers, [seq, mover], idx).join(last, [seq, mover]).join(at.select(seq, mover, F.col("x").cast("long").alias("_x")), [seq, mover])
     end = F.col("_x") + F.col("size")
     news = news.select(
-        F.col(seq).alias("_s"), F.col(mover).alias("_m"), "_x", end.alias("_end"), (end - F.col("_ll")).alias("_last"), F.when(F.col("_n") > 1, F.col("_lt")).alias("_own"), "_n",
+        F.col("_x").alias("_key"), F.col(seq).alias("_s"), F.col(mover).alias("_m"), "_x", end.alias("_end"), (end - F.col("_ll")).alias("_last"), F.when(F.col("_n") > 1, F.col("_lt")).alias("_own"), "_n",
         F.col("fade_in").alias("_in"), F.col("fade_out").alias("_out"), null(olds.schema["_q"].dataType).alias("_q"), "_kind", null(olds.schema["_item"].dataType).alias("_item"),
     )
     new = F.col("_item").isNull()
@@ -93,8 +95,8 @@ def place_all(items: DataFrame, movers: DataFrame, at: DataFrame, seq: str = "se
 
     def looked(d: DataFrame) -> DataFrame:
         """With `_fits`: whether a mover has room between the element before it and the next item."""
-        up = Window.partitionBy("_s").orderBy("_x", "_place", idx_of)
-        down = Window.partitionBy("_s").orderBy(F.desc("_x"), F.desc("_place"), F.desc(idx_of)).rowsBetween(Window.unboundedPreceding, -1)
+        up = Window.partitionBy("_s").orderBy("_key", "_place", idx_of)
+        down = Window.partitionBy("_s").orderBy(F.desc("_key"), F.desc("_place"), F.desc(idx_of)).rowsBetween(Window.unboundedPreceding, -1)
         p = F.lag(F.struct("_x", "_end", "_last", "_own")).over(up)
         d = d.withColumns({"_p": p, "_pp": F.lag("_end", 2).over(up), "_after": F.last("_q", True).over(down)})
         lap = F.greatest(F.lit(0), F.coalesce(F.col("_p._own"), F.col("_pp") - F.col("_p._x"), F.lit(0)))
@@ -107,7 +109,7 @@ def place_all(items: DataFrame, movers: DataFrame, at: DataFrame, seq: str = "se
     # a mover that has no room before an item of the same start is tried behind it
     late = looked(d).withColumn("_place", F.when(new & ~F.col("_fits") & (F.col("_after.x") == F.col("_x")), 2).otherwise(F.col("_place")))
     d = looked(late.drop("_p", "_pp", "_after", "_fits"))
-    up = Window.partitionBy("_s").orderBy("_x", "_place", idx_of)
+    up = Window.partitionBy("_s").orderBy("_key", "_place", idx_of)
     same = F.count(F.when(new, 1)).over(Window.partitionBy("_s", "_x"))
     ok = F.col("_fits") & (F.col("_same") <= 1) & (F.col("_kind").eqNullSafe(F.col("_first")) if kind else F.lit(True))
     whole = Window.partitionBy("_s")
