@@ -35,9 +35,14 @@ def reach(start: DataFrame, edges: DataFrame) -> DataFrame:
     """(origin, node, depth): all that start (origin) reaches over edges (source, target), itself at depth 0.
 
     A breadth-first round joins the newest nodes alone and drops those known, so cycles end. There are as
-    many rounds as the longest shortest way has edges.
+    many rounds as the longest shortest way has edges; closure() has fewer where depths aren't asked for.
     """
-    seen = front = fresh(start.select("origin", F.col("origin").alias("node"), F.lit(0).alias("depth")).distinct())
+    return reach_from(start.select("origin", F.col("origin").alias("node")), edges)
+
+
+def reach_from(front: DataFrame, edges: DataFrame) -> DataFrame:
+    """reach() from rows (origin, node)."""
+    seen = front = fresh(front.select("origin", "node", F.lit(0).alias("depth")).distinct())
     depth = 0
     while not front.isEmpty():
         depth += 1
@@ -47,14 +52,105 @@ def reach(start: DataFrame, edges: DataFrame) -> DataFrame:
     return seen
 
 
+def closure(start: DataFrame, edges: DataFrame, rounds: int = 8) -> DataFrame:
+    """(origin, node): all that start (origin) reaches over edges (source, target), itself included.
+
+    Most graphs are done after a few breadth-first rounds. What is deeper is contracted and searched as a smaller graph:
+    nodes tied both ways become one; nodes without edges onward are left to the end; and ways along
+    nodes with one edge onward are taken in steps that double. So chains, circles and trees, however
+    deep, take rounds that grow with the logarithm of their size, and a graph that nothing contracts is searched by reach().
+    """
+    edges = fresh(edges.select("source", "target").where("source <> target").distinct())
+    return _closure(fresh(start.select("origin", F.col("origin").alias("node")).distinct()), edges, rounds)
+
+
+def _closure(seen: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
+    front = seen
+    for _ in range(rounds):
+        nxt = front.join(edges, front["node"] == edges["source"]).select("origin", F.col("target").alias("node")).distinct()
+        front = fresh(nxt.join(seen, ["origin", "node"], "left_anti"))
+        if front.isEmpty():
+            return seen
+        seen = fresh(seen.unionByName(front))
+    return fresh(seen.unionByName(_contracted(front, edges, rounds)).distinct())
+
+
+def _relabelled(df: DataFrame, column: str, names: DataFrame) -> DataFrame:
+    """df with a column's values that names (id, part) has replaced by their part."""
+    return df.join(names.select(F.col("id").alias(column), "part"), column, "left").withColumn(column, F.coalesce("part", column)).drop("part")
+
+
+def _contracted(front: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
+    ties = edges.join(edges.select(F.col("target").alias("source"), F.col("source").alias("target")), ["source", "target"]).where("source < target")
+    if not ties.isEmpty():
+        names = parts(ties)
+        small = _relabelled(_relabelled(edges, "source", names), "target", names).where("source <> target").distinct()
+        got = _closure(fresh(_relabelled(front, "node", names).distinct()), fresh(small), rounds)
+        return got.join(names, got["node"] == names["part"], "left").select("origin", F.coalesce("id", "node").alias("node"))
+    goes_on = edges.select(F.col("source").alias("target")).distinct()
+    inner, last = fresh(edges.join(goes_on, "target", "left_semi")), fresh(edges.join(goes_on, "target", "left_anti"))
+    onward = inner.groupBy("source").agg(F.count("*").alias("n"), F.min("target").alias("to"))
+    jump = fresh(onward.where("n = 1").select(F.col("source").alias("node"), "to"))
+    forks = fresh(inner.join(onward.where("n > 1").select("source"), "source"))
+    # jumps of 1, 2, 4 ... edges, up to the longest way without a fork; circles have no end
+    most, jumps = jump.count(), []
+    while not jump.isEmpty():
+        jumps.append(jump)
+        if 1 << len(jumps) > most:
+            break
+        jump = fresh(jump.join(jump.select(F.col("node").alias("to"), F.col("to").alias("_to")), "to").select("node", F.col("_to").alias("to")))
+    entries = front
+    if not forks.isEmpty():
+        ends = jumps[0] if jumps else None
+        for _ in jumps[1:]:
+            ends = fresh(ends.join(ends.select(F.col("node").alias("to"), F.col("to").alias("_to")), "to", "left").select("node", F.coalesce("_to", "to").alias("to")))
+        at_fork = forks.select(F.col("source").alias("target")).distinct()
+
+        def led(df: DataFrame, column: str) -> DataFrame:
+            """df with a column's nodes led along to the fork where their way ends; without those that lead to none."""
+            df = _relabelled(df, column, ends.select(F.col("node").alias("id"), F.col("to").alias("part"))) if ends is not None else df
+            return df.join(at_fork.withColumnRenamed("target", column), column, "left_semi").distinct()
+
+        small = fresh(led(forks, "target").where("source <> target"))
+        if 10 * small.count() > 9 * edges.count():
+            return reach_from(front, edges).select("origin", "node")
+        got = _closure(fresh(led(front, "node")), small, rounds)
+        entries = fresh(front.unionByName(got.join(forks, got["node"] == forks["source"]).select("origin", F.col("target").alias("node"))).distinct())
+    for jump in jumps:
+        entries = fresh(entries.unionByName(entries.join(jump, "node").select("origin", F.col("to").alias("node"))).distinct())
+    return entries.unionByName(entries.join(last, entries["node"] == last["source"]).select("origin", F.col("target").alias("node")))
+
+
+def parts(links: DataFrame) -> DataFrame:
+    """(id, part) of the ends of links (source, target): the least id that links tie each to, either way.
+
+    Each round every node takes the least of itself and its neighbours, pointers are followed to their ends, and the graph is
+    contracted to those: at most half the nodes that have links stay."""
+    e = fresh(links.select(F.least("source", "target").alias("u"), F.greatest("source", "target").alias("v")).where("u <> v").distinct())
+    named = None
+    while not e.isEmpty():
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        to = fresh(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("id"), F.least("u", "v").alias("part")))
+        while True:
+            far = to.select(F.col("id").alias("part"), F.col("part").alias("_far"))
+            nxt = fresh(to.join(far, "part").select("id", F.col("_far").alias("part"), (F.col("_far") != F.col("part")).alias("_moved")))
+            to = nxt.select("id", "part")
+            if nxt.where("_moved").isEmpty():
+                break
+        named = to if named is None else fresh(_relabelled(named.withColumnRenamed("part", "_p"), "_p", to).select("id", F.col("_p").alias("part")))
+        e = _relabelled(_relabelled(e, "u", to), "v", to)
+        e = fresh(e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct())
+    return e.select(F.col("u").alias("id"), F.col("v").alias("part")) if named is None else named
+
+
 def overlap_stack(start: DataFrame, overlaps: DataFrame, z: DataFrame) -> DataFrame:
     """What lies over or under each origin through overlaps that go straight up or straight down in z.
 
     overlaps (a, b) both ways; z (id, z)."""
     e = overlaps.join(z.select(F.col("id").alias("a"), F.col("z").alias("za")), "a").join(z.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b")
-    up = reach(start, e.where("zb > za").select(F.col("a").alias("source"), F.col("b").alias("target")))
-    down = reach(start, e.where("zb < za").select(F.col("a").alias("source"), F.col("b").alias("target")))
-    return up.unionByName(down).where("depth > 0").select("origin", "node").distinct()
+    e = fresh(e.select("a", "b", (F.col("zb") > F.col("za")).alias("up"), (F.col("zb") < F.col("za")).alias("down")))
+    ways = [closure(start, e.where(way).select(F.col("a").alias("source"), F.col("b").alias("target"))) for way in ("up", "down")]
+    return ways[0].unionByName(ways[1]).where("origin <> node").distinct()
 
 
 def anchored_x(target_x: Column, offset_ns: Column, tn: int, td: int, n: int, d: int) -> Column:
@@ -69,31 +165,49 @@ def anchored_y(target_y: Column, offset: Column) -> Column:
     return target_y + offset
 
 
-def _least_of_parts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, least): the least `rank` of all nodes (id, rank) that edges (source, target) tie a node to, either way."""
-    both = edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
-    now = fresh(nodes.select("id", F.col("rank").alias("least")))
-    while True:
-        near = both.join(now.withColumnRenamed("id", "target"), "target").groupBy(F.col("source").alias("id")).agg(F.min("least").alias("near"))
-        nxt = fresh(now.join(near, "id", "left").select("id", F.least("least", F.coalesce("near", "least")).alias("least"), (F.col("near") < F.col("least")).alias("_new")))
-        if nxt.where("_new").isEmpty():
-            return nxt.select("id", "least")
-        now = nxt.select("id", "least")
+def _halved(d: DataFrame) -> DataFrame:
+    """Rows (id, to, dist, least) where `to` and what is known of it are taken one doubling further."""
+    far = d.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("dist").alias("_dist"), F.col("least").alias("_least"))
+    out = d.join(far, "to", "left").select("id", F.coalesce("_to", "to").alias("to"), (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"), F.least("least", F.coalesce("_least", "least")).alias("least"), F.col("_to").isNotNull().alias("open"))
+    return fresh(out)
+
+
+def _depths(tied: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(id, depth) where each source of tied (source, target) has one target; ranks (id, rank).
+
+    Steps along targets double until all ways end. Where they don't end, they have led to a circle; of a
+    circle, the item of the least rank is let go of, and steps are taken anew."""
+    first = tied.join(ranks, tied["source"] == ranks["id"]).select("id", F.col("target").alias("to"), F.lit(1).cast("long").alias("dist"), F.col("rank").alias("least"))
+    n, steps, d = tied.count(), 1, fresh(first)
+    while steps <= n:
+        d, steps = _halved(d), steps * 2
+        if d.where("open").isEmpty():
+            return d.select("id", F.col("dist").alias("depth"))
+    rings = d.where("open").select(F.col("to").alias("id")).distinct()
+    ring, steps = fresh(first.join(rings, "id", "left_semi")), 1
+    while steps <= n:  # over the whole of each circle
+        ring, steps = _halved(ring), steps * 2
+    free = fresh(ring.where("least.id = id").select(F.col("id").alias("source")))
+    return _depths(fresh(tied.join(free, "source", "left_anti")), ranks).unionByName(free.select(F.col("source").alias("id"), F.lit(0).cast("long").alias("depth")))
 
 
 def anchor_order(items: DataFrame, anchors: DataFrame) -> DataFrame:
     """items (id, rate, ...) with `depth`: every item comes after the targets of its anchors (source, target).
 
-    Each round places the items whose targets are all placed. Where none is left but circles, each circle
-    is broken at its item of the lowest rate, of equal ones at the least id, and the rounds go on."""
+    A circle is broken at its item of the lowest rate, of equal ones at the least id. Where items have one anchor each, depths
+    come from steps that double. Else each round places the items whose targets are all placed; where none is left but
+    circles, what is tied together gives way at its item of the lowest rate, and the rounds go on."""
     left = fresh(items.select("id", F.struct("rate", "id").alias("rank")))
     tied = anchors.select("source", "target").where("source <> target").distinct()
     tied = fresh(tied.join(left.select(F.col("id").alias("target")), "target", "left_semi").join(left.select(F.col("id").alias("source")), "source", "left_semi"))
+    if tied.groupBy("source").count().where("count > 1").isEmpty():
+        deep = _depths(tied, left)
+        return items.join(deep, "id", "left").withColumn("depth", F.coalesce("depth", F.lit(0)).cast("int"))
     placed, depth = None, 0
     while not left.isEmpty():
         free = left.join(tied.select(F.col("source").alias("id")), "id", "left_anti").select("id")
         if free.isEmpty():
-            free = _least_of_parts(left, tied).groupBy("least").agg(F.first("least.id").alias("id")).select("id")
+            free = left.join(parts(tied), "id", "left").groupBy(F.coalesce("part", "id")).agg(F.min("rank").alias("rank")).select("rank.id")
         free = fresh(free.withColumn("depth", F.lit(depth)))
         placed = free if placed is None else placed.unionByName(free)
         left = fresh(left.join(free, "id", "left_anti"))

@@ -319,7 +319,23 @@ def overlap_stack_closure(spark, d):
 def anchor_reach(spark, d):
     c = t(spark, d, "customer").select(F.col("c_custkey").alias("source"), tc._div(F.col("c_custkey"), 3).alias("target"), (F.col("c_acctbal") < 0).alias("two_way"))
     start = t(spark, d, "supplier").select(F.col("s_suppkey").alias("origin"))
-    return graph.reach(start, graph.both_ways(c, "source", "target", "two_way")).select("origin", "node")
+    return graph.closure(start, graph.both_ways(c, "source", "target", "two_way"))
+
+
+@query("select n_nationkey as origin, k as node from nation, (select c_custkey as k from customer union select c_custkey - 1 from customer) where k >= n_nationkey")
+def chain_reach(spark, d):
+    """A chain of all customers, far deeper than it is broad."""
+    k = F.col("c_custkey")
+    return graph.closure(t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("origin")), t(spark, d, "customer").select((k - 1).cast("long").alias("source"), k.cast("long").alias("target")))
+
+
+@query("with c as (select c_custkey as id, c_nationkey as g, c_custkey % 7 as rate, row_number() over (partition by c_nationkey order by c_custkey) as r, count(*) over (partition by c_nationkey) as n from customer), f as (select g, arg_min(r, rate * 1000000000 + id) as f from c group by g) select id, cast((f - r + n) % n as int) as depth from c join f using (g)")
+def anchor_circles(spark, d):
+    """Each nation's customers as a circle, broken at the lowest rate."""
+    w = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    nxt = F.coalesce(F.lead("c_custkey").over(w), F.min("c_custkey").over(Window.partitionBy("c_nationkey")))
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 7).alias("rate"), nxt.alias("to"))
+    return graph.anchor_order(c.select("id", "rate"), c.select(F.col("id").alias("source"), F.col("to").alias("target"))).select("id", "depth")
 
 
 @query("select o_orderkey, cast((cast(o_orderkey as hugeint) * 1001 * 1000000000 // 30000 + 1 + o_custkey * 1000 + 1000000000 // 96000 + 1) * 48000 // 1000000000 as bigint) as x, o_totalprice + 2.5 as y from orders")
