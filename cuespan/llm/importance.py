@@ -22,10 +22,10 @@ import zlib
 
 import numpy as np
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, freed, parts, stored, table
+from .common import freed, parts, ranked, stored, table
 
 #: Buckets, those of a row of postings, documents and features of a block, blocks of a part of a range.
 BUCKETS, WIDTH, DOCS, FEATURES, PART = 10_000, 625, 4096, 1 << 19, 64
@@ -142,16 +142,6 @@ def contributions(rows: DataFrame, gain: DataFrame) -> DataFrame:
     return met.mapInArrow(freed(run), "block bigint, i int, gained bigint")
 
 
-def ranked(d: DataFrame, order: list, name: str) -> DataFrame:
-    """d with `name`: 1, 2, 3 ... in the order. Rows are numbered partition by partition along one sort."""
-    d = stored(d.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()), "sorted")
-    sizes = d.groupBy(F.shiftright("_id", 33).alias("_p")).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("_p", before.alias("_before"))  # a row for each partition of the sort
-    d = d.withColumn("_p", F.shiftright("_id", 33)).join(bounded_broadcast(sizes, 100_000), "_p")
-    return d.withColumn(name, F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1).drop("_p", "_id", "_before")
-
-
 def resample(docs: DataFrame, target: DataFrame, percent: int = 10, least_words: int = 20, seed: int = 2024, longest: int = 1, doc_id="doc_id", text="text", target_text="text") -> DataFrame:
     """doc_id, n_features, weight, score and rank of every document; rank is null where it isn't drawn."""
     rows = stored(postings(docs, doc_id, text, longest), "postings")

@@ -1,8 +1,8 @@
 """Phrase collocation mining: frequent phrases by passes with hashed buckets, then scores of their weakest cut.
 
 Pass k counts the phrases of k words exactly, and in the same reading it counts the buckets into which the phrases of
-k + 1 words are hashed. Counters of buckets stop at 255, so that a task's are BUCKETS bytes; they are added up by ranges of
-buckets, and those that reach the least count become a bitmap of BUCKETS bits, which is broadcast. In pass
+k + 1 words are hashed. Counters of buckets stop at 255, so that a task's are a byte a bucket; they are added up by ranges of
+buckets, and those that reach the least count become a bitmap, which is broadcast. In pass
 k + 1 a phrase is counted only where its bucket's bit is set and both its parts of k words are frequent. For that, frequent
 phrases are a bitmap of the same size, by their hashes. Bitmaps only ever let too much through, so counts are exact:
 what is counted is the phrase's own text, per task first and then by Spark. From pass 2 on, words that are not
@@ -21,23 +21,23 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, freed, parts, stored, table
+from .common import bounded_broadcast, freed, parts, ranked, stored, table
 
-#: Buckets of each pass, the counters of a row, words of a block, phrases that a task holds, bytes of a row of left pieces.
-BUCKETS, RANGE, BLOCK, HELD, ROW = 1 << 22, 1 << 16, 200_000, 300_000, 1 << 16
+#: Buckets of each pass (more of them tell more phrases apart in a larger corpus), the counters of a row, words of a block, phrases that a task holds, bytes of a row of left pieces.
+BUCKETS, RANGE, BLOCK, HELD, ROW = 1 << 22, 1 << 14, 200_000, 300_000, 1 << 16
 #: A byte that no UTF-8 text has: the end of a piece.
 END = b"\xff"
 FOLD = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\n\x0b\x0c\r", bytes(range(97, 123)) + END * 10)
 ROWS = "lang string, phrase string, c bigint, piece string, at int, places binary, counts binary"
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    """The bucket of each hash."""
+def _mixed(h: np.ndarray, size: int) -> np.ndarray:
+    """The bucket of each hash, of `size` ones, a power of two."""
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-    return (h >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+    return (h >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
 def _next(h: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -55,17 +55,17 @@ def _word_hashes(words: list[bytes], lang: str) -> np.ndarray:
 class Buckets:
     """Counters that stop at 255."""
 
-    def __init__(self):
-        self.counts = np.zeros(BUCKETS, np.uint8)
+    def __init__(self, size: int):
+        self.counts = np.zeros(size, np.uint8)
 
-    def add(self, buckets: np.ndarray, by: int = 1) -> None:
-        if len(buckets):
-            at, n = np.unique(buckets, return_counts=True)
+    def add(self, hashes: np.ndarray, by: int = 1) -> None:
+        if len(hashes):
+            at, n = np.unique(_mixed(hashes, len(self.counts)), return_counts=True)
             self.counts[at] = np.minimum(255, self.counts[at] + n * by)
 
     def rows(self):
         """(range, places, counts) of the ranges that have any; places are null where most have."""
-        for k in range(0, BUCKETS, RANGE):
+        for k in range(0, len(self.counts), RANGE):
             own = self.counts[k : k + RANGE]
             at = np.flatnonzero(own)
             if len(at) > RANGE // 4:
@@ -80,12 +80,13 @@ class Bits:
     def __init__(self, packed: bytes):
         self.bits = np.frombuffer(packed, np.uint8)
 
-    def __getitem__(self, buckets: np.ndarray) -> np.ndarray:
+    def __getitem__(self, hashes: np.ndarray) -> np.ndarray:
+        buckets = _mixed(hashes, len(self.bits) * 8)
         return (self.bits[buckets >> 3] >> (7 - (buckets & 7)).astype(np.uint8)) & 1 == 1
 
 
-def _bitmap(counters: DataFrame, least: int) -> bytes:
-    """The bits of buckets whose counters reach `least`, from rows (at, places, counts); BUCKETS / 8 bytes in all."""
+def _bitmap(counters: DataFrame, least: int, size: int) -> bytes:
+    """The bits of buckets whose counters reach `least`, from rows (at, places, counts); size / 8 bytes in all."""
     import pyarrow as pa
 
     def add(batches):
@@ -98,8 +99,8 @@ def _bitmap(counters: DataFrame, least: int) -> bytes:
         yield pa.RecordBatch.from_arrays([pa.array([*held], pa.int32()), pa.array([np.packbits(v >= least).tobytes() for v in held.values()], pa.binary())], ["at", "bits"])
 
     rows = counters.where("at is not null").select("at", "places", "counts")
-    done = rows.repartition(BUCKETS // RANGE, "at").mapInArrow(freed(add), "at int, bits binary").collect()
-    out = bytearray(BUCKETS // 8)
+    done = rows.repartition(size // RANGE, "at").mapInArrow(freed(add), "at int, bits binary").collect()
+    out = bytearray(size // 8)
     for r in done:
         out[r.at * RANGE // 8 : (r.at + 1) * RANGE // 8] = r.bits
     return bytes(out)
@@ -108,9 +109,9 @@ def _bitmap(counters: DataFrame, least: int) -> bytes:
 class Pass:
     """What a task does in pass k with the words of one language."""
 
-    def __init__(self, k: int, words: int, known: list[Bits], bucket: Bits | None):
+    def __init__(self, k: int, words: int, known: list[Bits], bucket: Bits | None, size: int):
         self.k, self.words, self.known, self.bucket = k, words, known, bucket
-        self.buckets = Buckets()
+        self.buckets = Buckets(size)
         self.counts: dict[tuple[str, bytes], int] = {}
         self.seen: dict[str, int] = {}
 
@@ -125,7 +126,7 @@ class Pass:
         ids = np.fromiter(map(names.__getitem__, words), np.int64, n)
         names = [*names]
         hashes = _word_hashes(names, lang)
-        good = np.array([w != END for w in names]) if k == 1 else np.array([w != END for w in names]) & self.known[0][_mixed(hashes)]
+        good = np.array([w != END for w in names]) if k == 1 else np.array([w != END for w in names]) & self.known[0][hashes]
         if k == 1:
             count = np.bincount(ids, minlength=len(names))
             self._add(lang, names, count * good)
@@ -135,8 +136,7 @@ class Pass:
         for j in range(2, k + 1):  # places of phrases of j words whose parts of j - 1 words are frequent
             at = at[:-1][at[1:] == at[:-1] + 1]
             h = _next(h[: n - j + 1], h1[j - 1 :])
-            own = _mixed(h[at])
-            at = at[(self.known[j - 1] if j < k else self.bucket)[own]]
+            at = at[(self.known[j - 1] if j < k else self.bucket)[h[at]]]
         if k > 1 and len(at):
             code, size = ids[at], len(names)
             for j in range(1, k):
@@ -149,7 +149,7 @@ class Pass:
         if k < self.words:
             more = at[:-1][at[1:] == at[:-1] + 1]
             h = _next(h[: n - k], h1[k:])
-            self.buckets.add(_mixed(h[more]))
+            self.buckets.add(h[more])
         return self._left(words, at) if keep else []
 
     def _left(self, words: list[bytes], at: np.ndarray) -> list[bytes]:
@@ -167,14 +167,14 @@ class Pass:
                 own[lang, p] = own.get((lang, p), 0) + c
 
 
-def _counted(texts: DataFrame, k: int, words: int, known: list, bucket, keep: bool) -> DataFrame:
+def _counted(texts: DataFrame, k: int, words: int, known: list, bucket, keep: bool, size: int) -> DataFrame:
     """Pass k over texts (lang, t): rows of ROWS, phrases with counts, counters of buckets, and left pieces.
 
     In pass 1 a null phrase counts all words of its language."""
     import pyarrow as pa
 
     def run(batches):
-        me = Pass(k, words, [Bits(x.value) for x in known], Bits(bucket.value) if bucket else None)
+        me = Pass(k, words, [Bits(x.value) for x in known], Bits(bucket.value) if bucket else None, size)
         held: dict[str, list[bytes]] = {}
 
         def rows(**cols):
@@ -185,14 +185,14 @@ def _counted(texts: DataFrame, k: int, words: int, known: list, bucket, keep: bo
 
         def done(lang):
             pieces = me.block(lang, held.pop(lang), keep)
-            size, row = 0, []
+            long, row = 0, []
             for p in [*pieces, None]:
-                if row and (p is None or size > ROW):
+                if row and (p is None or long > ROW):
                     yield rows(lang=[lang], piece=[b"\n".join(row)])
-                    size, row = 0, []
+                    long, row = 0, []
                 if p is not None:
                     row.append(p)
-                    size += len(p)
+                    long += len(p)
             if len(me.counts) > HELD:
                 yield counts()
 
@@ -213,8 +213,9 @@ def _counted(texts: DataFrame, k: int, words: int, known: list, bucket, keep: bo
                     held.setdefault(lang, []).extend(own[:cut])
                     own = own[cut:]
                     yield from done(lang)
-                held.setdefault(lang, []).extend(own)
-                if len(held[lang]) > BLOCK:
+                if own:
+                    held.setdefault(lang, []).extend(own)
+                if len(held.get(lang, ())) > BLOCK:
                     yield from done(lang)
         for lang in [*held]:
             yield from done(lang)
@@ -228,12 +229,12 @@ def _counted(texts: DataFrame, k: int, words: int, known: list, bucket, keep: bo
     return texts.mapInArrow(freed(run), ROWS)
 
 
-def _known_bits(frequent: DataFrame, k: int) -> bytes:
+def _known_bits(frequent: DataFrame, k: int, size: int) -> bytes:
     """The bitmap of frequent phrases (lang, phrase) of k words."""
     import pyarrow as pa
 
     def run(batches):
-        own = Buckets()
+        own = Buckets(size)
         for b in batches:
             by: dict[str, list[list[bytes]]] = {}
             for lang, p in zip(b.column("lang").to_pylist(), b.column("phrase").to_pylist(), strict=True):
@@ -242,24 +243,24 @@ def _known_bits(frequent: DataFrame, k: int) -> bytes:
                 h = _word_hashes([p[0] for p in phrases], lang)
                 for j in range(1, k):
                     h = _next(h, _word_hashes([p[j] for p in phrases], lang))
-                own.add(_mixed(h), 255)
+                own.add(h, 255)
         found = [*own.rows()]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), *(pa.array([x[i] for x in found], pa.binary()) for i in (1, 2))], ["at", "places", "counts"])
 
-    return _bitmap(frequent.select("lang", "phrase").mapInArrow(freed(run), "at int, places binary, counts binary"), 255)
+    return _bitmap(frequent.select("lang", "phrase").mapInArrow(freed(run), "at int, places binary, counts binary"), 255, size)
 
 
-def frequent_phrases(docs: DataFrame, least: int = 100, words: int = 5, text="text", lang="lang") -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, least: int = 100, words: int = 5, text="text", lang="lang", buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
     """(lang, k, phrase, f) of all phrases of 1 to `words` words that occur `least` times (255 at most) or more, and
     (lang, n), the number of all words."""
     spark = docs.sparkSession
     sc = spark.sparkContext
-    if not 0 < least <= 255:
-        raise ValueError("least must be 1 to 255")
+    if not 0 < least <= 255 or buckets < RANGE or buckets & (buckets - 1):
+        raise ValueError(f"least must be 1 to 255, and buckets a power of two from {RANGE} on")
     texts = docs.select(F.coalesce(docs[f"`{lang}`"].cast("string"), F.lit("und")).alias("lang"), docs[f"`{text}`"].alias("t"))
     known, bucket, out, total = [], None, None, None
     for k in range(1, words + 1):
-        made = stored(_counted(texts, k, words, known, bucket, k == 2 and words > 2), f"pass{k}")
+        made = stored(_counted(texts, k, words, known, bucket, k == 2 and words > 2, buckets), f"pass{k}")
         sums = made.where("c is not null").groupBy("lang", "phrase").agg(F.sum("c").alias("f")).where((F.col("f") >= least) | F.col("phrase").isNull())
         sums = stored(sums.select("lang", F.lit(k).alias("k"), "phrase", "f"), f"frequent{k}")
         own = sums.where("phrase is not null")
@@ -268,19 +269,19 @@ def frequent_phrases(docs: DataFrame, least: int = 100, words: int = 5, text="te
         out = own if out is None else out.unionByName(own)
         if k == words:
             break
-        bucket = sc.broadcast(_bitmap(made, least))
-        known.append(sc.broadcast(_known_bits(own, k)))
+        bucket = sc.broadcast(_bitmap(made, least, buckets))
+        known.append(sc.broadcast(_known_bits(own, k, buckets)))
         if k == 2:
             texts = made.where("piece is not null").select("lang", F.col("piece").alias("t"))
     return out, total
 
 
-def collocations(docs: DataFrame, least: int = 100, words: int = 5, best: int = 2000, scale: int = 1000, inside: int = 100, text="text", lang="lang") -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, words: int = 5, best: int = 2000, scale: int = 1000, inside: int = 100, text="text", lang="lang", buckets: int = BUCKETS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's `best` phrases by their weakest cut.
 
     A cut's score is floor(scale * a * n / (l * r)), in decimals of 38 digits. A phrase goes if one of a word more around it has
     `inside` hundredths of its count; one of two words more has no higher count than that of one more between them."""
-    f, n = frequent_phrases(docs, least, words, text, lang)
+    f, n = frequent_phrases(docs, least, words, text, lang, buckets)
     c = f.where("k > 1").select("lang", "k", "phrase", F.col("f").alias("a"))
     # what a longer phrase holds
     tail = lambda p: F.substr(p, F.length(F.substring_index(p, " ", 1)) + 2)
@@ -297,9 +298,10 @@ def collocations(docs: DataFrame, least: int = 100, words: int = 5, best: int =
     cuts = cuts.withColumn("score", F.expr(f"({scale} * ({big('a')} * {big('n')})) div ({big('l')} * {big('r')})"))
     weakest = cuts.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "cut", "l", "r")).alias("w"))
     d = weakest.select("lang", "phrase", "a", "w.l", "w.r", "n", "w.score")
-    w = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    d = d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= best)
-    return d.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    d = ranked(d, [F.asc("lang"), F.desc("score"), F.desc("a"), F.asc("phrase")], "_place")
+    first = stored(d.groupBy("lang").agg(F.min("_place").alias("_first")), "first")
+    d = d.join(bounded_broadcast(first, 100_000), "lang").withColumn("rank", F.col("_place") - F.col("_first") + 1).where(F.col("rank") <= best)
+    return d.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def op12_collocations(spark, sf_dir: str) -> DataFrame:
