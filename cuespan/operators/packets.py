@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from . import scan
+from .graph import fresh
+
 
 def demux(packets: DataFrame, stream: int, n: int, d: int) -> DataFrame:
     """One stream's packets; a missing pts is the dts; stamps go to frames, halves up."""
@@ -52,9 +55,36 @@ def blocks(df: DataFrame, keys: list[str], sample: str, value: str, lo: Column,
 
 
 def clusters(df: DataFrame, key: str, order: list[str], time: str, size: str, ticks: int = 32767, max_bytes: int = 5 << 20) -> DataFrame:
-    """With `cluster`: a new one where a packet is over `ticks` from the cluster's start, or the packets before it
-    passed max_bytes. The start decides, so each key's packets are folded in order; the fold streams over
-    sorted partitions and holds a few numbers, whatever a key's share of all rows."""
+    """With `cluster` from 0: a new one where a packet is over `ticks` from the cluster's start, or the packets of the
+    cluster before it passed max_bytes. Times are whole numbers.
+
+    Wherever a cluster might start, its end follows from that packet alone: the first one whose time, or whose sum of
+    bytes before it, passes a bound, found by a search in bins. Starts are what the first packet reaches by those
+    links, in steps that double; no task folds a key. That holds as long as no packet is more than `ticks` before an earlier one of its key;
+    keys with such a packet are folded row by row."""
+    d = scan.numbered(df.withColumn("_time", F.col(time).cast("long")), [key], order)
+    d = fresh(scan.running(d, [key], {"_pos": F.lit(1), "_before": F.col(size).cast("long")}, {"_late": F.col("_time")}))
+    back = d.where(F.col("_late") - F.col("_time") > ticks).select(key).distinct()
+    if not back.isEmpty():
+        back = fresh(back)
+        odd = _folded(df.join(back, key, "left_semi"), key, order, time, size, ticks, max_bytes)
+        return clusters(df.join(back, key, "left_anti"), key, order, time, size, ticks, max_bytes).unionByName(odd)
+    p = d.select(F.col(key).alias("_k"), "_pos", "_time", "_before", "_late")
+    by_time = scan.first_at_least(p, ["_k"], "_late", "_pos", F.col("_time") + ticks + 1, ticks + 1)
+    by_size = scan.first_at_least(p, ["_k"], "_before", "_pos", F.col("_before") + max_bytes + 1, max_bytes + 1)
+    ends = by_time.join(by_size.withColumnRenamed("first", "_other"), ["_k", "_pos"]).select("_k", "_pos", F.least("first", "_other").alias("_to"))
+    jump, starts = fresh(ends.where("_to is not null")), p.where("_pos = 0").select("_k", "_pos")
+    while not jump.isEmpty():
+        starts = fresh(starts.unionByName(starts.join(jump, ["_k", "_pos"]).select("_k", F.col("_to").alias("_pos"))))
+        jump = fresh(jump.join(jump.select("_k", F.col("_pos").alias("_to"), F.col("_to").alias("_far")), ["_k", "_to"]).select("_k", "_pos", F.col("_far").alias("_to")))
+    starts = starts.select(F.col("_k").alias(key), "_pos", F.lit(1).alias("_start"))
+    d = d.join(starts, [key, "_pos"], "left").withColumn("_start", F.coalesce("_start", F.lit(0)))
+    d = scan.running(d, [key], {"_n": F.col("_start")})
+    return d.withColumn("cluster", (F.col("_n") + F.col("_start") - 1).cast("long")).select(*df.columns, "cluster")
+
+
+def _folded(df: DataFrame, key: str, order: list[str], time: str, size: str, ticks: int, max_bytes: int) -> DataFrame:
+    """clusters() by a fold that streams over sorted partitions and holds a few numbers, a task for each key."""
     import pandas as pd
 
     cols = df.columns
