@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 
 def shift_window(df: DataFrame, frame: str, offset: int = 0, start: int | None = None, end: int | None = None) -> DataFrame:
@@ -41,16 +42,26 @@ def copy_alpha(df: DataFrame, alpha: Column, a: str = "a") -> DataFrame:
     return df.withColumn(a, F.col(a) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), alpha)))
 
 
+#: Frames that one row of fill() stands for until they are made.
+FILL = 4096
+
+
 def every(df: DataFrame, frame: str, k: int) -> DataFrame:
     """Every k-th frame."""
     return df.where(F.pmod(F.col(frame), F.lit(k)) == 0)
 
 
 def fill(df: DataFrame, frame: str, value: str, keys: list[str] = (), empty=0.0) -> DataFrame:
-    """A row for each frame between the first and last of each key; missing values are `empty`."""
+    """A row for each whole frame between the first and last of each key; missing values are `empty`.
+
+    Frames are made block by block, each block where it is dealt to, so that no row or task holds a key's whole range."""
     keys = list(keys)
     spine = df.groupBy(*keys).agg(F.min(frame).alias("lo"), F.max(frame).alias("hi")).where("lo is not null")
-    spine = spine.select(*keys, F.explode(F.sequence("lo", "hi")).alias(frame))
+    at = lambda c: F.floor(F.col(c) / F.lit(FILL)).cast("long")
+    spine = spine.withColumn("_block", F.explode(F.sequence(at("lo"), at("hi")))).repartition(*keys, "_block")
+    edge = lambda c: F.col(c).cast("long")
+    own = F.sequence(F.greatest(edge("lo"), F.col("_block") * FILL), F.least(edge("hi"), (F.col("_block") + 1) * FILL - 1))
+    spine = spine.select(*keys, F.explode(own.cast(ArrayType(df.schema[frame].dataType, False))).alias(frame))
     return spine.join(df, [*keys, frame], "left").withColumn(value, F.coalesce(value, F.lit(empty)))
 
 
