@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timecode import NS, frame_time, time_frame
@@ -22,13 +23,19 @@ def fresh(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder and read from there, so that a loop's plans don't grow.
 
     The folder is that of the session. Only a local session without one gets a folder of its own."""
-    sc = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new name under the session's checkpoint folder, which is set where it isn't yet."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        own = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        own = spark.conf.get("spark.checkpoint.dir", None)
         if not own and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
 def reach(start: DataFrame, edges: DataFrame) -> DataFrame:

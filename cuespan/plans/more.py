@@ -12,7 +12,7 @@ from ..functions import timecode as tc
 from ..operators import catalog, chroma, edits, graph, nesting, packets, placement, ranges, resample
 from ..operators import mix as mixing
 from ..operators import sequences as seqs
-from ..sources import generators
+from ..sources import container, generators
 from ..streaming import clocks
 from .queries import _OV, EV, LI, events, lines, query, t
 
@@ -128,6 +128,29 @@ def cluster_cues(spark, d):
     return packets.cues(c, "user_id", "minute", F.col("event_type") == "click").select("event_id", "cluster", "cluster_start")
 
 
+def _contained(spark, d) -> str:
+    """events as packets of three tracks in a container; the folder."""
+    spark.dataSource.register(container.ContainerSource)
+    path = graph.shared_folder(spark)
+    e = events(spark, d)
+    p = e.select((1 + F.col("user_id") % 3).cast("int").alias("track"), F.col("minute").alias("pts"), (F.col("event_type") == "click").alias("keyframe"), F.lit(False).alias("invisible"), F.lit(False).alias("discardable"), F.encode(F.col("event_id").cast("string"), "UTF-8").alias("data"))
+    p.repartitionByRange("pts").sortWithinPartitions("pts", "track").write.format("container").mode("append").save(path)
+    return path
+
+
+@query(f"with {EV} select event_id, cast(1 + user_id % 3 as int) as track, minute as pts, event_type = 'click' as keyframe from ev where minute >= 20000")
+def container_packets(spark, d):
+    """Packets written to container files and read from a time on."""
+    p = spark.read.format("container").load(_contained(spark, d))
+    return p.where("pts >= 20000").select(F.decode("data", "UTF-8").cast("long").alias("event_id"), "track", "pts", "keyframe")
+
+
+@query(f"with {EV} select minute as time, count(*) as n from ev where event_type = 'click' and user_id % 3 = 0 group by minute")
+def container_cues(spark, d):
+    """The cue points that the writer's tasks made."""
+    return spark.read.format("container").option("table", "cues").load(_contained(spark, d)).where("track = 1").groupBy("time").agg(F.count("*").alias("n"))
+
+
 _K = "cast(o_orderkey as bigint)"
 
 
