@@ -130,7 +130,7 @@ def cluster_cues(spark, d):
 
 def _contained(spark, d) -> str:
     """events as packets of three tracks in a container; the folder."""
-    spark.dataSource.register(container.ContainerSource)
+    container.register(spark)
     path = graph.shared_folder(spark)
     e = events(spark, d)
     p = e.select((1 + F.col("user_id") % 3).cast("int").alias("track"), F.col("minute").alias("pts"), (F.col("event_type") == "click").alias("keyframe"), F.lit(False).alias("invisible"), F.lit(False).alias("discardable"), F.encode(F.col("event_id").cast("string"), "UTF-8").alias("data"))

@@ -1,6 +1,6 @@
 """A media container as a Spark data source: packets written as clusters of blocks, and read by ranges of clusters.
 
-    spark.dataSource.register(ContainerSource)
+    register(spark)
     packets.write.format("container").mode("append").option("timecode_scale", 1_000_000).save(path)
     spark.read.format("container").load(path)                               # packets
     spark.read.format("container").option("table", "cues").load(path)       # or tracks, tags
@@ -383,3 +383,9 @@ class ContainerSource(DataSource):
 
     def writer(self, schema, overwrite: bool) -> ContainerWriter:
         return ContainerWriter(dict(self.options), overwrite)
+
+
+def register(spark) -> None:
+    """The format's name for a session; Spark passes filters on to a source of this kind only with this setting."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(ContainerSource)

@@ -11,10 +11,8 @@ from cuespan.sources import container
 
 @pytest.fixture(scope="module")
 def source(spark):
-    spark.dataSource.register(container.ContainerSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    yield spark
-    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    container.register(spark)
+    return spark
 
 
 def packets(spark, n=3000):
