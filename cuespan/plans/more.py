@@ -13,7 +13,7 @@ from ..operators import catalog, chroma, edits, graph, nesting, packets, placeme
 from ..operators import mix as mixing
 from ..operators import sequences as seqs
 from ..sources import container, generators
-from ..streaming import clocks
+from ..streaming import clocks, playback
 from .queries import _OV, EV, LI, events, lines, query, t
 
 _DAY = "cast(date_diff('day', date '1992-01-01', cast(o_orderdate as date)) as bigint)"
@@ -128,6 +128,32 @@ def cluster_cues(spark, d):
     return packets.cues(c, "user_id", "minute", F.col("event_type") == "click").select("event_id", "cluster", "cluster_start")
 
 
+_PLAY = """pr as (select event_id, user_id, epoch_us(ts) as us, case event_type when 'signup' then 'play' when 'purchase' then 'stop' when 'click' then case when event_id % 5 = 0 then 'seek' end end as command,
+event_id * 1000000000 as seek_ns, 1 - 3 * (event_id % 2) as n, 1 + event_id % 3 as d, (epoch_us(ts) - 1704067200000000) * 1000 // 2 as time_ns, event_id % 100 * 1000000000 as dur, event_id % 2000 as samples from events),
+o as (select *, row_number() over (partition by user_id order by us, event_id) as r from pr)"""
+
+
+_NOW = "f.seek + cast((case when f.n < 0 then -1 else 1 end) * ((o.us - f.base)::hugeint * 1000 * abs(f.n) // f.d) as bigint)"
+
+
+@query(f"""with recursive {_PLAY}, f as (select event_id, user_id, r, command, us as base, case when command = 'seek' then seek_ns else cast(0 as bigint) end as seek, case when command = 'play' then n else cast(0 as bigint) end as n, case when command = 'play' then d else cast(1 as bigint) end as d,
+case when command is null then samples else cast(0 as bigint) end as upto, case when command is null then dur else cast(0 as bigint) end as last, cast(0 as bigint) as sample, cast(0 as bigint) as now_ns, false as late from o where r = 1
+union all select o.event_id, o.user_id, o.r, o.command, case when o.command is null then f.base else o.us end, case when o.command = 'seek' then o.seek_ns when o.command is null then f.seek else {_NOW} end,
+case when o.command = 'play' then o.n when o.command = 'stop' then 0 else f.n end, case when o.command = 'play' then o.d when o.command = 'stop' then 1 else f.d end,
+f.upto + case when o.command is null then o.samples else 0 end, case when o.command is null then o.dur else f.last end, f.upto, {_NOW},
+case when f.n > 0 then o.time_ns < {_NOW} + f.last when f.n < 0 then o.time_ns > {_NOW} - f.last else false end from f join o on o.user_id = f.user_id and o.r = f.r + 1)
+select user_id as channel, event_id as seq, sample, now_ns, late from f where command is null""")
+def playback_positions(spark, d):
+    """Packets and clock commands of each user as one channel."""
+    e, k = t(spark, d, "events"), F.col("event_id")
+    of = F.col("event_type")
+    command = F.when(of == "signup", "play").when(of == "purchase", "stop").when((of == "click") & (k % 5 == 0), "seek")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = e.select(F.col("user_id").cast("long").alias("channel"), F.col("ts").cast("timestamp").alias("at"), k.alias("seq"), command.alias("command"), (k * 1_000_000_000).alias("seek_ns"), (1 - 3 * (k % 2)).alias("n"), (1 + k % 3).alias("d"),
+                    F.call_function("div", (us - F.lit(1704067200000000)) * 1000, F.lit(2)).alias("time_ns"), (k % 100 * 1_000_000_000).alias("duration_ns"), (k % 2000).alias("samples"))
+    return playback.played(rows).select("channel", "seq", "sample", "now_ns", "late")
+
+
 def _contained(spark, d) -> str:
     """events as packets of three tracks in a container; the folder."""
     container.register(spark)
