@@ -11,8 +11,8 @@ from .common import stored
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """One row (id, comp) for each end of a link; comp is the least id that links reach.
 
-    Each round, a vertex takes the least id among itself and its neighbours and the graph is contracted
-    to those; chains shorten at least by half, so rounds grow with the logarithm of the longest one.
+    Each round, a vertex takes the least id among itself and its neighbours, pointers are followed to their
+    ends, and the graph is contracted to those: at most half the vertices that have links stay.
     All tables are written to the shared folder; counts alone come to the driver.
     """
     e = links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct()
@@ -21,9 +21,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while not e.isEmpty():
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         step = stored(both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("to")), "step")
-        # a label's own label is one more step on the way
-        hop = step.select(F.col("u").alias("to"), F.col("to").alias("next"))
-        step = stored(step.join(hop, "to", "left").select("u", F.coalesce("next", "to").alias("to")), "hop")
+        while True:  # a pointer's own pointer, until none leads on
+            hop = step.select(F.col("u").alias("to"), F.col("to").alias("next"))
+            step = stored(step.join(hop, "to").select("u", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")), "hop")
+            if step.where("moved").isEmpty():
+                break
         if labels is None:
             labels = step.select(F.col("u").alias("id"), F.col("to").alias("comp"))
         else:

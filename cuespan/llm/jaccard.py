@@ -38,10 +38,10 @@ from .common import bounded_broadcast, freed, lookup, parts, stored, table, text
 from .components import components
 
 WORDS, BITS, FAN, BLOCK, GATHER, QUICK, RARE, PART, KNOWN = 5, 1024, 8, 1024, 50_000, 8, 200, 8192, 50_000
-#: A shingle of more than HEAVY documents is frequent, at any size.
-HEAVY = 500
+#: A shingle of more than HEAVY documents is frequent, at any size; the MOST_HEAVY of them with the most documents are told apart.
+HEAVY, MOST_HEAVY = 500, 200_000
 #: Entries of prefixes that a map task gathers before it sends them; buckets that they are dealt to at most.
-RUN, MOST_BUCKETS = 1 << 18, 1 << 15
+RUN, MOST_BUCKETS = 1 << 18, 1 << 18
 #: Odd multipliers of the shingle hash.
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 TOP = np.uint64(1 << 63)
@@ -304,13 +304,12 @@ def _whole(batches, keys: tuple[str, ...]):
         yield columns(held)
 
 
-def heavy_shingles(of_sets: DataFrame, rows: int) -> np.ndarray:
-    """Shingles of more than HEAVY rows, and of a 100,000th of all, by the batches' counts; rows: of all sets.
+def heavy_shingles(of_sets: DataFrame, most: int = MOST_HEAVY) -> np.ndarray:
+    """Shingles of more than HEAVY rows by the batches' counts, the `most` heaviest ones.
 
     They decide the order of shingles alone, for which an estimate does: any order is right."""
     c = of_sets.where("common is not null").select(F.explode(F.arrays_zip("common", "rows")).alias("x"))
-    c = c.groupBy(F.col("x.common").alias("key")).agg(F.sum("x.rows").alias("c")).where(F.col("c") > max(HEAVY, rows // 100_000))
-    # as a shingle of this list has a 4 RARE-th of a batch's rows somewhere, a batch names some thousands at most
+    c = c.groupBy(F.col("x.common").alias("key")).agg(F.sum("x.rows").alias("c")).where(F.col("c") > HEAVY).orderBy(F.desc("c"), "key").limit(most)
     return np.sort(np.array([r[0] for r in c.select("key").collect()], np.int64).view(np.uint64))
 
 
@@ -349,7 +348,7 @@ def shared_prefixes(d: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
                 yield single(np.concatenate(own))
 
         for e in runs():
-            to = (e["k"] % shift).astype(np.uint16)
+            to = (e["k"] % shift).astype(np.uint32)
             at = np.argsort(to, kind="stable")
             e, to = e[at], to[at]
             cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(e) else []
@@ -479,7 +478,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     d = docs.select(docs[f"`{doc_id}`"].cast("bigint").alias("id"), docs[f"`{text}`"].alias("t"))
     d = d.join(bounded_broadcast(nodes.select("id"), 1_000_000), "id", "left_semi").join(bounded_broadcast(comp, 400_000), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), "t")
-    heavy = heavy_shingles(all_sets, all_sets.count())
+    heavy = heavy_shingles(all_sets, MOST_HEAVY)
     groups = stored(shared_prefixes(d, heavy, buckets), "groups")
     keys = groups.where("id < 0").select("key").distinct()
     hot = np.array([r[0] for r in keys.collect()], np.int64).view(np.uint64)  # some of the heavy ones

@@ -205,3 +205,13 @@ def test_resampling_of_nothing(spark):
     got = importance.resample(df.union(df).selectExpr("if(doc_id = 3, null, doc_id) as doc_id", "text"), none).collect()
     assert len(got) == 8 and all(r["rank"] is None for r in got)
     assert sorted(r.n_features for r in got) == [0, 0, 0, 0, 1, 1, 2, 2]
+
+
+def test_components_of_a_chain_in_order(spark, monkeypatch):
+    from cuespan.llm import components
+
+    n, own = [0], components.stored
+    monkeypatch.setattr(components, "stored", lambda df, name: n.__setitem__(0, n[0] + 1) or own(df, name))
+    links = spark.range(3000).selectExpr("id as a", "id + 1 as b").union(spark.createDataFrame([(9000, 7000), (8000, 9000)], "a long, b long"))
+    got = components.components(links)
+    assert sorted(map(tuple, got.groupBy("comp").count().collect())) == [(0, 3001), (7000, 3)] and n[0] < 30
