@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from .common import freed, lookup, stored, table, text_hash, text_keys
 
 SPAN, GRAM, NO_ID = 100, 32, -(1 << 63)
-#: Hot anchors: one document in SAMPLE is looked at; HOT different contexts there, and a 100,000th of all, make an anchor hot.
-SAMPLE, HOT, HOT_SHARE = 64, 64, 100_000
+#: Hot anchors: one document in SAMPLE is looked at; HOT different contexts there make an anchor hot, the MOST_HOT ones with the most.
+SAMPLE, HOT, MOST_HOT = 64, 64, 500_000
 SIDE = SPAN - GRAM
 #: Entries that travel: two hashes, document, and the place.
 ENTRY = np.dtype([("h", "<u8"), ("c", "<u8"), ("id", "<i8"), ("at", "<i4"), ("to", "<i4")])
@@ -51,7 +51,7 @@ RANGE = np.dtype([("at", "<i4"), ("to", "<i4")])
 ASKED = np.dtype([("h", "<u8"), ("at", "<i4"), ("to", "<i4"), ("kind", "<i1")])
 #: A context that is compared: its anchor's hash, document, first byte and size.
 CONTEXT = np.dtype([("h", "<u8"), ("id", "<i8"), ("at", "<i4"), ("size", "<i4")])
-BLOCK_BYTES, BUCKET_BYTES, MOST_BUCKETS = 1 << 20, 32 << 20, 1 << 15
+BLOCK_BYTES, BUCKET_BYTES, MOST_BUCKETS = 1 << 20, 32 << 20, 1 << 18
 #: Entries that a map task gathers before it sends them, bytes that a meeting holds in memory, entries that it sorts at once.
 RUN, HELD, SORTED = 1 << 19, 256 << 20, 1 << 21
 _TABLE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -286,19 +286,17 @@ def _anchored(i: int, t: str | None) -> np.ndarray | None:
 
 
 def hot_anchors(d: DataFrame, least: int = HOT) -> np.ndarray:
-    """Hashes of anchors with many different contexts, by an estimate; HOT_SHARE at most."""
+    """Hashes of anchors with many different contexts, by an estimate; the MOST_HOT hottest."""
     import pyarrow as pa
 
     def count(batches):
         for e in _runs(batches, _anchored):
             e, first = _firsts(e)
             h, n = np.unique(e["h"][first], return_counts=True)
-            yield pa.RecordBatch.from_pydict({"h": h.view(np.int64)[n > 1], "n": n[n > 1], "all": np.where(np.arange((n > 1).sum()) == 0, n.sum(), 0)})
+            yield pa.RecordBatch.from_pydict({"h": h.view(np.int64)[n > 1], "n": n[n > 1]})
 
-    of = d.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).mapInArrow(freed(count), "h bigint, n bigint, all bigint")
-    of = stored(of.groupBy("h").agg(F.sum("n").alias("n"), F.sum("all").alias("all")), "anchors")
-    total = of.agg(F.sum("all")).first()[0] or 0
-    hot = of.where(F.col("n") >= max(least, total // HOT_SHARE)).select("h").collect()
+    of = d.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).mapInArrow(freed(count), "h bigint, n bigint")
+    hot = of.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(MOST_HOT).select("h").collect()
     return np.sort(np.array([r[0] for r in hot], np.int64).view(np.uint64))
 
 
