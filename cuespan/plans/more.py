@@ -12,9 +12,9 @@ from ..functions import timecode as tc
 from ..operators import catalog, chroma, edits, graph, nesting, packets, placement, ranges, resample
 from ..operators import mix as mixing
 from ..operators import sequences as seqs
-from ..sources import container, generators
-from ..streaming import clocks, playback
-from .queries import _OV, EV, LI, events, lines, query, t
+from ..sources import binned, container, generators
+from ..streaming import clocks, maintain, playback
+from .queries import _OV, EV, IT, LI, events, items, lines, query, t
 
 _DAY = "cast(date_diff('day', date '1992-01-01', cast(o_orderdate as date)) as bigint)"
 
@@ -531,3 +531,37 @@ def change_ranges(spark, d):
 def late_frames(spark, d):
     speed = F.when(F.col("user_id") % 3 == 0, 1).when(F.col("user_id") % 3 == 1, -1).otherwise(0)
     return clocks.on_time(events(spark, d), F.lit(9000), -(F.col("hour") % 50), speed, "minute").select("event_id")
+
+
+# tables by range and stored composites --------------------------------------------------------------
+
+
+@query(f"with {EV}, {IT} select item_id, x, length from it where x < 12000 and x + length > 9000")
+def binned_window(spark, d):
+    """A window of items from a table that is laid out by range."""
+    path = graph.shared_folder(spark)
+    binned.write_binned(items(spark, d).select("item_id", "x", "length"), path, 64)
+    return binned.read_window(spark, path, 64, 9000, 12_000)
+
+
+@query(f"with {EV}, {IT} select event_id, item_id from it join ev on event_type = 'signup' and it.x < minute + 30 and it.x + it.length > minute")
+def binned_join(spark, d):
+    """Half an hour from each signup on, and the items in it."""
+    path = graph.shared_folder(spark)
+    binned.write_binned(items(spark, d).select("item_id", "x", "length"), path, 64)
+    w = events(spark, d).where("event_type = 'signup'").select("event_id", F.col("minute").alias("lo"), (F.col("minute") + 30).alias("hi"))
+    return binned.join_windows(spark, path, 64, w).select("event_id", "item_id")
+
+
+@query(f"""with {EV}, {IT}, a as (select x + case when item_id % 40 = 0 then 15 else 0 end as x, length, case when item_id % 40 = 0 then -1 else item_id % 10 end as v from it where item_id % 41 <> 0)
+select frame, cast(sum(v) as bigint) as v from (select unnest(generate_series(x, x + length - 1)) as frame, v from a) group by frame""")
+def incremental_mix(spark, d):
+    """A mix that was stored, and after edits of some items computed anew where they were and are."""
+    path, width = graph.shared_folder(spark), 1024
+    before = items(spark, d).select("item_id", "x", "length", (F.col("item_id") % 10).alias("v"))
+    hit = F.col("item_id") % 40 == 0
+    after = before.where("item_id % 41 <> 0").withColumns({"x": F.col("x") + F.when(hit, 15).otherwise(0), "v": F.when(hit, F.lit(-1).cast("long")).otherwise(F.col("v"))})
+    whole = before.agg(F.min("x").alias("lo"), F.max(F.col("x") + F.col("length")).alias("hi"))
+    maintain.refresh(whole, path, lambda ranges: maintain.mixed(before, ranges), 1, width)
+    maintain.refresh(maintain.changed(before, after, "item_id"), path, lambda ranges: maintain.mixed(after, ranges), 2, width)
+    return maintain.current(spark, path).select("frame", "v")
