@@ -81,18 +81,6 @@ def restack(items: DataFrame, moved: Column, part: list[str], back: bool = False
     return d.withColumn(z, step).select(*items.columns)
 
 
-def shift_marks(marks: DataFrame, splices: DataFrame, keys: list[str]) -> DataFrame:
-    """marks (keys, index, left_gravity) after splices (keys, step, start, stop, new_length) in order of step.
-
-    A mark before a splice stays; one in it, ends counted, goes to its start or to the end of what is new;
-    one behind it moves with what follows. A list's splices are gathered for it."""
-    own = splices.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("step", "start", "stop", "new_length"))).alias("_s"))
-    inside = lambda i, e: F.when(F.col("left_gravity"), e.start).otherwise(e.start + e.new_length)
-    move = lambda i, e: F.when(i < e.start, i).when(i <= e.stop, inside(i, e)).otherwise(i + e.new_length - (e.stop - e.start))
-    out = marks.join(own, keys, "left").withColumn("index", F.coalesce(F.aggregate("_s", F.col("index").cast("long"), lambda i, e: move(i, e).cast("long")), F.col("index").cast("long")))
-    return out.drop("_s")
-
-
 def splice(items: DataFrame, start: int, stop: int, rows: DataFrame, seq: str = "seq", idx: str = "idx") -> DataFrame:
     """Rows take the place of the items [start, stop) of their sequence; indexes are dense again. Other sequences stay."""
     there = rows.select(seq).distinct().withColumn("_cut", F.lit(True))
@@ -126,6 +114,31 @@ def replay(table: DataFrame, entries: DataFrame, key: list[str], undo: bool = Fa
     return left.unionByName(entries.where(F.col(side).isNotNull()).select(*key, f"{side}.*"))
 
 
+def replay_all(table: DataFrame, entries: DataFrame, key: list[str], undo: bool = False) -> DataFrame:
+    """The table with a log of many steps applied, or with undo taken back: of each key only its last or first row counts."""
+    side = F.min_by("before", "step") if undo else F.max_by("after", "step")
+    return replay(table, entries.groupBy(*key).agg(side.alias("before" if undo else "after")), key, undo)
+
+
+def runs(steps: DataFrame, part: list[str] = ()) -> DataFrame:
+    """steps (step, kind, merges) with `run`: a step that merges belongs to the run of the one before it, if that is of
+    its kind and merges as well. The run is named by its first step."""
+    w = Window.partitionBy(*part).orderBy("step")
+    before = F.lag(F.struct("kind", "merges")).over(w)
+    first = ~F.coalesce(F.col("merges") & before["merges"] & (before["kind"] == F.col("kind")), F.lit(False))
+    return steps.withColumn("_first", F.when(first, F.col("step"))).withColumn("run", F.max("_first").over(w)).drop("_first")
+
+
+def compact(entries: DataFrame, steps: DataFrame, key: list[str]) -> DataFrame:
+    """A log (step, key, before, after) in which the steps of each run of steps (step, run) are one step.
+
+    Of each key the row before the run and the row after it stay; what a run brings and takes away again, or changes
+    and changes back, is gone. Replaying the log, and taking it back to where a run began, give what they gave before."""
+    d = entries.join(steps.select("step", "run"), "step")
+    d = d.groupBy(F.col("run").alias("step"), *key).agg(F.min_by("before", "step").alias("before"), F.max_by("after", "step").alias("after"))
+    return d.where(~F.col("before").eqNullSafe(F.col("after"))).select("step", *key, "before", "after")
+
+
 def compound(table: DataFrame, edits: list) -> DataFrame:
     """Edits (functions of a table) one after the other."""
     return reduce(lambda t, f: f(t), edits, table)

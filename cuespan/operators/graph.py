@@ -186,6 +186,8 @@ def _depths(tied: DataFrame, ranks: DataFrame) -> DataFrame:
     circle, the item of the least rank is let go of, and steps are taken anew."""
     first = tied.join(ranks, tied["source"] == ranks["id"]).select("id", F.col("target").alias("to"), F.lit(1).cast("long").alias("dist"), F.col("rank").alias("least"))
     n, steps, d = tied.count(), 1, fresh(first)
+    if not n:
+        return d.select("id", F.col("dist").alias("depth"))
     while steps <= n:
         d, steps = _halved(d), steps * 2
         if d.where("open").isEmpty():
@@ -223,3 +225,26 @@ def anchor_order(items: DataFrame, anchors: DataFrame) -> DataFrame:
         tied = fresh(tied.join(free.select(F.col("id").alias("source")), "source", "left_anti"))
         depth += 1
     return items.withColumn("depth", F.lit(0)).limit(0) if placed is None else items.join(placed, "id")
+
+
+def stack_order(items: DataFrame, overlaps: DataFrame) -> DataFrame:
+    """items (id, y, z, ...) with `paint` from 0, the order in which they are painted.
+
+    Of two that overlap (rows (a, b) of overlaps), the one with the greater z comes first. That alone ties only those; others go by y, the
+    greatest first. As both rules together can run in a circle, they are taken apart: what overlaps, directly or by others between,
+    is a stack; stacks come by their greatest y; in a stack, an item comes after all that it must lie on, by the
+    longest way of overlaps up to it, and items of one such depth by y, z and id."""
+    from . import scan
+
+    pairs = fresh(overlaps.select("a", "b").where("a <> b").distinct())
+    zs = items.select("id", "z")
+    over = pairs.join(zs.select(F.col("id").alias("a"), F.col("z").alias("za")), "a").join(zs.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b")
+    ties = over.where("za > zb").select(F.col("b").alias("source"), F.col("a").alias("target")).unionByName(over.where("zb > za").select(F.col("a").alias("source"), F.col("b").alias("target"))).distinct()
+    deep = anchor_order(items.select("id", F.lit(0).alias("rate")), ties).select("id", "depth")
+    stacks = parts(pairs.select(F.col("a").alias("source"), F.col("b").alias("target")))
+    d = fresh(items.join(deep, "id").join(stacks, "id", "left").withColumn("part", F.coalesce("part", "id")))
+    tops = d.groupBy("part").agg(F.max("y").alias("_top"))
+    d = d.join(tops, "part")
+    order = [F.desc("_top"), F.asc("part"), F.asc("depth"), F.desc("y"), F.desc("z"), F.asc("id")]
+    d = scan.running(scan.numbered(d.withColumn("_all", F.lit(0)), ["_all"], order), ["_all"], {"paint": F.lit(1)})
+    return d.select(*items.columns, F.col("paint").cast("long").alias("paint"))

@@ -9,7 +9,7 @@ from ..functions import frame as ff
 from ..functions import geometry as geo
 from ..functions import signal as sig
 from ..functions import timecode as tc
-from ..operators import catalog, chroma, edits, graph, nesting, packets, placement, ranges, resample
+from ..operators import catalog, chroma, edits, graph, intervals, marks, nesting, packets, placement, ranges, resample
 from ..operators import mix as mixing
 from ..operators import sequences as seqs
 from ..sources import binned, container, generators
@@ -374,7 +374,7 @@ def marks_gravity(spark, d):
     m = t(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 150).alias("k"), F.col("p_size").cast("long").alias("index"), (F.col("p_partkey") % 2 == 0).alias("left_gravity"))
     s = t(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), (F.col("s_suppkey") % 20).alias("a"))
     row = lambda step, a, b, n: s.select("k", F.lit(step).alias("step"), a.cast("long").alias("start"), b.cast("long").alias("stop"), F.lit(n).cast("long").alias("new_length"))
-    return edits.shift_marks(m, row(1, F.col("a"), F.col("a") + 5, 3).unionByName(row(2, F.lit(10), F.lit(10), 4)), ["k"]).select("p_partkey", "index")
+    return marks.shift_marks(m, row(1, F.col("a"), F.col("a") + 5, 3).unionByName(row(2, F.lit(10), F.lit(10), 4)), ["k"]).select("p_partkey", "index")
 
 
 @query(f"with {EV} select event_id, case when event_type = 'click' then minute + 10 else minute end as x, case when event_type = 'click' then 5.0 else 0.0 end as y, case when event_type = 'view' then 7 else 1 end as length, case when event_type = 'error' then 3 else 0 end as \"offset\" from ev")
@@ -565,3 +565,48 @@ def incremental_mix(spark, d):
     maintain.refresh(whole, path, lambda ranges: maintain.mixed(before, ranges), 1, width)
     maintain.refresh(maintain.changed(before, after, "item_id"), path, lambda ranges: maintain.mixed(after, ranges), 2, width)
     return maintain.current(spark, path).select("frame", "v")
+
+
+@query("""with recursive m as (select p_partkey, 1 as k, cast(p_size * 1000 as bigint) as i, p_partkey % 2 = 0 as l, cast(0 as bigint) as step from part),
+s as (select c_custkey as step, c_custkey * 7919 % 50000 as a, c_custkey * 7919 % 50000 + c_custkey % 6 as b, c_custkey % 11 as n from customer),
+f as (select * from m union all select p_partkey, k, case when i < a then i when i <= b then case when l then a else a + n end else i + n - (b - a) end, l, s.step from f join s on s.step = f.step + 1)
+select p_partkey, i as index from f where step = (select max(step) from s)""")
+def marks_of_one_list(spark, d):
+    """Marks of one list after a splice for each customer."""
+    c = F.col("c_custkey")
+    at = c * 7919 % 50_000
+    s = t(spark, d, "customer").select(F.lit(1).alias("k"), c.alias("step"), at.alias("start"), (at + c % 6).alias("stop"), (c % 11).alias("new_length"))
+    m = t(spark, d, "part").select("p_partkey", F.lit(1).alias("k"), (F.col("p_size") * 1000).cast("long").alias("index"), (F.col("p_partkey") % 2 == 0).alias("left_gravity"))
+    return marks.shift_marks(m, s, ["k"]).select("p_partkey", "index")
+
+
+_STEPS = "s as (select * from (values (1, 'move', true), (2, 'move', true), (3, 'move', true), (4, 'trim', false), (5, 'move', true), (6, 'move', true)) as v(step, kind, merges))"
+
+
+@query(f"""with {LI}, {_STEPS}, r as (select step, case when step <= 3 then 1 when step = 4 then 4 else 5 end as run from s),
+e as (select seq, idx, step, run, length + coalesce(sum(case when (part + step) % 5 = 0 then case when step = 2 then -1 else 1 end end) over w, 0) as after, case when (part + step) % 5 = 0 then case when step = 2 then -1 else 1 end else 0 end as by_ from li, r window w as (partition by seq, idx order by step))
+select run as step, seq, idx, arg_min(after - by_, step) as before, arg_max(after, step) as after from e group by run, seq, idx having arg_min(after - by_, step) <> arg_max(after, step)""")
+def log_compacted(spark, d):
+    """Six steps that change lengths, of which two runs are merged; what is changed back within a run is gone."""
+    table = lines(spark, d).select("seq", "idx", "part", "length")
+    steps = spark.createDataFrame([(1, "move", True), (2, "move", True), (3, "move", True), (4, "trim", False), (5, "move", True), (6, "move", True)], "step int, kind string, merges boolean")
+    entries, now = None, table
+    for k in range(1, 7):
+        nxt = edits.update(now, (F.col("part") + k) % 5 == 0, length=F.col("length") + (-1 if k == 2 else 1))
+        own = edits.log(now, nxt, ["seq", "idx"], k)
+        entries, now = own if entries is None else entries.unionByName(own), nxt
+    out = edits.compact(graph.fresh(entries), edits.runs(steps), ["seq", "idx"])
+    return out.select("step", "seq", "idx", F.col("before.length").alias("before"), F.col("after.length").alias("after"))
+
+
+@query("""with recursive b as (select o_orderkey as id, o_custkey as k, cast(date_diff('day', date '1992-01-01', cast(o_orderdate as date)) as bigint) as x, cast(30 + o_orderkey % 200 as bigint) as l, o_orderkey % 10 as y, 3 as h, o_orderkey % 17 as z from orders),
+p as (select a.id as a, b.id as b, a.z as za, b.z as zb from b a join b on a.k = b.k and a.id <> b.id and a.x < b.x + b.l and b.x < a.x + a.l and a.y < b.y + b.h and b.y < a.y + a.h),
+c as (select id, id as r from b union select p.b, c.r from c join p on p.a = c.id), s as (select id, min(r) as part from c group by id),
+e as (select id, 0 as depth from b union select p.b, e.depth + 1 from e join p on p.a = e.id and p.zb < p.za), f as (select id, max(depth) as depth from e group by id),
+t as (select part, max(y) as top from s join b using (id) group by part)
+select id, row_number() over (order by top desc, part, depth, y desc, z desc, id) - 1 as paint from b join s using (id) join f using (id) join t using (part)""")
+def stack_paint(spark, d):
+    """Boxes in the order of painting, where what overlaps goes by z and all else by y."""
+    o, k = t(spark, d, "orders"), F.col("o_orderkey")
+    b = o.select(k.alias("id"), "o_custkey", _day().cast("long").alias("x"), (30 + k % 200).cast("long").alias("l"), (k % 10).alias("y"), F.lit(3).alias("h"), (k % 17).alias("z"))
+    return graph.stack_order(b.select("id", "y", "z"), intervals.box_overlaps(b, "id", "x", "l", "y", "h", ["o_custkey"])).select("id", "paint")
