@@ -39,6 +39,16 @@ def as_int(v: Column) -> Column:
     return F.round(v).cast("int")
 
 
+def as_point(v: Column) -> Column:
+    """The first two of an array as a place (x, y)."""
+    return F.struct(v[0].alias("x"), v[1].alias("y"))
+
+
+def as_box(v: Column) -> Column:
+    """An array of four as a box of whole numbers (min_x, min_y, max_x, max_y), halves away from zero."""
+    return F.struct(*[as_int(v[i]).alias(n) for i, n in enumerate(("min_x", "min_y", "max_x", "max_y"))])
+
+
 def as_rgba(v: Column) -> Column:
     """An array of four as a colour; alpha is held in 0 to 1."""
     return F.struct(v[0].alias("r"), v[1].alias("g"), v[2].alias("b"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), v[3])).alias("a"))

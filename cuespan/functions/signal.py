@@ -30,6 +30,11 @@ def illuminant(name: Column) -> Column:
     return F.try_element_at(F.create_map(*[c for n, p in ILLUMINANTS.items() for c in (F.lit(n), _xy(p))]), name)
 
 
+def thumbnail_box(full_frame: Column, active_area: Column) -> Column:
+    """The box that thumbnails show: the active area, or the whole frame where none is given."""
+    return F.coalesce(active_area, full_frame)
+
+
 def primaries(name: Column) -> Column:
     """The primaries of that name, an array of three (x, y); null if unknown."""
     return F.try_element_at(F.create_map(*[c for n, p in PRIMARIES.items() for c in (F.lit(n), F.array(*map(_xy, p)))]), name)

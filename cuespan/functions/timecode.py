@@ -44,13 +44,16 @@ def container_tick(sample: Column, rate: int, scale: int) -> Column:
 
 
 def clock_time(now: Column, base: Column, seek: Column, n: Column, d: Column) -> Column:
-    """Presentation time of a clock that plays at n / d; it stands still where n is 0."""
-    return seek + _div((now - base) * n, d)
+    """Presentation time of a clock that plays at n / d; it stands still where n is 0.
+
+    Whole parts of d and the rest are scaled apart, so that the product doesn't leave 64 bits."""
+    ran = now - base
+    return seek + _div(ran, d) * n + _div((ran - _div(ran, d) * d) * n, d)
 
 
 def varispeed_index(i: Column, n: Column, d: Column) -> Column:
-    """The source index of output i at speed n / d."""
-    return _div(i * n, d)
+    """The source index of output i at speed n / d, counted from where reading begins; backward as forward."""
+    return _div(i * F.abs(n), d)
 
 
 def frames_text(frame: Column) -> Column:

@@ -113,7 +113,7 @@ def place_all(items: DataFrame, movers: DataFrame, at: DataFrame, seq: str = "se
     same = F.count(F.when(new, 1)).over(Window.partitionBy("_s", "_x"))
     ok = F.col("_fits") & (F.col("_same") <= 1) & (F.col("_kind").eqNullSafe(F.col("_first")) if kind else F.lit(True))
     whole = Window.partitionBy("_s")
-    d = d.withColumns({"_same": same, "_first": F.min_by(F.when(~new, F.col("_kind")), F.when(~new, F.struct("_x", idx_of))).over(whole)})
+    d = d.withColumns({"_same": same, "_first": F.min_by(F.when(~new, F.col("_kind")), F.when(~new, F.struct("_key", idx_of))).over(whole)})
     d = d.withColumn("_ok", F.min(F.when(new, ok).otherwise(True).cast("int")).over(whole) == 1)
     before = F.coalesce(F.sum("_n").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     d = d.withColumns({"_idx": before.cast("long"), "_t": F.when(F.col("_p").isNull(), F.when(new, 0)).otherwise(F.col("_p._end") - F.col("_x")).cast("long")})

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
+
+from ..functions.timecode import varispeed_index
 
 
 def shift_window(df: DataFrame, frame: str, offset: int = 0, start: int | None = None, end: int | None = None) -> DataFrame:
@@ -51,17 +52,33 @@ def every(df: DataFrame, frame: str, k: int) -> DataFrame:
     return df.where(F.pmod(F.col(frame), F.lit(k)) == 0)
 
 
+def frames(spans: DataFrame, keys: list[str], frame: str) -> DataFrame:
+    """(keys, frame) for each frame of spans (keys, lo, hi), ends counted, block by block."""
+    at = lambda c: F.floor(F.col(c) / F.lit(FILL)).cast("long")
+    edge = lambda c: F.col(c).cast("long")
+    d = spans.where("lo <= hi").withColumn("_block", F.explode(F.sequence(at("lo"), at("hi")))).repartition(*keys, "_block")
+    own = F.sequence(F.greatest(edge("lo"), F.col("_block") * FILL), F.least(edge("hi"), (F.col("_block") + 1) * FILL - 1))
+    return d.select(*keys, F.explode(own).alias(frame))
+
+
+def varispeed(df: DataFrame, keys: list[str], sample: str, value: str, start: int, count: int, n: int, d: int, empty=0.0) -> DataFrame:
+    """`count` output samples from 0 of each key, read from `start` on at speed n / d by the nearest sample before; at a
+    negative speed the last output is what is read first. Samples that the key doesn't have are `empty`."""
+    spine = frames(df.select(*keys).distinct().withColumns({"lo": F.lit(0), "hi": F.lit(count - 1)}), keys, "_out")
+    i = F.col("_out") if n > 0 else F.lit(count - 1) - F.col("_out")
+    spine = spine.withColumn("_at", F.lit(start) + varispeed_index(i, F.lit(n), F.lit(d)))
+    own = df.select(*keys, F.col(sample).cast("long").alias("_at"), value)
+    out = spine.join(own, [*keys, "_at"], "left")
+    return out.select(*keys, F.col("_out").alias(sample), F.coalesce(value, F.lit(empty)).alias(value))
+
+
 def fill(df: DataFrame, frame: str, value: str, keys: list[str] = (), empty=0.0) -> DataFrame:
     """A row for each whole frame between the first and last of each key; missing values are `empty`.
 
     Frames are made block by block, each block where it is dealt to, so that no row or task holds a key's whole range."""
     keys = list(keys)
     spine = df.groupBy(*keys).agg(F.min(frame).alias("lo"), F.max(frame).alias("hi")).where("lo is not null")
-    at = lambda c: F.floor(F.col(c) / F.lit(FILL)).cast("long")
-    spine = spine.withColumn("_block", F.explode(F.sequence(at("lo"), at("hi")))).repartition(*keys, "_block")
-    edge = lambda c: F.col(c).cast("long")
-    own = F.sequence(F.greatest(edge("lo"), F.col("_block") * FILL), F.least(edge("hi"), (F.col("_block") + 1) * FILL - 1))
-    spine = spine.select(*keys, F.explode(own.cast(ArrayType(df.schema[frame].dataType, False))).alias(frame))
+    spine = frames(spine, keys, frame).withColumn(frame, F.col(frame).cast(df.schema[frame].dataType))
     return spine.join(df, [*keys, frame], "left").withColumn(value, F.coalesce(value, F.lit(empty)))
 
 

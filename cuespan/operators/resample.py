@@ -21,19 +21,22 @@ def subsample(df: DataFrame, keys: list[str], index: str, value: str, taps: list
     return out.groupBy(*keys, index).agg(F.sum(value).alias(value))
 
 
-def scale(df: DataFrame, keys: list[str], x: str, y: str, value: str, fx: float, fy: float) -> DataFrame:
+def scale(df: DataFrame, keys: list[str], x: str, y: str, value: str, fx: float, fy: float, target: tuple[float, float] = (0, 0), source: tuple[float, float] = (0, 0), rect: tuple[int, int, int, int] | None = None) -> DataFrame:
     """A picture scaled by fx and fy with a triangle filter, one axis after the other, the smaller factor
-    first; a factor of 0 gives nothing, 1 leaves its axis alone."""
+    first, so that its point `source` comes to `target`; rect (min x, min y, max x, max y, ends counted) is the part of
+    it that is read. A factor of 0 gives nothing; 1 leaves an axis alone where both points are the same on it."""
     if not fx or not fy:
         return df.limit(0)
-    for axis, f in sorted(((x, fx), (y, fy)), key=lambda p: p[1]):
-        if f == 1:
+    if rect is not None:
+        df = df.where(F.col(x).between(rect[0], rect[2]) & F.col(y).between(rect[1], rect[3]))
+    for axis, f, to, at in sorted(((x, fx, target[0], source[0]), (y, fy, target[1], source[1])), key=lambda p: p[1]):
+        if f == 1 and to == at:
             continue
         other = [c for c in (x, y) if c != axis]
         reach = 1.0 / min(f, 1.0)
-        lo, hi = F.ceil((F.col(axis) - reach) * f), F.floor((F.col(axis) + reach) * f)
+        lo, hi = F.ceil((F.col(axis) - at - reach) * f + to), F.floor((F.col(axis) - at + reach) * f + to)
         out = df.withColumn("_o", F.explode(F.when(lo <= hi, F.sequence(lo.cast("int"), hi.cast("int"))).otherwise(F.array().cast("array<int>"))))
-        w = F.greatest(F.lit(0.0), 1 - F.abs(F.col("_o") / F.lit(float(f)) - F.col(axis)) / reach)
+        w = F.greatest(F.lit(0.0), 1 - F.abs((F.col("_o") - to) / F.lit(float(f)) + at - F.col(axis)) / reach)
         out = out.groupBy(*keys, *other, F.col("_o").alias(axis)).agg((F.sum(F.col(value) * w) / F.sum(w)).alias(value), F.sum(w).alias("_w")).where("_w > 0").drop("_w")
         df = out.select(*keys, x, y, value)
     return df

@@ -118,3 +118,31 @@ def nearest(df: DataFrame, keys: list[str], edge: str, at: Column, within: float
     """The edge nearest to a place, if it lies within a distance; the lower one of two."""
     d = F.abs(F.col(edge) - at)
     return df.where(d < within).groupBy(*keys).agg(F.min_by(edge, F.struct(d, F.col(edge))).alias(edge))
+
+
+def keyed_edits(items: DataFrame, edits: DataFrame, part: list[str], id: str, key: str, pos: str = "pos") -> DataFrame:
+    """Sorted lists, one for each part, after edits (part, step, op, id, key): `add`, `remove` or `move` of one item by its key.
+
+    What is added, or moved to a new key, comes before all of an equal key; others keep their order. So the last edit
+    of an item decides where it stands: by key, then the latest edit first, then the place that it had."""
+    last = edits.groupBy(*part, id).agg(F.max("step").alias("_step"), F.max_by("op", "step").alias("_op"), F.max_by(key, "step").alias("_new"))
+    d = items.join(last, [*part, id], "full").where("_op is null or _op <> 'remove'")
+    d = d.withColumns({key: F.when(F.col("_op").isNotNull(), F.col("_new")).otherwise(F.col(key)), "_age": F.coalesce("_step", F.lit(-1))})
+    w = Window.partitionBy(*part).orderBy(key, F.desc("_age"), pos)
+    return d.withColumn(pos, F.row_number().over(w).cast("long") - 1).select(*items.columns)
+
+
+def workspace_edits(items: DataFrame, edits: DataFrame, id: str = "item_id") -> DataFrame:
+    """items after edits (step, op, id, and the items' other columns): `add` gives all columns, `update` those that are not
+    null, `remove` takes an item away. Each item's edits count from its last `add` or `remove` on."""
+    cols = [c for c in items.columns if c != id]
+    w = Window.partitionBy(id)
+    d = edits.withColumn("_from", F.max(F.when(F.col("op") != "update", F.col("step"))).over(w)).where("_from is null or step >= _from")
+    given = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("step"))).alias(f"_{c}") for c in cols]
+    d = d.groupBy(id).agg(F.min_by("op", "step").alias("_op"), *given)
+    out = items.join(d, id, "full").where("_op is null or _op <> 'remove'")
+    kept = {c: F.when(F.col("_op") == "add", F.col(f"_{c}")).otherwise(F.coalesce(f"_{c}", c)) for c in cols}
+    # an update of an item that isn't there has no effect
+    there = items.select(id, F.lit(True).alias("_old"))
+    out = out.join(there, id, "left").where("_old or _op = 'add'")
+    return out.withColumns({c: v.cast(items.schema[c].dataType) for c, v in kept.items()}).select(*items.columns)

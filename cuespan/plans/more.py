@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import ebml
@@ -9,10 +10,10 @@ from ..functions import frame as ff
 from ..functions import geometry as geo
 from ..functions import signal as sig
 from ..functions import timecode as tc
-from ..operators import catalog, chroma, edits, graph, intervals, marks, nesting, packets, placement, ranges, resample
+from ..operators import asof, catalog, chroma, edits, graph, intervals, marks, nesting, packets, placement, ranges, resample
 from ..operators import mix as mixing
 from ..operators import sequences as seqs
-from ..sources import binned, container, generators
+from ..sources import binned, container, generators, projects
 from ..streaming import clocks, maintain, playback
 from .queries import _OV, EV, IT, LI, events, items, lines, query, t
 
@@ -610,3 +611,118 @@ def stack_paint(spark, d):
     o, k = t(spark, d, "orders"), F.col("o_orderkey")
     b = o.select(k.alias("id"), "o_custkey", _day().cast("long").alias("x"), (30 + k % 200).cast("long").alias("l"), (k % 10).alias("y"), F.lit(3).alias("h"), (k % 17).alias("z"))
     return graph.stack_order(b.select("id", "y", "z"), intervals.box_overlaps(b, "id", "x", "l", "y", "h", ["o_custkey"])).select("id", "paint")
+
+
+# points, parts, edits by key, projects --------------------------------------------------------------
+
+_TRI = "greatest(0, 1 - abs(({o} - {t}) / {f} + {s} - {i}) / {r})"
+_TX, _TY = _TRI.format(o="o", t=3, f=0.5, s=10, i="x", r=2), _TRI.format(o="o", t=-2.5, f=1.5, s=4, i="y", r=1)
+
+
+@query(f"""with p as (select cast(p_partkey // 64 as int) as y, cast(p_partkey % 64 as int) as x, cast(p_size as double) as v from part where p_partkey % 64 between 4 and 50 and p_partkey // 64 >= 2),
+a as (select y, o as x, sum(v * {_TX}) / sum({_TX}) as v from (select *, unnest(generate_series(cast(ceil((x - 10 - 2) * 0.5 + 3) as int), cast(floor((x - 10 + 2) * 0.5 + 3) as int))) as o from p) group by y, o having sum({_TX}) > 0),
+b as (select o as y, x, sum(v * {_TY}) / sum({_TY}) as v from (select *, unnest(generate_series(cast(ceil((y - 4 - 1) * 1.5 - 2.5) as int), cast(floor((y - 4 + 1) * 1.5 - 2.5) as int))) as o from a) group by x, o having sum({_TY}) > 0)
+select y, x, round(v, 6) as v from b""")
+def picture_scale_points(spark, d):
+    """A part of a picture scaled so that a point of it comes to another place."""
+    k = F.col("p_partkey")
+    p = t(spark, d, "part").select(tc._div(k, 64).cast("int").alias("y"), (k % 64).cast("int").alias("x"), F.col("p_size").cast("double").alias("v"))
+    return resample.scale(p, [], "x", "y", "v", 0.5, 1.5, target=(3, -2.5), source=(10, 4), rect=(4, 2, 50, 1 << 30)).select("y", "x", F.round("v", 6).alias("v"))
+
+
+@query(f"""with {EV}, k as (select user_id, minute as frame, max(value) as a, min(value) as b, count(*) as c, cast(max(event_id) % 2 as int) as kind from ev where event_type = 'signup' group by user_id, minute),
+n as (select *, lead(frame) over w as nf, lead(a) over w as na, lead(b) over w as nb, lead(c) over w as nc from k window w as (partition by user_id order by frame)),
+f as (select user_id, min_by(a, frame) as fa, min_by(b, frame) as fb, min_by(c, frame) as fc from k group by user_id),
+j as (select e.event_id, e.minute, n.*, f.* from ev e asof left join n on e.user_id = n.user_id and e.minute >= n.frame left join f on f.user_id = e.user_id)
+select event_id, """ + ", ".join(f"round(case when frame is null then coalesce(f{c}, 0) when nf is null or kind = 0 then {c} else {c} + (n{c} - {c}) * ((minute - frame) / (nf - frame)) end, 6) as {c}" for c in "abc") + ", 0.0::double as d from j")
+def keyframe_four(spark, d):
+    """Keyframes of three values, padded to four."""
+    e = events(spark, d)
+    k = e.where("event_type = 'signup'").groupBy("user_id", F.col("minute").alias("frame")).agg(F.array(F.max("value"), F.min("value"), F.count("*").cast("double")).alias("value"), (F.max("event_id") % 2).cast("int").alias("kind"))
+    out = asof.interpolate(e.select("event_id", "user_id", "minute"), k, "minute", keys=["user_id"])
+    return out.select("event_id", *[F.round(F.col("interpolated")[i], 6).alias(c) for i, c in enumerate("abcd")])
+
+
+@query("select p_partkey, cast(round(p_partkey / 8.0 - 100) as int) as min_x, cast(round(-p_size / 2.0) as int) as min_y, cast(round(p_partkey / 8.0) as int) as max_x, cast(round(p_size * 2.5) as int) as max_y, p_partkey / 8.0 - 100 as x from part")
+def typed_boxes(spark, d):
+    """Arrays of four read as boxes of whole numbers, and their first two as a place."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    v = F.array(k / F.lit(8.0) - 100, -n / F.lit(2.0), k / F.lit(8.0), n * F.lit(2.5))
+    return t(spark, d, "part").select("p_partkey", ff.as_box(v).alias("b"), ff.as_point(v).x.alias("x")).select("p_partkey", "b.*", "x")
+
+
+_H = f"{EV}, h as (select event_type, hour, sum(value) as v from ev group by all), y as (select distinct event_type from ev), o as (select event_type, unnest(range(0, 900)) as i from y)"
+
+
+@query(f"with {_H} select o.event_type, o.i as hour, round(coalesce(h.v, 0), 2) as v from o left join h on h.event_type = o.event_type and h.hour = -20 + (899 - o.i) * 3 // 2")
+def varispeed_backward(spark, d):
+    """Read backward at one and a half times the speed, from before the first sample to behind the last."""
+    h = events(spark, d).groupBy("event_type", "hour").agg(F.sum("value").alias("v"))
+    return ranges.varispeed(h, ["event_type"], "hour", "v", -20, 900, -3, 2).select("event_type", "hour", F.round("v", 2).alias("v"))
+
+
+@query(f"""with {_WS}, r as (select item_id, k, x, row_number() over (partition by k order by x, item_id) - 1 as pos from w),
+e as (select r.*, case when item_id % 4 = 0 then null when item_id % 4 = 1 then 0 else -1 end as age, case when item_id % 4 = 1 then x % 50 else x end as nx from r)
+select item_id, k, nx as x, row_number() over (partition by k order by nx, age desc, case when age = 0 then -item_id else pos end) - 1 as pos from (select * from e where age is not null
+union all select -item_id, k, x, pos, 1000000000, x from r where item_id % 8 = 5)""")
+def sorted_edits(spark, d):
+    """Of each customer's sorted orders some go, some move to another key and some new ones come."""
+    k = F.col("item_id")
+    w = _workspace(spark, d).select("item_id", "k", "x")
+    own = w.withColumn("pos", F.row_number().over(Window.partitionBy("k").orderBy("x", "item_id")).cast("long") - 1)
+    of = lambda df, op, step, x: df.select("k", "item_id", F.lit(op).alias("op"), step.cast("long").alias("step"), x.cast("long").alias("x"))
+    edits_ = of(w.where(k % 4 == 0), "remove", k, F.lit(None)).unionByName(of(w.where(k % 4 == 1), "move", k, F.col("x") % 50))
+    new = w.where(k % 8 == 5).withColumn("item_id", -k)
+    edits_ = edits_.unionByName(of(new, "add", F.lit(1_000_000_000) + F.monotonically_increasing_id() * 0, F.col("x")))
+    return seqs.keyed_edits(own, edits_, ["k"], "item_id", "x").select("item_id", "k", "x", "pos")
+
+
+@query(f"with {_WS} select item_id, k, case when item_id % 5 = 1 then x + 7 else x end as x, case when item_id % 5 = 2 then 3 else length end as length, case when item_id % 15 = 1 then 99 else z end as z, y from w where item_id % 5 <> 0 union all select -1 - item_id, k, x, 1, z, 0.0 from w where item_id % 5 = 0")
+def workspace_edited(spark, d):
+    """Items of a workspace updated column by column, removed, and added by their keys."""
+    w, k = _workspace(spark, d), F.col("item_id")
+    none = F.lit(None)
+    step = lambda df, n, op, **own: df.select(k, F.lit(n).alias("step"), F.lit(op).alias("op"), *[own.get(c, none).cast(w.schema[c].dataType).alias(c) for c in ("k", "x", "length", "z", "y")])
+    edits_ = step(w.where(k % 5 == 1), 1, "update", x=F.col("x") + 7).unionByName(step(w.where(k % 15 == 1), 2, "update", z=F.lit(99))).unionByName(step(w.where(k % 5 == 2), 2, "update", length=F.lit(3)))
+    edits_ = edits_.unionByName(step(w.where(k % 5 == 0), 3, "remove"))
+    new = w.where(k % 5 == 0).withColumn("item_id", -1 - k)
+    edits_ = edits_.unionByName(step(new, 1, "add", k=F.col("k"), x=F.col("x"), length=F.lit(5), z=F.col("z"), y=F.lit(0.0))).unionByName(step(new, 2, "update", length=F.lit(1)))
+    return seqs.workspace_edits(w, edits_)
+
+
+@query("select p_partkey, case when p_size % 3 = 0 then p_size else p_size + 4 end as width from part")
+def thumbnail_boxes(spark, d):
+    """Boxes of thumbnails, some of which have no active area."""
+    p, n = t(spark, d, "part"), F.col("p_size")
+    full, active = F.struct(n.alias("w")), F.when(n % 3 != 0, F.struct((n + 4).alias("w")))
+    return p.select("p_partkey", sig.thumbnail_box(full, active).w.alias("width"))
+
+
+@query("""with c as (select c_nationkey as n, c_custkey as k, row_number() over (partition by c_nationkey order by c_custkey) - 1 as item_id from customer)
+select n, item_id, k * 3 as x, 1 + k % 90 as length, 'libav' as plugin, case when item_id > 0 and k % 3 = 0 then item_id - 1 end as target from c""")
+def project_files(spark, d):
+    """Each nation's customers as the items of a project file, written and read again with their anchors."""
+    k, n = F.col("c_custkey").cast("string"), F.col("c_nationkey")
+    c = t(spark, d, "customer")
+    first = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) == 1
+    before = F.lag("c_custkey").over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).cast("string")
+    tie = F.when(~first & (F.col("c_custkey") % 3 == 0), F.concat(F.lit(", anchor: !CanvasAnchor {target: *c"), before, F.lit(", two_way: true}"))).otherwise("")
+    item = F.concat(F.lit("      - &c"), k, F.lit(" !CanvasClip {type: video, source: !AssetStreamRef {asset_path: a, stream: '0'}, x: "), (F.col("c_custkey") * 3).cast("string"), F.lit(", length: "), (1 + F.col("c_custkey") % 90).cast("string"), tie, F.lit("}"))
+    head = "!Project\n  assets:\n    a: !PluginSourceAsset {plugin_urn: libav, definition: {path: x}}\n    s: !SpaceAsset\n      space: !CanvasSpace\n        items:"
+    lines_ = c.select(n, F.col("c_custkey").alias("o"), item.alias("value")).unionByName(c.select(n).distinct().select(n, F.lit(-1).cast("long").alias("o"), F.lit(head).alias("value")))
+    path = graph.shared_folder(spark)
+    lines_.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "o").select("c_nationkey", F.regexp_replace("value", "^      - ", "        - ").alias("value")).write.partitionBy("c_nationkey").text(path)
+    p = projects.load_projects(spark, f"{path}/*/*.txt")
+    on = ["project", "asset", "item_id"]
+    out = p["item"].join(p["anchor"].select("project", "asset", F.col("source").alias("item_id"), "target"), on, "left").join(p["asset"].where("plugin is not null").select("project", F.col("asset").alias("source_asset"), "plugin"), ["project", "source_asset"])
+    return out.select(F.regexp_extract("project", "c_nationkey=([0-9]+)", 1).cast("int").alias("n"), "item_id", "x", "length", "plugin", "target")
+
+
+@query(f"""with {LI}, f as (select *, first_value(part) over (partition by seq order by idx) as p0, max(idx) over (partition by seq) as top, sum(length) over (partition by seq order by idx) - sum(case when idx = 0 then 0 else transition_length end) over (partition by seq order by idx) as stop from li)
+select seq, idx, length, transition_length, cast(part % 2 as int) as kind from f union all select seq, top + 1, 4, cast(stop - 100000 as bigint), cast(seq % 2 as int) from f where idx = top and p0 % 2 = seq % 2""")
+def sequence_place_kinds(spark, d):
+    """An item put behind the end of those sequences whose first item is of its kind."""
+    s = lines(spark, d).select("seq", "idx", "length", "transition_length", (F.col("part") % 2).cast("int").alias("kind"))
+    own = s.select("seq").distinct()
+    m = own.select("seq", F.lit(0).cast("long").alias("idx"), F.lit(4).cast("long").alias("length"), F.lit(0).cast("long").alias("transition_length"), (F.col("seq") % 2).cast("int").alias("kind"))
+    return placement.place(s, m, own.withColumn("x", F.lit(100_000).cast("long")), strict=False, kind="kind")[0]

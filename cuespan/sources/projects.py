@@ -24,6 +24,81 @@ def load_project(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"clip": clip, "anchor": a.select("source", "a.target", given(F.col("a.offset_ns"), 0).alias("offset_ns"), *flags)}
 
 
+ASSET = "project string, asset string, kind string, plugin string, definition string"
+ITEM = "project string, asset string, item_id bigint, kind string, type string, source_asset string, source_stream string, x bigint, y double, length bigint, height double, offset bigint, z bigint"
+PART = "project string, asset string, item_id bigint, idx bigint, source_asset string, source_stream string, offset bigint, length bigint, transition_length bigint"
+ANCHOR = "project string, asset string, source bigint, target bigint, offset_ns bigint, visible boolean, two_way boolean"
+TABLES = {"asset": ASSET, "item": ITEM, "sequence_item": PART, "anchor": ANCHOR}
+
+
+def _tagged(text: str) -> dict:
+    """A project file's values; what has a tag is a dict of its own kind, and what it names twice is one and the same."""
+    import yaml
+
+    class Loader(yaml.SafeLoader):
+        pass
+
+    def build(loader, tag, node):
+        if isinstance(node, yaml.MappingNode):
+            out = {"_tag": tag}
+            yield out  # before its values are made, as they may name it again
+            out.update(loader.construct_mapping(node, deep=True))
+        elif isinstance(node, yaml.SequenceNode):
+            yield {"_tag": tag, "values": loader.construct_sequence(node, deep=True)}
+        else:
+            yield {"_tag": tag, "text": loader.construct_scalar(node)}
+
+    Loader.add_multi_constructor("!", build)
+    return yaml.load(text, Loader) or {}
+
+
+def _rows(name: str, project: dict) -> dict[str, list[tuple]]:
+    """Rows of TABLES of one project. Links are put right: an item's place in its list is its number and its z, and an anchor
+    names its target by that number; one whose target is not in its space is an error."""
+    import json as js
+
+    out: dict[str, list[tuple]] = {k: [] for k in TABLES}
+    source = lambda i: ((i.get("source") or {}).get("asset_path"), (i.get("source") or {}).get("stream"))
+    for asset, a in (project.get("assets") or {}).items():
+        asset = str(asset)
+        out["asset"].append((name, asset, a.get("_tag"), a.get("plugin_urn"), js.dumps(a["definition"], sort_keys=True) if "definition" in a else None))
+        items = (a.get("space") or {}).get("items") or []
+        number = {id(i): k for k, i in enumerate(items)}
+        for k, i in enumerate(items):
+            parts = i.get("items") or []
+            size = sum(p["length"] for p in parts) - sum(p.get("transition_length", 0) for p in parts[1:]) if parts else i.get("length", 1)
+            out["item"].append((name, asset, k, i.get("_tag"), i.get("type", "video"), *source(i), i.get("x", 0), float(i.get("y", 0)), size, float(i.get("height", 1)), i.get("offset", 0), k))
+            out["sequence_item"] += [(name, asset, k, n, *source(p), p.get("offset", 0), p["length"], p.get("transition_length", 0)) for n, p in enumerate(parts)]
+            if anchor := i.get("anchor"):
+                if id(anchor.get("target")) not in number:
+                    raise ValueError(f"{name}: an anchor's target is not in its space")
+                out["anchor"].append((name, asset, k, number[id(anchor["target"])], anchor.get("offset_ns", 0), bool(anchor.get("visible", False)), bool(anchor.get("two_way", False))))
+    return out
+
+
+def load_projects(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """YAML project files (a file, a folder or a pattern) as tables of assets, items, sequences' items and anchors.
+
+    A file is a task's row; files are read and parsed where Spark deals them to. PyYAML has to be installed there."""
+    import pyarrow as pa
+
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("content").cast("string").alias("text"))
+
+    def table(what: str) -> DataFrame:
+        kinds = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+        schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in TABLES[what].split(", ")])
+
+        def run(batches):
+            for b in batches:
+                for name, text in zip(b.column("path").to_pylist(), b.column("text").to_pylist(), strict=True):
+                    if rows := _rows(name, _tagged(text))[what]:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+        return files.mapInArrow(run, TABLES[what])
+
+    return {k: table(k) for k in TABLES}
+
+
 def dump_project(tables: dict[str, DataFrame]) -> DataFrame:
     """One JSON text for each clip, without the values that are defaults."""
     drop = lambda c, v: F.when(F.col(c) != v, F.col(c)).alias(c)
