@@ -5,32 +5,27 @@
     spark.read.format("container").load(path)                               # packets
     spark.read.format("container").option("table", "cues").load(path)       # or tracks, tags
 
-Each task writes one file: header, segment information, tracks, clusters, cues, tags. Files are written in a folder of
-their job under the path and moved into place when all tasks are done; what failed tasks leave goes with that
-folder, and a job that fails leaves nothing. With the tasks' commit messages the driver writes an index: of each file, where
-about every SPLIT bytes a cluster begins, and the times up to the next such place. A read makes a partition for each of these places,
-and leaves out those that a filter on pts rules out. Files without an index are read whole, a partition each.
+Each task writes one file: header, segment information, clusters, tracks, cues, tags; files.py tells how a job commits them.
+Its index has, of each file, where about every SPLIT bytes a cluster begins, and the times up to the next such place. A read
+makes a partition for each of these places, and leaves out those that a filter on pts rules out.
 
 Rows are (track int, pts bigint, keyframe boolean, invisible boolean, discardable boolean, data binary). A cluster ends where a
 packet's time is more than 32767 from its start, or its data have passed CLUSTER bytes; times within it are 16 bits. Sort within
-partitions before writing. Paths are URIs that pyarrow's file systems know, or plain ones that all machines share.
+partitions before writing.
 """
 
 from __future__ import annotations
 
-import contextlib
 import json
-import posixpath
-import uuid
-from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, GreaterThan, GreaterThanOrEqual, EqualTo, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual
+
+from .files import File, FilesReader, FilesWriter, Range, Written, base_name, file_system
 
 PACKETS = "track int, pts bigint, keyframe boolean, invisible boolean, discardable boolean, data binary"
 TABLES = {"packets": PACKETS, "cues": "file string, track int, time bigint, position bigint", "tracks": "file string, track int, kind int, codec string, uid bigint", "tags": "file string, name string, value string"}
-#: Bytes of a cluster's data, and of a reader's partition.
-CLUSTER, SPLIT, BATCH = 5 << 20, 32 << 20, 1 << 20
-INDEX = "_index"
+#: Bytes of a cluster's data, and of a batch of rows that are read.
+CLUSTER, BATCH = 5 << 20, 1 << 20
 
 # The marks of the container's elements.
 HEADER, VERSION, READ_VERSION, ID_LENGTH, SIZE_LENGTH, DOC, DOC_VERSION, DOC_READ = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
@@ -103,45 +98,16 @@ def cluster_rows(content: memoryview):
             yield track, start + int.from_bytes(c[at : at + 2], "big", signed=True), bool(flags & 0x80), bool(flags & 0x08), bool(flags & 0x01), bytes(c[at + 3 :])
 
 
-def file_system(path: str):
-    """The file system of a path, and the path there."""
-    from pyarrow import fs
-
-    if "://" not in path and not path.startswith("file:"):
-        return fs.LocalFileSystem(), path
-    return fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
-
-
-@dataclass
-class Written(WriterCommitMessage):
-    """A task's file: its name, size, and (place, least time, greatest time) of ranges of clusters."""
-
-    name: str | None
-    size: int
-    ranges: list[tuple[int, int, int]]
-
-
-class ContainerWriter(DataSourceArrowWriter):
+class ContainerWriter(FilesWriter):
     def __init__(self, options: dict, overwrite: bool):
-        self.path, self.job, self.overwrite = options["path"], uuid.uuid4().hex, overwrite
-        self.scale, self.split = int(options.get("timecode_scale", 1_000_000)), int(options.get("split", SPLIT))
+        super().__init__(options, overwrite)
+        self.scale = int(options.get("timecode_scale", 1_000_000))
         self.limit, self.title = int(options.get("cluster", CLUSTER)), options.get("writing_app", "cuespan")
         self.video = {int(x) for x in options.get("video_tracks", "1").split(",") if x}
         self.codecs = json.loads(options.get("codecs", "{}"))
         self.tags = json.loads(options.get("tags", "{}"))
-        fs, root = file_system(self.path)
-        # made here alone: a task that lives on after its job has failed finds no folder to write to
-        fs.create_dir(self._folder(root))
-
-    def _folder(self, root: str) -> str:
-        return f"{root}/_temporary-{self.job}"
 
     def write(self, iterator) -> Written:
-        from pyspark import TaskContext
-
-        fs, root = file_system(self.path)
-        task = TaskContext.get()
-        name = f"part-{task.partitionId():05d}-{self.job}.mkv"
         out, at = None, 0
         clusters: list[tuple[int, int, int]] = []  # place, least time, greatest time
         cues, seen = [], set()
@@ -164,9 +130,7 @@ class ContainerWriter(DataSourceArrowWriter):
             if not batch.num_rows:
                 continue
             if out is None:  # a task without rows has no file
-                # another attempt of the same task writes its own file; the committed one is moved
-                temp = f"{self._folder(root)}/{task.taskAttemptId()}-{name}"
-                out = fs.open_output_stream(temp)
+                name, out = self.create("mkv")
                 put(element(HEADER, element(VERSION, 1), element(READ_VERSION, 1), element(ID_LENGTH, 4), element(SIZE_LENGTH, 8), element(DOC, "matroska"), element(DOC_VERSION, 2), element(DOC_READ, 2)))
                 put(mark_bytes(SEGMENT) + b"\x01" + b"\xff" * 7)  # of open size: it is written in one go
                 segment = at
@@ -189,7 +153,7 @@ class ContainerWriter(DataSourceArrowWriter):
                 if key and track in self.video:
                     keys.append((pts, track))
         if out is None:
-            return Written(None, 0, [])
+            return Written()
         finish()
         end = at
         # tracks are known at the end, so a reader finds them behind the clusters
@@ -199,63 +163,13 @@ class ContainerWriter(DataSourceArrowWriter):
         if self.tags:
             put(element(TAGS, element(TAG, element(TARGETS), *[element(SIMPLE_TAG, element(TAG_NAME, k), element(TAG_STRING, v)) for k, v in self.tags.items()])))
         out.close()
-        ranges: list[tuple[int, int, int]] = []
-        for place, a, b in clusters:
-            if ranges and place - ranges[-1][0] < self.split:
-                first, x, y = ranges[-1]
-                ranges[-1] = (first, min(x, a), max(y, b))
-            else:
-                ranges.append((place, a, b))
-        return Written(posixpath.basename(temp), end, ranges)
-
-    def commit(self, messages) -> None:
-        fs, root = file_system(self.path)
-        files = [m for m in messages if m is not None and m.name]
-        old = [f.path for f in _listed(fs, root)] if self.overwrite else []
-        index = []
-        for m in files:
-            name = m.name.partition("-")[2]
-            fs.move(f"{self._folder(root)}/{m.name}", f"{root}/{name}")
-            index.append({"name": name, "end": m.size, "ranges": m.ranges})
-        with fs.open_output_stream(f"{root}/{INDEX}-{self.job}.json") as f:
-            f.write("".join(json.dumps(x) + "\n" for x in index).encode())
-        for path in old:
-            fs.delete_file(path)
-        self.abort([])
-
-    def abort(self, messages) -> None:
-        from pyarrow.fs import FileType
-
-        fs, root = file_system(self.path)
-        for _ in range(5):  # a task that still runs may add a file meanwhile
-            if fs.get_file_info(self._folder(root)).type == FileType.Directory:
-                with contextlib.suppress(OSError):
-                    fs.delete_dir(self._folder(root))
-
-
-def _listed(fs, root: str):
-    """The container's files and indexes of a folder."""
-    from pyarrow.fs import FileSelector, FileType
-
-    own = fs.get_file_info(root)
-    if own.type == FileType.File:
-        return [own]
-    return [f for f in fs.get_file_info(FileSelector(root)) if f.type == FileType.File and (f.base_name.startswith(INDEX) or not f.base_name.startswith(("_", ".")))]
-
-
-@dataclass
-class Clusters(InputPartition):
-    """The clusters of a file from one place to another; to None: the whole file, whatever stands in it."""
-
-    file: str
-    at: int
-    to: int | None
-    value: int = 0
-
-
-class ContainerReader(DataSourceReader):
+        return Written([File(name, end, self.ranges(clusters, lambda x, y: (min(x[0], y[0]), max(x[1], y[1]))))])
+
+
+class ContainerReader(FilesReader):
     def __init__(self, options: dict):
-        self.path, self.table = options["path"], options.get("table", "packets")
+        super().__init__(options)
+        self.table = options.get("table", "packets")
         self.least, self.most = None, None
 
     def pushFilters(self, filters):
@@ -268,33 +182,19 @@ class ContainerReader(DataSourceReader):
                     self.most = f.value if self.most is None else min(self.most, f.value)
             yield f
 
+    def wanted(self, lo: int, hi: int) -> bool:
+        return (self.least is None or hi >= self.least) and (self.most is None or lo <= self.most)
+
     def partitions(self):
-        fs, root = file_system(self.path)
-        files = {f.base_name: f for f in _listed(fs, root)}
-        out, known = [], set()
-        for name, f in files.items():
-            if not name.startswith(INDEX) or self.table != "packets":
-                continue
-            with fs.open_input_stream(f.path) as s:
-                rows = [json.loads(x) for x in s.read().decode().splitlines()]
-            for x in rows:
-                if x["name"] not in files:
-                    continue
-                known.add(x["name"])
-                ends = [*[r[0] for r in x["ranges"][1:]], x["end"]]
-                for (at, lo, hi), to in zip(x["ranges"], ends, strict=True):
-                    if (self.least is None or hi >= self.least) and (self.most is None or lo <= self.most):
-                        out.append(Clusters(files[x["name"]].path, at, to))
-        out += [Clusters(f.path, 0, None) for name, f in files.items() if name not in known and not name.startswith(INDEX)]
-        return out or [Clusters("", 0, 0)]
-
-    def read(self, partition: Clusters):
+        return super().partitions(indexed=self.table == "packets")
+
+    def read(self, partition: Range):
         import pyarrow as pa
 
         if not partition.file:
             return
         fs, _ = file_system(self.path)
-        name = posixpath.basename(partition.file)
+        name = base_name(partition.file)
         kinds = {"int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "string": pa.string()}
         schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in TABLES[self.table].split(", ")])
         rows, size = [], 0
