@@ -7,15 +7,16 @@ length that occurs, documents also give all their n-grams of that length. Joined
 seeds, and every window around a seed is compared word by word, so hash collisions add nothing.
 
 Plan: documents -> distinct fingerprints -> hash join with the items' (broadcast only while their
-counted rows and bytes stay under bounds; beyond that a shuffle join, split where skewed) -> a short
-list of seeds for each candidate document -> candidate documents are read again and extended.
+counted rows and bytes stay under bounds; beyond that a shuffle join, split where skewed) -> the candidate
+documents are read again, their prints joined to the items' once more, with places, and extended.
 A seed carries the words of its item that a window over it can reach, of the document as well.
 Beyond the broadcast's bound, the seeds of a fingerprint with many items are dealt in DEAL parts, each
 of which meets all of the documents' places. Only candidates' texts move. All expressions are built in.
 
 Defined cases: null and empty texts have no words; items without words have no window; repeated
-rows get the same result each; a null doc_id is a key like others, ids may be numbers or texts; columns of
-any names may stand beside; empty tables work.
+rows get the same result each; a null doc_id is a key like others, ids may be numbers or texts; rows of one id with
+different texts are told apart by a 64-bit hash of the text; columns of any names may stand beside; empty tables
+work; a very long text or item is looked at place by place, each with the words around it.
 """
 
 from __future__ import annotations
@@ -58,13 +59,21 @@ def hits(docs: DataFrame, items: DataFrame, doc_id="doc_id", text="text", item_i
     it = items.select(items[f"`{item_id}`"].alias("item"), words(items[f"`{item_text}`"]).alias("iw")).where(F.size("iw") > 0)
     short = sorted(r[0] for r in it.select(F.size("iw").alias("n")).where(F.col("n") < WINDOW).distinct().collect())  # nine values at most
     seeds = it.where(F.size("iw") >= WINDOW).select("item", "iw", F.lit(WINDOW).alias("len"), _grams("iw", GRAM).alias("g"))
-    seeds = seeds.select("*", F.array_distinct(_least("g")).alias("f"))
-    seeds = seeds.select("item", "iw", "len", "f", F.posexplode("g").alias("q", "fp")).where(F.array_contains("f", F.col("fp"))).drop("f")
+    seeds = seeds.select("*", _least("g").alias("f"))
+
+    def around(g: str, w: str, keep=None) -> Column:
+        """Structs of each place p of g with its print, and the words (near, from lo on) that a window over it can reach."""
+        lo = lambda p: F.greatest(F.lit(0), p - (WINDOW - GRAM))
+        own = F.transform(g, lambda x, p: F.struct(x.alias("fp"), p.alias("p"), lo(p).alias("lo"), F.slice(w, lo(p) + 1, F.lit(2 * WINDOW)).alias("near")))
+        return own if keep is None else F.filter(own, keep)
+
+    # kept is what is the least of some SPAN neighbours that it belongs to; they begin at most SPAN - 1 places before it
+    is_least = lambda s: F.exists(F.slice("f", F.greatest(F.lit(0), s.p - (SPAN - 1)) + 1, F.least(F.lit(SPAN), s.p + 1)), lambda x: x == s.fp)
+    seeds = seeds.select("item", "len", F.size("iw").alias("n"), F.explode(around("g", "iw", is_least)).alias("s"))
     for k in short:
-        seeds = seeds.unionByName(it.where(F.size("iw") == k).select("item", "iw", F.lit(k).alias("len"), F.posexplode(_grams("iw", k)).alias("q", "fp")))
-    # the words around a seed that any window over it can reach, and where they begin in the item
-    ilo = F.greatest(F.lit(0), F.col("q") - (WINDOW - GRAM))
-    seeds = stored(seeds.select("item", "len", "fp", F.size("iw").alias("n"), "q", ilo.alias("ilo"), F.slice("iw", ilo + 1, F.lit(2 * WINDOW)).alias("iw")), "seeds")
+        own = it.where(F.size("iw") == k).select("item", "iw", F.lit(k).alias("len"), F.size("iw").alias("n"), _grams("iw", k).alias("g"))
+        seeds = seeds.unionByName(own.select("item", "len", "n", F.explode(around("g", "iw")).alias("s")))
+    seeds = stored(seeds.select("item", "len", F.col("s.fp").alias("fp"), "n", F.col("s.p").alias("q"), F.col("s.lo").alias("ilo"), F.col("s.near").alias("iw")), "seeds")
     prints = bounded_broadcast(seeds.select("fp").distinct(), BROADCAST_ROWS)
 
     def printed(df: DataFrame, keep: list[str]) -> DataFrame:
@@ -73,19 +82,12 @@ def hits(docs: DataFrame, items: DataFrame, doc_id="doc_id", text="text", item_i
 
     d = printed(_keyed(docs, doc_id, text), ["id", "th"])
     d = d.select("id", "th", F.explode(F.array_distinct(F.concat(_least("g"), *[F.col(f"g{k}") for k in short]))).alias("fp"))
-    found = stored(d.join(prints, "fp").groupBy("id", "th").agg(F.collect_set("fp").alias("fps")), "candidates")
-
-    c = _keyed(docs, doc_id, text).join(bounded_broadcast(found, 100_000), ["id", "th"])
-    c = printed(c, ["id", "th", "fps"])
-    def matched(g: str, k: int) -> Column:
-        placed = F.transform(g, lambda x, i: F.struct(x.alias("fp"), i.alias("p"), F.lit(k).alias("k")))
-        return F.filter(placed, lambda s: F.array_contains("fps", s.fp))
-
-    at = F.explode(F.concat(matched("g", GRAM), *[matched(f"g{k}", k) for k in short]))
-    c = c.select("id", "th", "w", at.alias("s"))
-    # of the document, only the words that a window over the seed can reach go on
-    lo = F.greatest(F.lit(0), F.col("s.p") - (WINDOW - GRAM))
-    c = c.select("id", "th", F.col("s.fp").alias("fp"), F.col("s.p").alias("p"), lo.alias("lo"), F.slice("w", lo + 1, F.lit(2 * WINDOW)).alias("near"))
+    found = stored(d.join(prints, "fp", "left_semi").select("id", "th").distinct(), "candidates")
+
+    c = printed(_keyed(docs, doc_id, text).join(bounded_broadcast(found.select("id", "th"), 100_000), ["id", "th"], "left_semi"), ["id", "th"])
+    # of a document, for each print only the words that a window over it can reach go on, and of those the items' prints
+    at = F.explode(F.concat(around("g", "w"), *[around(f"g{k}", "w") for k in short]))
+    c = c.select("id", "th", at.alias("s")).select("id", "th", "s.fp", "s.p", "s.lo", "s.near").join(prints, "fp", "left_semi")
     near = bounded_broadcast(seeds, BROADCAST_ROWS // 10)
     if near is seeds:  # dealt: a fingerprint of many items and many documents is the work of DEAL tasks
         c = c.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))))
