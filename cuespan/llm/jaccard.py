@@ -24,7 +24,8 @@
 Shingles are compared by 64-bit hashes of hashes of words: exact but for collisions of those.
 
 Defined cases: null and empty texts have no shingle and no link; texts of fewer than five words are one
-shingle; texts under one id are nodes of their own; a null id gets its count and a null component;
+shingle; texts under one id are nodes of their own, equal rows are one node and get a row each; a null id gets its
+count and a null component; columns of any names may stand beside; a very long text is one set, made in one task;
 an empty table gives no rows.
 """
 

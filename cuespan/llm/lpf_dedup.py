@@ -24,7 +24,8 @@ Every join of documents with their places is a shuffle join by id, at any size.
 holds a bounded number of entries: beyond HELD bytes they go to a file of the task and are read back by
 ranges of hashes. Defined cases: null is as empty; texts under SPAN bytes keep all; rows with the same id
 and text get the same result, as one document; different texts under one id are documents of their own, in
-order of their hashes; a null id counts as the smallest; an empty table gives no rows.
+order of their hashes; a null id counts as the smallest; columns of any names may stand beside; a very long text is
+one document, whose anchors are dealt like others'; an empty table gives no rows.
 """
 
 from __future__ import annotations

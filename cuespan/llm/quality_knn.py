@@ -13,8 +13,8 @@ and one vector for each sample row. The weights by rarity are part of this fit.
 scored whole in one pass over the scan, without a shuffle. Defined cases: null and empty texts have
 the length bin as their only term and are voted on like others; where only one label can be learned
 it is everyone's score, where none can, 0; repeated rows score alike; ids with both labels teach nothing, of
-different texts under a labelled id the least one in order does; of equally similar neighbours at the edge
-any may vote, in the same way each time; columns of any names may stand beside; an empty table gives no rows.
+different texts under a labelled id the least one in order does; of neighbours whose cosines are equal but for
+rounding any may vote at the edge, in the same way for equal batches; columns of any names may stand beside; an empty table gives no rows.
 """
 
 from __future__ import annotations
