@@ -4,8 +4,7 @@ Quality rules drop junk, the similarity join keeps one document of each group of
 that hold benchmark windows go, personal data is masked, and what is left is encoded.
 
 Defined cases: null and empty texts are rejected by the quality rules; rows that repeat stay or go together, as
-the similarity join keeps all rows of the id and text that it keeps; a null id has no component and goes there; nulls in
-other columns, extra columns of any names and very long texts pass through all stages; an empty table gives no rows.
+the similarity join keeps all rows of the id and text that it keeps; rows with a null id stay there; nulls in other columns, extra columns of any names and very long texts pass through all stages; an empty table gives no rows.
 """
 
 from __future__ import annotations
