@@ -726,3 +726,13 @@ def sequence_place_kinds(spark, d):
     own = s.select("seq").distinct()
     m = own.select("seq", F.lit(0).cast("long").alias("idx"), F.lit(4).cast("long").alias("length"), F.lit(0).cast("long").alias("transition_length"), (F.col("seq") % 2).cast("int").alias("kind"))
     return placement.place(s, m, own.withColumn("x", F.lit(100_000).cast("long")), strict=False, kind="kind")[0]
+
+
+@query("""select p_partkey as item_id, '{"type":"video","source_id":"' || p_brand || '"' || case when p_size % 3 <> 0 then ',"x":' || (p_size % 3) else '' end || ',"length":' || p_size || case when p_partkey % 2 <> 0 then ',"offset":1' else '' end
+|| case when p_partkey % 4 = 0 then ',"anchors":[{"target":' || (p_partkey - 1) || ',"offset_ns":' || p_size || ',"two_way":true}]' else '' end || '}' as json from part""")
+def project_json(spark, d):
+    """Clips and their anchors as a project's JSON rows, without the values that are defaults."""
+    p, k, n = t(spark, d, "part"), F.col("p_partkey").cast("long"), F.col("p_size").cast("long")
+    clip = p.select(k.alias("item_id"), F.lit("video").alias("type"), F.col("p_brand").alias("source_id"), (n % 3).alias("x"), F.lit(0.0).alias("y"), n.alias("length"), (k % 2).alias("offset"))
+    anchor = p.where(k % 4 == 0).select(k.alias("source"), (k - 1).alias("target"), n.alias("offset_ns"), F.lit(True).alias("two_way"))
+    return projects.dump_project({"clip": clip, "anchor": anchor})
