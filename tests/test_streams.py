@@ -5,7 +5,9 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from cuespan.streaming import playback
+from pyspark.sql import functions as F
+
+from cuespan.streaming import clocks, playback
 
 T0 = datetime(2024, 1, 1)
 
@@ -72,3 +74,23 @@ def test_a_stream_that_is_stopped_gives_the_batch_result(spark, tmp_path):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert steps[0] < steps[1] < steps[2] == len(fold(rows)) == got.count()
     assert shown(got) == fold(rows) == shown(playback.played(spark.createDataFrame(rows, playback.ROWS)))
+
+
+@pytest.mark.parametrize("kind", ["tumbling", "changes"])
+def test_windows_of_a_stream_that_is_stopped(spark, tmp_path, kind):
+    r = random.Random(6)
+    schema = "at timestamp, stream_id int, lo long, hi long, v double"
+    rows = [(T0 + timedelta(milliseconds=400 * k + r.randrange(700)), r.randrange(3), lo := r.randrange(500), lo + r.randrange(40), float(r.randrange(9))) for k in range(200)]
+    of = (lambda df: clocks.tumbling(df, "at", "5 seconds", "2 seconds", ["stream_id"], "v")) if kind == "tumbling" else (lambda df: clocks.changes(df, "at", "2 seconds"))
+    end = (T0 + timedelta(hours=1), 0, 0, 0, 0.0)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        for k, drop in enumerate([rows[:70], rows[70:130], [*rows[130:], end]]):
+            spark.createDataFrame(drop, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            s = of(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
+            s.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").option("path", f"{tmp_path}/out").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    got = sorted(tuple(x) for x in spark.read.parquet(f"{tmp_path}/out").collect())
+    whole = of(spark.createDataFrame(rows, schema)).withColumn("window", F.col("window"))
+    assert got == sorted(tuple(x) for x in whole.collect()) and len(got) > 20
