@@ -5,8 +5,11 @@ entity (kind and canonical value) is judged by how strongly it reveals it, over
 PMI(e; t) = log2(p(e|t) / p(e)) with the smoothed p(e|t) = (n(e,t) + SMOOTH p(e)) / (n(t) + SMOOTH), held against
 the entity's information IC(e) = log2(N / n(e)). At REMOVE of IC or more the term is removed, at GENERALISE or more
 it is generalised, wherever it stands in the entity's documents. All n count documents; smoothing lets few
-documents prove less than many. As n(e,t) is n(e) at most, a term of too many documents for an entity can't
-reach GENERALISE; such pairs are never made.
+documents prove less than many, and what fewer than EVIDENCE documents tell is generalised at most, as any rare word
+stands beside something. As n(e,t) is n(e) at most, a term of too many documents for an entity can't
+reach GENERALISE; such pairs are never made. Entities of the very same documents have the same counts with every
+term, so they are judged as one (their documents are compared by two 64-bit hashes): a list of contacts costs its
+terms, not its terms times its contacts.
 
 A term is generalised to the longest of its beginnings (LADDER letters and a star) that no longer discloses: the
 class of all words with that beginning takes the term's place, with its words' document counts added up and n(e)
@@ -18,7 +21,8 @@ matches. Patterns are possessive and start only where a match could first start,
 is read in linear time and long runs use no stack.
 
 Defined cases: null and empty texts have no spans; repeated rows get the same result each and count as
-documents each; a null doc_id is a key like others, ids may be numbers or texts; equal spans of two kinds are
+documents each; rows of one id with different texts are told apart by a 64-bit hash of the text; a null doc_id is a
+key like others, ids may be numbers or texts; a very long text is read in linear time; equal spans of two kinds are
 both reported; columns of any names may stand beside; empty tables work.
 """
 
@@ -30,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import bounded_broadcast, id_key, key_id, lookup, stored, table
 
 REMOVE, GENERALISE = 0.95, 0.85
+#: Documents that an entity and a term must share for the term to be removed.
+EVIDENCE = 2
 #: Lengths of the beginnings that a term may be generalised to.
 LADDER = (6, 4, 3, 2, 1)
 #: Documents without the entity that each term is taken to stand in besides the counted ones.
@@ -99,8 +105,9 @@ def term_spans(docs: DataFrame, base: DataFrame, doc_id="doc_id", text="text") -
     held = stored(_blanked(docs, base, doc_id, text), "held")
     ents = base.select("id", "th", F.concat_ws(":", "kind", canon).alias("ent")).distinct().join(held.select("id", "th", "c"), ["id", "th"])
     ents = stored(ents, "ents")
-    n_e = ents.groupBy("ent").agg(F.sum("c").alias("n_e"), F.count("*").alias("rows"))
-    ents = stored(lookup(ents, n_e, ["ent"], "rows"), "ents_n")
+    n_e = ents.groupBy("ent").agg(F.sum("c").alias("n_e"), F.count("*").alias("rows"), F.bit_xor(F.xxhash64("id", "th")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "id", "th")).alias("b"))
+    ents = lookup(ents, n_e, ["ent"], "rows").select("id", "th", "c", "n_e", F.concat_ws(":", "n_e", "a", "b").alias("ent")).distinct()
+    ents = stored(ents, "ents_n")
     total = F.lit(float(max(docs.count(), 1)))
     most = ents.agg(F.max("n_e")).first()[0] or 0
     pmi = lambda n_et: F.log2((n_et + SMOOTH * F.col("n_e") / total) / (F.col("n_t") + SMOOTH) * total / F.col("n_e"))
@@ -116,7 +123,7 @@ def term_spans(docs: DataFrame, base: DataFrame, doc_id="doc_id", text="text") -
     pairs = stored(pairs, "pairs")
     n_et = F.sum("c")
     told = pairs.groupBy("ent", "term", "n_e", "n_t").agg(n_et.alias("n_et"), F.count("*").alias("rows")).where(discloses(F.col("n_et")))
-    told = told.select("ent", "term", "n_e", "rows", F.when(pmi(F.col("n_et")) >= REMOVE * ic, "remove").otherwise("generalise").alias("action"))
+    told = told.select("ent", "term", "n_e", "rows", F.when((pmi(F.col("n_et")) >= REMOVE * ic) & (F.col("n_et") >= EVIDENCE), "remove").otherwise("generalise").alias("action"))
     told = stored(told, "disclosing")
     told = told.join(_generalised(told, known, discloses), ["term", "n_e"], "left").select("ent", "term", "rows", "action", "general")
     of_text = lookup(pairs.select("id", "th", "ent", "term"), told, ["ent", "term"], "rows").where("action is not null")
@@ -155,15 +162,17 @@ def all_spans(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
 
 
 def report(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
-    """For each row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """For each row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, and what is done with terms: actions
+    (action:start:end, and with what a term is generalised to, a beginning or nothing, by start)."""
     sp = all_spans(docs, doc_id, text)
     d = docs.select(*_key(docs, doc_id, text)).join(bounded_broadcast(sp, 100_000), ["id", "th"], "left")
     names = F.array(*[F.lit(k) for k, _, _ in KINDS], F.lit("term"))
     said = lambda a: F.concat_ws(",", F.transform(a, lambda x: F.concat_ws(":", F.get(names, x.kind), x.s, x.e)))
     own = F.coalesce("spans", F.array().cast(f"array<{SPAN}>"))
     base = F.filter(own, lambda x: x.kind < len(KINDS))
+    done = F.concat_ws(",", F.transform(F.filter(own, lambda x: x.kind == len(KINDS)), lambda x: F.concat_ws(":", x.action, x.s, x.e, F.when(x.action == "generalise", x.general))))
     count = lambda i: F.size(F.filter(own, lambda x: x.kind == i)).cast("long")
-    return d.select(key_id(F.col("id")).alias(doc_id), *[count(i).alias(f"n_{k}") for i, (k, _, _) in enumerate(KINDS)], F.sha2(said(base), 256).alias("base_sha256"), said(own).alias("spans"))
+    return d.select(key_id(F.col("id")).alias(doc_id), *[count(i).alias(f"n_{k}") for i, (k, _, _) in enumerate(KINDS)], F.sha2(said(base), 256).alias("base_sha256"), said(own).alias("spans"), done.alias("actions"))
 
 
 def sanitise(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
@@ -208,10 +217,13 @@ wp as (select doc_id, term, cast(sum(gap + n) over (partition by doc_id order by
 n_e as (select ent, count(distinct doc_id) as n_e from base group by ent),
 n_t as (select term, count(distinct doc_id) as n_t from (select doc_id, lower(unnest(regexp_extract_all(text, '\p{{L}}[\p{{L}}\p{{N}}]{{2,}}'))) as term from documents) group by term),
 et as (select ent, term, count(*) as n_et from (select distinct doc_id, ent from base) join (select distinct doc_id, term from wp) using (doc_id) group by ent, term),
-told as (select ent, term from et join n_e using (ent) join n_t using (term), total where log2(total / n_e) > 0 and {_PMI} >= {GENERALISE} * log2(total / n_e)),
-of_doc as (select distinct doc_id, term from (select distinct doc_id, ent from base) join told using (ent)),
-spans as (select doc_id, s, kind, e from base union all select doc_id, e - n, {len(KINDS)}, e from wp join of_doc using (doc_id, term)),
+told as (select ent, term, n_e, case when n_et >= {EVIDENCE} and {_PMI} >= {REMOVE} * log2(total / n_e) then 'remove' else 'generalise' end as action from et join n_e using (ent) join n_t using (term), total where log2(total / n_e) > 0 and {_PMI} >= {GENERALISE} * log2(total / n_e)),
+stem as (select left(term, l) as stem, sum(n_t) as n_t from n_t, (select unnest({[*LADDER]}) as l) where length(term) > l group by 1),
+gen as (select term, n_e, arg_max(stem, l) as general from (select distinct term, n_e from told where action = 'generalise') a, (select unnest({[*LADDER]}) as l), total, stem where length(term) > l and stem = left(term, l)
+ and not (log2(total / n_e) > 0 and log2((n_e + {SMOOTH} * n_e / total) / (stem.n_t + {SMOOTH}) * total / n_e) >= {GENERALISE} * log2(total / n_e)) group by term, n_e),
+of_doc as (select doc_id, term, max(action) as action, min(coalesce(general, '')) as general from (select distinct doc_id, ent from base) join told using (ent) left join gen using (term, n_e) group by doc_id, term),
+spans as (select doc_id, s, kind, e, '' as what from base union all select doc_id, e - n, {len(KINDS)}, e, action || ':' || (e - n) || ':' || e || case when action = 'generalise' then ':' || general else '' end from wp join of_doc using (doc_id, term)),
 said as (select doc_id, string_agg(['email', 'ip', 'card', 'phone', 'term'][kind + 1] || ':' || s || ':' || e, ',' order by s, kind, e) as spans,
- string_agg(['email', 'ip', 'card', 'phone'][kind + 1] || ':' || s || ':' || e, ',' order by s, kind, e) filter (kind < {len(KINDS)}) as own,
+ string_agg(['email', 'ip', 'card', 'phone'][kind + 1] || ':' || s || ':' || e, ',' order by s, kind, e) filter (kind < {len(KINDS)}) as own, string_agg(what, ',' order by s) filter (kind = {len(KINDS)}) as actions,
  {", ".join(f"count(*) filter (kind = {k}) as n_{n}" for k, (n, _, _) in enumerate(KINDS))} from spans group by doc_id)
-select doc_id, {", ".join(f"cast(coalesce(n_{n}, 0) as bigint) as n_{n}" for n, _, _ in KINDS)}, sha256(coalesce(own, '')) as base_sha256, coalesce(spans, '') as spans from d left join said using (doc_id)"""
+select doc_id, {", ".join(f"cast(coalesce(n_{n}, 0) as bigint) as n_{n}" for n, _, _ in KINDS)}, sha256(coalesce(own, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(actions, '') as actions from d left join said using (doc_id)"""
