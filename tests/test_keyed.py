@@ -64,7 +64,7 @@ PROJECT = """
     7b: !PluginSourceAsset {plugin_urn: urn:dv, definition: {path: /a.dv}}
     main: !SpaceAsset
       space: !CanvasSpace
-        video_format: !VideoFormat {frame_rate: !rational [24000, 1001], full_frame: !box2i [!v2i '(-8, -1)', !v2i '(711, 478)']}
+        video_format: !VideoFormat {frame_rate: !rational [25, 1], full_frame: !box2i [!v2i '(0, 0)', !v2i '(99, 49)']}
         items:
         - &A !CanvasClip {source: !AssetStreamRef {asset_path: 7b, stream: "0"}, type: video, length: 100, x: 60, y: 30.0, offset: 9}
         - !CanvasClip {type: audio, length: 7, x: 9, anchor: !CanvasAnchor {target: *A, two_way: true, offset_ns: -5}}
