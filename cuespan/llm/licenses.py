@@ -1,12 +1,12 @@
 """Licence scan: TF-IDF cosine of lines and headers to licence templates, then inheritance along directories.
 
 Terms are words. A term weighs by its log-damped count in a text and by rarity among all lines: 1 + ln((1 + N) /
-(1 + df)), counted over every line for the words of the templates, which are few whatever the corpus. Words of more
-than a STOP-th of all lines weigh nothing, words of no template as much as the rarest. A cosine of THRESHOLD leaves
-a text only so many words of no template for each of a template (SPARE bounds it for any counts), so that one
-comparison of two lists tells the lines that can take part; the bound follows from the threshold, not from
-any word. Compared are those lines one by one, and runs of them with at most one other line in between: headers and
-whole licence texts, however they are wrapped. A file's licence is that of its best text if the cosine reaches
+(1 + df)), counted over every line for the words of the templates, which are few whatever the corpus; words of no
+template weigh as much as the rarest. A cosine of THRESHOLD asks that the words of templates hold THRESHOLD ** 2 of a
+text's squared length, whatever the template: a bound from a line's own words, without their counts, tells the lines that
+can take part, and none that could is lost. Compared are those lines one by one, and runs of them with at
+most one other line in between, that line's words as well: headers and whole licence texts, however they are wrapped;
+two blank lines part them. A file's licence is that of its best text if the cosine reaches
 THRESHOLD. A file of LICENSE_FILE's name declares the licence of its directory. A file without a licence
 of its own takes that of its nearest ancestor directory that declares one.
 
@@ -16,36 +16,40 @@ share of all files is dealt apart when files look theirs up. All functions are b
 Defined cases: null and empty texts have no licence of their own and may inherit; ties of cosine go to
 the name first in order; several licence files in one directory: the path first in order; a null path
 has no directory; rows with one key are one file each for their lines and share the best licence of all; a
-template may have several texts; columns of any names may stand beside; an empty table gives no rows.
+template may have several texts; a very long text is as many rows as it has lines; columns of any names may stand
+beside; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from math import e
+from math import log
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fenced, lookup, stored, table
+from .common import bounded_broadcast, fenced, lookup, stored, table
 
-THRESHOLD, STOP, LICENSE_FILE = 0.6, 50, r"(?i)^(licen[cs]e|copying|notice)(\.[a-z]+)?$"
-#: Foreign words for each word of a template, at most: their share of the squared length is 1 - THRESHOLD ** 2 or less;
-#: (1 + ln n) ** 2 / n, the most that n equal words weigh for each, is 4 / e.
-SPARE = round((1 / THRESHOLD**2 - 1) * 4 / e, 4)
+THRESHOLD, LICENSE_FILE = 0.6, r"(?i)^(licen[cs]e|copying|notice)(\.[a-z]+)?$"
+#: The squared length of a template's words is this much of the others' at least.
+SHARE = THRESHOLD**2 / (1 - THRESHOLD**2)
 
 #: Public licence notices, and whole texts of short licences.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD license"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0 Creative Commons Attribution"),
     ("CC-BY-4.0", "This work is licensed under the Creative Commons Attribution 4.0 International License"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."),
     ("GPL-3.0", "GNU General Public License, version 3"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3"),
     ("LGPL-3.0", "GNU Lesser General Public License, version 3"),
     ("MIT", "Released under the MIT License"),
@@ -65,29 +69,40 @@ def own_licences(files: DataFrame, templates: DataFrame) -> DataFrame:
     t = stored(templates.select(F.monotonically_increasing_id().alias("t"), "licence", _words(F.col("text")).alias("tw")), "templates")
     known = [r[0] for r in t.select(F.explode("tw")).distinct().collect()]  # as many as the templates have words
     array = lambda w: F.array(*map(F.lit, w)) if w else F.array().cast("array<string>")
-    f = files.select(F.col("key").alias("key"), F.xxhash64("text").alias("row"), F.posexplode(F.split("text", r"\r?\n")).alias("line", "x"))
-    lines = f.select("key", "row", "line", fenced(_words(F.col("x"))).alias("w")).where(F.size("w") > 0)
+
+    def lines_of(files: DataFrame) -> DataFrame:
+        f = files.select(F.col("key").alias("key"), F.xxhash64("text").alias("row"), F.posexplode(F.split("text", r"\r?\n")).alias("line", "x"))
+        return f.select("key", "row", "line", fenced(_words(F.col("x"))).alias("w")).where(F.size("w") > 0)
+
+    lines = lines_of(files)
     # the counts of all lines, a row for each word of the templates; the row of an empty word counts lines
     counts = lines.select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect("w", array(known)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     df = {r[0]: r[1] for r in counts.collect()}
     total = df.pop("", 0)
-    stop = [w for w in known if STOP * df.get(w, 0) > total]
-    rare = [w for w in known if w not in set(stop)]
-    weights = files.sparkSession.createDataFrame([(w, df.get(w, 0)) for w in rare], "term string, df bigint")
-    # the few words that are a template's first, then how often each stands in the line
-    near = lines.select("*", fenced(F.array_intersect("w", array(rare))).alias("own")).where(F.size("own") > 0)
+    weights = files.sparkSession.createDataFrame([(w, df.get(w, 0)) for w in known], "term string, df bigint")
+    rarest = 1 + log(1 + total)
+    squares = F.create_map(*[F.lit(x) for w in known for x in (w, (1 + log((1 + total) / (1 + df.get(w, 0)))) ** 2)]) if known else F.create_map().cast("map<string,double>")
+    # a template's words weigh no more than if all that repeats were one of them; others weigh once each, or more
+    near = lines.select("*", fenced(F.array_intersect("w", array(known))).alias("own")).where(F.size("own") > 0)
     inside = F.size(F.filter("w", lambda x: F.array_contains("own", x)))
-    near = near.where(F.size(F.array_except("w", array(known))) <= SPARE * inside).drop("own")
+    most = F.aggregate("own", F.lit(0.0), lambda a, x: a + F.try_element_at(squares, x)) * F.pow(1 + F.log(inside - F.size("own") + F.lit(1.0)), 2)
+    near = near.where(most >= SHARE * rarest**2 * F.size(F.array_except("w", array(known)))).drop("own")
     near = stored(near, "lines")
     w = Window.partitionBy("key", "row").orderBy("line")
-    run = near.withColumn("new", F.when(F.coalesce(F.col("line") - F.lag("line").over(w) <= 2, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
-    run = run.groupBy("key", "row", "run").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("line", "w"))), lambda x: x.w)).alias("w"))
+    step = F.col("line") - F.lag("line").over(w)
+    run = near.withColumn("step", step).withColumn("run", F.sum(F.when(F.coalesce(F.col("step") <= 2, F.lit(False)), 0).otherwise(1)).over(w))
+    # the lines between two lines of a run
+    gaps = stored(run.where("step = 2").select("key", "row", (F.col("line") - 1).alias("line"), "run"), "gaps")
+    some = files.join(bounded_broadcast(gaps.select("key").distinct(), 500_000), "key", "left_semi")
+    between = lines_of(some).join(gaps, ["key", "row", "line"]).select("key", "row", "line", "w", "run").dropDuplicates(["key", "row", "line"])
+    run = run.select("key", "row", "line", "w", "run").unionByName(between)
+    run = run.groupBy("key", "row", "run").agg(F.flatten(F.transform(F.sort_array(F.collect_set(F.struct("line", "w"))), lambda x: x.w)).alias("w"))
     units = near.select("key", F.concat_ws(":", F.lit("line"), "row", "line").alias("unit"), "w").unionByName(run.select("key", F.concat_ws(":", F.lit("run"), "row", "run").alias("unit"), "w"))
     idf = 1 + F.log((1 + F.lit(total)) / (1 + F.coalesce("df", F.lit(0))))
     weight = (1 + F.log("n")) * idf
 
     def weighed(d: DataFrame, keys: list[str], name: str) -> DataFrame:
-        terms = d.groupBy(*keys, "term").agg(F.count("*").alias("n")).where(~F.col("term").isin(stop)) if stop else d.groupBy(*keys, "term").agg(F.count("*").alias("n"))
+        terms = d.groupBy(*keys, "term").agg(F.count("*").alias("n"))
         return terms.join(F.broadcast(weights), "term", "left").select(*keys, "term", weight.alias(name))
 
     a = weighed(units.dropDuplicates(["key", "unit"]).select("key", "unit", F.explode("w").alias("term")), ["key", "unit"], "aw")
@@ -150,13 +165,15 @@ l0 as (select doc_id, unnest(regexp_split_to_array(text, '\r?\n')) as x, generat
 l1 as (select * from (select doc_id, line, {_W} as w from l0) where len(w) > 0),
 total as (select count(*) as total from l1),
 df as (select known.term, count(x.doc_id) as df from known left join (select distinct doc_id, line, unnest(w) as term from l1) x on x.term = known.term group by known.term),
-wt as (select term, 1 + ln((1 + total) / (1 + df)) as idf, {STOP} * df > total as stop from df, total),
-c as (select doc_id, line, count(*) filter (not stop) as inside, count(distinct term) filter (stop is null) as outside from (select doc_id, line, unnest(w) as term from l1) left join wt using (term) group by doc_id, line),
-near as (select l1.* from l1 join c using (doc_id, line) where inside > 0 and outside <= {SPARE} * inside),
-runs as (select *, sum(new) over (partition by doc_id order by line) as run from (select *, case when line - lag(line) over (partition by doc_id order by line) <= 2 then 0 else 1 end as new from near)),
-units as (select doc_id, 'l' || line as unit, w from near union all select doc_id, 'r' || run, flatten(list(w order by line)) from runs group by doc_id, run),
-a as (select doc_id, unit, term, (1 + ln(n)) * coalesce(idf, 1 + ln(1 + total)) as w from (select doc_id, unit, term, count(*) as n from (select doc_id, unit, unnest(w) as term from units) group by all) left join wt using (term), total where stop is null or not stop),
-b as (select t, licence, term, (1 + ln(n)) * idf as w from (select t, licence, term, count(*) as n from (select t, licence, unnest(w) as term from t) group by all) join wt using (term) where not stop),
+wt as (select term, 1 + ln((1 + total) / (1 + df)) as idf from df, total),
+lt as (select doc_id, line, term, count(*) as n from (select doc_id, line, unnest(w) as term from l1) group by all),
+c as (select doc_id, line, sum(idf * idf) as sq, sum(n) filter (idf is not null) as inside, count(idf) as own, count(*) - count(idf) as outside from lt left join wt using (term) group by doc_id, line),
+near as (select l1.* from l1 join c using (doc_id, line), total where own > 0 and sq * power(1 + ln(inside - own + 1.0), 2) >= {SHARE} * power(1 + ln(1 + total), 2) * outside),
+runs as (select *, sum(new) over (partition by doc_id order by line) as run from (select *, line - lag(line) over (partition by doc_id order by line) as step, case when step <= 2 then 0 else 1 end as new from near)),
+full_runs as (select doc_id, line, w, run from runs union all select l1.doc_id, l1.line, l1.w, run from l1 join runs on runs.doc_id = l1.doc_id and runs.line = l1.line + 1 and step = 2),
+units as (select doc_id, 'l' || line as unit, w from near union all select doc_id, 'r' || run, flatten(list(w order by line)) from full_runs group by doc_id, run),
+a as (select doc_id, unit, term, (1 + ln(n)) * coalesce(idf, 1 + ln(1 + total)) as w from (select doc_id, unit, term, count(*) as n from (select doc_id, unit, unnest(w) as term from units) group by all) left join wt using (term), total),
+b as (select t, licence, term, (1 + ln(n)) * idf as w from (select t, licence, term, count(*) as n from (select t, licence, unnest(w) as term from t) group by all) join wt using (term)),
 an as (select doc_id, unit, sqrt(sum(w * w)) as n from a group by all), bn as (select t, sqrt(sum(w * w)) as n from b group by t),
 cos as (select a.doc_id, licence, round(sum(a.w * b.w) / (any_value(an.n) * any_value(bn.n)), 6) as cosine from a join b using (term) join an on an.doc_id = a.doc_id and an.unit = a.unit join bn using (t) group by a.doc_id, a.unit, t, licence),
 own as (select * from (select *, row_number() over (partition by doc_id order by cosine desc, licence) as r from cos where cosine >= {THRESHOLD}) where r = 1),

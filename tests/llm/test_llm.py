@@ -550,20 +550,20 @@ def plain_licences(files, templates):
     t = [(name, cut(text)) for name, text in templates]
     known, total = {w for _, ws in t for w in ws}, len(lines)
     df = Counter(w for *_, ws in lines for w in set(ws) & known)
-    stop = {w for w in known if licenses.STOP * df[w] > total}
-    idf = lambda w: 0 if w in stop else 1 + log((1 + total) / (1 + df[w]))
+    idf = lambda w: 1 + log((1 + total) / (1 + df[w]))
     vec = lambda ws: {w: (1 + log(n)) * idf(w) for w, n in Counter(ws).items()}
     units = {}
     for k, n, ws in lines:
-        inside = sum(w in known - stop for w in ws)
-        if inside and len(set(ws) - known) <= licenses.SPARE * inside:
+        own, inside = set(ws) & known, sum(w in known for w in ws)
+        if own and sum(idf(w) ** 2 for w in own) * (1 + log(inside - len(own) + 1)) ** 2 >= licenses.SHARE * (1 + log(1 + total)) ** 2 * len(set(ws) - known):
             units.setdefault(k, []).append((n, ws))
+    words = {(k, n): ws for k, n, ws in lines}
     best = {}
     for k, own in units.items():
         runs = []
         for n, ws in own:
             if runs and n <= runs[-1][0] + 2:
-                runs[-1] = (n, runs[-1][1] + ws)
+                runs[-1] = (n, runs[-1][1] + (words.get((k, n - 1), []) if n == runs[-1][0] + 2 else []) + ws)
             else:
                 runs.append((n, list(ws)))
         for ws in [ws for _, ws in own] + [ws for _, ws in runs]:
