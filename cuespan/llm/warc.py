@@ -4,13 +4,14 @@ Writing: one record for each page, its HTTP block in chunked transfer framing. A
 bytes is cut: the first part stays in the record (segment 1), the rest go to continuation records that
 name the origin; the last one states the total length. Pages with equal payloads of DEDUP bytes or
 more become revisits of the one with the largest id. Record ids follow from page id, digest and segment,
-so that a task that runs again writes the same. Files are written by Spark's own text writer, whose line
-separator is the blank line that ends a WARC record, with FILE_RECORDS records each; as none is much longer
-than SEGMENT, that bounds a file's bytes. The writer closes one gzip member for each file.
-
-Reading: files may have any number of gzip members, such as one for each record, or none. They are read once, as
-a stream of records by Content-Length; a task holds a record at a time besides the packed file. Whole records
-are decoded where they are; only segments move: equal ones are counted, then grouped by origin identifier,
+so that a task that runs again writes the same. Each record is a gzip member of its own, so that readers can seek to it.
+A task writes files of about FILE_BYTES as a Spark data source, which commits them and keeps an index of members at
+about every SPLIT bytes.
+
+Reading: files may have any number of gzip members, such as one for each record, or none. A read makes a partition of each
+range that the index of its folder names, so that a large archive is many tasks' work, and of other files one
+each. A range is read once, piece by piece, as a stream of records by Content-Length; a task holds a record and a
+piece at a time. Whole records are decoded where they are; only segments move: equal ones are counted, then grouped by origin identifier,
 ordered by segment number, checked for gaps and against the total length, and decoded. A page's segments are
 its own bytes, so no group outgrows its page. Records of other kinds (requests, metadata) are passed over;
 without a payload digest there is nothing to check, and a revisit's page is known from its private header or
@@ -19,7 +20,7 @@ join in which frequent payloads are dealt apart.
 
 Defined cases: null html is an empty payload; short payloads are never revisits; rows repeated with
 the largest id are all responses; a null page_id takes part and is never the largest unless alone;
-columns of any names may stand beside; a record with missing segments or a wrong length raises an error;
+columns of any names may stand beside; a very long page is segments, which meet again in one row; a record with missing segments or a wrong length raises an error;
 an empty table gives no rows.
 """
 
@@ -33,10 +34,12 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource
 
+from ..sources.files import File, FilesReader, FilesWriter, Range, Written, file_system
 from .common import lookup, parts, shared_dir, stored, table
 
-DEDUP, SEGMENT, CHUNK, FILE_RECORDS = 1000, 65_536, 8_192, 2_000
+DEDUP, SEGMENT, CHUNK, FILE_BYTES, PIECE = 1000, 65_536, 8_192, 1 << 30, 1 << 20
 BLANK = b"\r\n\r\n"
 ROW = "page_id bigint, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, target_uri string"
 SEGMENTS = "origin string, k int, total bigint, head string, block binary"
@@ -102,24 +105,32 @@ def records(page_id, url: str | None, html: str | None, refers_to, length: int,
     return out
 
 
-def inflated(data: bytes, size: int = 1 << 20):
-    """The content of a packed file piece by piece, member after member; of a plain file its pieces."""
+def inflated(data: bytes, size: int = PIECE):
+    """unpacked() of a whole file."""
+    return unpacked((data[k : k + size] for k in range(0, len(data), size)), size)
+
+
+def unpacked(pieces, size: int = PIECE):
+    """The content of a packed stream piece by piece, member after member; of a plain one its pieces."""
+    pieces = iter(pieces)
+    data = next(pieces, b"")
     if data[:2] != b"\x1f\x8b":
-        yield from (data[k : k + size] for k in range(0, len(data), size))
+        yield data
+        yield from pieces
         return
-    at = 0
-    while at < len(data) and data[at : at + 2] == b"\x1f\x8b":
+    while True:
+        while len(data) < 2 and (more := next(pieces, b"")):
+            data += more
+        if data[:2] != b"\x1f\x8b":  # the end, or what a file is filled up with
+            return
         member = zlib.decompressobj(31)
-        feed = b""
         while not member.eof:
-            if not feed:
-                feed = data[at : at + size]
-                at += len(feed)
-                if not feed:
-                    raise ValueError("cut member")
-            yield member.decompress(feed, size)
-            feed = member.unconsumed_tail
-        at -= len(member.unused_data)
+            data = data or next(pieces, b"")
+            if not data:
+                raise ValueError("cut member")
+            yield member.decompress(data, size)
+            data = member.unconsumed_tail
+        data = member.unused_data
 
 
 def parse(pieces):
@@ -175,6 +186,101 @@ def _decoded(h: dict, block: bytes) -> tuple | None:
     return page, "response", len(payload), own, None, uri
 
 
+class RecordsWriter(FilesWriter):
+    """Writes rows (record binary), each as a gzip member."""
+
+    def write(self, iterator) -> Written:
+        files, out, at = [], None, 0
+        places: list[tuple[int]] = []
+
+        def close() -> None:
+            nonlocal out, at, places
+            out.close()
+            files.append(File(name, at, self.ranges(places, lambda a, b: ())))
+            out, at, places = None, 0, []
+
+        for b in iterator:
+            for record in b.column(0).to_pylist():
+                if out is None:
+                    name, out = self.create("warc.gz", len(files))
+                packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+                member = packer.compress(record) + packer.compress(BLANK) + packer.flush()
+                places.append((at,))
+                out.write(member)
+                at += len(member)
+                if at >= FILE_BYTES:
+                    close()
+        if out is not None:
+            close()
+        return Written(files)
+
+
+class RecordsReader(FilesReader):
+    """Rows of ROW and SEGMENTS."""
+
+    def read(self, partition: Range):
+        if not partition.file:
+            return
+        fs, _ = file_system(self.path)
+        with fs.open_input_file(partition.file) as f:
+            f.seek(partition.at)
+            left = (f.size() if partition.to is None else partition.to) - partition.at
+
+            def pieces():
+                nonlocal left
+                while left > 0 and (piece := f.read(min(PIECE, left))):
+                    left -= len(piece)
+                    yield piece
+
+            held, size = [], 0
+            for row in _rows(unpacked(pieces())):
+                held.append(row)
+                size += len(row[-1] or b"") + 200
+                if size > PIECE:
+                    yield _columns(held)
+                    held, size = [], 0
+            if held:
+                yield _columns(held)
+
+
+class WarcSource(DataSource):
+    """Format "warc": write rows (record binary), read ROW and SEGMENTS."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "warc"
+
+    def schema(self) -> str:
+        return f"{ROW}, {SEGMENTS}"
+
+    def reader(self, schema) -> RecordsReader:
+        return RecordsReader(dict(self.options))
+
+    def writer(self, schema, overwrite: bool) -> RecordsWriter:
+        return RecordsWriter(dict(self.options), overwrite)
+
+
+NAMES = [x.split()[0] for x in f"{ROW}, {SEGMENTS}".split(", ")]
+
+
+def _columns(rows: list[tuple], n: int = len(NAMES)):
+    import pyarrow as pa
+
+    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types[:n])], NAMES[:n])
+
+
+def _rows(pieces):
+    """A row of ROW and SEGMENTS for each record of a stream that is of use."""
+    for h, block in parse(pieces):
+        if "warc-segment-number" in h:
+            head = "\r\n".join(f"{k}: {v}" for k, v in h.items())
+            total = int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None
+            yield *[None] * 6, h.get("warc-segment-origin-id", h["warc-record-id"]), int(h["warc-segment-number"]), total, head, block
+        elif row := _decoded(h, block):
+            yield *row, *[None] * 5
+
+
 def write(pages: DataFrame, path: str, segment: int = SEGMENT, page_id="page_id", url="url", html="html") -> None:
     """Write pages as WARC files under path."""
     import pyarrow as pa
@@ -189,42 +295,17 @@ def write(pages: DataFrame, path: str, segment: int = SEGMENT, page_id="page_id"
     def run(batches):
         for b in parts(batches, 64, text="html"):
             rows = b.to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([x.decode() for r in rows for x in records(r["page_id"], r["url"], r["html"], r["last"], r["n"], r["d"], segment)], pa.string())], ["value"])
+            yield pa.RecordBatch.from_arrays([pa.array([x for r in rows for x in records(r["page_id"], r["url"], r["html"], r["last"], r["n"], r["d"], segment)], pa.binary())], ["record"])
 
-    out = p.select("page_id", "url", "html", "last", "n", "d").mapInArrow(run, "value string")
-    out.write.option("lineSep", BLANK.decode()).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    pages.sparkSession.dataSource.register(WarcSource)
+    out = p.select("page_id", "url", "html", "last", "n", "d").mapInArrow(run, "record binary")
+    out.write.format("warc").mode("append").save(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The pages of the WARC files under path, as ROW."""
     import pyarrow as pa
 
-    names = [x.split()[0] for x in f"{ROW}, {SEGMENTS}".split(", ")]
-    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.binary()]
-    columns = lambda rows, n: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types[:n])], names[:n])
-    none = (None,) * 6
-
-    def rows_of(data: bytes):
-        for h, block in parse(inflated(data)):
-            if "warc-segment-number" in h:
-                head = "\r\n".join(f"{k}: {v}" for k, v in h.items())
-                total = int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None
-                yield *none, h.get("warc-segment-origin-id", h["warc-record-id"]), int(h["warc-segment-number"]), total, head, block
-            elif row := _decoded(h, block):
-                yield *row, None, None, None, None, None
-
-    def scan(batches):
-        for b in batches:
-            for k in range(b.num_rows):
-                held, size = [], 0
-                for row in rows_of(b.column("content")[k].as_py()):
-                    held.append(row)
-                    size += len(row[-1] or b"") + 200
-                    if size > 1 << 20:
-                        yield columns(held, len(types))
-                        held, size = [], 0
-                yield columns(held, len(types))
-
     def joined(batches):
         for b in batches:
             rows = []
@@ -235,14 +316,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     raise ValueError(f"segments missing of {r['origin']}")
                 row = _decoded(dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in own[0]["head"].split("\r\n")), block)
                 rows += [(*row, own[0]["c"])] if row else []
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([*types[:6], pa.int64()])], [*names[:6], "c"])
+            out = _columns([r[:6] for r in rows], 6)
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array([r[6] for r in rows], pa.int64())], [*NAMES[:6], "c"])
 
-    found = stored(spark.read.format("binaryFile").load(path).select("content").mapInArrow(scan, f"{ROW}, {SEGMENTS}"), "records")
+    spark.dataSource.register(WarcSource)
+    found = stored(spark.read.format("warc").load(path), "records")
     # rows that repeat have the same records: one of each goes on, with their number
     own = found.where("origin is not null").groupBy("origin", "k", "total").agg(F.first("head").alias("head"), F.first("block").alias("block"), F.count("*").alias("c"))
     own = own.groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("k", "total", "head", "block", "c"))).alias("segments"))
-    again = own.mapInArrow(joined, f"{ROW}, c bigint").select(*names[:6], F.explode(F.sequence(F.lit(1).cast("bigint"), "c")).alias("_")).drop("_")
-    return found.where("origin is null").select(*names[:6]).unionByName(again)
+    again = own.mapInArrow(joined, f"{ROW}, c bigint").select(*NAMES[:6], F.explode(F.sequence(F.lit(1).cast("bigint"), "c")).alias("_")).drop("_")
+    return found.where("origin is null").select(*NAMES[:6]).unionByName(again)
 
 
 def op3_warc(spark, sf_dir: str) -> DataFrame:
