@@ -541,17 +541,17 @@ def late_frames(spark, d):
 def binned_window(spark, d):
     """A window of items from a table that is laid out by range."""
     path = graph.shared_folder(spark)
-    binned.write_binned(items(spark, d).select("item_id", "x", "length"), path, 64)
-    return binned.read_window(spark, path, 64, 9000, 12_000)
+    binned.write_binned(items(spark, d).select("item_id", "x", "length"), path, 512)
+    return binned.read_window(spark, path, 512, 9000, 12_000)
 
 
 @query(f"with {EV}, {IT} select event_id, item_id from it join ev on event_type = 'signup' and it.x < minute + 30 and it.x + it.length > minute")
 def binned_join(spark, d):
     """Half an hour from each signup on, and the items in it."""
     path = graph.shared_folder(spark)
-    binned.write_binned(items(spark, d).select("item_id", "x", "length"), path, 64)
+    binned.write_binned(items(spark, d).select("item_id", "x", "length"), path, 512)
     w = events(spark, d).where("event_type = 'signup'").select("event_id", F.col("minute").alias("lo"), (F.col("minute") + 30).alias("hi"))
-    return binned.join_windows(spark, path, 64, w).select("event_id", "item_id")
+    return binned.join_windows(spark, path, 512, w).select("event_id", "item_id")
 
 
 @query(f"""with {EV}, {IT}, a as (select x + case when item_id % 40 = 0 then 15 else 0 end as x, length, case when item_id % 40 = 0 then -1 else item_id % 10 end as v from it where item_id % 41 <> 0)
