@@ -73,10 +73,15 @@ def clusters(df: DataFrame, key: str, order: list[str], time: str, size: str, ti
     by_time = scan.first_at_least(p, ["_k"], "_late", "_pos", F.col("_time") + ticks + 1, ticks + 1)
     by_size = scan.first_at_least(p, ["_k"], "_before", "_pos", F.col("_before") + max_bytes + 1, max_bytes + 1)
     ends = by_time.join(by_size.withColumnRenamed("first", "_other"), ["_k", "_pos"]).select("_k", "_pos", F.least("first", "_other").alias("_to"))
-    jump, starts = fresh(ends.where("_to is not null")), p.where("_pos = 0").select("_k", "_pos")
-    while not jump.isEmpty():
-        starts = fresh(starts.unionByName(starts.join(jump, ["_k", "_pos"]).select("_k", F.col("_to").alias("_pos"))))
-        jump = fresh(jump.join(jump.select("_k", F.col("_pos").alias("_to"), F.col("_to").alias("_far")), ["_k", "_to"]).select("_k", "_pos", F.col("_far").alias("_to")))
+    # both in one table, a write a round: known starts, whose _to is null, and links to later ones
+    both = fresh(ends.where("_to is not null").unionByName(p.where("_pos = 0").select("_k", "_pos", F.lit(None).cast("long").alias("_to"))))
+    while True:
+        starts, jump = both.where("_to is null"), both.where("_to is not null")
+        if jump.isEmpty():
+            break
+        led = starts.select("_k", "_pos").join(jump, ["_k", "_pos"]).select("_k", F.col("_to").alias("_pos"), F.lit(None).cast("long").alias("_to"))
+        far = jump.join(jump.select("_k", F.col("_pos").alias("_to"), F.col("_to").alias("_far")), ["_k", "_to"]).select("_k", "_pos", F.col("_far").alias("_to"))
+        both = fresh(starts.unionByName(led).unionByName(far))
     starts = starts.select(F.col("_k").alias(key), "_pos", F.lit(1).alias("_start"))
     d = d.join(starts, [key, "_pos"], "left").withColumn("_start", F.coalesce("_start", F.lit(0)))
     d = scan.running(d, [key], {"_n": F.col("_start")})
