@@ -7,6 +7,8 @@ always parts words, so that tokens on its two sides don't depend on each other.
 one ends, and the right one begins, with the encoding of its own part of the window; else the window grows, at
 last over both sides, where it is the encoding itself. The windows' tokens then replace those parts'.
 
+Leaves get the library's ids by a worker's bounded table of words (packing.py), as their words part at white space too.
+
 A run without white space that is longer than RUN is a tree of its own: its words' leaves are joined where a
 window's encoding shares a token with the left side and one with the right. A sequence of tokens is the
 encoding of its text exactly if every neighbouring pair is the encoding of its own text; each pair of the
@@ -34,6 +36,8 @@ from .common import freed, local_file, parts, table
 
 #: Characters of a leaf, of an unsplit run that is a tree of its own, and of that tree's leaves and first windows.
 LEAF, RUN, WORD_LEAF, WINDOW = 2048, 256, 256, 16
+#: Words that a worker's table holds; other stages' workers need memory beside it.
+TABLE = 1_000_000
 SPACES = " \n\t\r"
 
 
@@ -57,6 +61,7 @@ class Codec:
         self.end = spec["model"].get("end_of_word_suffix") or ""
         self.long = re.compile(f"[^{SPACES}]{{{RUN + 1},}}")
         self.joins = 0
+        self.leaves = self.ids  # what encodes leaves
 
     @cached_property
     def word(self):
@@ -76,7 +81,8 @@ class Codec:
         jobs, leaves = [], []
         for k, t in enumerate(texts):
             at = 0
-            for m in self.long.finditer(t) if len(t) > RUN else ():
+            # most texts have no such run, which their words tell sooner than the pattern
+            for m in self.long.finditer(t) if max(map(len, t.split()), default=0) > RUN else ():
                 jobs += [(k, t[at : m.start()]), (k, m[0])]
                 at = m.end()
             jobs.append((k, t[at:]))
@@ -87,7 +93,7 @@ class Codec:
                 own = [h for a, b in own for h in ((a, (a + b) // 2), ((a + b) // 2, b))]
             spans.append(own)
             leaves += [t[a:b] for a, b in own] if not self._run(t) else []
-        done = iter(self.ids(leaves))
+        done = iter(self.leaves(leaves))
         out: list[list[int]] = [[] for _ in texts]
         for (k, t), own in zip(jobs, spans, strict=True):
             if self._run(t):
@@ -182,8 +188,11 @@ def encode(docs: DataFrame, path: str, doc_id="doc_id", text="text", with_ids=Fa
     import pyarrow as pa
 
     def run(batches):
-        c = codec(path)
-        for b in parts(batches, 64, 128 << 10):
+        from .packing import words_of
+
+        c, words = codec(path), words_of(path, TABLE)
+        c.leaves = lambda texts: [np.frombuffer(x, "<u4").tolist() for x in words.ids(texts)]
+        for b in parts(batches, 32, 96 << 10):
             done = c.encode([t or "" for t in b.column("t").to_pylist()])
             sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
             cols = [b.column("doc_id"), pa.array([len(e) for e in done], pa.int64())]

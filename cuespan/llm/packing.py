@@ -58,7 +58,7 @@ def _raw(ids: list[int]) -> bytes:
 class Words:
     """The ids of texts as bytes (little-endian, 32 bits each), by a table of their words."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int | None = None):
         import json
 
         from tokenizers import Tokenizer
@@ -67,6 +67,7 @@ class Words:
         level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
         self.letters = Tokenizer.from_str(json.dumps(self.codec.spec | {"pre_tokenizer": level}))  # words of letters alone need no rule
         self.table: dict[str, bytes] = {}
+        self.most = most
 
     def _learn(self, words: set[str]) -> None:
         plain, others = {}, []
@@ -90,7 +91,7 @@ class Words:
             own = {}
             if long := {w for w in new if len(w) > LONGEST}:  # these are never kept
                 own = {w: _raw(i) for w, i in zip(long, self.codec.encode([*long]), strict=True)}
-            if len(self.table) + 2 * len(new) > WORDS:
+            if len(self.table) + 2 * len(new) > (self.most or WORDS):
                 self.table.clear()
             self._learn(new - long)
             own |= {w: self.table[w] for w in new - long}
@@ -112,12 +113,12 @@ class Words:
 
 
 @lru_cache(1)
-def words_of(path: str) -> Words:
+def words_of(path: str, most: int | None = None) -> Words:
     """A worker's table lives on from task to task; it is bounded."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Words(path)
+    return Words(path, most)
 
 
 def cost(n):
