@@ -124,11 +124,12 @@ def keyed_edits(items: DataFrame, edits: DataFrame, part: list[str], id: str, ke
     """Sorted lists, one for each part, after edits (part, step, op, id, key): `add`, `remove` or `move` of one item by its key.
 
     What is added, or moved to a new key, comes before all of an equal key; others keep their order. So the last edit
-    of an item decides where it stands: by key, then the latest edit first, then the place that it had."""
+    of an item decides where it stands: by key, then the latest edit first, then the place that it had. What is added
+    in one step has no order of steps or places; it stands by id."""
     last = edits.groupBy(*part, id).agg(F.max("step").alias("_step"), F.max_by("op", "step").alias("_op"), F.max_by(key, "step").alias("_new"))
     d = items.join(last, [*part, id], "full").where("_op is null or _op <> 'remove'")
     d = d.withColumns({key: F.when(F.col("_op").isNotNull(), F.col("_new")).otherwise(F.col(key)), "_age": F.coalesce("_step", F.lit(-1))})
-    w = Window.partitionBy(*part).orderBy(key, F.desc("_age"), pos)
+    w = Window.partitionBy(*part).orderBy(key, F.desc("_age"), pos, id)
     return d.withColumn(pos, F.row_number().over(w).cast("long") - 1).select(*items.columns)
 
 

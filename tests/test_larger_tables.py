@@ -39,3 +39,10 @@ def test_grid_points_that_items_hold(spark):
     items = [(k, r.randint(-200, 200), r.choice([0, 1, 2, 29, 30, 31, 95])) for k in range(200)]
     got = intervals.grid_stab(spark.createDataFrame(items, "id long, x long, length long"), 30, "m").collect()
     assert sorted((g.id, g.m) for g in got) == sorted((k, m) for k, x, n in items for m in range(-300, 400, 30) if x <= m < x + n)
+
+
+def test_new_items_of_one_key_and_place(spark, tmp_path):
+    """A customer's orders of one day, of which several bring a new item."""
+    o = spark.range(64).select(F.col("id").alias("o_orderkey"), (F.col("id") % 2).alias("o_custkey"), F.expr("timestamp '1995-03-05 00:00:00'").alias("o_orderdate"))
+    o.repartition(4).write.parquet(str(tmp_path / "orders.parquet"))
+    same_as_sql(spark, tmp_path, "sorted_edits")
