@@ -35,7 +35,7 @@ def _tagged(text: str) -> dict:
     """A project file's values; what has a tag is a dict of its own kind, and what it names twice is one and the same."""
     import yaml
 
-    class Loader(yaml.SafeLoader):
+    class Loader(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):  # libyaml's parser where it is there
         pass
 
     def build(loader, tag, node):

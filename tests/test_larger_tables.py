@@ -46,3 +46,17 @@ def test_new_items_of_one_key_and_place(spark, tmp_path):
     o = spark.range(64).select(F.col("id").alias("o_orderkey"), (F.col("id") % 2).alias("o_custkey"), F.expr("timestamp '1995-03-05 00:00:00'").alias("o_orderdate"))
     o.repartition(4).write.parquet(str(tmp_path / "orders.parquet"))
     same_as_sql(spark, tmp_path, "sorted_edits")
+
+
+def test_a_project_file_is_whole_when_its_rows_are_dealt_anew(spark, tmp_path):
+    """Partitions that are joined by their sizes, as those of large tables are."""
+    spark.range(4_000).select(F.col("id").alias("c_custkey"), (F.col("id") % 25).cast("int").alias("c_nationkey")).write.parquet(str(tmp_path / "customer.parquet"))
+    small = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1b", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.shuffle.partitions": "20"}
+    before = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        same_as_sql(spark, tmp_path, "project_files")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
