@@ -35,13 +35,29 @@ STEMS, OWN = (5, 7), 5
 STRIP = ".,;:!?\"'()[]{}<>*#$%&|-_`~"
 
 
+#: The hash of each feature's kind, from which that of its text goes on.
+KIND = {k: zlib.crc32(k.encode()) for k in ("w", "e", "s", "p", "n", *map(str, STEMS))}
+
+
+def _shape(token: str) -> str:
+    """Letters as A and a, what comes several times in a row once; of that the first places."""
+    if token.isalpha():  # most tokens
+        if token.islower():
+            return "a"
+        if token[0].isupper() and token[1:].islower():
+            return "Aa"
+    return re.sub(r"(.)\1+", r"\1", re.sub(r"[^\W\d_]", lambda m: "A" if m[0].isupper() else "a", token))[:8]
+
+
 def _features(token: str) -> tuple[int, int, int, int, int, int, int, bool]:
     """Hashed features of a token: OWN of its word, ending, shape and first letters; the word as its neighbours see
     it (before, after); sentence end."""
     w = token.lower().strip(STRIP)
-    h = lambda p, s: zlib.crc32(f"{p}{s}".encode()) & (DIMS - 1)
-    shape = re.sub(r"(.)\1+", r"\1", re.sub(r"[^\W\d_]", lambda m: "A" if m[0].isupper() else "a", token))[:8]
-    return h("w", w), h("e", w[-3:]), h("s", shape), *(h(n, w[:n]) for n in STEMS), h("p", w), h("n", w), token[-1] in ".!?"
+    b, crc, kind, top = w.encode(), zlib.crc32, KIND, DIMS - 1
+    plain = len(b) == len(w)
+    end = b[-3:] if plain else w[-3:].encode()
+    stems = [crc(b[:n] if plain else w[:n].encode(), kind[str(n)]) & top for n in STEMS]
+    return crc(b, kind["w"]) & top, crc(end, kind["e"]) & top, crc(_shape(token).encode(), kind["s"]) & top, *stems, crc(b, kind["p"]) & top, crc(b, kind["n"]) & top, token[-1] in ".!?"
 
 
 class _Known:
@@ -53,14 +69,17 @@ class _Known:
 
     def __call__(self, tokens: list[str]) -> np.ndarray:
         new = list(set(tokens).difference(self.places))
-        if len(self.places) + len(new) > KNOWN and self.places:
-            self.places.clear()
-            self.rows = self.rows[:0]
-            new = list(set(tokens))
+        rows = self.rows
         if new:
-            self.places.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
-            self.rows = np.concatenate([self.rows, np.array([_features(t) for t in new], np.int32)])
-        return self.rows[np.fromiter(map(self.places.__getitem__, tokens), np.int64, len(tokens))]
+            self.places.update(zip(new, range(len(rows), len(rows) + len(new)), strict=True))
+            rows = np.concatenate([rows, np.array([_features(t) for t in new], np.int32)])
+        out = rows[np.fromiter(map(self.places.__getitem__, tokens), np.int64, len(tokens))]
+        if len(rows) > KNOWN:  # full: the frequent tokens came early and stay
+            for t in new:
+                del self.places[t]
+        else:
+            self.rows = rows
+        return out
 
 
 _known = _Known()
