@@ -3,10 +3,12 @@
 import random
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from cuespan.operators import intervals
 from cuespan.plans import queries
+from cuespan.sources import binned
 
 
 def same_as_sql(spark, d, name):
@@ -60,3 +62,22 @@ def test_a_project_file_is_whole_when_its_rows_are_dealt_anew(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("reals", [False, True])
+def test_windows_and_stored_items_meet_in_narrow_bins(spark, tmp_path, reals, monkeypatch):
+    """All pairs, each once; and the bins they meet in are as narrow as the windows, however wide the folders."""
+    r = random.Random(6)
+    v = (lambda x: x + r.choice([0.0, 0.25])) if reals else (lambda x: x)
+    items = [(k, v(r.randint(-300, 3000)), v(r.choice([1, 2, 15, 16, 17, 90, 700]))) for k in range(150)]
+    windows = [(k, (a := v(r.randint(-300, 3000))), a + r.choice([0, 1, 30, 33, 500])) for k in range(60)]
+    kind = "double" if reals else "long"
+    path = str(tmp_path / "items")
+    binned.write_binned(spark.createDataFrame(items, f"id long, x {kind}, length {kind}"), path, 4096)
+    met = []
+    own = binned.stab_join
+    monkeypatch.setattr(binned, "stab_join", lambda *a, **k: met.append(k["width"]) or own(*a, **k))
+    got = binned.join_windows(spark, path, 4096, spark.createDataFrame(windows, f"w long, lo {kind}, hi {kind}")).collect()
+    want = sorted((w, a, b, k, x, n) for w, a, b in windows for k, x, n in items if a < b and x < b and x + n > a)
+    assert sorted((g.w, g.lo, g.hi, g.id, g.x, g.length) for g in got) == want
+    assert met and max(met) <= 16
