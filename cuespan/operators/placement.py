@@ -78,7 +78,7 @@ def place_all(items: DataFrame, movers: DataFrame, at: DataFrame, seq: str = "se
     olds = own.select(
         "_key", F.col(seq).alias("_s"), null(movers.schema[mover].dataType).alias("_m"), F.col("start").alias("_x"), (F.col("start") + F.col("length")).cast("long").alias("_end"),
         F.col("start").alias("_last"), null("long").alias("_own"), F.lit(1).cast("long").alias("_n"), null("long").alias("_in"), null("long").alias("_out"),
-        F.struct(F.col("start").alias("x"), F.col("length").cast("long").alias("length"), F.col("_next").cast("long").alias("t")).alias("_q"),
+        null("long").alias("_same"), F.struct(F.col("start").alias("x"), F.col("length").cast("long").alias("length"), F.col("_next").cast("long").alias("t")).alias("_q"),
         F.col(kind or seq).alias("_kind"), F.struct(*items.columns).alias("_item"),
     )
     last = movers.groupBy(seq, mover).agg(
@@ -88,32 +88,33 @@ def place_all(items: DataFrame, movers: DataFrame, at: DataFrame, seq: str = "se
     end = F.col("_x") + F.col("size")
     news = news.select(
         F.col("_x").alias("_key"), F.col(seq).alias("_s"), F.col(mover).alias("_m"), "_x", end.alias("_end"), (end - F.col("_ll")).alias("_last"), F.when(F.col("_n") > 1, F.col("_lt")).alias("_own"), "_n",
-        F.col("fade_in").alias("_in"), F.col("fade_out").alias("_out"), null(olds.schema["_q"].dataType).alias("_q"), "_kind", null(olds.schema["_item"].dataType).alias("_item"),
+        F.col("fade_in").alias("_in"), F.col("fade_out").alias("_out"), F.count("*").over(Window.partitionBy(seq, "_x")).alias("_same"), null(olds.schema["_q"].dataType).alias("_q"), "_kind", null(olds.schema["_item"].dataType).alias("_item"),
     )
     new = F.col("_item").isNull()
-    d = olds.unionByName(news).withColumn("_place", F.when(new, 0).otherwise(1))
+    # the index as a column of its own, so that the windows' orders are seen to be the same
+    d = olds.unionByName(news).withColumns({"_place": F.when(new, 0).otherwise(1), "_i": F.col(f"_item.{idx}")})
 
     def looked(d: DataFrame) -> DataFrame:
         """With `_fits`: whether a mover has room between the element before it and the next item."""
         up = Window.partitionBy("_s").orderBy("_key", "_place", idx_of)
         down = Window.partitionBy("_s").orderBy(F.desc("_key"), F.desc("_place"), F.desc(idx_of)).rowsBetween(Window.unboundedPreceding, -1)
         p = F.lag(F.struct("_x", "_end", "_last", "_own")).over(up)
-        d = d.withColumns({"_p": p, "_pp": F.lag("_end", 2).over(up), "_after": F.last("_q", True).over(down)})
+        # downwards first, so that what is sorted upwards stays so for the windows that come after
+        d = d.withColumn("_after", F.last("_q", True).over(down)).withColumns({"_p": p, "_pp": F.lag("_end", 2).over(up)})
         lap = F.greatest(F.lit(0), F.coalesce(F.col("_p._own"), F.col("_pp") - F.col("_p._x"), F.lit(0)))
         left = F.col("_p").isNull() | ((F.col("_x") >= F.col("_p._last") + lap) & (F.col("_x") >= F.col("_p._end") - F.col("_in")))
         free = F.col("_p").isNull() | F.col("_after").isNull() | (F.col("_p._end") <= F.col("_after.x"))
         right = F.col("_after").isNull() | (F.col("_end") <= F.col("_after.x") + F.least("_out", F.col("_after.length") - F.col("_after.t")))
         return d.withColumn("_fits", left & free & right)
 
-    idx_of = F.col(f"_item.{idx}")
+    idx_of = F.col("_i")
     # a mover that has no room before an item of the same start is tried behind it
     late = looked(d).withColumn("_place", F.when(new & ~F.col("_fits") & (F.col("_after.x") == F.col("_x")), 2).otherwise(F.col("_place")))
     d = looked(late.drop("_p", "_pp", "_after", "_fits"))
     up = Window.partitionBy("_s").orderBy("_key", "_place", idx_of)
-    same = F.count(F.when(new, 1)).over(Window.partitionBy("_s", "_x"))
     ok = F.col("_fits") & (F.col("_same") <= 1) & (F.col("_kind").eqNullSafe(F.col("_first")) if kind else F.lit(True))
     whole = Window.partitionBy("_s")
-    d = d.withColumns({"_same": same, "_first": F.min_by(F.when(~new, F.col("_kind")), F.when(~new, F.struct("_key", idx_of))).over(whole)})
+    d = d.withColumns({"_first": F.min_by(F.when(~new, F.col("_kind")), F.when(~new, F.struct("_key", idx_of))).over(whole)})
     d = d.withColumn("_ok", F.min(F.when(new, ok).otherwise(True).cast("int")).over(whole) == 1)
     before = F.coalesce(F.sum("_n").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     d = d.withColumns({"_idx": before.cast("long"), "_t": F.when(F.col("_p").isNull(), F.when(new, 0)).otherwise(F.col("_p._end") - F.col("_x")).cast("long")})

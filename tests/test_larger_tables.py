@@ -1,12 +1,13 @@
 """What shows on larger tables alone: plans of joins by bins, and ties."""
 
 import random
+import re
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from cuespan.operators import intervals
+from cuespan.operators import intervals, placement
 from cuespan.plans import queries
 from cuespan.sources import binned
 
@@ -81,3 +82,13 @@ def test_windows_and_stored_items_meet_in_narrow_bins(spark, tmp_path, reals, mo
     want = sorted((w, a, b, k, x, n) for w, a, b in windows for k, x, n in items if a < b and x < b and x + n > a)
     assert sorted((g.w, g.lo, g.hi, g.id, g.x, g.length) for g in got) == want
     assert met and max(met) <= 16
+
+
+def test_placement_sorts_once_a_direction(spark):
+    """Items and movers are sorted down and up for each of the two looks, and not again for what follows."""
+    s = spark.range(40).select((F.col("id") % 4).alias("seq"), F.floor(F.col("id") / 4).alias("idx"), F.lit(10).cast("long").alias("length"), F.lit(0).cast("long").alias("transition_length"))
+    m = s.where("idx = 0").withColumn("length", F.lit(5).cast("long"))
+    out = placement.place(s, m, s.select("seq").distinct().withColumn("x", F.lit(100).cast("long")))[0]
+    assert out.count() == 44 and out.where("idx = 10 and length = 5 and transition_length = 0").count() == 4
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") <= 15  # 17 when an order was not seen to be there
