@@ -17,9 +17,11 @@
    order and send one entry for each component and run, so no hot shingle gathers its documents in a task.
    Documents that have too few shared shingles left for any partner go.
 5. Nodes that share such a shingle form a tree, which is traversed against itself; a large group is cut into
-   blocks, and the trees of every two blocks are traversed in a place of their own. A pair goes on if enough
-   of its shingles bring it. Pairs inside a known component are never made.
-6. Surviving pairs are compared exactly, set against set, streamed by partner; components follow by contraction.
+   blocks, and the trees of every two blocks are traversed in a place of their own, which also has its documents'
+   whole sets. Pairs inside a known component are never made.
+6. Surviving pairs are compared exactly, set against set: those of the first round streamed by partner, those of the
+   second in their place, which sends the links that tie components it hasn't tied yet, so fewer than it has documents.
+   Components follow by contraction.
 
 Shingles are compared by 64-bit hashes of hashes of words: exact but for collisions of those.
 
@@ -39,6 +41,8 @@ from .common import bounded_broadcast, freed, lookup, parts, stored, table, text
 from .components import components
 
 WORDS, BITS, FAN, BLOCK, GATHER, QUICK, RARE, PART, KNOWN = 5, 1024, 8, 1024, 50_000, 8, 200, 8192, 50_000
+#: Bits of the bitmaps by which a place of the second round compares its sets.
+WIDE = 1 << 15
 #: A shingle of more than HEAVY documents is frequent, at any size; the MOST_HEAVY of them with the most documents are told apart.
 HEAVY, MOST_HEAVY = 500, 200_000
 #: Entries of prefixes that a map task gathers before it sends them; buckets that they are dealt to at most.
@@ -271,7 +275,7 @@ def first_pairs(nodes: DataFrame) -> DataFrame:
 
 
 def _whole(batches, keys: tuple[str, ...]):
-    """Columns of sorted rows as arrays, GATHER rows or more at once, so that equal keys come together; `new` tells
+    """Columns of sorted rows as arrays, GATHER rows (of many bytes, fewer) or more at once, so that equal keys come together; `new` tells
     where the keys change."""
     import pyarrow as pa
 
@@ -300,7 +304,7 @@ def _whole(batches, keys: tuple[str, ...]):
             held, size, b = [], 0, b.slice(int(cut[0]))
         if b.num_rows:
             held.append(b)
-            size += b.num_rows
+            size += b.num_rows + b.nbytes // 1024
     if held:
         yield columns(held)
 
@@ -391,43 +395,104 @@ def heavy_members(d: DataFrame, heavy: np.ndarray, keys: np.ndarray) -> DataFram
     return d.select("id", "comp", "t").mapInArrow(freed(run), "key bigint, id bigint, comp bigint")
 
 
-def tree_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that trees over the members (key, lead, id, comp, n, bits) of each
-    key leave, and that share as many prefix shingles as sets that link must.
+def whole_sets(d: DataFrame) -> DataFrame:
+    """(id, own): the whole set of each text of d (id, t), as sorted 64-bit hashes."""
+    import pyarrow as pa
+
+    def run(batches):
+        shingles = Shingler()
+        for b in parts(batches):
+            yield pa.RecordBatch.from_pydict({"id": b.column("id"), "own": pa.array([shingles(t).tobytes() for t in b.column("t").to_pylist()], pa.binary())})
+
+    return d.select("id", "t").mapInArrow(freed(run), "id bigint, own binary")
+
+
+def ties(a: np.ndarray, b: np.ndarray, comp: np.ndarray, own: list[np.ndarray]):
+    """Which of the pairs of sets own[a], own[b] link and tie components that those before have not tied: fewer than
+    there are sets, however many pairs. Wide bitmaps drop most pairs that don't link; what they leave is compared exactly."""
+    n = np.array([len(s) for s in own], np.int64)
+    bits = np.zeros((len(own), WIDE // 64), np.uint64)
+    for k in np.unique(np.r_[a, b]):
+        has = np.zeros(WIDE, bool)
+        has[(own[k] % np.uint64(WIDE)).astype(np.int64)] = True
+        bits[k] = np.packbits(has).view(np.uint64)
+    spare = n - np.bitwise_count(bits).sum(1, dtype=np.int64)
+    root: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while (up := root.get(c, c)) != c:
+            root[c] = root.get(up, up)
+            c = up
+        return c
+
+    for k in range(0, len(a), 2048):
+        x, y = a[k : k + 2048], b[k : k + 2048]
+        most = np.bitwise_count(bits[x] & bits[y]).sum(1, dtype=np.int64) + np.minimum(spare[x], spare[y])
+        for j in np.flatnonzero(7 * most >= 3 * (n[x] + n[y])).tolist():
+            c, e = top(int(comp[x[j]])), top(int(comp[y[j]]))
+            if c != e and links(own[x[j]], own[y[j]]):
+                root[max(c, e)] = min(c, e)
+                yield k + j
+
+
+def tree_links(members: DataFrame, d: DataFrame) -> DataFrame:
+    """Links (a, b) that tie different components, among the pairs that trees over the members (key, lead, id, comp, n,
+    bits) of each key leave; d (id, t) has their texts.
 
     Keys are dealt by their lead, the least id under them: the shingles of a passage have the same members,
-    so a pair that shares a passage is mostly counted in one place. A lead with many rows is cut by blocks of
-    ids (all keys of a pair stay together) and, beyond PART rows, by keys, so that no place has many more."""
+    so a pair that shares a passage is mostly met in one place. A lead with many rows is cut by blocks of
+    ids (all keys of a pair stay together) and, beyond PART rows, by keys, so that no place has many more. A place
+    also has the whole set of each of its documents, once, and compares pairs itself: of links that tie components
+    it sends fewer than it has documents, where its pairs may be as many as the square of that."""
     import pyarrow as pa
 
     by_lead = members.groupBy("lead", "key").agg(F.count("*").alias("c")).groupBy("lead").agg(F.max("c").alias("most"), F.sum("c").alias("c"))
     by_lead = by_lead.withColumn("blocks", F.expr(f"cast(ceil(most / {BLOCK}) as int)")).withColumn("parts", F.expr(f"cast(ceil(2 * c / blocks / {PART}) as int)"))
     m = lookup(members, by_lead.where("blocks > 1 or parts > 1").select("lead", "blocks", "parts", "c"), ["lead"], "c")
     m = m.withColumns({"blocks": F.coalesce("blocks", F.lit(1)), "part": F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1)))})
-    m = m.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    m = m.select("lead", "part", "key", "id", "comp", "n", "bits", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    m = m.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    m = m.select(F.xxhash64("lead", "part", "i", "j").alias("place"), "key", "i", "j", "own", "id", "comp", "n", "bits")
-    m = m.repartition("place").sortWithinPartitions("place", "key", "i", "j", "own")
+    m = m.withColumn("of", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    m = m.select("lead", "part", "key", "id", "comp", "n", "bits", "of", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    m = m.withColumns({"i": F.least("of", "other"), "j": F.greatest("of", "other")})
+    m = m.select(F.xxhash64("lead", "part", "i", "j").alias("place"), "key", "i", "j", "of", "id", "comp", "n", "bits", F.lit(None).cast("binary").alias("own"))
+    ids = stored(members.select("id").distinct(), "ids")
+    sets_of = stored(whole_sets(d.join(bounded_broadcast(ids, 400_000), "id", "left_semi")), "whole_sets")
+    # rows of sets stand under no block
+    zero = F.lit(0)
+    s = m.select("place", "id").distinct().join(sets_of, "id")
+    s = s.select("place", zero.cast("long").alias("key"), zero.alias("i"), zero.alias("j"), F.lit(-1).alias("of"), "id", zero.cast("long").alias("comp"), zero.cast("long").alias("n"), F.lit(bytes(BITS // 8)).alias("bits"), "own")
+    m = m.unionByName(s).repartition("place").sortWithinPartitions("place", "key", "of", "id")
 
     def run(batches):
-        for t in _whole(batches, ("place", "key", "i", "j")):
-            ids, n, comp = t["id"], t["n"], t["comp"]
+        for t in _whole(batches, ("place",)):
+            at, held = np.flatnonzero(t["of"] >= 0), np.flatnonzero(t["of"] < 0)
+            place = np.cumsum(t["new"]) - 1
+            ids, n, comp, key, of, of_place = *(t[c][at] for c in ("id", "n", "comp", "key", "of")), place[at]
             # a tree for each group, or one for each of a group's two blocks, which meet each other
-            second = np.r_[False, t["own"][1:] != t["own"][:-1]] & ~t["new"]
-            tree = np.cumsum(t["new"] | second) - 1
-            x = tree[np.flatnonzero(t["new"])]
+            new = np.r_[True, (of_place[1:] != of_place[:-1]) | (key[1:] != key[:-1])]
+            second = np.r_[False, of[1:] != of[:-1]] & ~new
+            tree = np.cumsum(new | second) - 1
+            x = tree[np.flatnonzero(new)]
             y = np.r_[x[1:], int(tree[-1]) + 1] - 1
-            alone = (t["i"] != t["j"])[t["new"]] & (x == y)  # of two blocks only one has members
-            a, b = traverse(Forest(tree, n, t["bits"]), x[~alone], y[~alone])
+            alone = (t["i"] != t["j"])[at][new] & (x == y)  # of two blocks only one has members
+            a, b = traverse(Forest(tree, n, t["bits"][at]), x[~alone], y[~alone])
             ok = comp[a] != comp[b]
             a, b = a[ok], b[ok]
-            p = np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), shared_least(np.minimum(n[a], n[b]))], 1)
-            p, c = np.unique(p, axis=0, return_counts=True)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(p[:, 0]), "b": pa.array(p[:, 1]), "need": pa.array(p[:, 2]), "c": pa.array(c)})
-
-    p = m.mapInArrow(freed(run), "a bigint, b bigint, need bigint, c bigint")
-    return p.groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("need").alias("need")).where("c >= need").select("a", "b")
+            # members as the sets of their place: those are in order of place and id
+            names = np.rec.fromarrays([place[held], t["id"][held]])
+            spot = np.searchsorted(names, np.rec.fromarrays([of_place, ids]))
+            comp_of = np.zeros(len(held), np.int64)
+            comp_of[spot] = comp
+            p = np.unique(np.stack([np.minimum(spot[a], spot[b]), np.maximum(spot[a], spot[b])], 1), axis=0)
+            ends, out = np.flatnonzero(np.diff(names["f0"], append=-1)) + 1, []
+            for lo, hi in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
+                q = p[np.searchsorted(p[:, 0], lo) : np.searchsorted(p[:, 0], hi)]
+                if len(q):
+                    own = [np.frombuffer(v, np.uint64) for v in t["own"][held[lo:hi]]]
+                    out += q[list(ties(q[:, 0] - lo, q[:, 1] - lo, comp_of[lo:hi], own))].tolist()
+            o = t["id"][held][np.array(out, np.int64).reshape(-1, 2)]
+            yield pa.RecordBatch.from_pydict({"a": pa.array(o[:, 0]), "b": pa.array(o[:, 1])})
+
+    return m.mapInArrow(freed(run), "a bigint, b bigint").distinct()
 
 
 def may_link(members: DataFrame, rounds: int = 2) -> DataFrame:
@@ -488,7 +553,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         members = members.unionByName(heavy_members(d, heavy, hot))
     members = may_link(stored(members.join(nodes.groupBy("id").agg(F.min("n").alias("n")), "id"), "shared"))
     members = members.drop("n").join(nodes.select("id", "n", "bits"), "id")
-    two = verified(tree_pairs(stored(members, "members")), docs, doc_id, text)
+    two = stored(tree_links(stored(members, "members"), d), "second_links")
     comp = components(first.unionByName(two))
 
     out = all_sets.select("id", "n", "digest")

@@ -601,3 +601,25 @@ def test_lookup_of_hot_keys(spark):
     want = {(r.a, r.k): r.least for r in left.join(right, "k").collect()}
     for rows in (100_000, 5):
         assert {(r.a, r.k): r.least for r in common.lookup(left, right, ["k"], "c", rows).collect()} == want
+
+
+def test_many_near_copies_that_dont_link(spark, monkeypatch):
+    """Long texts that share two thirds of their shingles: the second round sends links, not all pairs."""
+    rnd = random.Random(11)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(1700)]
+
+    def changed(words, n):
+        words = list(words)
+        for k in rnd.sample(range(len(words)), n):
+            words[k] = f"x{rnd.randrange(10**9)}"
+        return words
+
+    own = [changed(base, 40) for _ in range(24)]
+    rows = [(k, " ".join(w), "", "", 0) for k, w in enumerate(own)] + [(100 + k, " ".join(changed(own[k], 8)), "", "", 0) for k in range(0, 24, 5)]
+    df, sent = spark.createDataFrame(rows, DOCS), []
+    # nothing is found in the first round
+    monkeypatch.setattr(jaccard, "first_pairs", lambda nodes: spark.createDataFrame([], "a long, b long"))
+    links = jaccard.tree_links
+    monkeypatch.setattr(jaccard, "tree_links", lambda members, d: sent.append(links(members, d)) or sent[0])
+    assert {r.id: (r.n, r.component) for r in jaccard.classes(df).collect()} == brute_components(rows)
+    assert sorted((r.a, r.b) for r in sent[0].collect()) == [(k, 100 + k) for k in range(0, 24, 5)]
