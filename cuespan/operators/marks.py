@@ -55,41 +55,70 @@ def _all(maps: list[Map]) -> Map:
     return maps[0]
 
 
+def _grouped(batches, keys: list[str], make):
+    """Over record batches that are sorted by keys, which stand first: make(columns) is the map of each run of rows with equal
+    keys. Many short runs are met in one batch, as a call and a frame for each would cost more than its map."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def starts(t) -> np.ndarray:
+        new = np.r_[True, np.zeros(t.num_rows - 1, bool)]
+        for k in keys:
+            c = pa.concat_arrays(t.column(k).chunks)
+            none = c.is_null().to_numpy(zero_copy_only=False)
+            new[1:] |= pc.fill_null(pc.not_equal(c[1:], c[:-1]), False).to_numpy(zero_copy_only=False) | (none[1:] != none[:-1])
+        return np.flatnonzero(new)
+
+    def made(t, at: np.ndarray):
+        cols = {c: t.column(c).to_numpy() for c in ("left_gravity", *[c for c in t.column_names if c not in keys])}
+        maps = [make({c: v[lo:hi] for c, v in cols.items()}) for lo, hi in zip(at, [*at[1:], t.num_rows], strict=True)]
+        out = t.select(keys).take(pa.array(np.repeat(at, [len(m[0]) for m in maps])))
+        for i, c in enumerate(("lo", "fixed", "value")):
+            out = out.append_column(c, pa.array(np.concatenate([m[i] for m in maps])))
+        return out.combine_chunks().to_batches()
+
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        at = starts(held)
+        if len(at) > 1:  # the last run may go on
+            yield from made(held.slice(0, at[-1]), at[:-1])
+            held = held.slice(at[-1])
+    if held is not None:
+        yield from made(held, np.array([0]))
+
+
 def composed(splices: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, left_gravity, lo, fixed, value): the pieces of each list's map after all its splices
     (keys, step, start, stop, new_length) in order of step."""
-    import pandas as pd
-
     d = scan.running(scan.numbered(splices, keys, ["step"]), keys, {"_pos": F.lit(1)})
     d = d.select(*keys, "_pos", *[F.col(c).cast("long").alias(c) for c in ("start", "stop", "new_length")]).withColumn("left_gravity", F.explode(F.array(F.lit(True), F.lit(False))))
     names = [f"`{k}` {splices.schema[k].dataType.simpleString()}" for k in keys]
     schema = ", ".join([*names, "left_gravity boolean, _block bigint, lo bigint, fixed boolean, value bigint"])
     group = [*keys, "left_gravity", "_block"]
 
-    def frame(key, m: Map):
-        out = pd.DataFrame({"lo": m[0], "fixed": m[1], "value": m[2]})
-        for i, c in enumerate(group):
-            out.insert(i, c, key[i])
-        return out
+    def first(c) -> Map:
+        return _all([splice_map(a, b, n, c["left_gravity"][0]) for a, b, n in zip(c["start"], c["stop"], c["new_length"], strict=True)])
 
-    def first(key, p):
-        p = p.sort_values("_pos")
-        return frame(key, _all([splice_map(a, b, n, key[-2]) for a, b, n in zip(p["start"], p["stop"], p["new_length"], strict=True)]))
+    def later(c) -> Map:
+        at = np.flatnonzero(np.r_[True, c["_own"][1:] != c["_own"][:-1]])
+        return _all([tuple(c[n][i:j] for n in ("lo", "fixed", "value")) for i, j in zip(at, [*at[1:], len(c["_own"])], strict=True)])
 
-    def later(key, p):
-        p = p.sort_values(["_own", "lo"])
-        return frame(key, _all([(x["lo"].to_numpy(), x["fixed"].to_numpy(), x["value"].to_numpy()) for _, x in p.groupby("_own", sort=True)]))
+    def maps(d: DataFrame, order: list[str], make) -> DataFrame:
+        d = d.select(*group, *[c for c in d.columns if c not in group]).repartition(*group).sortWithinPartitions(*group, *order)
+        return fresh(d.mapInArrow(lambda batches: _grouped(batches, group, make), schema))
 
-    d = fresh(d.withColumn("_block", F.floor(F.col("_pos") / FIRST)).groupBy(*group).applyInPandas(first, schema))
+    d = maps(d.withColumn("_block", F.floor(F.col("_pos") / FIRST)), ["_pos"], first)
     while (d.agg(F.max("_block")).first()[0] or 0) > 0:
-        up = d.withColumn("_own", F.col("_block")).withColumn("_block", F.floor(F.col("_block") / FAN))
-        d = fresh(up.groupBy(*group).applyInPandas(later, schema))
+        d = maps(d.withColumn("_own", F.col("_block")).withColumn("_block", F.floor(F.col("_block") / FAN)), ["_own", "lo"], later)
     return d.drop("_block")
 
 
 def shift_marks(marks: DataFrame, splices: DataFrame, keys: list[str]) -> DataFrame:
     """marks (keys, index, left_gravity) after all splices (keys, step, start, stop, new_length) of their lists."""
-    pieces = composed(splices, keys)
+    pieces = composed(splices.join(marks.select(*keys).distinct(), keys, "left_semi"), keys)  # lists without marks need no map
     cols = [c for c in marks.columns if c not in keys]
     group = [*keys, "left_gravity"]
     # along each list's places, pieces before marks: the greatest beginning so far is that of a mark's piece

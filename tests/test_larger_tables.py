@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from cuespan.operators import intervals, placement
+from cuespan.operators import intervals, marks, placement
 from cuespan.plans import queries
 from cuespan.sources import binned
 
@@ -92,3 +92,28 @@ def test_placement_sorts_once_a_direction(spark):
     assert out.count() == 44 and out.where("idx = 10 and length = 5 and transition_length = 0").count() == 4
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [") <= 15  # 17 when an order was not seen to be there
+
+
+def test_maps_of_many_short_lists_come_from_few_calls(spark, monkeypatch):
+    """Lists of a splice or two, one without a key and one that spans batches; lists without marks get no map."""
+    r = random.Random(7)
+    splices = [(k if k else None, s, *sorted((r.randint(0, 30), r.randint(0, 30))), r.randint(0, 9)) for k in range(300) for s in range(60 if k == 150 else 1 + k % 2)]
+    m = [(i, r.choice(range(3, 300, 3)), r.randint(0, 40), r.random() < 0.5) for i in range(900)]
+    got = []
+    monkeypatch.setattr(marks, "composed", lambda s, keys, f=marks.composed: got.append(f(s, keys)) or got[0])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "32")
+    try:
+        out = marks.shift_marks(
+            spark.createDataFrame(m, "id long, k long, index long, left_gravity boolean"), spark.createDataFrame(splices, "k long, step long, start long, stop long, new_length long"), ["k"]
+        ).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {}
+    for i, k, x, left in m:
+        for _, _, a, b, n in sorted((s for s in splices if s[0] == k), key=lambda s: s[1]):
+            x = x if x < a else (a if left else a + n) if x <= b else x + n - (b - a)
+        want[i] = x
+    assert {o.id: o["index"] for o in out} == want
+    assert {g.k for g in got[0].select("k").collect()} <= {k for _, k, _, _ in m}
+    assert "FlatMapGroupsInPandas" not in got[0]._jdf.queryExecution().toString()
