@@ -150,7 +150,8 @@ def rooms(items: DataFrame, moved: Column, by: Column, seq: str = "seq", idx: st
     Items of one sequence move in turn, those ahead first, so each sees its neighbour where it went to."""
     w = Window.partitionBy(seq).orderBy(idx)
     d = items.withColumns({"_own": moved, "_by": F.when(moved, by).otherwise(0)})
-    step = F.max("_by").over(Window.partitionBy(seq)) + F.min("_by").over(Window.partitionBy(seq))  # one is 0
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # in the others' order, so that a task sorts once
+    step = F.max("_by").over(whole) + F.min("_by").over(whole)  # one is 0
     m = lambda k: F.coalesce(F.lead("_own", k).over(w), F.lit(False)).cast("int")
     b = lambda k: F.coalesce(F.lag("_own", k).over(w), F.lit(False)).cast("int")
     t = lambda k: F.coalesce((F.lead if k > 0 else F.lag)("transition_length", abs(k)).over(w), F.lit(0))

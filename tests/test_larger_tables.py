@@ -117,3 +117,11 @@ def test_maps_of_many_short_lists_come_from_few_calls(spark, monkeypatch):
     assert {o.id: o["index"] for o in out} == want
     assert {g.k for g in got[0].select("k").collect()} <= {k for _, k, _, _ in m}
     assert "FlatMapGroupsInPandas" not in got[0]._jdf.queryExecution().toString()
+
+
+def test_a_task_sorts_items_once_to_move_them(spark):
+    d = spark.range(40).select((F.col("id") % 4).alias("seq"), F.col("id").alias("idx"), F.lit(9).cast("long").alias("length"), F.lit(2).cast("long").alias("transition_length"))
+    plan = placement.move_all(d, F.col("idx") % 3 == 0, F.lit(3).cast("long"), strict=False)[0]._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Window [") >= 3
+    executed = placement.move_all(d, F.col("idx") % 3 == 0, F.lit(3).cast("long"), strict=False)[0]._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("Sort [") == 1
