@@ -18,6 +18,16 @@ def numbered(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return fresh(df.orderBy(*keys, *order).withColumn("_row", F.monotonically_increasing_id()))
 
 
+def placed(df: DataFrame, order: list, name: str) -> DataFrame:
+    """df with `name`, the places 0, 1, 2 ... of its rows along the order. A row's place in its partition is in its `_row`; what the
+    partitions before it hold is a table of one row for each."""
+    d = numbered(df, [], order).withColumn("_part", F.shiftright("_row", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    held = d.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"))
+    d = d.join(F.broadcast(held), "_part")
+    return d.withColumn(name, F.col("_n") + F.col("_row").bitwiseAND((1 << 33) - 1)).drop("_part", "_row", "_n")
+
+
 def running(d: DataFrame, keys: list[str], sums: dict[str, Column] = {}, greatest: dict[str, Column] = {}) -> DataFrame:
     """Rows of numbered() with sums over the rows of their key before them, and greatest values with their own row."""
     part = F.shiftright("_row", 33)

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cuespan.operators import graph
+from cuespan.operators import graph, intervals, scan
 
 
 def plain(start, edges):
@@ -79,3 +79,58 @@ def test_parts_of_a_chain_in_order(spark, monkeypatch):
     count = written(monkeypatch)
     got = graph.parts(spark.range(5000).select(F.col("id").alias("source"), (F.col("id") + 1).alias("target")).unionByName(spark.createDataFrame([(9000, 7000), (9000, 8000)], "source long, target long")))
     assert got.groupBy("part").count().orderBy("part").collect() == [(0, 5001), (7000, 3)] and count[0] < 30
+
+
+def tied_parts(ids, links):
+    part = {i: i for i in ids}
+    for _ in ids:
+        for a, b in links:
+            part[a] = part[b] = min(part[a], part[b])
+    return part
+
+
+@pytest.mark.parametrize("loners", [0, 3])
+def test_orders_of_many_anchors_and_circles(spark, loners):
+    """Rounds that look at what is tied alone give the depths of rounds over all items."""
+    r = random.Random(loners)
+    rates = {i: r.randrange(4) for i in range(40 + loners)}
+    ties = {(a, b) for a, b in ((r.randrange(40), r.randrange(44)) for _ in range(55))} | {(i, (i + 1) % 5) for i in range(5)}
+    want, left, depth = {}, set(rates), 0
+    tied = {(a, b) for a, b in ties if a != b and b in left}
+    while left:
+        free = left - {a for a, _ in tied}
+        if not free:
+            part = tied_parts(left, tied)
+            free = {min((rates[i], i) for i in left if part[i] == p)[1] for p in set(part.values())}
+        want |= dict.fromkeys(free, depth)
+        left, tied, depth = left - free, {(a, b) for a, b in tied if a not in free and b not in free}, depth + 1
+    got = graph.anchor_order(spark.createDataFrame([*rates.items()], "id long, rate int"), spark.createDataFrame([*ties], "source long, target long"))
+    assert {x.id: x.depth for x in got.collect()} == want
+
+
+def test_stacks_of_boxes_are_the_plain_order_and_write_items_once(spark, monkeypatch):
+    """Of a table of which most overlap nothing, no round writes the whole; overlaps may come one way round with their y and z."""
+    r = random.Random(8)
+    boxes = [(i, r.randrange(150), r.randint(1, 9), r.randrange(6), 2, r.randrange(9)) for i in range(60)] + [(i, 10 * i, 1, i % 50, 1, i % 7) for i in range(100, 1600)]
+    pairs = [(p[0], q[0]) for p in boxes for q in boxes if p[0] != q[0] and p[1] < q[1] + q[2] and q[1] < p[1] + p[2] and p[3] < q[3] + q[4] and q[3] < p[3] + p[4]]
+    y, z = {b[0]: b[3] for b in boxes}, {b[0]: b[5] for b in boxes}
+    part, depth, top = tied_parts(y, pairs), dict.fromkeys(y, 0), {}
+    for _ in range(60):
+        for a, b in pairs:
+            if z[b] > z[a]:
+                depth[a] = max(depth[a], depth[b] + 1)
+    for i in y:
+        top[part[i]] = max(top.get(part[i], -1), y[i])
+    want = sorted(y, key=lambda i: (-top[part[i]], part[i], depth[i], -y[i], -z[i], i))
+    assert max(depth.values()) > 2
+    df = spark.createDataFrame(boxes, "id long, x long, l long, y long, h long, z long")
+    laps, lean = intervals.box_overlaps(df, "id", "x", "l", "y", "h", kept=["y", "z"]), intervals.box_overlaps(df, "id", "x", "l", "y", "h")
+    assert laps.columns == ["a", "b", "a_y", "a_z", "b_y", "b_z"] and sorted(map(tuple, lean.collect())) == sorted(pairs)
+    rows, own = [], graph.fresh
+    for module in (graph, scan):
+        monkeypatch.setattr(module, "fresh", lambda d: (out := own(d), rows.append(out.count()))[0])
+    for o in (laps, lean, laps.where("a > b")):
+        rows.clear()
+        got = graph.stack_order(df.select("id", "y", "z"), o).collect()
+        assert [x.id for x in sorted(got, key=lambda x: x.paint)] == want and {x.paint for x in got} == set(range(len(want)))
+        assert sum(n > len(boxes) / 2 for n in rows) == 2  # with their stacks, and sorted
