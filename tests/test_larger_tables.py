@@ -1,5 +1,6 @@
 """What shows on larger tables alone: plans of joins by bins, and ties."""
 
+import itertools
 import random
 import re
 
@@ -7,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from cuespan.operators import intervals, marks, placement
+from cuespan.operators import intervals, marks, nesting, placement
 from cuespan.plans import queries
 from cuespan.sources import binned
 
@@ -37,6 +38,22 @@ def test_no_side_of_a_join_by_bins_is_broadcast(spark):
         assert "Broadcast" not in j._jdf.queryExecution().executedPlan().toString()
 
 
+def test_what_a_space_shows_comes_in_order(spark):
+    """All pairs of two large tables: a file of them is small if equal windows show the same run of items after each other."""
+    r = random.Random(3)
+    schema = "space long, z long, x long, length long, offset long"
+    outer = [(0, k, r.randint(0, 900), r.randint(1, 9), r.randint(0, 40)) for k in range(150)]
+    inner = [(0, k, r.randint(0, 40), r.randint(1, 20), 0) for k in range(60)]
+    o, i = spark.createDataFrame(outer, schema).repartition(3), spark.createDataFrame(inner, schema).repartition(3)
+    got = [(g.outer_z, g.z) for g in nesting.nested(o, i, "space", ordered=True).collect()]
+    pairs = {(a[1], b[1]) for a in outer for b in inner if a[4] < b[2] + b[3] and b[2] < a[4] + a[3]}
+    assert len(got) == len(pairs) and set(got) == pairs
+    at = {k: (offset, length) for _, k, _, length, offset in outer}
+    runs = [(k, [z for _, z in g]) for k, g in itertools.groupby(got, lambda p: p[0])]
+    assert len(runs) == len({k for k, _ in runs}) and [at[k] for k, _ in runs] == sorted(at[k] for k, _ in runs)
+    assert all([inner[z][2:4] for z in zs] == sorted(inner[z][2:4] for z in zs) for _, zs in runs)
+
+
 def test_grid_points_that_items_hold(spark):
     r = random.Random(5)
     items = [(k, r.randint(-200, 200), r.choice([0, 1, 2, 29, 30, 31, 95])) for k in range(200)]
