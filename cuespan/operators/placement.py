@@ -56,78 +56,86 @@ def where_fits(items: DataFrame, sizes: DataFrame, at: DataFrame, seq: str = "se
     return at.join(p.groupBy(seq).agg(F.min(idx).alias("at_idx")), seq, "left")
 
 
-def place_all(items: DataFrame, movers: DataFrame, at: DataFrame, seq: str = "seq", idx: str = "idx", mover: str = "mover", strict: bool = True, kind: str | None = None) -> tuple[DataFrame, DataFrame]:
+def place_all(items: DataFrame, movers: DataFrame, at: DataFrame | None, seq: str = "seq", idx: str = "idx", mover: str = "mover", strict: bool = True, kind: str | None = None) -> tuple[DataFrame, DataFrame]:
     """items with many movers put in, and rows (seq, shift) by which sequences move.
 
     movers has the columns of items and `mover`; at (seq, mover, x) says where each begins, counted from the start that its
-    sequence has now. The result is that of putting them in one by one in the order of x. Neighbours keep their times; a mover
-    put in first moves the start of its sequence instead. Two movers can't begin at one place of a sequence,
-    and with `kind` (a column of both) a mover must be of the kind of its sequence's first item. Where one has no room, it is an
-    error, or without strict all of that sequence stays as it is.
+    sequence has now; without it the movers' rows have `x`. The result is that of putting them in one by one in the order of x.
+    Neighbours keep their times; a mover put in first moves the start of its sequence instead. Two movers can't begin at one
+    place of a sequence, and with `kind` (a column of both) a mover must be of the kind of its sequence's first item. Where one
+    has no room, it is an error, or without strict all of that sequence stays as it is.
 
     Items never move in time, so an item's transition is where the one before it ends less its own start. Items and movers
     are sorted together; each mover then looks at the element before it and at the item after it, whatever the
-    number of movers: two sorts within a sequence, the second for movers that begin where an item does.
+    number of movers: two sorts within a sequence, the second for movers that begin where an item does. A mover is one
+    element, its first row; its other rows go along behind. No step is a join, and every window is within a sequence,
+    so that rows are shuffled by sequence alone, and not again if they come by sequence.
     """
     w = Window.partitionBy(seq).orderBy(idx)
+    null = F.lit(None).cast("long")
+    long = lambda c: c.cast("long")
     own = overlap_starts(items, [seq], idx, "length", "transition_length")
     own = own.withColumn("_next", F.coalesce(F.lead("transition_length").over(w), F.lit(0)))
-    null = lambda t: F.lit(None).cast(t)
     # an item may begin before the one ahead of it does, if that one is shorter than their transition; the order is by index still
     own = own.withColumn("_key", F.max("start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # _place: movers (0, or 2 behind an item of the same start) and items (1); _last: where the last row begins; _own: its transition
+    # within a mover of several rows; _in, _out: how far it may be overlapped at its ends
     olds = own.select(
-        "_key", F.col(seq).alias("_s"), null(movers.schema[mover].dataType).alias("_m"), F.col("start").alias("_x"), (F.col("start") + F.col("length")).cast("long").alias("_end"),
-        F.col("start").alias("_last"), null("long").alias("_own"), F.lit(1).cast("long").alias("_n"), null("long").alias("_in"), null("long").alias("_out"),
-        null("long").alias("_same"), F.struct(F.col("start").alias("x"), F.col("length").cast("long").alias("length"), F.col("_next").cast("long").alias("t")).alias("_q"),
-        F.col(kind or seq).alias("_kind"), F.struct(*items.columns).alias("_item"),
+        *items.columns, F.lit(1).alias("_place"), "_key", F.col("start").alias("_x"), long(F.col("start") + F.col("length")).alias("_end"), F.col("start").alias("_last"),
+        null.alias("_own"), long(F.col("length") - F.col("_next")).alias("_in"), null.alias("_out"),
     )
-    last = movers.groupBy(seq, mover).agg(
-        F.count("*").alias("_n"), F.max_by("length", idx).cast("long").alias("_ll"), F.max_by("transition_length", idx).cast("long").alias("_lt"), F.min_by(kind or seq, idx).alias("_kind")
-    )
-    news = mover_sizes(movers, [seq, mover], idx).join(last, [seq, mover]).join(at.select(seq, mover, F.col("x").cast("long").alias("_x")), [seq, mover])
-    end = F.col("_x") + F.col("size")
-    news = news.select(
-        F.col("_x").alias("_key"), F.col(seq).alias("_s"), F.col(mover).alias("_m"), "_x", end.alias("_end"), (end - F.col("_ll")).alias("_last"), F.when(F.col("_n") > 1, F.col("_lt")).alias("_own"), "_n",
-        F.col("fade_in").alias("_in"), F.col("fade_out").alias("_out"), F.count("*").over(Window.partitionBy(seq, "_x")).alias("_same"), null(olds.schema["_q"].dataType).alias("_q"), "_kind", null(olds.schema["_item"].dataType).alias("_item"),
-    )
-    new = F.col("_item").isNull()
-    # the index as a column of its own, so that the windows' orders are seen to be the same
-    d = olds.unionByName(news).withColumns({"_place": F.when(new, 0).otherwise(1), "_i": F.col(f"_item.{idx}")})
+    # what has no sequence or no place gets no _x and is left out below: a filter here would part the plan from that of the items
+    named = lambda x: F.when(F.col(seq).isNotNull() & F.col(mover).isNotNull(), long(x)).alias("_x")
+    m = movers.select(*items.columns, F.col(mover).alias("_m"), named(F.col("x") if at is None else null), F.lit(1).alias("_row"))
+    if at is not None:
+        m = m.unionByName(at.select(seq, F.col(mover).alias("_m"), named(F.col("x")), F.lit(0).alias("_row")), allowMissingColumns=True)
+    run = Window.partitionBy(seq, "_m").orderBy("_row", idx)
+    whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # in the others' order, so that a task sorts once
+    # counted within the sequence first, so that rows are shuffled by that alone
+    m = m.withColumn("_c", F.sum("_row").over(Window.partitionBy(seq).orderBy("_m", "_row", idx).rowsBetween(Window.unboundedPreceding, 0)))
+    m = m.withColumn("_x", F.max("_x").over(whole)).where("_row = 1 and _x is not null").withColumn("_r", F.col("_c") - F.min("_c").over(whole) + 1)
+    m = m.withColumn("_t", F.when(F.col("_r") > 1, F.col("transition_length")).otherwise(0)).withColumn("_size", F.col("length") - F.col("_t"))
+    m = m.withColumns({
+        "_n": F.count("*").over(whole), "_end": F.col("_x") + F.sum("_size").over(whole), "_ll": F.last("length").over(whole), "_lt": F.last("_t").over(whole),
+        "_in": F.col("length") - F.coalesce(F.lead("_t").over(run), F.lit(0)),
+    })
+    of_first = {"_x": F.col("_x"), "_end": F.col("_end"), "_last": F.col("_end") - F.col("_ll"), "_own": F.when(F.col("_n") > 1, F.col("_lt")), "_in": F.col("_in"), "_out": F.col("_ll") - F.col("_lt")}
+    news = m.select(*items.columns, F.lit(0).alias("_place"), F.col("_x").alias("_key"), *[long(F.when(F.col("_r") == 1, v)).alias(c) for c, v in of_first.items()])
+    d = olds.unionByName(news)
+    item, first = F.col("_place") == 1, (F.col("_place") != 1) & F.col("_x").isNotNull()
+    up = Window.partitionBy(seq).orderBy("_key", "_place", idx)
+    everything = up.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+    def near(value: str, step: int) -> Column:
+        """The value so many rows further on, rows without it apart; in the order of `up`."""
+        return F.expr(f"{'lead' if step > 0 else 'lag'}({value}, {abs(step)}) ignore nulls over (partition by `{seq}` order by _key, _place, `{idx}`)")
 
     def looked(d: DataFrame) -> DataFrame:
         """With `_fits`: whether a mover has room between the element before it and the next item."""
-        up = Window.partitionBy("_s").orderBy("_key", "_place", idx_of)
-        down = Window.partitionBy("_s").orderBy(F.desc("_key"), F.desc("_place"), F.desc(idx_of)).rowsBetween(Window.unboundedPreceding, -1)
-        p = F.lag(F.struct("_x", "_end", "_last", "_own")).over(up)
-        # downwards first, so that what is sorted upwards stays so for the windows that come after
-        d = d.withColumn("_after", F.last("_q", True).over(down)).withColumns({"_p": p, "_pp": F.lag("_end", 2).over(up)})
+        # a plain column first: the sort is below it, and what the others look at is made of sorted rows
+        d = d.withColumn("_pp", near("_end", -2))
+        d = d.withColumns({"_p": near("if(_x is null, null, struct(_place, _x, _end, _last, _own))", -1), "_after": near("if(_place = 1, struct(_x as x, _in as room), null)", 1)})
         lap = F.greatest(F.lit(0), F.coalesce(F.col("_p._own"), F.col("_pp") - F.col("_p._x"), F.lit(0)))
         left = F.col("_p").isNull() | ((F.col("_x") >= F.col("_p._last") + lap) & (F.col("_x") >= F.col("_p._end") - F.col("_in")))
         free = F.col("_p").isNull() | F.col("_after").isNull() | (F.col("_p._end") <= F.col("_after.x"))
-        right = F.col("_after").isNull() | (F.col("_end") <= F.col("_after.x") + F.least("_out", F.col("_after.length") - F.col("_after.t")))
+        right = F.col("_after").isNull() | (F.col("_end") <= F.col("_after.x") + F.least("_out", "_after.room"))
         return d.withColumn("_fits", left & free & right)
 
-    idx_of = F.col("_i")
-    # a mover that has no room before an item of the same start is tried behind it
-    late = looked(d).withColumn("_place", F.when(new & ~F.col("_fits") & (F.col("_after.x") == F.col("_x")), 2).otherwise(F.col("_place")))
-    d = looked(late.drop("_p", "_pp", "_after", "_fits"))
-    up = Window.partitionBy("_s").orderBy("_key", "_place", idx_of)
-    ok = F.col("_fits") & (F.col("_same") <= 1) & (F.col("_kind").eqNullSafe(F.col("_first")) if kind else F.lit(True))
-    whole = Window.partitionBy("_s")
-    d = d.withColumns({"_first": F.min_by(F.when(~new, F.col("_kind")), F.when(~new, F.struct("_key", idx_of))).over(whole)})
-    d = d.withColumn("_ok", F.min(F.when(new, ok).otherwise(True).cast("int")).over(whole) == 1)
-    before = F.coalesce(F.sum("_n").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    d = d.withColumns({"_idx": before.cast("long"), "_t": F.when(F.col("_p").isNull(), F.when(new, 0)).otherwise(F.col("_p._end") - F.col("_x")).cast("long")})
+    # a mover that has no room before an item of the same start is tried behind it, with all its rows
+    late = looked(d).withColumns({"_late": F.when(first, ~F.col("_fits") & F.coalesce(F.col("_after.x") == F.col("_x"), F.lit(False))), "_alone": F.when(first, ~F.coalesce((F.col("_p._place") != 1) & (F.col("_p._x") == F.col("_x")), F.lit(False)))})
+    late = late.withColumn("_late", F.last("_late", True).over(up.rowsBetween(Window.unboundedPreceding, 0)))
+    late = late.withColumn("_place", F.when(~item & F.col("_late"), 2).otherwise(F.col("_place")))
+    d = looked(late.drop("_pp", "_p", "_after", "_fits", "_late"))
+    ok = F.col("_fits") & F.col("_alone")
+    if kind:
+        d = d.withColumn("_first", F.first(F.when(item, F.struct(F.col(kind).alias("kind"))), True).over(everything))
+        ok = ok & F.col(kind).eqNullSafe(F.col("_first.kind"))
+    d = d.withColumns({"_ok": F.coalesce(F.min(F.when(first, ok.cast("int"))).over(everything), F.lit(1)) == 1, "_idx": F.row_number().over(up) - 1})
     d = d.withColumn("_ok", guarded(F.col("_ok"), F.col("_ok"))) if strict else d
-    cast = lambda c, v: v.cast(items.schema[c].dataType)
-    old = d.where(~new).select("_item", "_ok", "_idx", "_t")
-    fresh = {idx: F.when(F.col("_ok"), F.col("_idx")).otherwise(F.col(f"_item.{idx}")), "transition_length": F.when(F.col("_ok"), F.coalesce("_t", "_item.transition_length")).otherwise(F.col("_item.transition_length"))}
-    old = old.select(*[cast(c, fresh[c]).alias(c) if c in fresh else F.col(f"_item.{c}") for c in items.columns])
-    spot = d.where(new & F.col("_ok")).select(F.col("_s").alias(seq), F.col("_m").alias(mover), "_idx", "_t", "_x")
-    added = movers.withColumn("_r", F.row_number().over(Window.partitionBy(seq, mover).orderBy(idx)) - 1).join(spot, [seq, mover])
-    added = added.withColumns({"transition_length": cast("transition_length", F.when(F.col("_r") == 0, F.col("_t")).otherwise(F.col("transition_length"))), idx: cast(idx, F.col("_idx") + F.col("_r"))})
-    shift = spot.where("_idx = 0").select(seq, F.col("_x").alias("shift"))
-    return old.unionByName(added.select(*items.columns)), shift
+    d = d.withColumn("_t", F.when(F.col("_p").isNull(), F.when(first, 0)).otherwise(F.col("_p._end") - F.col("_x")))
+    fresh = {idx: F.when(F.col("_ok"), F.col("_idx")).otherwise(F.col(idx)), "transition_length": F.when(F.col("_ok"), F.coalesce("_t", "transition_length")).otherwise(F.col("transition_length"))}
+    out = d.where(item | F.col("_ok")).select(*[fresh[c].cast(items.schema[c].dataType).alias(c) if c in fresh else F.col(c) for c in items.columns])
+    return out, d.where(first & F.col("_ok") & (F.col("_idx") == 0)).select(seq, F.col("_x").alias("shift"))
 
 
 def place(items: DataFrame, movers: DataFrame, at: DataFrame, seq: str = "seq", idx: str = "idx", strict: bool = True, kind: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -44,11 +44,14 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 EV = f"ev as (select event_id, user_id, event_type, value, cast((epoch_us(ts) - {T0}) // 60000000 as bigint) as minute, cast((epoch_us(ts) - {T0}) // 3600000000 as bigint) as hour from events)"
 
 
-def lines(spark: SparkSession, d: str) -> DataFrame:
-    """lineitem as sequences by order: idx, length (quantity), transition and offset."""
-    li = t(spark, d, "lineitem")
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    li = li.select(F.col("l_orderkey").alias("seq"), (F.row_number().over(w) - 1).cast("long").alias("idx"), F.col("l_linenumber").cast("long").alias("ln"), F.col("l_quantity").cast("long").alias("length"), F.col("l_partkey").cast("long").alias("part"))
+def lines(spark: SparkSession, d: str, spread: bool = False) -> DataFrame:
+    """lineitem as sequences by order: idx, length (quantity), transition and offset. With spread, tasks are as many as shuffle
+    partitions, whatever the few bytes they read, for what makes more and wider rows of these."""
+    li = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("seq"), F.col("l_linenumber").cast("long").alias("ln"), F.col("l_quantity").cast("long").alias("length"), F.col("l_partkey").cast("long").alias("part"), "l_suppkey")
+    li = li.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "seq") if spread else li
+    # by the columns' new names, so that what follows within a sequence needs no shuffle
+    w = Window.partitionBy("seq").orderBy("ln", "part", "l_suppkey")
+    li = li.select("seq", (F.row_number().over(w) - 1).cast("long").alias("idx"), "ln", "length", "part")
     return li.withColumn("transition_length", (F.col("ln") % 5 - 2)).withColumn("offset", F.col("part") % 100)
 
 

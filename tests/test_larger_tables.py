@@ -111,6 +111,29 @@ def test_placement_sorts_once_a_direction(spark):
     assert plan.count("Sort [") <= 15  # 17 when an order was not seen to be there
 
 
+def test_placement_shuffles_by_sequence_alone(spark):
+    """Items and movers meet by sequence, without a join; where each begins may be in the movers' rows."""
+    s = spark.range(60).select((F.col("id") % 5).alias("seq"), F.floor(F.col("id") / 5).alias("idx"), F.lit(10).cast("long").alias("length"), F.lit(-30).cast("long").alias("transition_length"))
+    own = s.where("idx % 4 = 1").select("seq", F.col("idx").alias("mover"), (40 * F.col("idx") + 15).alias("x"))
+    rows = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("idx"), F.lit(9).cast("long").alias("length"), F.lit(x).cast("long").alias("transition_length")) for i, x in ((0, 0), (1, 4), (2, 3))]))
+    movers = own.select("*", rows.alias("r")).select("seq", "r.*", "mover", "x")
+    apart, within = placement.place_all(s, movers.drop("x"), own)[0], placement.place_all(s, movers, None)[0]
+    got = sorted(map(tuple, apart.collect()))
+    assert len(got) == 60 + 5 * 9 and got == sorted(map(tuple, within.collect()))
+    assert [(i, n, t) for q, i, n, t in got if q == 0][:6] == [(0, 10, -30), (1, 10, -30), (2, 9, -5), (3, 9, 4), (4, 9, 3), (5, 10, -5)]
+    for out in (apart, within):
+        plan = out.select("*")._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("Exchange ") <= 2  # of items, and of movers with their places
+
+
+def test_sequences_of_lines_are_shuffled_once(spark):
+    """What follows within a sequence finds its rows where they are, in as many tasks as there are partitions."""
+    s = queries.lines(spark, "/root/testdata/sf0.001", spread=True)
+    own = s.groupBy("seq").agg(F.max("idx").alias("top"))
+    assert own._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert s.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_maps_of_many_short_lists_come_from_few_calls(spark, monkeypatch):
     """Lists of a splice or two, one without a key and one that spans batches; lists without marks get no map."""
     r = random.Random(7)
