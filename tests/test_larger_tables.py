@@ -54,6 +54,29 @@ def test_what_a_space_shows_comes_in_order(spark):
     assert all([inner[z][2:4] for z in zs] == sorted(inner[z][2:4] for z in zs) for _, zs in runs)
 
 
+def test_equal_windows_meet_an_item_together(spark, tmp_path):
+    """An item repeats for all equal windows, and these for the next item: runs that a columnar file keeps in little room."""
+    r = random.Random(8)
+    items = [(k, r.randint(0, 400), r.choice([1, 15, 40, 90])) for k in range(80)]
+    windows = [(k, 60 * (k % 5), 60 * (k % 5) + 30) for k in range(60)]
+    path = str(tmp_path / "items")
+    binned.write_binned(spark.createDataFrame(items, "id long, x long, length long"), path, 512)
+    w = spark.createDataFrame(windows, "w long, lo long, hi long").repartition(3)
+    got = [(g.w, g.id) for g in binned.join_windows(spark, path, 512, w).collect()]
+    assert sorted(got) == sorted((k, i) for k, a, b in windows for i, x, n in items if x < b and x + n > a)
+    runs = [(i, [k for k, _ in g]) for i, g in itertools.groupby(got, lambda p: (p[1], p[0] % 5))]
+    assert len(runs) == len({i for i, _ in runs}) and all(ks == list(range(i[1], 60, 5)) for i, ks in runs)
+
+
+def test_sets_have_a_greatest_size(spark, monkeypatch):
+    """Many equal intervals are several sets, none of them larger than that, whatever the other columns hold."""
+    monkeypatch.setattr(intervals, "SET", 4)
+    d = spark.createDataFrame([(k % 3, k, {"a": k}) for k in range(40)], "x long, k long, m map<string, long>")
+    got = intervals.gathered(d, ["x"], "rows").collect()
+    assert sorted((g.x, r.k, r.m["a"]) for g in got for r in g.rows) == sorted((k % 3, k, k) for k in range(40))
+    assert sorted(len(g.rows) for g in got) == [1, 1, 2, *[4] * 9]
+
+
 def test_grid_points_that_items_hold(spark):
     r = random.Random(5)
     items = [(k, r.randint(-200, 200), r.choice([0, 1, 2, 29, 30, 31, 95])) for k in range(200)]
