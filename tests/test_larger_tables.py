@@ -54,6 +54,22 @@ def test_what_a_space_shows_comes_in_order(spark):
     assert all([inner[z][2:4] for z in zs] == sorted(inner[z][2:4] for z in zs) for _, zs in runs)
 
 
+def test_equal_windows_show_an_item_together(spark):
+    """The run of an item is as long as its windows are many, and theirs again for the next item, whatever the items are."""
+    r = random.Random(9)
+    schema = "space long, z long, x long, length long, offset long"
+    at = [(7 * k, 2 + k) for k in range(6)]
+    outer = [(k % 2, k, r.randint(0, 900), at[k % 6][1], at[k % 6][0]) for k in range(90)]
+    inner = [(k % 2, k, r.randint(0, 40), r.randint(1, 20), r.randint(0, 5)) for k in range(70)]
+    o, i = spark.createDataFrame(outer, schema).repartition(3), spark.createDataFrame(inner, schema).repartition(3)
+    got = nesting.nested(o, i, "space", sets=True)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, nesting.nested(o, i, "space").select(*got.columns).collect()))
+    runs = [(k, [g.outer_z for g in gs]) for k, gs in itertools.groupby(got.collect(), lambda g: (g.z, g.outer_z % 6))]
+    assert len(runs) == len({k for k, _ in runs}) > 20
+    sets = {w: ks for (_, w), ks in runs}
+    assert all(ks == sets[w] and len(ks) == 15 for (_, w), ks in runs)
+
+
 def test_equal_windows_meet_an_item_together(spark, tmp_path):
     """An item repeats for all equal windows, and these for the next item: runs that a columnar file keeps in little room."""
     r = random.Random(8)
